@@ -21,24 +21,21 @@ def with_date(events: DataFrame) -> DataFrame:
     return events.withColumn("event_date", E.event_date(F.col("event_timestamp_ms")))
 
 
-def laid_out(events: DataFrame, spread: int = 1) -> DataFrame:
+def laid_out(events: DataFrame) -> DataFrame:
     """Rows grouped by (tenant, date) and sorted for the usual filters.
 
-    ``spread`` splits each (tenant, date) over that many tasks, for tenants too large for one
-    writer; row groups stay selective because every file is sorted.
+    ``rebalance`` lets Spark split a (tenant, date) that is too large for one writer; every
+    file is sorted, so row groups stay selective.
     """
     dated = with_date(events.select(*EVENT_COLUMNS))
-    keys = [F.col(p) for p in PARTITIONS]
-    if spread > 1:
-        keys.append(F.pmod(F.xxhash64("event_id"), F.lit(spread)))
-    return dated.repartition(*keys).sortWithinPartitions(
+    return dated.hint("rebalance", *PARTITIONS).sortWithinPartitions(
         *PARTITIONS, "campaign_id", "event_type", "event_timestamp_ms"
     )
 
 
-def append(events: DataFrame, path: str, spread: int = 1) -> None:
+def append(events: DataFrame, path: str) -> None:
     (
-        laid_out(events, spread)
+        laid_out(events)
         .write.mode("append")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(*PARTITIONS)
