@@ -51,18 +51,30 @@ def campaign_count(events: DataFrame, tenant: str, campaign: str, metric: str) -
     return of_campaign(events, tenant, campaign, metric).agg(F.count("*").alias("cnt"))
 
 
-def _hourly(events: DataFrame, settings: Settings) -> DataFrame:
+def hourly(events: DataFrame) -> DataFrame:
     """Counts per key and hour, with the first and last event time in the hour."""
     ms = F.col("event_timestamp_ms")
     return (
         countable(events)
-        .where(ms <= settings.as_of_ms)
         .groupBy(*COUNT_KEYS, E.hour_bucket(ms).alias("bucket_ms"))
         .agg(F.count("*").alias("cnt"), F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))
     )
 
 
-def _alive(hourly: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
+def merged_hourly(deltas: DataFrame) -> DataFrame:
+    """Hourly counts from several partial ones (one per micro-batch)."""
+    return deltas.groupBy(*COUNT_KEYS, "bucket_ms").agg(
+        F.sum("cnt").alias("cnt"),
+        F.min("first_ms").alias("first_ms"),
+        F.max("last_ms").alias("last_ms"),
+    )
+
+
+def _until(events: DataFrame, settings: Settings) -> DataFrame:
+    return events.where(F.col("event_timestamp_ms") <= settings.as_of_ms)
+
+
+def _alive(hours: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
     """Hours since the key last came to life, for keys that are alive at ``as_of``.
 
     A key dies when it is not written for longer than the counter TTL and starts from zero at
@@ -76,7 +88,7 @@ def _alive(hourly: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
     whole = Window.partitionBy(*keys)
     gap = F.min("first_ms").over(same_hour) - F.max("last_ms").over(earlier)
     return (
-        hourly.withColumn("_gap", gap)
+        hours.withColumn("_gap", gap)
         .withColumn(
             "_start",
             F.max(
@@ -93,13 +105,21 @@ def _alive(hourly: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
 
 def hot_counters(events: DataFrame, settings: Settings) -> DataFrame:
     """Counters per (tenant, campaign, type); the life of a counter is per (tenant, campaign)."""
-    alive = _alive(_hourly(events, settings), ["tenant_id", "campaign_id"], settings)
+    return counters_of(hourly(_until(events, settings)), settings)
+
+
+def counters_of(hours: DataFrame, settings: Settings) -> DataFrame:
+    alive = _alive(hours, ["tenant_id", "campaign_id"], settings)
     return alive.groupBy(*COUNT_KEYS).agg(F.sum("cnt").alias("cnt"))
 
 
 def hot_hourly_series(events: DataFrame, settings: Settings) -> DataFrame:
     """Hourly counts per (tenant, campaign, type); each such series lives on its own."""
-    alive = _alive(_hourly(events, settings), COUNT_KEYS, settings)
+    return series_of(hourly(_until(events, settings)), settings)
+
+
+def series_of(hours: DataFrame, settings: Settings) -> DataFrame:
+    alive = _alive(hours, COUNT_KEYS, settings)
     return alive.select(*COUNT_KEYS, "bucket_ms", "cnt")
 
 

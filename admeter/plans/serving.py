@@ -227,14 +227,23 @@ def tiered_count_table(stores: Stores, requests: DataFrame, settings: Settings)
         ),
         "day_cnt",
     )
-    # A request may start on a date without events: pair it with the key's dates (bounded by
-    # the calendar) and sum those not before it.
+    # Dates of requests are put among the dates with events, and one pass per key from the
+    # newest date back gives every request the sum of the dates not before its own. Rows per
+    # key are bounded by the calendar.
+    asked = wanted.where(F.col("tier") == COLD).select(
+        *keys, F.col("from_date").alias("day"), F.lit(0).alias("day_cnt"), F.lit(True).alias("_asked")
+    )
+    newest_first = (
+        Window.partitionBy(*keys)
+        .orderBy(F.desc("day"))
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     cold = (
-        wanted.where(F.col("tier") == COLD)
-        .join(per_day, keys)
-        .where(F.col("day") >= F.col("from_date"))
-        .groupBy(*keys, "tier", "from_date")
-        .agg(F.sum("day_cnt").alias("cold_cnt"))
+        per_day.withColumn("_asked", F.lit(False))
+        .unionByName(asked)
+        .withColumn("cold_cnt", F.sum("day_cnt").over(newest_first))
+        .where("_asked")
+        .select(*keys, F.lit(COLD).alias("tier"), F.col("day").alias("from_date"), "cold_cnt")
     )
     cnt = (
         F.when(F.col("tier") == COLD, F.coalesce("cold_cnt", F.lit(0)))

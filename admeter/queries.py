@@ -18,7 +18,17 @@ from admeter.operators import rate_limit, reconcile
 from admeter.operators import timeseries as S
 from admeter.plans import ingest, serving
 from admeter.sources import lake
-from admeter.sources.event_table import canonical, dead_letters, read_table, request_log
+from admeter.sources.event_table import (
+    canonical,
+    canonical_stream,
+    dead_letters,
+    read_table,
+    request_log,
+)
+from admeter.sources.shared import new_path
+from admeter.streaming import attribution as stream_attribution
+from admeter.streaming import counters, job, tables
+from admeter.streaming.dedup import within_watermark
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -777,3 +787,77 @@ def late_upsert(spark, sf):
     on_time = valid.where(F.col("arrival_ms") - ms() < SETTINGS.allowed_lateness_ms)
     too_late = valid.where(F.col("arrival_ms") - ms() >= SETTINGS.allowed_lateness_ms)
     return lake.merged(on_time, too_late).select(*FLAT)
+
+
+# ---- streams: run over the table's files until all are processed --------------------------
+
+ONCE = {"availableNow": True}
+
+
+def _finish(stream: DataFrame, folder: str) -> None:
+    """Write a stream to a table, one folder per micro-batch, until the input is used up."""
+    (
+        stream.writeStream.foreachBatch(
+            lambda df, batch_id: tables.write_batch(df, f"{folder}/rows", batch_id)
+        )
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(**ONCE)
+        .start()
+        .awaitTermination()
+    )
+
+
+@query
+def stream_click_to_basket(spark, sf):
+    """Attribution by keyed state over the valid events."""
+    folder = new_path(spark, "stream-conversions")
+    stream = ingest.valid(canonical_stream(spark, sf)).select(*EVENT_COLUMNS)
+    made = stream_attribution.conversions(stream, SETTINGS)
+    _finish(made, folder)
+    return tables.read_batches(spark, f"{folder}/rows", made.schema).select(
+        *CONVERSION_COLUMNS,
+        attribution.duration_ms().alias("duration_ms"),
+        attribution.attributed_click().alias("attributed_click_id"),
+    )
+
+
+@query
+def stream_unique_ids(spark, sf):
+    """Built-in de-duplication on state; which copy of an id stays is up to arrival."""
+    folder = new_path(spark, "stream-unique")
+    stream = ingest.valid(canonical_stream(spark, sf)).select("event_id", "event_timestamp_ms")
+    kept = within_watermark(stream, SETTINGS)
+    _finish(kept, folder)
+    return tables.read_batches(spark, f"{folder}/rows", kept.schema).select("event_id")
+
+
+@query
+def stream_counts(spark, sf):
+    """Running counts per (tenant, campaign, type)."""
+    folder = new_path(spark, "stream-counts")
+    stream = ingest.valid(canonical_stream(spark, sf))
+    counters.count_stream(stream, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return counters.current_counts(spark, f"{folder}/rows")
+
+
+def _stream_job(spark, sf) -> job.Folders:
+    out = job.Folders(new_path(spark, "stream-job"))
+    raw = canonical_stream(spark, sf).select(*EVENT_COLUMNS)
+    job.run_available(raw, out, SETTINGS)
+    return out
+
+
+@query
+def stream_enriched(spark, sf):
+    """The whole stream job: unique events and conversions."""
+    return job.enriched(spark, _stream_job(spark, sf)).select(
+        *FLAT, attribution.duration_ms().alias("duration_ms")
+    )
+
+
+@query
+def stream_hot_counters(spark, sf):
+    """Hot counters as the stream job leaves them."""
+    out = _stream_job(spark, sf)
+    paths = [f"{out.counters}/{name}" for name in ("ingest", "attribute")]
+    return counters.hot_counters(spark, paths, SETTINGS)

@@ -53,6 +53,18 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CANONICAL, events=read_table(spark, sf_dir, "events"))
 
 
+def canonical_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
+    """The same events as a stream over the table's files."""
+    schema = read_table(spark, sf_dir, "events").schema
+    raw = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "events*.parquet")
+        .option("maxFilesPerTrigger", files)
+        .parquet(sf_dir)
+    )
+    return spark.sql(CANONICAL, events=raw)
+
+
 def dead_letters(rejected: DataFrame, settings: Settings) -> DataFrame:
     """Rejected events as a partitioned log: (partition, offset) by arrival number."""
     log = rejected.withColumnRenamed("source_partition", "partition")
@@ -74,5 +86,3 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq % 5 <> 0 AS cache_hit",
     )
 
-
-__all__ = ["EVENT_COLUMNS", "canonical", "dead_letters", "read_table", "request_log"]

@@ -1,0 +1,44 @@
+"""Late rows on a stream: the newest event time per source partition is kept between batches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from admeter.config import Settings
+from admeter.operators.late import with_progress
+from admeter.streaming.tables import read_batch, write_batch
+
+PROGRESS = T.StructType(
+    [T.StructField("source_partition", T.IntegerType()), T.StructField("newest", T.LongType())]
+)
+
+
+class LateSplit:
+    """Marks each row of a micro-batch late or not, like the batch operator over all rows."""
+
+    def __init__(self, path: str, settings: Settings):
+        self.path, self.settings = path, settings
+
+    def marked(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        rows = with_progress(batch, self.settings)
+        before = F.col("max_before")
+        if batch_id > 0:
+            # One row per source partition.
+            past = read_batch(spark, self.path, batch_id - 1, PROGRESS)
+            rows = rows.join(F.broadcast(past), "source_partition", "left")
+            before = F.greatest("max_before", "newest")
+        behind = before - F.col("event_timestamp_ms")
+        late = F.coalesce(behind > self.settings.allowed_lateness_ms, F.lit(False))
+        return rows.withColumn("max_before", before).withColumn("late", late).drop("newest")
+
+    def remember(self, batch: DataFrame, batch_id: int) -> None:
+        newest = batch.groupBy("source_partition").agg(F.max("event_timestamp_ms").alias("newest"))
+        if batch_id > 0:
+            past = read_batch(batch.sparkSession, self.path, batch_id - 1, PROGRESS)
+            newest = (
+                newest.unionByName(past).groupBy("source_partition").agg(F.max("newest").alias("newest"))
+            )
+        write_batch(newest, self.path, batch_id)

@@ -608,6 +608,20 @@ _QUERIES: dict[str, str] = {
    WHERE arrival_ms - event_timestamp_ms >= 300000)) WHERE rn = 1""",
 }
 
+# The streams: the same rows from the same events.
+_NO_DEDUP = {name: CTE[name].replace("FROM kept", "FROM valid").replace("JOIN kept", "JOIN valid")
+             for name in ("clicks_carts", "takers")}
+CTE["clicks_carts_all"] = _NO_DEDUP["clicks_carts"]
+CTE["takers_all"] = _NO_DEDUP["takers"].replace("FROM clicks_carts", "FROM clicks_carts_all")
+CTE["conv_all"] = CTE["conv"].replace("FROM takers", "FROM takers_all")
+CTE["alive_whole"] = CTE["alive"].replace("seq % 50 <> 0 AND ", "")
+_QUERIES["stream_click_to_basket"] = _QUERIES["click_to_basket"].replace("conv", "conv_all")
+_QUERIES["stream_counts"] = f"""SELECT {KEYS}, count(*) AS cnt FROM valid
+ WHERE campaign_id IS NOT NULL GROUP BY ALL"""
+_QUERIES["stream_unique_ids"] = "SELECT DISTINCT event_id FROM valid"
+_QUERIES["stream_enriched"] = f"SELECT {FLAT}, duration_ms FROM enriched"
+_QUERIES["stream_hot_counters"] = f"SELECT {KEYS}, count(*) AS cnt FROM alive_whole GROUP BY ALL"
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: _sql(text) for name, text in _QUERIES.items()}
