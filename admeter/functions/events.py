@@ -10,10 +10,7 @@ from admeter.model import EVENT_TYPES, UNSPECIFIED
 
 # Patterns of the request checks.
 ID_PATTERN = r"^[A-Za-z0-9_.:-]{1,128}\z"
-BLANKS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
-    "\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
-)
+NOT_BLANK = r"[^\s\x1C-\x1F\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000]"
 # What is trimmed from an event type (control characters and the space).
 CONTROLS = "".join(map(chr, range(33)))
 INSTANT_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})\z"
@@ -22,11 +19,15 @@ GRAIN_MS = {"minute": MINUTE_MS, "hour": HOUR_MS, "day": DAY_MS}
 
 def is_blank(c: Column) -> Column:
     """Null, empty, or white space only."""
-    return c.isNull() | (F.btrim(c, F.lit(BLANKS)) == "")
+    return ~F.coalesce(c.rlike(NOT_BLANK), F.lit(False))
 
 
 def known_type(c: Column) -> Column:
-    """Recognised event type after trimming and upper-casing, else null."""
+    """Recognised event type after trimming and upper-casing, else null.
+
+    The column is named once, as in ``is_blank``: a filter on it may be pushed below the
+    expression that makes the column, and that expression is copied for every mention.
+    """
     known = F.create_map(*[F.lit(t) for name in EVENT_TYPES for t in (name, name)])
     return F.element_at(known, F.upper(F.btrim(c, F.lit(CONTROLS))))
 

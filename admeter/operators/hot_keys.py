@@ -41,27 +41,43 @@ class HotKeys:
 
 def find_hot(df: DataFrame, keys: list[str], settings: Settings) -> HotKeys | None:
     """Keys with more than about ``hot_key_rows`` rows, or None when there are none."""
+    return find_hot_each(df, [keys], settings)[0]
+
+
+def find_hot_each(
+    df: DataFrame, key_sets: list[list[str]], settings: Settings
+) -> list[HotKeys | None]:
+    """``find_hot`` for several sets of keys in one job (grouping sets over one sample)."""
     share = settings.hot_key_sample
-    seen = df.select(*keys)
+    columns = list(dict.fromkeys(k for keys in key_sets for k in keys))
+    seen = df.select(*columns)
     if share < 1.0:
         seen = seen.sample(share, seed=7)
     heavy = (
-        seen.groupBy(*keys)
-        .agg(F.count("*").alias("_seen"))
+        seen.groupingSets([[F.col(k) for k in keys] for keys in key_sets], *columns)
+        .agg(F.count("*").alias("_seen"), F.grouping_id().cast("bigint").alias("_set"))
         .where(F.col("_seen") > settings.hot_key_rows * share)
     )
-    # The key table is at most (all rows / hot_key_rows) long; bring it to the driver only
-    # up to the size that may be broadcast, else leave it on the cluster.
+    # The result is at most (key sets * all rows / hot_key_rows) long; it comes to the driver
+    # only up to the size that may be broadcast, else it stays on the cluster.
     found = heavy.limit(settings.broadcast_rows + 1).collect()
     if not found:
-        return None
+        return [None for _ in key_sets]
     if len(found) <= settings.broadcast_rows:
-        rows = sum(r["_seen"] for r in found)
-        table = df.sparkSession.createDataFrame(found, heavy.schema).select(*keys)
-        return HotKeys(table, len(found), int(rows / share))
-    table = keep(heavy, "hot-keys")
-    total = table.agg(F.count("*").alias("n"), F.sum("_seen").alias("s")).first()
-    return HotKeys(table.select(*keys), total["n"], int(total["s"] / share))
+        table = df.sparkSession.createDataFrame(found, heavy.schema)
+    else:
+        table = keep(heavy, "hot-keys")
+    return [_hot_of(table, columns, keys, share) for keys in key_sets]
+
+
+def _hot_of(table: DataFrame, columns: list[str], keys: list[str], share: float) -> HotKeys | None:
+    last = len(columns) - 1
+    set_id = sum(1 << (last - i) for i, c in enumerate(columns) if c not in keys)
+    own = table.where(F.col("_set") == set_id)
+    total = own.agg(F.count("*").alias("n"), F.sum("_seen").alias("rows")).first()
+    if total["n"] == 0:
+        return None
+    return HotKeys(own.select(*keys), total["n"], int(total["rows"] / share))
 
 
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -10,7 +10,7 @@ from admeter.functions import events as E
 from admeter.functions.privacy import redact
 from admeter.model import EVENT_COLUMNS
 from admeter.operators import attribution, dedup
-from admeter.operators.hot_keys import find_hot
+from admeter.operators.hot_keys import HotKeys, find_hot, find_hot_each
 
 
 def from_requests(requests: DataFrame, tenant: str | Column, settings: Settings) -> DataFrame:
@@ -54,22 +54,28 @@ def rejected(events: DataFrame) -> DataFrame:
     return redact(rows).withColumn("key", E.dlq_key())
 
 
+IDS = ["event_id"]
+
+
 def kept(events: DataFrame, settings: Settings) -> DataFrame:
     """Valid and unique events.
 
     Heavy ids are looked for among the raw rows: that reads one column and no validation.
     """
-    hot = find_hot(events, ["event_id"], settings)
+    return _kept(events, settings, find_hot(events, IDS, settings))
+
+
+def _kept(events: DataFrame, settings: Settings, hot: HotKeys | None) -> DataFrame:
     return dedup.unique(valid(events).select(*EVENT_COLUMNS), settings, hot)
 
 
 def converted(events: DataFrame, settings: Settings) -> DataFrame:
     """Conversions among the valid and unique events."""
-    hot = find_hot(events, attribution.SESSION, settings)
-    return attribution.conversions(kept(events, settings), settings, hot=hot)
+    ids, sessions = find_hot_each(events, [IDS, attribution.SESSION], settings)
+    return attribution.conversions(_kept(events, settings, ids), settings, hot=sessions)
 
 
 def enriched(events: DataFrame, settings: Settings) -> DataFrame:
     """Valid and unique events plus conversions: the content of the enriched stream."""
-    hot = find_hot(events, attribution.SESSION, settings)
-    return attribution.enrich(kept(events, settings), settings, hot=hot)
+    ids, sessions = find_hot_each(events, [IDS, attribution.SESSION], settings)
+    return attribution.enrich(_kept(events, settings, ids), settings, hot=sessions)
