@@ -68,16 +68,29 @@ def conversions(
 
 
 def enrich(
-    kept: DataFrame, settings: Settings, keys: list[str] = SESSION, hot: HotKeys | None = None
+    kept: DataFrame,
+    settings: Settings,
+    keys: list[str] = SESSION,
+    hot: HotKeys | None = None,
+    extra: list[str] = [],
 ) -> DataFrame:
-    """All unique events and the conversions among them, from one pass over ``kept``."""
-    rows = _with_previous(kept.select(*EVENT_COLUMNS), keys, settings, hot)
-    itself = F.struct(*EVENT_COLUMNS)
-    made = F.struct(*[c.alias(name) for name, c in _conversion().items()])
+    """All unique events and the conversions among them, from one pass over ``kept``.
+
+    A conversion takes over the ``extra`` columns of its cart.
+    """
+    rows = _with_previous(kept.select(*EVENT_COLUMNS, *extra), keys, settings, hot)
+    itself = F.struct(*EVENT_COLUMNS, *extra)
+    made = F.struct(*[c.alias(name) for name, c in _conversion().items()], *extra)
     both = F.when(_converts(settings), F.array(itself, made)).otherwise(F.array(itself))
     return rows.select(F.inline(both))
 
 
+def last_relevant(rows: DataFrame, keys: list[str] = SESSION) -> DataFrame:
+    """The newest click or cart of every session: all that later rows need to know."""
+    newest = F.max_by(F.struct(*EVENT_COLUMNS), F.struct(*ORDER)).alias("r")
+    return rows.where(_relevant()).groupBy(*keys).agg(newest).select("r.*")
+
+
 def duration_ms() -> Column:
     return F.col("custom_tags")["durationMs"].cast("bigint")
 

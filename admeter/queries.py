@@ -826,7 +826,7 @@ def stream_unique_ids(spark, sf):
     """Built-in de-duplication on state; which copy of an id stays is up to arrival."""
     folder = new_path(spark, "stream-unique")
     stream = ingest.valid(canonical_stream(spark, sf)).select("event_id", "event_timestamp_ms")
-    kept = within_watermark(stream, SETTINGS)
+    kept = within_watermark(stream, SETTINGS).drop("event_ts")
     _finish(kept, folder)
     return tables.read_batches(spark, f"{folder}/rows", kept.schema).select("event_id")
 
@@ -840,17 +840,25 @@ def stream_counts(spark, sf):
     return counters.current_counts(spark, f"{folder}/rows")
 
 
-def _stream_job(spark, sf) -> job.Folders:
+def _stream_job(spark, sf, exact: bool) -> job.Folders:
     out = job.Folders(new_path(spark, "stream-job"))
     raw = canonical_stream(spark, sf).select(*EVENT_COLUMNS)
-    job.run_available(raw, out, SETTINGS)
+    job.run_available(raw, out, SETTINGS, exact)
     return out
 
 
 @query
 def stream_enriched(spark, sf):
-    """The whole stream job: unique events and conversions."""
-    return job.enriched(spark, _stream_job(spark, sf)).select(
+    """The whole stream job on state tables: unique events and conversions."""
+    return job.enriched(spark, _stream_job(spark, sf, exact=True)).select(
+        *FLAT, attribution.duration_ms().alias("duration_ms")
+    )
+
+
+@query
+def stream_enriched_stateful(spark, sf):
+    """The whole stream job on Spark's state store."""
+    return job.enriched(spark, _stream_job(spark, sf, exact=False)).select(
         *FLAT, attribution.duration_ms().alias("duration_ms")
     )
 
@@ -858,6 +866,5 @@ def stream_enriched(spark, sf):
 @query
 def stream_hot_counters(spark, sf):
     """Hot counters as the stream job leaves them."""
-    out = _stream_job(spark, sf)
-    paths = [f"{out.counters}/{name}" for name in ("ingest", "attribute")]
-    return counters.hot_counters(spark, paths, SETTINGS)
+    out = _stream_job(spark, sf, exact=True)
+    return counters.hot_counters(spark, [out.counters], SETTINGS)

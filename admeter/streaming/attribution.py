@@ -1,4 +1,10 @@
-"""Click-to-basket attribution on a stream: keyed state per session, event-time timers."""
+"""Click-to-basket attribution on a stream, in two forms.
+
+``conversions`` and ``enriched`` keep state per session in RocksDB with event-time timers.
+
+``ExactAttribution`` gives the batch semantics: between micro-batches it keeps a table with
+the newest click or cart of each session, and the batch operator runs over it and the new rows.
+"""
 
 from __future__ import annotations
 
@@ -12,31 +18,21 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from admeter.config import Settings
 from admeter.functions import events as E
-from admeter.model import CONVERSION, EVENT_COLUMNS
+from admeter.model import CONVERSION, EVENT_COLUMNS, EVENT_SCHEMA
+from admeter.operators.attribution import SESSION, enrich, last_relevant
+from admeter.operators.hot_keys import find_hot
+from admeter.streaming.tables import read_batch, write_batch
 
 STATE = "event_id string, campaign_id string, cost double, at_ms bigint, taken boolean"
-INPUT = [
-    "session_id", "event_id", "tenant_id", "user_id", "campaign_id", "event_type",
-    "event_timestamp_ms", "cost", "arrival_ms", "seq", "event_ts",
-]
+MADE = ["duration_ms", "click_id"]
 OUTPUT = T.StructType(
     [
-        T.StructField(name, kind)
-        for name, kind in (
-            ("event_id", T.StringType()),
-            ("tenant_id", T.StringType()),
-            ("user_id", T.StringType()),
-            ("session_id", T.StringType()),
-            ("campaign_id", T.StringType()),
-            ("event_timestamp_ms", T.LongType()),
-            ("cost", T.DoubleType()),
-            ("arrival_ms", T.LongType()),
-            ("seq", T.LongType()),
-            ("duration_ms", T.LongType()),
-            ("click_id", T.StringType()),
-        )
+        *[f for f in EVENT_SCHEMA.fields if f.name != "custom_tags"],
+        T.StructField("duration_ms", T.LongType()),
+        T.StructField("click_id", T.StringType()),
     ]
 )
+INPUT = [n for n in OUTPUT.fieldNames() if n not in MADE]
 
 
 class Attribution(StatefulProcessor):
@@ -47,15 +43,20 @@ class Attribution(StatefulProcessor):
     click leaves a newer one alone.
     """
 
-    def __init__(self, window_ms: int):
-        self.window_ms = window_ms
+    def __init__(self, window_ms: int, pass_events: bool):
+        self.window_ms, self.pass_events = window_ms, pass_events
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.click = handle.getValueState("click", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat(list(rows)).sort_values(["event_timestamp_ms", "seq"], kind="stable")
+        relevant = []
+        for part in rows:
+            if self.pass_events:
+                yield part[INPUT].assign(duration_ms=None, click_id=None)
+            relevant.append(part[part["event_type"].isin(["CLICK", "ADD_TO_CART"])])
+        batch = pd.concat(relevant).sort_values(["event_timestamp_ms", "seq"], kind="stable")
         last = self.click.get() if self.click.exists() else None
         before = last
         made = []
@@ -67,8 +68,8 @@ class Attribution(StatefulProcessor):
             elif last is not None and not last[4] and 0 <= at - last[3] <= self.window_ms:
                 made.append(
                     (
-                        f"{r.event_id}_att", r.tenant_id, r.user_id, key[0], last[1], at, last[2],
-                        r.arrival_ms, r.seq, at - last[3], last[0],
+                        f"{r.event_id}_att", r.tenant_id, r.user_id, key[0], last[1], CONVERSION,
+                        at, last[2], None, None, None, r.arrival_ms, r.seq, at - last[3], last[0],
                     )
                 )
                 last = (*last[:4], True)
@@ -90,34 +91,63 @@ class Attribution(StatefulProcessor):
         pass
 
 
-def conversions(unique_stream: DataFrame, settings: Settings) -> DataFrame:
+def conversions(unique: DataFrame, settings: Settings) -> DataFrame:
     """Streaming conversions. Clicks and carts alone reach the state."""
-    relevant = (
-        unique_stream.where(F.col("event_type").isin("CLICK", "ADD_TO_CART"))
-        .where(F.col("session_id").isNotNull())
-        .withColumn("event_ts", E.event_ts(F.col("event_timestamp_ms")))
-        .withWatermark("event_ts", f"{settings.allowed_lateness_ms} milliseconds")
-        .select(*INPUT)
-    )
-    made = relevant.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=Attribution(settings.attribution_window_ms),
+    relevant = unique.where(F.col("event_type").isin("CLICK", "ADD_TO_CART"))
+    return _by_session(timed(relevant, settings.allowed_lateness_ms), settings, False)
+
+
+def enriched(timed_events: DataFrame, settings: Settings) -> DataFrame:
+    """The events (with ``event_ts`` and its watermark) and the conversions among them."""
+    return _by_session(timed_events, settings, True)
+
+
+def timed(events: DataFrame, lateness_ms: int) -> DataFrame:
+    at = E.event_ts(F.col("event_timestamp_ms"))
+    return events.withColumn("event_ts", at).withWatermark("event_ts", f"{lateness_ms} milliseconds")
+
+
+def _by_session(events: DataFrame, settings: Settings, pass_events: bool) -> DataFrame:
+    rows = events.where(F.col("session_id").isNotNull()).select(*INPUT, "event_ts")
+    made = rows.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=Attribution(settings.attribution_window_ms, pass_events),
         outputStructType=OUTPUT,
         outputMode="Append",
         timeMode="EventTime",
     )
-    return as_events(made)
-
-
-def as_events(made: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("string")
-    extra = {
-        "event_type": F.lit(CONVERSION),
-        "custom_tags": F.create_map(
-            F.lit("durationMs"), F.col("duration_ms").cast("string"),
-            F.lit("attributedClickId"), F.col("click_id"),
-        ),
-        "placement_id": none,
-        "geo_country": none,
-        "device_type": none,
-    }
-    return made.select(*[extra.get(c, F.col(c)).alias(c) for c in EVENT_COLUMNS])
+    tags = F.create_map(
+        F.lit("durationMs"), F.col("duration_ms").cast("string"),
+        F.lit("attributedClickId"), F.col("click_id"),
+    )
+    is_made = F.col("event_type") == CONVERSION
+    with_tags = made.withColumn("custom_tags", F.when(is_made & F.col("click_id").isNotNull(), tags))
+    return with_tags.select(*EVENT_COLUMNS)
+
+
+class ExactAttribution:
+    """Keeps the newest click or cart per session in ``path``, one folder per micro-batch."""
+
+    def __init__(self, path: str, settings: Settings):
+        self.path, self.settings = path, settings
+
+    def _known(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        spark = rows.sparkSession
+        return read_batch(spark, self.path, batch_id - 1, EVENT_SCHEMA)
+
+    def enriched(self, kept: DataFrame, batch_id: int) -> DataFrame:
+        """The new events and their conversions."""
+        rows = kept.withColumn("_new", F.lit(True))
+        if batch_id > 0:
+            known = self._known(kept, batch_id).withColumn("_new", F.lit(False))
+            rows = rows.unionByName(known)
+        hot = find_hot(rows, SESSION, self.settings)
+        return enrich(rows, self.settings, hot=hot, extra=["_new"]).where("_new").drop("_new")
+
+    def remember(self, kept: DataFrame, batch_id: int) -> None:
+        """Store what the next batch needs: sessions whose last click may still convert."""
+        rows = kept.unionByName(self._known(kept, batch_id)) if batch_id > 0 else kept
+        horizon = self.settings.attribution_window_ms + self.settings.allowed_lateness_ms
+        newest = rows.agg(F.max("event_timestamp_ms")).first()[0]
+        if newest is not None:
+            rows = rows.where(F.col("event_timestamp_ms") >= newest - horizon)
+        write_batch(last_relevant(rows), self.path, batch_id)

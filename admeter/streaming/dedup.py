@@ -21,11 +21,11 @@ from admeter.streaming.tables import read_batch, write_batch
 
 
 def within_watermark(events: DataFrame, settings: Settings) -> DataFrame:
+    """Unique events with ``event_ts``, whose watermark trails by the TTL."""
     return (
         events.withColumn("event_ts", E.event_ts(F.col("event_timestamp_ms")))
         .withWatermark("event_ts", f"{settings.dedup_ttl_ms} milliseconds")
         .dropDuplicatesWithinWatermark(["event_id"])
-        .drop("event_ts")
     )
 
 

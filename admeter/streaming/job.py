@@ -1,13 +1,16 @@
-"""The end-to-end stream: raw events in; unique events, conversions, counters, lake and dead letters out.
+"""The end-to-end stream: raw events in; enriched events, counters, lake and dead letters out.
 
-Two queries joined by a table, as topics would join them:
+    raw -> validate -> de-duplicate -> attribute -> {enriched, counters, lake}
+               |-> rejected -> dead letters
 
-1. ``ingest``: raw -> validate -> de-duplicate -> {unique, counters, lake}, rejected -> dead letters
-2. ``attribute``: unique -> keyed state per session -> {conversions, counters, lake}
+Two forms. ``exact`` runs the batch operators on every micro-batch over small state tables
+(live ids, newest click or cart per session) and gives the rows of the batch plan. The other
+form keeps the state in Spark's RocksDB store: lower latency, horizons that follow the watermark.
 
 All sinks of a micro-batch are written from one persisted set of rows, in folders named by the
 batch, so running a batch again changes nothing. Set ``spark.sql.shuffle.partitions`` before
-the first start: the number of state partitions is fixed for the life of a checkpoint.
+the first start: the number of state partitions is fixed for the life of a checkpoint. The
+source's rows-per-trigger limit bounds what one micro-batch holds, also of one session.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from admeter.config import Settings
 from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA
 from admeter.plans import ingest as plans
 from admeter.sources.lake import with_date
-from admeter.streaming import attribution, counters
+from admeter.streaming import counters
+from admeter.streaming.attribution import ExactAttribution
+from admeter.streaming.attribution import enriched as stateful_enriched
 from admeter.streaming.dedup import ExactDedup, within_watermark
-from admeter.streaming.tables import read_batches, stream_batches, write_batch
+from admeter.streaming.tables import read_batches, write_batch
 
 DEAD_SCHEMA = T.StructType(
     [
@@ -49,12 +54,12 @@ class Folders:
         return f"{self.root}/checkpoints/{name}"
 
 
-def write_lake(rows: DataFrame, path: str, source: str, batch_id: int) -> None:
+def write_lake(rows: DataFrame, path: str, batch_id: int) -> None:
     """Lake rows of one micro-batch: the batch is the last partition level, and is replaced whole."""
     parts = ["tenant_id", "event_date", "part"]
     (
         with_date(rows)
-        .selectExpr("*", f"'{source}-{batch_id}' AS part")
+        .selectExpr("*", f"'{batch_id}' AS part")
         .hint("rebalance", *parts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -64,10 +69,10 @@ def write_lake(rows: DataFrame, path: str, source: str, batch_id: int) -> None:
     )
 
 
-def _fan_out(rows: DataFrame, folder: str, name: str, out: Folders, batch_id: int) -> None:
-    write_batch(rows, folder, batch_id)
-    counters.add_deltas(rows, f"{out.counters}/{name}", batch_id)
-    write_lake(rows, out.lake, name, batch_id)
+def _fan_out(rows: DataFrame, out: Folders, batch_id: int) -> None:
+    write_batch(rows, out.enriched, batch_id)
+    counters.add_deltas(rows, out.counters, batch_id)
+    write_lake(rows, out.lake, batch_id)
 
 
 def _start(stream: DataFrame, name: str, out: Folders, each, trigger: dict) -> StreamingQuery:
@@ -80,66 +85,60 @@ def _start(stream: DataFrame, name: str, out: Folders, each, trigger: dict) -> S
     )
 
 
-def ingest(
-    raw: DataFrame, out: Folders, settings: Settings, trigger: dict, exact: bool = True
-) -> list[StreamingQuery]:
-    """Start query 1. ``exact`` chooses the de-duplication (see ``streaming.dedup``)."""
+def _dead(batch: DataFrame, out: Folders, batch_id: int) -> None:
+    rows = plans.rejected(batch).select(*DEAD_SCHEMA.fieldNames())
+    write_batch(rows, out.dead, batch_id)
+
+
+def start_exact(raw: DataFrame, out: Folders, settings: Settings, trigger: dict) -> list[StreamingQuery]:
     dedup = ExactDedup(out.anchors, settings)
+    attribution = ExactAttribution(out.sessions, settings)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist(StorageLevel.MEMORY_AND_DISK)
-        dead = plans.rejected(batch).select(*DEAD_SCHEMA.fieldNames())
-        write_batch(dead, out.dead, batch_id)
-        if exact:
-            valid = plans.valid(batch).select(*EVENT_COLUMNS)
-            kept = dedup.kept(valid, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
-            _fan_out(kept, out.unique, "ingest", out, batch_id)
-            dedup.remember(kept, batch_id)
-            kept.unpersist()
-        batch.unpersist()
-
-    queries = [_start(raw, "ingest" if exact else "dead", out, each, trigger)]
-    if not exact:
-        unique = within_watermark(plans.valid(raw).select(*EVENT_COLUMNS), settings)
+        _dead(batch, out, batch_id)
+        valid = plans.valid(batch).select(*EVENT_COLUMNS)
+        kept = dedup.kept(valid, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = attribution.enriched(kept, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
+        _fan_out(rows, out, batch_id)
+        dedup.remember(kept, batch_id)
+        attribution.remember(kept, batch_id)
+        for df in (rows, kept, batch):
+            df.unpersist()
 
-        def fan_out(kept: DataFrame, batch_id: int) -> None:
-            kept.persist(StorageLevel.MEMORY_AND_DISK)
-            _fan_out(kept, out.unique, "ingest", out, batch_id)
-            kept.unpersist()
+    return [_start(raw, "events", out, each, trigger)]
 
-        queries.append(_start(unique, "ingest", out, fan_out, trigger))
-    return queries
 
+def start_stateful(
+    raw: DataFrame, out: Folders, settings: Settings, trigger: dict
+) -> list[StreamingQuery]:
+    unique = within_watermark(plans.valid(raw).select(*EVENT_COLUMNS), settings)
+    rows = stateful_enriched(unique, settings)
 
-def attribute(
-    spark: SparkSession, out: Folders, settings: Settings, trigger: dict, files: int = 1000
-) -> StreamingQuery:
-    """Start query 2 over what query 1 has written."""
-    unique = stream_batches(spark, out.unique, EVENT_SCHEMA, files).drop("batch")
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        _fan_out(batch, out, batch_id)
+        batch.unpersist()
 
-    def each(made: DataFrame, batch_id: int) -> None:
-        made.persist(StorageLevel.MEMORY_AND_DISK)
-        _fan_out(made, out.conversions, "attribute", out, batch_id)
-        made.unpersist()
+    def dead(batch: DataFrame, batch_id: int) -> None:
+        _dead(batch, out, batch_id)
 
-    made = attribution.conversions(unique, settings)
-    return _start(made, "attribute", out, each, trigger)
+    return [
+        _start(rows, "events", out, each, trigger),
+        _start(raw, "dead", out, dead, trigger),
+    ]
 
 
-def run_available(
-    raw: DataFrame, out: Folders, settings: Settings, exact: bool = True, files: int = 1000
-) -> None:
+def run_available(raw: DataFrame, out: Folders, settings: Settings, exact: bool = True) -> None:
     """Process everything that is there, then stop; a later call goes on from the checkpoints."""
-    once = {"availableNow": True}
-    for q in ingest(raw, out, settings, once, exact):
+    start = start_exact if exact else start_stateful
+    for q in start(raw, out, settings, {"availableNow": True}):
         q.awaitTermination()
-    attribute(raw.sparkSession, out, settings, once, files).awaitTermination()
 
 
 def enriched(spark: SparkSession, out: Folders) -> DataFrame:
     """Unique events and conversions written so far."""
-    both = [read_batches(spark, p, EVENT_SCHEMA).drop("batch") for p in (out.unique, out.conversions)]
-    return both[0].unionByName(both[1])
+    return read_batches(spark, out.enriched, EVENT_SCHEMA).drop("batch")
 
 
 def dead_letters(spark: SparkSession, out: Folders) -> DataFrame:

@@ -25,13 +25,3 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def read_batch(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/batch={batch_id}")
 
-
-def stream_batches(spark: SparkSession, path: str, schema: T.StructType, files: int) -> DataFrame:
-    """The table as a stream, at most ``files`` files per micro-batch."""
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    return (
-        spark.readStream.schema(full)
-        .option("maxFilesPerTrigger", files)
-        .option("basePath", path)
-        .parquet(path)
-    )
