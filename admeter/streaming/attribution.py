@@ -8,10 +8,11 @@ the newest click or cart of each session, and the batch operator runs over it an
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +24,9 @@ from admeter.operators.attribution import SESSION, enrich, last_relevant
 from admeter.operators.hot_keys import find_hot
 from admeter.streaming.tables import read_batch, write_batch
 
+# Workers get the processor's code with the plan, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE = "event_id string, campaign_id string, cost double, at_ms bigint, taken boolean"
 MADE = ["duration_ms", "click_id"]
 OUTPUT = T.StructType(
@@ -50,41 +54,46 @@ class Attribution(StatefulProcessor):
         self.handle = handle
         self.click = handle.getValueState("click", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         relevant = []
-        for part in rows:
+        for r in rows:
             if self.pass_events:
-                yield part[INPUT].assign(duration_ms=None, click_id=None)
-            relevant.append(part[part["event_type"].isin(["CLICK", "ADD_TO_CART"])])
-        batch = pd.concat(relevant).sort_values(["event_timestamp_ms", "seq"], kind="stable")
-        last = self.click.get() if self.click.exists() else None
-        before = last
-        made = []
-        for r in batch.itertuples(index=False):
-            at = int(r.event_timestamp_ms)
-            if r.event_type == "CLICK":
-                cost = None if pd.isna(r.cost) else float(r.cost)
-                last = (r.event_id, r.campaign_id, cost, at, False)
+                yield Row(**{n: r[n] for n in INPUT}, duration_ms=None, click_id=None)
+            if r["event_type"] in ("CLICK", "ADD_TO_CART"):
+                relevant.append(r)
+        if not relevant:
+            return
+        relevant.sort(key=lambda r: (r["event_timestamp_ms"], r["seq"]))
+        last = before = self.click.get()
+        for r in relevant:
+            at = r["event_timestamp_ms"]
+            if r["event_type"] == "CLICK":
+                last = (r["event_id"], r["campaign_id"], r["cost"], at, False)
             elif last is not None and not last[4] and 0 <= at - last[3] <= self.window_ms:
-                made.append(
-                    (
-                        f"{r.event_id}_att", r.tenant_id, r.user_id, key[0], last[1], CONVERSION,
-                        at, last[2], None, None, None, r.arrival_ms, r.seq, at - last[3], last[0],
-                    )
-                )
-                last = (*last[:4], True)
-        if last is not None and last is not before:
+                click_id, campaign, cost, click_at, _ = last
+                made = {
+                    **r.asDict(),
+                    "event_id": f"{r['event_id']}_att",
+                    "campaign_id": campaign,
+                    "event_type": CONVERSION,
+                    "cost": cost,
+                    "placement_id": None,
+                    "geo_country": None,
+                    "device_type": None,
+                    "duration_ms": at - click_at,
+                    "click_id": click_id,
+                }
+                yield Row(**{n: made[n] for n in OUTPUT.fieldNames()})
+                last = (click_id, campaign, cost, click_at, True)
+        if last is not before:
             self.click.update(tuple(last))
             if before is None or last[3] != before[3]:
                 self.handle.registerTimer(last[3] + self.window_ms)
-        if made:
-            yield pd.DataFrame(made, columns=OUTPUT.fieldNames())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.click.exists():
-            last = self.click.get()
-            if last[3] + self.window_ms <= expiredTimerInfo.getExpiryTimeInMs():
-                self.click.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last = self.click.get()
+        if last is not None and last[3] + self.window_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.click.clear()
         return iter(())
 
     def close(self) -> None:
@@ -109,7 +118,7 @@ def timed(events: DataFrame, lateness_ms: int) -> DataFrame:
 
 def _by_session(events: DataFrame, settings: Settings, pass_events: bool) -> DataFrame:
     rows = events.where(F.col("session_id").isNotNull()).select(*INPUT, "event_ts")
-    made = rows.groupBy("session_id").transformWithStateInPandas(
+    made = rows.groupBy("session_id").transformWithState(
         statefulProcessor=Attribution(settings.attribution_window_ms, pass_events),
         outputStructType=OUTPUT,
         outputMode="Append",

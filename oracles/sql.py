@@ -614,7 +614,9 @@ _NO_DEDUP = {name: CTE[name].replace("FROM kept", "FROM valid").replace("JOIN ke
 CTE["clicks_carts_all"] = _NO_DEDUP["clicks_carts"]
 CTE["takers_all"] = _NO_DEDUP["takers"].replace("FROM clicks_carts", "FROM clicks_carts_all")
 CTE["conv_all"] = CTE["conv"].replace("FROM takers", "FROM takers_all")
-CTE["alive_whole"] = CTE["alive"].replace("seq % 50 <> 0 AND ", "")
+CTE["alive_whole"] = CTE["alive"].replace(
+    "FROM countable WHERE seq % 50 <> 0", "FROM valid WHERE campaign_id IS NOT NULL"
+)
 _QUERIES["stream_click_to_basket"] = _QUERIES["click_to_basket"].replace("conv", "conv_all")
 _QUERIES["stream_counts"] = f"""SELECT {KEYS}, count(*) AS cnt FROM valid
  WHERE campaign_id IS NOT NULL GROUP BY ALL"""
