@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from admeter.config import Settings
 from admeter.model import ORDER
-from admeter.operators.hot_keys import HotKeys, match
+from admeter.operators.hot_keys import HotKeys, keep_keys
 
 SLOT_MS = 32_768  # instants per bitmap
 
@@ -25,9 +25,10 @@ def unique(events: DataFrame, settings: Settings, hot: HotKeys | None) -> DataFr
     """
     if hot is None:
         return _fold(events, settings.dedup_ttl_ms)
-    table = hot.marked(settings)
-    calm = match(events, table, ["event_id"], "left_anti")
-    heavy = match(events, table, ["event_id"], "left_semi")
+    calm, heavy = (
+        keep_keys(events, hot.table, hot.keys, ["event_id"], settings, how)
+        for how in ("left_anti", "left_semi")
+    )
     return _fold(calm, settings.dedup_ttl_ms).unionByName(_walk(heavy, settings.dedup_ttl_ms))
 
 

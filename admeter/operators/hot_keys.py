@@ -34,10 +34,6 @@ class HotKeys:
     keys: int
     rows: int
 
-    def marked(self, settings: Settings) -> DataFrame:
-        """The table for joins: broadcast only while it is small."""
-        return F.broadcast(self.table) if self.keys <= settings.broadcast_rows else self.table
-
 
 def find_hot(df: DataFrame, keys: list[str], settings: Settings) -> HotKeys | None:
     """Keys with more than about ``hot_key_rows`` rows, or None when there are none."""
@@ -87,17 +83,36 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
     return a.join(b, on, how)
 
 
+SALTS = 64
+
+
+def keep_keys(
+    rows: DataFrame, listed: DataFrame, n: int, keys: list[str], settings: Settings, how: str
+) -> DataFrame:
+    """Semi or anti join of rows with a table of ``n`` distinct keys.
+
+    A small table is broadcast. A larger one is copied ``SALTS`` times with a salt, and each row
+    looks under one salt, so that a key with very many rows is spread over as many tasks.
+    """
+    if n <= settings.broadcast_rows:
+        return match(rows, F.broadcast(listed), keys, how)
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    copies = listed.withColumn("_salt", F.explode(salts))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int"))
+    return match(salted, copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def in_ranges(
     df: DataFrame, keys: list[str], order: list[str], settings: Settings, hot: HotKeys | None
 ) -> DataFrame:
     """Add ``_range``: 0 for ordinary keys, 1.. for the sorted pieces of heavy keys."""
     if hot is None:
         return df.withColumn("_range", F.lit(0))
-    table = hot.marked(settings)
-    calm = match(df, table, keys, "left_anti").withColumn("_range", F.lit(0))
+    calm = keep_keys(df, hot.table, hot.keys, keys, settings, "left_anti")
+    calm = calm.withColumn("_range", F.lit(0))
     pieces = max(2, -(-hot.rows // settings.hot_key_rows))
     heavy = (
-        match(df, table, keys, "left_semi")
+        keep_keys(df, hot.table, hot.keys, keys, settings, "left_semi")
         .repartitionByRange(pieces, *keys, *order)
         .withColumn("_range", F.spark_partition_id() + 1)
     )

@@ -786,7 +786,7 @@ def late_upsert(spark, sf):
     valid = _valid(spark, sf)
     on_time = valid.where(F.col("arrival_ms") - ms() < SETTINGS.allowed_lateness_ms)
     too_late = valid.where(F.col("arrival_ms") - ms() >= SETTINGS.allowed_lateness_ms)
-    return lake.merged(on_time, too_late).select(*FLAT)
+    return lake.merged(on_time, too_late, SETTINGS).select(*FLAT)
 
 
 # ---- streams: run over the table's files until all are processed --------------------------

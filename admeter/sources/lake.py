@@ -10,7 +10,8 @@ from admeter.config import Settings
 from admeter.functions import events as E
 from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA
 from admeter.operators.dedup import first_per_id
-from admeter.sources.shared import keep
+from admeter.operators.hot_keys import keep_keys
+from admeter.sources.shared import delete, keep
 
 PARTITIONS = ["tenant_id", "event_date"]
 LAKE_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.DateType())])
@@ -99,10 +100,8 @@ def drop_partitions(spark: SparkSession, path: str, condition) -> int:
     The list has one entry per (tenant, date), which is the size of the table's catalogue.
     """
     folders = _partition_paths(spark, path, condition)
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for folder in folders:
-        target = hadoop.Path(folder)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete(spark, folder)
     return len(folders)
 
 
@@ -112,10 +111,12 @@ def purge(spark: SparkSession, path: str, dataset: str, settings: Settings) -> i
     return drop_partitions(spark, path, F.col("event_date") < E.event_date(F.lit(oldest)))
 
 
-def merged(existing: DataFrame, late: DataFrame) -> DataFrame:
+def merged(existing: DataFrame, late: DataFrame, settings: Settings) -> DataFrame:
     """Existing rows of the partitions that late rows touch, and the late rows, once per id."""
     touched = with_date(late).select(*PARTITIONS).distinct()
-    affected = with_date(existing.select(*EVENT_COLUMNS)).join(touched, PARTITIONS, "left_semi")
+    some = touched.limit(settings.broadcast_rows + 1).count()
+    dated = existing if "event_date" in existing.columns else with_date(existing)
+    affected = keep_keys(dated, touched, some, PARTITIONS, settings, "left_semi")
     both = affected.select(*EVENT_COLUMNS).unionByName(late.select(*EVENT_COLUMNS))
     rest = [c for c in EVENT_COLUMNS if c not in ("event_id", "event_timestamp_ms", "seq")]
     as_entries = both.withColumn("custom_tags", F.map_entries("custom_tags"))
@@ -125,11 +126,11 @@ def merged(existing: DataFrame, late: DataFrame) -> DataFrame:
     )
 
 
-def upsert_late(spark: SparkSession, path: str, late: DataFrame) -> None:
+def upsert_late(spark: SparkSession, path: str, late: DataFrame, settings: Settings) -> None:
     """Merge late rows by id and replace exactly the partitions they touch."""
     existing = spark.read.schema(LAKE_SCHEMA).parquet(path)
     # The result overwrites what it was read from, so it is written aside first.
-    result = keep(merged(existing, late), "late-upsert")
+    result = keep(merged(existing, late, settings), "late-upsert")
     (
         laid_out(result)
         .write.mode("overwrite")

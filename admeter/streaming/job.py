@@ -30,7 +30,7 @@ from admeter.streaming import counters
 from admeter.streaming.attribution import ExactAttribution
 from admeter.streaming.attribution import enriched as stateful_enriched
 from admeter.streaming.dedup import ExactDedup, within_watermark
-from admeter.streaming.tables import read_batches, write_batch
+from admeter.streaming.tables import forget, read_batches, write_batch
 
 DEAD_SCHEMA = T.StructType(
     [
@@ -103,6 +103,9 @@ def start_exact(raw: DataFrame, out: Folders, settings: Settings, trigger: dict)
         _fan_out(rows, out, batch_id)
         dedup.remember(kept, batch_id)
         attribution.remember(kept, batch_id)
+        for state in (out.anchors, out.sessions):
+            # The batch before the last is kept: this batch may have to run again.
+            forget(batch.sparkSession, state, batch_id - 2)
         for df in (rows, kept, batch):
             df.unpersist()
 

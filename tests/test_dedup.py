@@ -94,6 +94,6 @@ def test_hot_path_folds_before_the_shuffle(events):
     settings = Settings(hot_key_rows=10, hot_key_sample=1.0)
     df = events([dict(event_id="hot", event_timestamp_ms=i) for i in range(50)])
     hot = find_hot(df, ["event_id"], settings)
-    calm = dedup._fold(dedup.match(df, hot.table, ["event_id"], "left_anti"), 10)
+    calm = dedup._fold(dedup.keep_keys(df, hot.table, hot.keys, ["event_id"], settings, "left_anti"), 10)
     assert calm.count() == 0
     assert dedup.unique(df, settings, hot).agg(F.count("*")).first()[0] == 1

@@ -43,8 +43,8 @@ def test_upsert_replaces_only_touched_partitions(events, spark, tmp_path):
     lake.append(events([row(i, "t", i % 3) for i in range(9)]), path)
     untouched = {f for f in os.listdir(f"{path}/tenant_id=t/event_date=1970-01-01")}
     late = events([row(1, "t", 1), row(50, "t", 1, custom_tags={"k": "v"})])  # one known, one new
-    lake.upsert_late(spark, path, late)
-    lake.upsert_late(spark, path, late)  # again: no change
+    lake.upsert_late(spark, path, late, Settings(broadcast_rows=0))
+    lake.upsert_late(spark, path, late, Settings())  # again: no change
     got = spark.read.schema(lake.LAKE_SCHEMA).parquet(path)
     assert got.count() == 10 and got.where("event_id = 'e50'").first().custom_tags == {"k": "v"}
     assert untouched == {f for f in os.listdir(f"{path}/tenant_id=t/event_date=1970-01-01")}
