@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from admeter.operators import attribution, dead_letter, dedup, late, monitoring,
 from admeter.operators import rate_limit, reconcile
 from admeter.operators import timeseries as S
 from admeter.plans import ingest, serving
+from admeter.session import prepare, state_partitions
 from admeter.sources import lake
 from admeter.sources.event_table import (
     canonical,
@@ -65,6 +67,18 @@ def query(f: Query) -> Query:
     return f
 
 
+def stream_query(f: Query) -> Query:
+    """A query that runs streams; their state has one partition per core."""
+
+    @wraps(f)
+    def run(spark, sf):
+        with state_partitions(prepare(spark)):
+            return f(spark, sf)
+
+    REGISTRY[f.__name__] = run
+    return run
+
+
 # ---- inputs shared by the queries -------------------------------------------------------
 
 
@@ -807,7 +821,7 @@ def _finish(stream: DataFrame, folder: str) -> None:
     )
 
 
-@query
+@stream_query
 def stream_click_to_basket(spark, sf):
     """Attribution by keyed state over the valid events."""
     folder = new_path(spark, "stream-conversions")
@@ -821,7 +835,7 @@ def stream_click_to_basket(spark, sf):
     )
 
 
-@query
+@stream_query
 def stream_unique_ids(spark, sf):
     """Built-in de-duplication on state; which copy of an id stays is up to arrival."""
     folder = new_path(spark, "stream-unique")
@@ -831,7 +845,7 @@ def stream_unique_ids(spark, sf):
     return tables.read_batches(spark, f"{folder}/rows", kept.schema).select("event_id")
 
 
-@query
+@stream_query
 def stream_counts(spark, sf):
     """Running counts per (tenant, campaign, type)."""
     folder = new_path(spark, "stream-counts")
@@ -847,7 +861,7 @@ def _stream_job(spark, sf, exact: bool) -> job.Folders:
     return out
 
 
-@query
+@stream_query
 def stream_enriched(spark, sf):
     """The whole stream job on state tables: unique events and conversions."""
     return job.enriched(spark, _stream_job(spark, sf, exact=True)).select(
@@ -855,7 +869,7 @@ def stream_enriched(spark, sf):
     )
 
 
-@query
+@stream_query
 def stream_enriched_stateful(spark, sf):
     """The whole stream job on Spark's state store."""
     return job.enriched(spark, _stream_job(spark, sf, exact=False)).select(
@@ -863,7 +877,7 @@ def stream_enriched_stateful(spark, sf):
     )
 
 
-@query
+@stream_query
 def stream_hot_counters(spark, sf):
     """The hot counter sink over the valid events, read at ``as_of``."""
     folder = new_path(spark, "stream-counters")

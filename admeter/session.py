@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,3 +29,18 @@ def build(app: str = "admeter", master: str | None = None, **conf: str) -> Spark
     for key, value in conf.items():
         builder = builder.config(key, value)
     return prepare(builder.getOrCreate())
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None]:
+    """Streams first started inside get ``n`` state partitions, by default one per core.
+
+    The number is part of the checkpoint; later starts keep it.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
