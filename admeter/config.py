@@ -22,7 +22,6 @@ class Settings:
     hot_window_ms: int = 48 * HOUR_MS
     warm_window_ms: int = 30 * DAY_MS
     default_window_ms: int = 2 * HOUR_MS
-    cold_default_window_ms: int = 31 * DAY_MS
     max_buckets: int = 10_000
 
     quota_default: int = 500

