@@ -32,18 +32,23 @@ def unique(events: DataFrame, settings: Settings, hot: HotKeys | None) -> DataFr
     return _fold(calm, settings.dedup_ttl_ms).unionByName(_walk(heavy, settings.dedup_ttl_ms))
 
 
-def _kept_seqs(rows: Column, ttl_ms: int) -> Column:
-    """Fold over the (time, seq) pairs of one id; returns the seqs that are kept."""
+def _kept_positions(rows: Column, ttl_ms: int) -> Column:
+    """Fold over the (time, seq) points of one id; returns the positions in ``rows`` that are kept."""
     points = F.sort_array(
-        F.transform(rows, lambda r: F.struct(r["event_timestamp_ms"].alias("t"), r["seq"].alias("s")))
+        F.transform(
+            rows,
+            lambda r, i: F.struct(
+                r["event_timestamp_ms"].alias("t"), r["seq"].alias("s"), i.alias("i")
+            ),
+        )
     )
-    state = "struct<anchor:bigint,kept:array<bigint>>"
+    state = "struct<anchor:bigint,kept:array<int>>"
     start = F.struct(F.lit(None).alias("anchor"), F.array().alias("kept")).cast(state)
 
     def step(acc: Column, x: Column) -> Column:
         fresh = acc["anchor"].isNull() | (x["t"] - acc["anchor"] > ttl_ms)
         taken = F.struct(
-            x["t"].alias("anchor"), F.concat(acc["kept"], F.array(x["s"])).alias("kept")
+            x["t"].alias("anchor"), F.concat(acc["kept"], F.array(x["i"])).alias("kept")
         )
         return F.when(fresh, taken).otherwise(acc)
 
@@ -59,9 +64,8 @@ def _fold(events: DataFrame, ttl_ms: int) -> DataFrame:
         .agg(F.collect_list(F.struct(*[c for c in columns if c != "event_id"])).alias("_rows"))
     )
     rows = F.col("_rows")
-    several = F.filter(
-        rows, lambda r: F.array_contains(_kept_seqs(rows, ttl_ms), r["seq"])
-    )
+    # The fold is the array that is walked, so it runs once per id and not once per row.
+    several = F.transform(_kept_positions(rows, ttl_ms), lambda i: F.get(rows, i))
     kept = F.when(F.size(rows) == 1, rows).otherwise(several)
     return grouped.select("event_id", F.inline(kept)).select(*columns)
 

@@ -52,11 +52,20 @@ def _from_wire(record: Column) -> list[Column]:
     ]
 
 
+PARTITION_BITS = 16
+
+
 def _with_arrival(rows: DataFrame) -> list[Column]:
-    """Kafka gives arrival time and order; other sources leave them empty."""
+    """Kafka gives arrival time and order; other sources leave them empty.
+
+    ``seq`` is the offset with the partition in its low bits: unique, and in offset order
+    within a partition.
+    """
     names = rows.columns
     arrival = F.unix_millis("timestamp") if "timestamp" in names else F.lit(None).cast("bigint")
-    seq = F.col("offset") if "offset" in names else F.lit(None).cast("bigint")
+    seq = F.lit(None).cast("bigint")
+    if {"offset", "partition"} <= set(names):
+        seq = F.shiftleft(F.col("offset"), PARTITION_BITS) + F.col("partition")
     return [arrival.alias("arrival_ms"), seq.cast("bigint").alias("seq")]
 
 

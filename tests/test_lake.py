@@ -65,6 +65,15 @@ def test_json_wire_format(events, spark):
     assert sorted(r.payload for r in bad.collect()) == ["[1]", "{oops"]
 
 
+def test_arrival_order_of_records(spark, events):
+    records = kafka.raw_records(events([dict(event_id="e", tenant_id="t", event_type="CLICK", event_timestamp_ms=1)]))
+    rows = records.select(
+        "value", F.timestamp_millis(F.lit(7)).alias("timestamp"), F.lit(3).cast("bigint").alias("offset"),
+        F.explode(F.array(F.lit(0), F.lit(5))).alias("partition"))
+    good, _ = kafka.decode_json(rows)
+    assert sorted((r.arrival_ms, r.seq) for r in good.collect()) == [(7, 3 * 65536), (7, 3 * 65536 + 5)]
+
+
 def test_dead_letter_records(events):
     df = events([dict(event_id="e", event_type="X")]).withColumn("dlq_reason", F.lit("bad"))
     r = kafka.dead_letter_records(df).first()
