@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from admeter.llm import kd_shards, merkle, mixing, token_rollup
+from admeter.llm import bpe, kd_shards, language, merkle, mixing, quality_rules, token_rollup
 
 QUERIES = {
     f.__name__: f
     for f in (
         merkle.op1_merkle_fingerprints,
         kd_shards.op3_kd_tree_shards,
+        language.op4_language_id,
         mixing.op5_mixed_blocks,
+        quality_rules.op7_quality_rules,
+        bpe.op9_speculative_bpe,
         token_rollup.op10_token_rollup,
     )
 }
