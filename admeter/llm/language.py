@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from admeter.llm.common import fold, table
 
 #: Distinct texts in the sample, about; languages share it evenly.
-SAMPLE = 3_200
-WIDTH = 4_096
+SAMPLE = 2_000
+WIDTH = 2_048
 STEPS = 150
 PENALTY = 1e-4
 UNKNOWN = "und"
@@ -54,8 +54,8 @@ def features(text: str) -> np.ndarray:
         two = a[:-1] * np.uint32(0x9E3779B1) + a[1:] * np.uint32(0x85EBCA6B)
         three = two[:-1] * np.uint32(0xC2B2AE35) + a[2:] * np.uint32(0x27D4EB2F)
         blank = (a[:-1] == 32) & (a[1:] == 32)
-        counts += np.bincount((two[~blank] >> np.uint32(20)) & np.uint32(WIDTH - 1), minlength=WIDTH)
-        counts += np.bincount((three[~blank[:-1]] >> np.uint32(20)) & np.uint32(WIDTH - 1), minlength=WIDTH)
+        counts += np.bincount((two[~blank] >> np.uint32(21)) & np.uint32(WIDTH - 1), minlength=WIDTH)
+        counts += np.bincount((three[~blank[:-1]] >> np.uint32(21)) & np.uint32(WIDTH - 1), minlength=WIDTH)
     out = np.sqrt(counts)
     size = np.linalg.norm(out)
     return (out / size if size else out).astype(np.float32)
@@ -134,9 +134,9 @@ class Model:
         return names, np.clip(scores, 0, 1)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.pandas_udf(T.BinaryType())
 def _features(texts: pd.Series) -> pd.Series:
-    return pd.Series([features(t or "") for t in texts])
+    return pd.Series([features(t or "").tobytes() for t in texts])
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
@@ -162,7 +162,7 @@ def train(docs: DataFrame) -> Model:
     if not len(picked):
         return Model(None, {})
     picked = picked.sort_values(["lang", "h"])
-    x = np.stack([np.asarray(v, np.float32) for v in picked["x"]])
+    x = np.stack([np.frombuffer(v, np.float32) for v in picked.pop("x")])
     langs = picked["lang"].to_numpy(str)
     families = np.array([FAMILY_OF.get(c, c) for c in langs])
     return Model(
