@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from admeter.llm import bpe, kd_shards, language, merkle, mixing, quality_rules, token_rollup
+from admeter.llm import bpe, kd_shards, language, merkle, mixing, near_text, quality_rules, token_rollup
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         language.op4_language_id,
         mixing.op5_mixed_blocks,
         quality_rules.op7_quality_rules,
+        near_text.op8_minhash_hamming,
         bpe.op9_speculative_bpe,
         token_rollup.op10_token_rollup,
     )
