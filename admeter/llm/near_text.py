@@ -7,10 +7,10 @@ DISTANCE // CHUNKS = 1 position. All chunk errors are enumerated as the keys tha
 position of a chunk out, and equal keys meet. Candidates within the distance are confirmed on the
 full shingle sets. (At Jaccard 0.8 a pair exceeds the distance with a chance of about 1e-4.)
 
-Documents with equal sets are joined first. Within a bucket not all pairs are formed: the smallest
-document is compared with all others, then documents outside the bucket's largest component
-with those in other components, until every pair of a bucket was compared or lies in one
-component already. So classes are those of all confirmed links.
+Documents with equal sets are joined first. Pairs never leave a task: each bucket (large ones in
+tiles of bounded size) gives a forest over its candidates, the components of these forests are
+families, and the tiles of a family give a forest over its confirmed links. So classes are those
+of all confirmed links, at one row per document and tile.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admeter.llm.common import merge_settings, table
+from admeter.llm.common import table
 from admeter.llm.components import components
+from admeter.llm.tiles import Group, held_batches, linked, tiled
 from admeter.sources.shared import keep
 
 WORDS = 5
@@ -34,8 +35,10 @@ POSITIONS, CHUNKS, DISTANCE = 32, 8, 15
 WIDE = POSITIONS // CHUNKS
 #: Bytes of text hashed at a time, and words in a worker's cache before it is emptied.
 STRIDE, CACHE = 1 << 20, 500_000
-#: Comparisons per bucket row up to which the rest of all buckets is compared in one go.
-ONE_GO = 8
+#: Rows of a bucket and of a family in one tile, and shingles in a tile of a family.
+BUCKET_TILE, TILE, TILE_SHINGLES = 1_500, 600, 4_000_000
+#: Columns of a membership matrix at a time.
+MATRIX = 4_096
 
 # Constants of the splitmix64 mixing step, fixed values.
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -148,7 +151,7 @@ class Join:
         self.words, self.similarity = words, similarity
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         # documents' texts are wide: keep Arrow batches small
-        with merge_settings(docs.sparkSession, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
+        with held_batches(docs, 2000):
             self.signed = keep(signed(docs, words), "near-signed")
         some = self.signed.where("n_shingles > 0 and doc_id is not null")
         # one document for each set: the smallest doc_id
@@ -169,91 +172,77 @@ class Join:
         )
         rows = keep(rows, "near-keys")
         shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        shared = shared.where("low < high").select("key", F.col("low").alias("first"))
+        shared = shared.where("low < high").select("key")
         return keep(rows.join(shared, "key"), "near-buckets")
 
-    def close(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) within the signature distance, from pairs that may repeat."""
-        first = self.classes.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
-        second = self.classes.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-        rows = pairs.distinct().join(first, "a").join(second, "b")
-        return rows.where(distance(F.col("sa"), F.col("sb")) <= DISTANCE).select("a", "b").distinct()
+    def candidates(self) -> DataFrame:
+        """(a, b): connects all pairs of a bucket that are near by signature and of fitting sizes."""
+        limit, similarity = DISTANCE, self.similarity
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose full sets are similar enough."""
-        words, similarity = self.words, self.similarity
+        def near(g: Group) -> np.ndarray:
+            marks = np.frombuffer(b"".join(g["signature"]), np.uint16).reshape(-1, POSITIONS)
+            n = g["n"]
+            close = 100 * np.minimum.outer(n, n) >= similarity * np.maximum.outer(n, n)
+            apart = np.zeros(close.shape, np.int16)
+            for k in range(POSITIONS):
+                apart += marks[:, None, k] != marks[None, :, k]
+            return close & (apart <= limit)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            last: tuple[int, bytes, np.ndarray] | None = None
-            for pdf in batches:
-                found = []
-                for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                    if last is None or last[0] != a or last[1] != ta:
-                        last = (a, ta, shingles(ta, words))
-                    x, y = last[2], shingles(tb, words)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both and 100 * both >= similarity * (len(x) + len(y) - both):
-                        found.append((a, b))
-                yield pd.DataFrame(found, columns=["a", "b"])
-
-        text = F.col("text").cast("binary")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = self.texts.where("doc_id is not null and text is not null").join(ids, "doc_id", "left_semi")
-        texts = texts.select("doc_id", text.alias("text"))
-        rows = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
-        rows = rows.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
-        with merge_settings(pairs.sparkSession, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}):
-            return keep(rows.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "near-links")
-
-    def fit(self, a: str, b: str) -> Column:
-        """Sets of such sizes can be similar enough."""
-        small, large = F.least(a, b), F.greatest(a, b)
-        return small * 100 >= large * self.similarity
-
-    def compare(self, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        pairs = keep(self.close(pairs), name)
-        return pairs, self.confirm(pairs)
+        rows = self.buckets().join(self.marks.select("id", "signature"), "id")
+        with held_batches(rows, 4000):
+            pairs = linked(tiled(rows, "key", "id", BUCKET_TILE), ["key", "tile"], near)
+            return keep(pairs.distinct(), "near-candidates")
 
     def links(self) -> DataFrame:
-        """Confirmed links that connect what all links connect."""
-        rows = self.buckets()
-        names = {"id": "b", "n": "nb", "first": "a"}
-        stars = rows.where("id > first").withColumnsRenamed(names).select("a", "b", "nb")
-        size = self.marks.select(F.col("id").alias("a"), F.col("n").alias("na"))
-        stars = stars.distinct().join(size, "a").where(self.fit("na", "nb"))
-        done, links = self.compare(stars.select("a", "b"), "near-pairs")
-        rows = rows.where("id > first").select("key", "id", "n")
-        while True:
-            part = components(links)
-            named = rows.join(part, rows["id"] == part["node"], "left").select(
-                "key", "id", "n", F.coalesce("component", "id").alias("component")
-            )
-            sizes = named.groupBy("key", "component").agg(F.count("*").alias("k"))
-            whole = sizes.groupBy("key").agg(
-                F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all"),
-                F.count("*").alias("parts"),
-            ).where("parts > 1")
-            whole = whole.select("key", F.col("top.component").alias("main"), "all", F.col("top.k").alias("k"))
-            rows = keep(named.join(whole, "key"), "near-rest")
-            work = rows.where("component != main").agg(F.sum("all").alias("w"), F.count("*").alias("n")).first()
-            if not work["n"]:
-                return links
-            strays = rows.where("component != main")
-            last = work["w"] <= ONE_GO * max(self.classes.count(), work["n"])
-            if not last:  # one stray a bucket, then look again
-                strays = strays.withColumn("turn", F.min("id").over(Window.partitionBy("key"))).where("id = turn")
-            some = strays.select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-            pairs = some.join(rows.select("key", "id", "n", "component"), "key")
-            pairs = pairs.where((F.col("cx") != F.col("component")) & self.fit("n", "nx"))
-            pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-            new = pairs.distinct().join(done, ["a", "b"], "left_anti")
-            compared, found = self.compare(new, "near-pairs")
-            links = keep(links.unionByName(found), "near-links")
-            if last:
-                return links
-            done = keep(done.unionByName(compared), "near-done")
-            gone = some.select("key", F.col("x").alias("id"))
-            rows = rows.select("key", "id", "n").join(gone, ["key", "id"], "left_anti")
+        """(a, b): connects what all confirmed links connect.
+
+        Documents that candidates connect form a family; in its tiles the full sets of all
+        documents are compared by a product of membership matrices.
+        """
+        words, similarity = self.words, self.similarity
+
+        def near(g: Group) -> np.ndarray:
+            sets = [shingles(t, words) for t in g["text"]]
+            size = np.array(list(map(len, sets)))
+            both = intersections(sets)
+            return 100 * both >= similarity * (size[:, None] + size[None, :] - both)
+
+        family = components(self.candidates()).join(self.marks.select("id", "n"), F.col("node") == F.col("id"))
+        family = keep(family.select("component", "id", "n"), "near-families")
+        rows = tiled(family, "component", "id", TILE, "n", TILE_SHINGLES)
+        texts = self.texts.where("doc_id is not null and text is not null")
+        texts = texts.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+        rows = rows.drop("n").join(texts, "id")
+        with held_batches(rows, 256):
+            return keep(linked(rows, ["component", "tile"], near).distinct(), "near-links")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted sets, exactly."""
+    m = len(sets)
+    if m <= 4:
+        out = np.zeros((m, m), np.int64)
+        for i in range(m):
+            out[i, i] = len(sets[i])
+            for j in range(i):
+                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return out
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), list(map(len, sets)))
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    row, column = row[shared[column]], place[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((m, m), np.float64)
+    for lo in range(0, int(shared.sum()), MATRIX):
+        a, b = np.searchsorted(column, [lo, lo + MATRIX])
+        block = np.zeros((m, MATRIX), np.float32)
+        block[row[a:b], column[a:b] - lo] = 1
+        out += block @ block.T
+    out = out.astype(np.int64)
+    np.fill_diagonal(out, list(map(len, sets)))
+    return out
 
 
 def classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:

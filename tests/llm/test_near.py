@@ -3,10 +3,13 @@ import random
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
+import pandas as pd
 import pytest
 
 from admeter.llm import near_text
 from admeter.llm.components import components
+from admeter.llm.tiles import runs
 from pyspark.sql import functions as F
 
 KINDS = ["odd", "empty", "sf"]
@@ -53,10 +56,11 @@ def test_classes_equal_brute_force(spark, folders, kind):
     assert Counter(map(tuple, got)) == brute_classes(docs)
 
 
-@pytest.mark.parametrize("one_go", [0, 8])
-def test_groups_of_near_copies(spark, monkeypatch, one_go):
-    """Chains and stars of copies: pairs in one bucket that are no links, links that are no star."""
-    monkeypatch.setattr(near_text, "ONE_GO", one_go)
+@pytest.mark.parametrize("tile", [6, 600])
+def test_groups_of_near_copies(spark, monkeypatch, tile):
+    """Chains and stars of copies, in one tile and in many."""
+    monkeypatch.setattr(near_text, "TILE", tile)
+    monkeypatch.setattr(near_text, "BUCKET_TILE", tile)
     rng = random.Random(2)
     docs, n = [], itertools.count(100)
     for _ in range(4):
@@ -99,3 +103,18 @@ def test_components(spark):
     real = [(a, b) for a, b in links if a is not None and a != b]
     assert got == roots({x for p in real for x in p}, real)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_intersections(monkeypatch):
+    monkeypatch.setattr(near_text, "MATRIX", 7)
+    rng = random.Random(5)
+    for m in (2, 3, 9, 30):
+        sets = [np.array(sorted({rng.randrange(60) for _ in range(rng.randint(1, 40))}), np.uint64) for _ in range(m)]
+        got = near_text.intersections(sets)
+        assert [[len(set(a) & set(b)) for b in sets] for a in sets] == got.tolist()
+
+
+def test_runs_cross_batches():
+    frames = [pd.DataFrame({"k": k, "v": range(len(k))}) for k in ([1, 1, 2], [], [2], [2, 3, 3], [3], [4])]
+    assert [list(g["k"]) for g in runs(iter(frames), ["k"])] == [[1, 1], [2, 2, 2], [3, 3, 3], [4]]
+    assert list(runs(iter([]), ["k"])) == []
