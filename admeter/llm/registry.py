@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from admeter.llm import bpe, kd_shards, language, merkle, mixing, near_text, quality_rules, token_rollup
+from admeter.llm import bpe, kd_shards, language, merkle, mixing, near_text, near_vectors, quality_rules, token_rollup
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         kd_shards.op3_kd_tree_shards,
         language.op4_language_id,
         mixing.op5_mixed_blocks,
+        near_vectors.op6_subspace_join,
         quality_rules.op7_quality_rules,
         near_text.op8_minhash_hamming,
         bpe.op9_speculative_bpe,

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from admeter.llm import near_text
+from admeter.llm import near_text, near_vectors
 from admeter.llm.components import components
 from admeter.llm.tiles import runs
 from pyspark.sql import functions as F
@@ -118,3 +118,50 @@ def test_runs_cross_batches():
     frames = [pd.DataFrame({"k": k, "v": range(len(k))}) for k in ([1, 1, 2], [], [2], [2, 3, 3], [3], [4])]
     assert [list(g["k"]) for g in runs(iter(frames), ["k"])] == [[1, 1], [2, 2, 2], [3, 3, 3], [4]]
     assert list(runs(iter([]), ["k"])) == []
+
+
+def brute_vectors(rows, cosine=0.93):
+    by = {}
+    for r in rows:
+        v = r["embedding"]
+        if r["vec_id"] is None:
+            continue
+        by.setdefault(r["vec_id"], None)
+        if r["label"] is None or not v or None in v or not np.isfinite(v).all() or not np.linalg.norm(v):
+            continue
+        by[r["vec_id"]] = (r["label"], np.array(v, np.float64))
+    fit = {i: x for i, x in by.items() if x}
+    links = [
+        (i, j)
+        for i, j in itertools.combinations(fit, 2)
+        if fit[i][0] == fit[j][0] and len(fit[i][1]) == len(fit[j][1])
+        and fit[i][1] @ fit[j][1] / (np.linalg.norm(fit[i][1]) * np.linalg.norm(fit[j][1])) >= cosine
+    ]
+    count = Counter(x for p in links for x in p)
+    part = roots(by, links)
+    return Counter((i, count[i], part[i], part[i] == i) for i in by), links
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_vectors_equal_brute_force(spark, folders, kind):
+    got = near_vectors.op6_subspace_join(spark, folders[kind]).collect()
+    want, links = brute_vectors(brute.rows(folders[kind], "embeddings"))
+    assert Counter(map(tuple, got)) == want
+    assert links or kind != "odd"
+
+
+@pytest.mark.parametrize("tile", [7, 2000])
+@pytest.mark.parametrize("dim", [1, 3, 10, 64])
+def test_groups_of_near_vectors(spark, monkeypatch, tile, dim):
+    monkeypatch.setattr(near_vectors, "TILE", tile)
+    rng = np.random.default_rng(dim)
+    rows = []
+    for k in range(12):
+        base = rng.normal(size=dim)
+        for s in np.linspace(0.01, 0.5, 8):
+            v = base + rng.normal(size=dim) * s * np.linalg.norm(base) / dim**0.5
+            rows.append((len(rows), [float(x) for x in v.astype(np.float32)], k % 2))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = Counter(map(tuple, near_vectors.near_vectors(df).collect()))
+    want, _ = brute_vectors([dict(zip(("vec_id", "embedding", "label"), r, strict=True)) for r in rows])
+    assert got == want
