@@ -29,9 +29,10 @@ ROUNDS = 24
 CHUNK = 65_536
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, words of the whole text (null: 0) and a hash that orders ties."""
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, words of the whole text (null: 0), a hash that orders ties, and ``more``."""
     return docs.select(
+        *more,
         F.col("doc_id").cast("long").alias("doc_id"), "source",
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64("text").alias("h"),
@@ -174,5 +175,41 @@ def mix(docs: DataFrame) -> DataFrame:
     )
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``.
+
+    Each full pass over a source gives its documents unchanged; the last pass gives the words of
+    the drawn blocks, in their order and joined by single blanks (n_chars counts them anew).
+    Documents of which nothing is drawn are not in it, so empty ones never are.
+    """
+    names = docs.columns
+    sizes = keep(sized(docs, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), "mix-docs")
+    sources = keep(targets(sizes.drop("row")), "mix-sources")
+    rows = keep(placed(sizes, sources), "mix-rows")
+    key = ["idx", "part", "rn"]
+    passes = sources.where("source_size > 0").select(
+        "idx", F.floor(F.col("take") / F.col("source_size")).cast("int").alias("passes")
+    )
+    drawn = slots(sources).join(passes, "idx").where(F.col("pass") == F.col("passes"))
+    cuts = pieces(rows.select(*key, "off", "size")).join(drawn.select("idx", "block", "n_words"), ["idx", "block"])
+    cuts = cuts.withColumn("hi", F.least("hi", "n_words")).where("hi > lo")
+    start = F.col("block") * BLOCK + F.col("lo") - F.col("off")
+    span = F.struct(start.cast("int").alias("at"), (F.col("hi") - F.col("lo")).cast("int").alias("n"))
+    spans = cuts.groupBy(*key).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    text = F.col("row.text")
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    some = F.transform(
+        F.array(words),
+        lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, s["at"] + 1, s["n"]))), " "),
+    )
+    part = F.when(F.col("spans").isNotNull(), some).otherwise(F.array().cast("array<string>"))
+    rows = rows.where("size > 0").join(passes, "idx").join(spans, key, "left")
+    out = rows.select(
+        "row", F.explode(F.concat(F.array_repeat(text, F.col("passes")), part)).alias("taken")
+    )
+    new = {"text": F.col("taken"), "n_chars": F.char_length("taken").cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
+
+
 def op5_mixed_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"))

@@ -212,7 +212,8 @@ class Join:
         rows = tiled(family, "component", "id", TILE, "n", TILE_SHINGLES)
         texts = self.texts.where("doc_id is not null and text is not null")
         texts = texts.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-        rows = rows.drop("n").join(texts, "id")
+        # the same plan at every size: a broadcast of the smaller side would not last
+        rows = rows.drop("n").join(texts.hint("merge"), "id")
         with held_batches(rows, 256):
             return keep(linked(rows, ["component", "tile"], near).distinct(), "near-links")
 
