@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -349,19 +350,31 @@ def _stretches(texts: list[str]) -> Iterator[list[int]]:
         yield mine
 
 
-def tokens(text: Column, path: str | None = None) -> Column:
-    """array<int> of ids per text; null counts as empty."""
+def encoded(docs: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
+    """``columns`` of docs, n_tokens and ids (array<int>) of ``text``; null counts as empty.
+
+    Results leave a worker in batches of about STRIDE characters of text.
+    """
     at = path or default_path()
+    rows = docs.select(*columns, F.col("text").alias("__text"))
+    fields = [*rows.drop("__text").schema.fields, T.StructField("n_tokens", T.LongType())]
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(texts: pd.Series) -> pd.Series:
-        c, values, out = codec(at), [t or "" for t in texts], []
-        for part in _stretches(values):
-            for done in c.encoded([values[i] for i in part]):
-                out.append([int(x) for ids, _, _ in done for x in ids.split(" ")])
-        return pd.Series(out, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(at)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("__text").to_pylist()]
+            for part in _stretches(texts):
+                ids = [
+                    [int(x) for a, _, _ in done for x in a.split(" ")]
+                    for done in c.encoded([texts[i] for i in part])
+                ]
+                mine = batch.slice(part[0], len(part))
+                out = [mine.column(x) for x in columns]
+                out += [pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(out, names=[*columns, "n_tokens", "ids"])
 
-    return run(text)
+    return rows.mapInArrow(run, schema)
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:
@@ -380,7 +393,7 @@ def digests(text: Column, path: str | None = None) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of a text column; null counts as empty.
 
     The ids are encoded, written as decimals and decoded in one pass, so that arrays of ids need
-    not travel; ``tokens`` and ``decoded`` give them.
+    not travel; ``encoded`` and ``decoded`` give them.
     """
     at = path or default_path()
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]

@@ -59,8 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the token ids of each document."""
-    rows = docs.select("doc_id", "lang", "source", bpe.tokens(F.col("text")).alias("ids"))
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encoded(docs, ["doc_id", "lang", "source"])
 
 
 STAGES = [

@@ -149,7 +149,7 @@ def test_digests(spark, folders, reader, kind):
 def test_ids_and_texts_as_columns(spark, empty, reader):
     assert bpe.op9_speculative_bpe(spark, empty).collect() == []
     df = spark.createDataFrame([("The cat's <|endoftext|>",), (None,), ("",)], "text string")
-    rows = df.select("text", bpe.tokens(F.col("text")).alias("ids")).withColumn("back", bpe.decoded(F.col("ids"))).collect()
+    rows = bpe.encoded(df, ["text"]).withColumn("back", bpe.decoded(F.col("ids"))).collect()
     for r in rows:
-        assert r.ids == reader.encode(r.text or "", add_special_tokens=False).ids
+        assert r.ids == reader.encode(r.text or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
         assert r.back == reader.decode(r.ids, skip_special_tokens=False)
