@@ -20,21 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from admeter.llm.common import table
 from admeter.llm.components import components
 from admeter.llm.tiles import Group, held_batches, linked, tiled
+from admeter.llm.words import word_hashes
 from admeter.sources.shared import keep
 
 WORDS = 5
 SIMILARITY = 80
 POSITIONS, CHUNKS, DISTANCE = 32, 8, 15
 WIDE = POSITIONS // CHUNKS
-#: Bytes of text hashed at a time, and words in a worker's cache before it is emptied.
-STRIDE, CACHE = 1 << 20, 500_000
+#: Bytes of text hashed at a time.
+STRIDE = 1 << 20
 #: Rows of a bucket and of a family in one tile, and shingles in a tile of a family.
 BUCKET_TILE, TILE, TILE_SHINGLES = 1_500, 600, 4_000_000
 #: Columns of a membership matrix at a time.
@@ -48,17 +48,6 @@ _FLIP = _RNG.integers(0, 2**63, POSITIONS, dtype=np.uint64) << np.uint64(1)
 _TIMES = _RNG.integers(0, 2**63, POSITIONS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _C1
     x = (x ^ (x >> np.uint64(27))) * _C2
@@ -67,11 +56,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; fewer words than one make one shingle."""
-    tokens = text.lower().split()
-    n = len(tokens)
+    h = word_hashes(text)
+    n = len(h)
     if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, n)
+        return h
     width = min(words, n)
     total = np.full(n - width + 1, np.uint64(width), np.uint64)
     for i in range(width):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from admeter.llm import bpe, kd_shards, language, merkle, mixing, near_text, near_vectors, quality_rules, token_rollup
+from admeter.llm import bpe, katz, kd_shards, language, merkle, mixing, near_text, near_vectors, quality_rules, token_rollup
 
 QUERIES = {
     f.__name__: f
     for f in (
         merkle.op1_merkle_fingerprints,
+        katz.op2_katz_backoff,
         kd_shards.op3_kd_tree_shards,
         language.op4_language_id,
         mixing.op5_mixed_blocks,
