@@ -7,8 +7,8 @@ pairs and backoff(h) p(w) for others, with backoff(h) = (1 - seen mass) / (1 - s
 seen w). So every context's probabilities add up to 1 over the training words and one unknown.
 p(w) is discounted in the same way; its lost mass is the unknown's.
 
-How it runs. Texts become batches of word numbers, written once. A table of (word, batch) rows is
-dealt by word and gives every batch its words' ids and counts. Each batch sends its distinct word
+How it runs. Texts become batches of word numbers, written once. Each batch asks about
+its words, dealt by word, and learns their ids and counts. Each batch sends its distinct word
 pairs, packed by context, to the partition of the context; a context that is frequent is spread
 over as many partitions as its share asks for. A partition adds up counts, counts of counts and
 what the backoff weights need, and answers every batch in the order it was asked. Batches then score
@@ -38,7 +38,7 @@ from admeter.sources.shared import keep
 #: Good-Turing discounts apply up to this count.
 CUT = 5
 #: Bytes of text in a batch.
-STRIDE = 16 << 20
+STRIDE = 8 << 20
 #: The end of a text, a token; no word is empty. The start of a text is a context only.
 END = np.uint64(0)
 START_ID = -1
@@ -95,47 +95,49 @@ def batched(docs: DataFrame) -> DataFrame:
         return keep(rows.mapInPandas(run, "batch long, payload binary"), "katz-batches")
 
 
-def numbered(batches: DataFrame) -> DataFrame:
-    """batch, place (in the batch's vocabulary), id, c (training count), lead: once for each word."""
+def _by_part(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order by part, and for each part its stretch of that order."""
+    order = np.argsort(part, kind="stable")
+    numbers, length = _run_lengths(part[order])
+    ends = np.cumsum(length)
+    return order, [(int(k), slice(int(e - n), int(e))) for k, e, n in zip(numbers, ends, length, strict=True)]
 
-    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _word_part(words: np.ndarray, parts: int) -> np.ndarray:
+    return ((words >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def numbered(batches: DataFrame, parts: int) -> DataFrame:
+    """batch, part, payload: ranks within the part and training counts of a batch's words there.
+
+    Rows without batch hold a part's totals. A word's id is its part and its rank in it.
+    """
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for batch, data in zip(pdf["batch"], pdf["payload"], strict=True):
                 _, _, _, vocabulary, n, _ = _unpacked(data)
-                yield pd.DataFrame(
-                    {"word": vocabulary.view(np.int64), "batch": batch, "place": np.arange(len(n)), "n": n.astype(np.int64)}
-                )
+                order, stretches = _by_part(_word_part(vocabulary, parts))
+                rows = [(k, batch, _packed(vocabulary[order[s]], n[order[s]])) for k, s in stretches]
+                yield pd.DataFrame(rows, columns=["part", "batch", "payload"])
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        following, held = TaskContext.get().partitionId() << 33, None
-        for pdf in [*_chain(frames), None]:
-            if pdf is not None:
-                pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-                word = pdf["word"].to_numpy()
-                cut = int(np.searchsorted(word, word[-1]))  # the last word may go on
-                held, pdf = pdf.iloc[cut:], pdf.iloc[:cut]
-            else:
-                pdf = held
-            if pdf is None or not len(pdf):
-                continue
-            word = pdf["word"].to_numpy()
-            lead = np.append(True, word[1:] != word[:-1])
-            at = np.cumsum(lead) - 1
-            total = np.bincount(at, pdf["n"].to_numpy()).astype(np.int64)
-            yield pd.DataFrame(
-                {"batch": pdf["batch"], "place": pdf["place"], "id": following + at, "c": total[at], "lead": lead}
-            )
-            following += int(lead.sum())
-
-    rows = batches.mapInPandas(words, "word long, batch long, place int, n long")
-    rows = rows.repartition(partitions(batches.sparkSession), "word").sortWithinPartitions("word")
-    return keep(rows.mapInPandas(count, "batch long, place int, id long, c long, lead boolean"), "katz-words")
-
-
-def _chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        if len(pdf):
-            yield pdf
+        for g in runs(frames, ["part"]):
+            part, asks = int(g["part"][0]), [_unpacked(x) for x in g["payload"]]
+            words, at = np.unique(np.concatenate([w for w, _ in asks]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([n for _, n in asks]), minlength=len(words)).astype(np.int64)
+            of_counts = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)
+            out = [(None, part, _packed(int(c.sum()), of_counts))]
+            ends = np.cumsum([len(w) for w, _ in asks])
+            for batch, end, (w, _) in zip(g["batch"], ends, asks, strict=True):
+                mine = at[end - len(w) : end]
+                out.append((int(batch), part, _packed(_narrow(mine), _narrow(c[mine]))))
+            yield pd.DataFrame(out, columns=["batch", "part", "payload"]).astype({"batch": "Int64"})
+
+    with held_batches(batches, 16):
+        rows = batches.mapInPandas(ask, "part int, batch long, payload binary")
+        rows = rows.repartition(parts, "part").sortWithinPartitions("part", "batch")
+        return keep(rows.mapInPandas(count, "batch long, part int, payload binary"), "katz-words")
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -162,13 +164,15 @@ class Unigrams:
 
     @classmethod
     def of(cls, words: DataFrame) -> Unigrams:
-        sums = [F.sum(F.when(F.col("c") == r, 1).otherwise(0)).alias(f"n{r}") for r in range(CUT + 2)]
-        s = words.where("lead").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), *sums).first()
-        n, counts = s["n"] or 0, [s[f"n{r}"] or 0 for r in range(CUT + 2)]
+        n, of_counts = 0, np.zeros(CUT + 3, np.int64)
+        for r in words.where("batch is null").select("payload").toLocalIterator():
+            tokens, some = _unpacked(r["payload"])
+            n, of_counts = n + tokens, of_counts + some
+        counts = of_counts.tolist()
         d = discounts(counts)
         kept = n - sum((1 - d[r]) * r * counts[r] for r in range(1, CUT + 1))
         total = float(n) if kept < n else n + 1.0
-        return cls(n, s["v"], d, total, 1 - kept / total if n else 1.0)
+        return cls(n, sum(counts[1:]), d, total, 1 - kept / total if n else 1.0)
 
     def p(self, c: np.ndarray) -> np.ndarray:
         c = c.astype(np.int64)
@@ -183,10 +187,14 @@ class Batch:
     """A batch with its words' ids and counts, and its distinct pairs in the order they are sent."""
 
     def __init__(self, data: bytes, words: pd.DataFrame, n: int, parts: int):
-        self.doc_ids, self.held, lens, _, _, tokens = _unpacked(data)
+        self.doc_ids, self.held, lens, vocabulary, _, tokens = _unpacked(data)
         self.lens, self.tokens = lens.astype(np.int64), tokens.astype(np.int64)
-        words = words.sort_values("place")
-        self.ids, self.c = words["id"].to_numpy(np.int64), words["c"].to_numpy(np.int64)
+        told = dict(zip(words["part"], words["payload"], strict=True))
+        self.ids, self.c = np.empty((2, len(vocabulary)), np.int64)
+        order, stretches = _by_part(_word_part(vocabulary, parts))
+        for k, s in stretches:
+            rank, c = _unpacked(told[k])
+            self.ids[order[s]], self.c[order[s]] = (k << 33) + rank.astype(np.int64), c
         starts = np.cumsum(self.lens) - self.lens
         size = len(self.ids)
         before = np.empty_like(self.tokens)
@@ -238,8 +246,7 @@ def asked(batches: DataFrame, words: DataFrame, n: int, parts: int) -> DataFrame
                 out.append((part, number, data))
         return pd.DataFrame(out, columns=["part", "batch", "payload"])
 
-    mine = words.select("batch", "place", "id", "c")
-    both = batches.groupBy("batch").cogroup(mine.groupBy("batch"))
+    both = batches.groupBy("batch").cogroup(words.where("batch is not null").groupBy("batch"))
     return both.applyInPandas(run, "part int, batch long, payload binary")
 
 
@@ -359,7 +366,7 @@ def scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
     batches = batched(docs)
-    words = numbered(batches)
+    words = numbered(batches, parts)
     unigrams = Unigrams.of(words)
     answers = answered(asked(batches, words, unigrams.n, parts), unigrams, parts)
     of_counts, spread = np.zeros(CUT + 2, np.int64), {}
@@ -371,14 +378,12 @@ def scores(docs: DataFrame) -> DataFrame:
     model = Scores(unigrams, discounts(of_counts.tolist()), spread, parts)
 
     def run(packed: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
-        numbers = mine[mine["part"] < 0][["place", "id", "c"]]
-        replies = mine[mine["part"] >= 0][["part", "payload"]]
+        numbers, replies = mine[mine["of_words"]], mine[~mine["of_words"]]
         found = [model.rows(x, numbers, replies) for x in packed["payload"]]
         return pd.concat(found) if found else pd.DataFrame(columns=[x.split()[0] for x in SCORED.split(", ")])
 
-    both = answers.where("batch is not null").unionByName(
-        words.select("batch", F.lit(-1).alias("part"), "place", "id", "c"), allowMissingColumns=True
-    )
+    both = answers.withColumn("of_words", F.lit(False)).unionByName(words.withColumn("of_words", F.lit(True)))
+    both = both.where("batch is not null")
     return batches.groupBy("batch").cogroup(both.groupBy("batch")).applyInPandas(run, SCORED)
 
 

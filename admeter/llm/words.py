@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words in a worker's cache before it is emptied.
-CACHE = 500_000
+CACHE = 200_000
 
 
 class _Hashes(dict):
