@@ -38,7 +38,7 @@ from admeter.sources.shared import keep
 #: Good-Turing discounts apply up to this count.
 CUT = 5
 #: Bytes of text in a batch.
-STRIDE = 8 << 20
+STRIDE = 6 << 20
 #: The end of a text, a token; no word is empty. The start of a text is a context only.
 END = np.uint64(0)
 START_ID = -1
@@ -58,12 +58,21 @@ def _narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 2**8 else np.uint16 if top < 2**16 else np.uint32 if top < 2**32 else np.uint64)
 
 
+def _planes(a: np.ndarray) -> list[np.ndarray]:
+    """The four bytes of each number, as four arrays."""
+    return list(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy())
+
+
+def _whole(planes: list[np.ndarray]) -> np.ndarray:
+    return np.stack(planes, 1).view("<u4").ravel().astype(np.int32)
+
+
 def _deltas(sorted_ids: np.ndarray) -> np.ndarray:
     return np.diff(sorted_ids, prepend=np.int64(START_ID))
 
 
-def batched(docs: DataFrame) -> DataFrame:
-    """batch, payload: documents, word hashes with training counts, tokens as numbers of them."""
+def batched(docs: DataFrame, parts: int) -> DataFrame:
+    """batch, payload (documents, parts of the words, tokens as numbers of words), words (hashes, counts)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, rows, size = TaskContext.get().partitionId() << 32, [], 0
@@ -73,9 +82,17 @@ def batched(docs: DataFrame) -> DataFrame:
             lens = np.array(list(map(len, texts)), np.int64)
             vocabulary, tokens = np.unique(np.concatenate(texts), return_inverse=True)
             train = ~np.repeat(np.array(held, bool), lens)
-            n = np.bincount(tokens[train], minlength=len(vocabulary))
-            data = _packed(list(ids), np.array(held, bool), _narrow(lens), vocabulary, _narrow(n), _narrow(tokens))
-            return pd.DataFrame({"batch": [number], "payload": [data]})
+            # frequent words get small numbers, which pack well
+            order = np.argsort(-np.bincount(tokens, minlength=len(vocabulary)), kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            n = np.bincount(tokens[train], minlength=len(vocabulary))[order]
+            vocabulary = vocabulary[order]
+            part = _narrow(_word_part(vocabulary, parts))
+            data = _packed(list(ids), np.array(held, bool), _narrow(lens), part, _planes(rank[tokens]))
+            return pd.DataFrame(
+                {"batch": [number], "payload": [data], "words": [_packed(vocabulary, _narrow(n))]}
+            )
 
         for pdf in frames:
             for doc_id, held, text in zip(pdf["doc_id"], pdf["held_out"], pdf["text"], strict=True):
@@ -92,7 +109,7 @@ def batched(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("binary").alias("text")
     )
     with held_batches(docs, 1000):
-        return keep(rows.mapInPandas(run, "batch long, payload binary"), "katz-batches")
+        return keep(rows.mapInPandas(run, "batch long, payload binary, words binary"), "katz-batches")
 
 
 def _by_part(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -115,8 +132,8 @@ def numbered(batches: DataFrame, parts: int) -> DataFrame:
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for batch, data in zip(pdf["batch"], pdf["payload"], strict=True):
-                _, _, _, vocabulary, n, _ = _unpacked(data)
+            for batch, data in zip(pdf["batch"], pdf["words"], strict=True):
+                vocabulary, n = _unpacked(data)
                 order, stretches = _by_part(_word_part(vocabulary, parts))
                 rows = [(k, batch, _packed(vocabulary[order[s]], n[order[s]])) for k, s in stretches]
                 yield pd.DataFrame(rows, columns=["part", "batch", "payload"])
@@ -135,7 +152,7 @@ def numbered(batches: DataFrame, parts: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["batch", "part", "payload"]).astype({"batch": "Int64"})
 
     with held_batches(batches, 16):
-        rows = batches.mapInPandas(ask, "part int, batch long, payload binary")
+        rows = batches.select("batch", "words").mapInPandas(ask, "part int, batch long, payload binary")
         rows = rows.repartition(parts, "part").sortWithinPartitions("part", "batch")
         return keep(rows.mapInPandas(count, "batch long, part int, payload binary"), "katz-words")
 
@@ -187,30 +204,32 @@ class Batch:
     """A batch with its words' ids and counts, and its distinct pairs in the order they are sent."""
 
     def __init__(self, data: bytes, words: pd.DataFrame, n: int, parts: int):
-        self.doc_ids, self.held, lens, vocabulary, _, tokens = _unpacked(data)
-        self.lens, self.tokens = lens.astype(np.int64), tokens.astype(np.int64)
+        self.doc_ids, self.held, lens, word_part, planes = _unpacked(data)
+        self.lens, self.tokens = lens.astype(np.int64), _whole(planes)
         told = dict(zip(words["part"], words["payload"], strict=True))
-        self.ids, self.c = np.empty((2, len(vocabulary)), np.int64)
-        order, stretches = _by_part(_word_part(vocabulary, parts))
+        self.ids, self.c = np.empty((2, len(word_part)), np.int64)
+        order, stretches = _by_part(word_part)
         for k, s in stretches:
             rank, c = _unpacked(told[k])
             self.ids[order[s]], self.c[order[s]] = (k << 33) + rank.astype(np.int64), c
         starts = np.cumsum(self.lens) - self.lens
         size = len(self.ids)
-        before = np.empty_like(self.tokens)
+        before = np.empty(len(self.tokens), np.int64)
         before[1:] = self.tokens[:-1]
         before[starts] = size  # the start of a text as a context
         ids = np.append(self.ids, START_ID)
         # the start stands before as many texts as there are ends; ends are last in a text
         often = np.append(self.c, self.c[self.tokens[starts + self.lens - 1][0]] if len(starts) else 0)
         pairs, self.which = np.unique(before * size + self.tokens, return_inverse=True)
-        h, w = pairs // size, pairs % size
+        h, w = (pairs // size).astype(np.int32), (pairs % size).astype(np.int32)
+        del before, pairs
         train = ~np.repeat(self.held, self.lens)
-        count = np.bincount(self.which[train], minlength=len(pairs))
+        count = np.bincount(self.which[train], minlength=len(h)).astype(np.int32)
+        self.which = self.which.astype(np.int32)
         spread = np.maximum(1, -(-often * parts // max(n, 1)))
-        salt = (ids[w].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+        salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
         home = (ids.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64)
-        part = (home[h] + salt % spread[h]) % parts
+        part = ((home[h] + salt[w] % spread[h]) % parts).astype(np.int32)
         # by part, then context id, then word id
         self.order = np.lexsort((ids[w], ids[h], part))
         self.part, self.h, self.w = part[self.order], ids[h[self.order]], w[self.order]
@@ -246,7 +265,8 @@ def asked(batches: DataFrame, words: DataFrame, n: int, parts: int) -> DataFrame
                 out.append((part, number, data))
         return pd.DataFrame(out, columns=["part", "batch", "payload"])
 
-    both = batches.groupBy("batch").cogroup(words.where("batch is not null").groupBy("batch"))
+    packed = batches.select("batch", "payload")
+    both = packed.groupBy("batch").cogroup(words.where("batch is not null").groupBy("batch"))
     return both.applyInPandas(run, "part int, batch long, payload binary")
 
 
@@ -365,7 +385,7 @@ def scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    batches = batched(docs)
+    batches = batched(docs, parts)
     words = numbered(batches, parts)
     unigrams = Unigrams.of(words)
     answers = answered(asked(batches, words, unigrams.n, parts), unigrams, parts)
@@ -384,7 +404,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     both = answers.withColumn("of_words", F.lit(False)).unionByName(words.withColumn("of_words", F.lit(True)))
     both = both.where("batch is not null")
-    return batches.groupBy("batch").cogroup(both.groupBy("batch")).applyInPandas(run, SCORED)
+    return batches.select("batch", "payload").groupBy("batch").cogroup(both.groupBy("batch")).applyInPandas(run, SCORED)
 
 
 def op2_katz_backoff(spark: SparkSession, sf: str) -> DataFrame:
