@@ -22,19 +22,20 @@ class Settings:
     hot_window_ms: int = 48 * HOUR_MS
     warm_window_ms: int = 30 * DAY_MS
     default_window_ms: int = 2 * HOUR_MS
-    max_buckets: int = 10_000
+    # Limits are the caller's choice; None: all.
+    max_buckets: int | None = None
 
     quota_default: int = 500
     quota_window_s: int = 1
     quota_enforced: bool = True
 
     discrepancy_threshold_pct: float = 1.0
-    max_campaigns_per_run: int = 5_000
+    max_campaigns_per_run: int | None = None
     auto_correct: bool = True
     reports_kept: int = 48
 
-    replay_default: int = 1_000
-    replay_cap: int = 50_000
+    replay_default: int | None = None
+    replay_cap: int | None = None
 
     # Retention per dataset.
     retention_ms: dict = field(

@@ -83,8 +83,8 @@ def field_errors() -> Column:
 
 
 def default_event_time(c: Column, now_ms: int) -> Column:
-    """A request without an event time (0) gets the time of the job."""
-    return F.when(c == 0, F.lit(now_ms)).otherwise(c).cast("bigint")
+    """A request without an event time (null or 0) gets the time of the job."""
+    return F.when(F.coalesce(c, F.lit(0)) == 0, F.lit(now_ms)).otherwise(c).cast("bigint")
 
 
 def _text(name: str) -> Column:

@@ -29,9 +29,12 @@ def between(events: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
     return events.where((ms >= from_ms) & (ms < to_ms))
 
 
-def grouped_counts(events: DataFrame, from_ms: int, to_ms: int, limit: int) -> DataFrame:
-    """Counts per (tenant, campaign, type) in ``[from, to)``, at most ``limit`` groups by key."""
-    return counts(countable(between(events, from_ms, to_ms))).orderBy(*COUNT_KEYS).limit(limit)
+def grouped_counts(
+    events: DataFrame, from_ms: int, to_ms: int, limit: int | None = None
+) -> DataFrame:
+    """Counts per (tenant, campaign, type) in ``[from, to)``; with a limit, the first groups by key."""
+    groups = counts(countable(between(events, from_ms, to_ms)))
+    return groups if limit is None else groups.orderBy(*COUNT_KEYS).limit(limit)
 
 
 def of_campaign(

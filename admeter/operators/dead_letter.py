@@ -24,9 +24,25 @@ def stats(log: DataFrame) -> DataFrame:
     return per.unionByName(total)
 
 
-def replay_size(requested: int, settings: Settings) -> int:
+def replay_size(requested: int, settings: Settings) -> int | None:
+    """Records to read: what was asked for, within the caller's limits; None: all."""
     wanted = requested if requested > 0 else settings.replay_default
-    return min(wanted, settings.replay_cap)
+    given = [n for n in (wanted, settings.replay_cap) if n is not None]
+    return min(given) if given else None
+
+
+def next_offsets(polled_rows: DataFrame) -> DataFrame:
+    """partition, next_offset: where a following replay goes on (``polled``'s ``after``)."""
+    return polled_rows.groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
+
+
+def _not_read(log: DataFrame, after: DataFrame | None) -> DataFrame:
+    if after is None:
+        return log
+    start = after.select(F.col("partition").alias("_partition"), "next_offset")
+    rows = log.join(start, F.col("partition") == F.col("_partition"), "left")
+    unread = F.col("offset") >= F.coalesce("next_offset", F.lit(0))
+    return rows.where(unread).drop("_partition", "next_offset")
 
 
 def polled(
@@ -35,13 +51,16 @@ def polled(
     tenant: str | None = None,
     reason: str | None = None,
     requested: int = 0,
+    after: DataFrame | None = None,
 ) -> DataFrame:
-    """The first records of the log, each marked replayed or skipped.
+    """The records of the log from the offsets in ``after``, each marked replayed or skipped.
 
-    The cap counts records read, not records replayed. A replayed record goes through
+    A limit counts records read, not records replayed. A replayed record goes through
     validation again; ``rejected_again`` says what that will find.
     """
-    first = log.orderBy("partition", "offset").limit(replay_size(requested, settings))
+    first, size = _not_read(log, after), replay_size(requested, settings)
+    if size is not None:
+        first = first.orderBy("partition", "offset").limit(size)
     selected = F.col("event_id").isNotNull()
     if tenant is not None:
         selected &= F.lower("key") == tenant.lower()

@@ -110,9 +110,21 @@ def _walk(events: DataFrame, ttl_ms: int) -> DataFrame:
         .sortWithinPartitions("event_id", "slot")
         .mapInPandas(kept_instants, "event_id string, event_timestamp_ms bigint")
     )
-    first_at = events.groupBy("event_id", "event_timestamp_ms").agg(F.min("seq").alias("seq"))
-    accepted = first_at.join(instants, ["event_id", "event_timestamp_ms"], "left_semi")
-    return events.join(accepted, ["event_id", *ORDER], "left_semi").select(*events.columns)
+    # a struct's null field sorts first, as in the fold
+    first_at = events.groupBy("event_id", "event_timestamp_ms").agg(
+        F.min(F.struct("seq")).alias("first")
+    )
+    accepted = first_at.join(instants, ["event_id", "event_timestamp_ms"], "left_semi").select(
+        F.col("event_id").alias("_id"), F.col("event_timestamp_ms").alias("_ms"),
+        F.col("first.seq").alias("_seq"),
+    )
+    same = (
+        (F.col("event_id") == F.col("_id")) & (F.col("event_timestamp_ms") == F.col("_ms"))
+        & F.col("seq").eqNullSafe(F.col("_seq"))
+    )
+    kept = events.join(accepted, same, "left_semi").dropDuplicates(["event_id", *ORDER])
+    untimed = events.where(F.col("event_timestamp_ms").isNull())
+    return kept.unionByName(untimed).select(*events.columns)
 
 
 def live_keys(kept: DataFrame, settings: Settings) -> DataFrame:

@@ -46,17 +46,19 @@ def clean_grain(grain: str | None) -> str:
     return name if name in E.GRAIN_MS else "hour"
 
 
-def spine(from_ms: Column, to_ms: Column, grain: str, cap: int) -> Column:
-    """Array of bucket starts from ``from`` cut to the grain while <= ``to``, at most ``cap``."""
+def spine(from_ms: Column, to_ms: Column, grain: str, cap: int | None = None) -> Column:
+    """Array of bucket starts from ``from`` cut to the grain while <= ``to``, all or the first ``cap``."""
     step = E.GRAIN_MS[clean_grain(grain)]
     start = E.truncate_ms(from_ms, clean_grain(grain))
-    stop = F.least(to_ms, start + F.lit((cap - 1) * step))
+    stop = to_ms if cap is None else F.least(to_ms, start + F.lit((cap - 1) * step))
     return F.when(start <= to_ms, F.sequence(start, stop, F.lit(step).cast("bigint"))).otherwise(
         F.array().cast("array<bigint>")
     )
 
 
-def even_split(total: Column, from_ms: Column, to_ms: Column, grain: str, cap: int) -> Column:
+def even_split(
+    total: Column, from_ms: Column, to_ms: Column, grain: str, cap: int | None = None
+) -> Column:
     """Array of (bucket_ms, value): the total spread evenly, the remainder in the last bucket.
 
     Without any bucket the whole total sits at ``to``.

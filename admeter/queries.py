@@ -207,8 +207,8 @@ def time_buckets(spark, sf):
 
 @query
 def request_binding(spark, sf):
-    """Requests of tenant_0 bound to tenant_2; every 10th comes without an event time."""
-    requests = canonical(spark, sf).where("tenant_id = 'tenant_0'")
+    """All requests bound to tenant_2; every 10th comes without an event time."""
+    requests = canonical(spark, sf)
     untimed = F.when(F.col("seq") % 10 == 0, F.lit(0)).otherwise(ms()).cast("bigint")
     bound = ingest.from_requests(
         requests.withColumn("event_timestamp_ms", untimed), "tenant_2", SETTINGS
@@ -441,8 +441,8 @@ def bucket_spine(spark, sf):
 @query
 def series_even_split(spark, sf):
     totals = A.counts(_valid(spark, sf), ["tenant_id", "event_type"])
-    points = S.even_split(F.col("cnt"), F.lit(WARM_FROM + 5), F.lit(AS_OF), "hour", 10_000)
-    none = S.even_split(F.col("cnt"), F.lit(AS_OF + HOUR_MS), F.lit(AS_OF), "hour", 10_000)
+    points = S.even_split(F.col("cnt"), F.lit(WARM_FROM + 5), F.lit(AS_OF), "hour")
+    none = S.even_split(F.col("cnt"), F.lit(AS_OF + HOUR_MS), F.lit(AS_OF), "hour")
     whole = totals.select("tenant_id", "event_type", F.inline(points)).withColumn("spread", F.lit(True))
     at_end = totals.select("tenant_id", "event_type", F.inline(none)).withColumn("spread", F.lit(False))
     return whole.unionByName(at_end)
@@ -656,7 +656,7 @@ def dlq_replay_summary(spark, sf):
 
 @query
 def replay_failures(spark, sf):
-    everything = dead_letter.polled(_dlq(spark, sf), SETTINGS, requested=50_000)
+    everything = dead_letter.polled(_dlq(spark, sf), SETTINGS, requested=0)
     return dead_letter.replay_failures(everything, limit=3)
 
 

@@ -97,3 +97,17 @@ def test_hot_path_folds_before_the_shuffle(events):
     calm = dedup._fold(dedup.keep_keys(df, hot.table, hot.keys, ["event_id"], settings, "left_anti"), 10)
     assert calm.count() == 0
     assert dedup.unique(df, settings, hot).agg(F.count("*")).first()[0] == 1
+
+
+def test_walk_equals_fold_with_nulls_and_ties(events):
+    from admeter.operators import dedup
+
+    t = 1_706_000_000_000
+    rows = [dict(event_id="a", event_timestamp_ms=t, seq=None)] * 5
+    rows += [dict(event_id="b", event_timestamp_ms=None, seq=i) for i in range(5)]
+    rows += [dict(event_id="c", event_timestamp_ms=t + i * 1000, seq=s) for i, s in ((0, 4), (0, 4), (9, None), (9000, 2))]
+    df = events(rows)
+    fold, walk = (
+        sorted(map(repr, (tuple(r) for r in f(df, 3_600_000).collect()))) for f in (dedup._fold, dedup._walk)
+    )
+    assert fold == walk and len(fold) == 1 + 5 + 2

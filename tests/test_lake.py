@@ -88,7 +88,10 @@ def test_replay(events):
         "key": keys, "dlq_reason": F.when(F.col("seq") == 2, F.lit("Other: x")).otherwise(F.lit("Missing: x")),
         "partition": F.lit(0), "offset": F.col("seq")})
     s = Settings()
-    assert dead_letter.replay_size(0, s) == 1000 and dead_letter.replay_size(10**6, s) == 50_000
+    assert dead_letter.replay_size(0, s) is None and dead_letter.replay_size(10**6, s) == 10**6
+    first = dead_letter.polled(log, s, requested=3)
+    rest = dead_letter.polled(log, s, after=dead_letter.next_offsets(first))
+    assert [sorted(r.offset for r in x.collect()) for x in (first, rest)] == [[0, 1, 2], [3]]
     polled = dead_letter.polled(log, s, "tenant_a", "Missing")
     assert sorted(r.event_id for r in dead_letter.replay(polled).collect()) == ["e0", "e1"]
     assert dead_letter.replay_summary(polled).first().asDict() == dict(
