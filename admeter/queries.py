@@ -103,22 +103,19 @@ def _enriched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _warm(enriched: DataFrame) -> DataFrame:
-    """The warm table has lost one event in 200."""
+    """For reconciliation: a warm table that has lost one event in 200."""
     return enriched.where(F.col("seq") % 200 != 0)
 
 
 def _hot(enriched: DataFrame) -> DataFrame:
-    """The hot counters have missed one event in 50."""
+    """For reconciliation: hot counters that have missed one event in 50."""
     return enriched.where(F.col("seq") % 50 != 0)
 
 
 def _stores(spark: SparkSession, sf: str) -> serving.Stores:
     events = _enriched(spark, sf)
     return serving.Stores(
-        A.hot_counters(_hot(events), SETTINGS),
-        A.hot_hourly_series(_hot(events), SETTINGS),
-        _warm(events),
-        events,
+        A.hot_counters(events, SETTINGS), A.hot_hourly_series(events, SETTINGS), events, events
     )
 
 
@@ -315,12 +312,12 @@ def grouped_counts(spark, sf):
 
 @query
 def hot_counters(spark, sf):
-    return A.hot_counters(_hot(_enriched(spark, sf)), SETTINGS)
+    return A.hot_counters(_enriched(spark, sf), SETTINGS)
 
 
 @query
 def hot_hourly_series(spark, sf):
-    return A.hot_hourly_series(_hot(_enriched(spark, sf)), SETTINGS)
+    return A.hot_hourly_series(_enriched(spark, sf), SETTINGS)
 
 
 @query
@@ -417,7 +414,7 @@ def series_cold(spark, sf):
 
 @query
 def series_hot(spark, sf):
-    series = A.hot_hourly_series(_hot(_enriched(spark, sf)), SETTINGS)
+    series = A.hot_hourly_series(_enriched(spark, sf), SETTINGS)
     return S.hot_series(series, AS_OF - 2 * DAY_MS + 1, AS_OF)
 
 

@@ -106,13 +106,15 @@ SELECT {FLAT}, CAST(NULL AS BIGINT) AS duration_ms FROM kept
 UNION ALL SELECT {FLAT}, duration_ms FROM conv
 """
 CTE["countable"] = "SELECT * FROM enriched WHERE tenant_id IS NOT NULL AND campaign_id IS NOT NULL"
-CTE["warm"] = "SELECT * FROM enriched WHERE seq % 200 <> 0"
+CTE["warm"] = "SELECT * FROM enriched"
+# What reconciliation compares: a warm table and hot counters that have lost events.
+CTE["warm_lost"] = "SELECT * FROM enriched WHERE seq % 200 <> 0"
 CTE["warm_counts"] = f"""
 SELECT {KEYS}, count(*) AS cnt FROM warm WHERE campaign_id IS NOT NULL GROUP BY ALL
 """
 
 
-def _alive(keys: str) -> str:
+def _alive(keys: str, rows: str = "TRUE") -> str:
     """Events of the current life of each key: no gap over 48 h since, and alive at as_of."""
     return f"""
 SELECT * EXCLUDE (gap) FROM (
@@ -125,14 +127,16 @@ SELECT * EXCLUDE (gap) FROM (
   FROM (
    SELECT *, event_timestamp_ms - lag(event_timestamp_ms) OVER (
      PARTITION BY {keys} ORDER BY event_timestamp_ms, seq, event_id) AS gap
-   FROM countable WHERE seq % 50 <> 0 AND event_timestamp_ms <= {AS_OF})))
+   FROM countable WHERE {rows} AND event_timestamp_ms <= {AS_OF})))
 WHERE life = last_life AND {AS_OF} - last_ms <= {48 * HOUR}
 """
 
 
 CTE["alive"] = _alive("tenant_id, campaign_id")
 CTE["alive_typed"] = _alive(KEYS)
+CTE["alive_lost"] = _alive("tenant_id, campaign_id", "seq % 50 <> 0")
 CTE["hot"] = f"SELECT {KEYS}, count(*) AS cnt FROM alive GROUP BY ALL"
+CTE["hot_lost"] = f"SELECT {KEYS}, count(*) AS cnt FROM alive_lost GROUP BY ALL"
 CTE["hot_series"] = f"""
 SELECT {KEYS}, event_timestamp_ms // {HOUR} * {HOUR} AS bucket_ms, count(*) AS cnt
 FROM alive_typed GROUP BY ALL
@@ -180,16 +184,16 @@ FROM ({source})
 CTE["hourly"] = _result(
     f"""
 SELECT w.*, coalesce(h.cnt, 0) AS observed_count FROM (
-  SELECT {KEYS}, count(*) AS reference_count FROM warm WHERE campaign_id IS NOT NULL
+  SELECT {KEYS}, count(*) AS reference_count FROM warm_lost WHERE campaign_id IS NOT NULL
    AND event_timestamp_ms >= {AS_OF - 2 * HOUR} AND event_timestamp_ms < {AS_OF}
-  GROUP BY ALL) w LEFT JOIN hot h USING ({KEYS})""",
+  GROUP BY ALL) w LEFT JOIN hot_lost h USING ({KEYS})""",
     KEYS, "warm", "hot", "observed_count < reference_count",
 )
 _DAY = f"event_timestamp_ms >= {AS_OF - DAY} AND event_timestamp_ms < {AS_OF}"
 CTE["daily"] = _result(
     f"""
 SELECT w.*, c.reference_count FROM (
-  SELECT {KEYS}, count(*) AS observed_count FROM warm WHERE campaign_id IS NOT NULL AND {_DAY}
+  SELECT {KEYS}, count(*) AS observed_count FROM warm_lost WHERE campaign_id IS NOT NULL AND {_DAY}
   GROUP BY ALL) w JOIN (
   SELECT {KEYS}, count(*) AS reference_count FROM countable WHERE {_DAY}
   GROUP BY ALL) c USING ({KEYS})""",
@@ -482,7 +486,7 @@ _QUERIES: dict[str, str] = {
     "recon_hourly_bucketed": f"""SELECT * FROM history
  WHERE "window" = 'hourly' AND window_start_ms >= {AS_OF - DAY}""",
     "recon_patched_counters": f"""SELECT {KEYS}, coalesce(h.cnt, 0) + coalesce(p.deficit, 0) AS cnt
- FROM hot h FULL JOIN (SELECT {KEYS}, -delta AS deficit FROM hourly WHERE auto_patched) p
+ FROM hot_lost h FULL JOIN (SELECT {KEYS}, -delta AS deficit FROM hourly WHERE auto_patched) p
  USING ({KEYS})""",
     "recon_daily": "SELECT * FROM daily",
     "recon_summary": "\nUNION ALL\n".join(
@@ -612,7 +616,7 @@ CTE["clicks_carts_all"] = _NO_DEDUP["clicks_carts"]
 CTE["takers_all"] = _NO_DEDUP["takers"].replace("FROM clicks_carts", "FROM clicks_carts_all")
 CTE["conv_all"] = CTE["conv"].replace("FROM takers", "FROM takers_all")
 CTE["alive_whole"] = CTE["alive"].replace(
-    "FROM countable WHERE seq % 50 <> 0", "FROM valid WHERE campaign_id IS NOT NULL"
+    "FROM countable WHERE TRUE", "FROM valid WHERE campaign_id IS NOT NULL"
 )
 _QUERIES["stream_click_to_basket"] = _QUERIES["click_to_basket"].replace("conv", "conv_all")
 _QUERIES["stream_counts"] = f"""SELECT {KEYS}, count(*) AS cnt FROM valid
