@@ -4,9 +4,11 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as driver
+from admeter.queries import REGISTRY
+from oracles import sql
 
 SF_DIR = "/root/testdata/sf0.001"
-SQL = driver.oracle_sql()
+SQL = sql.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,8 @@ ROWS_ONLY = {"stream_enriched_stateful"}
 
 
 def test_every_query_has_a_statement():
-    assert set(SQL) == set(driver.queries()) - ROWS_ONLY
+    assert set(SQL) == set(REGISTRY) - ROWS_ONLY
+    assert set(REGISTRY) <= set(driver.queries()) and SQL.items() <= driver.oracle_sql().items()
 
 
 # What no plan over whole tables may contain; the stream queries read what a stream wrote.
@@ -28,9 +31,9 @@ UNWANTED = (
 )
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query(spark, db, name):
-    df = driver.queries()[name](spark, SF_DIR)
+    df = REGISTRY[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [operator for operator in UNWANTED if operator in plan]
     if name in ROWS_ONLY:
