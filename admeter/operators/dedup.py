@@ -143,10 +143,12 @@ def dropped_by(events: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame
     return signed.groupBy(*keys).agg(F.sum("n").alias("dropped")).where(F.col("dropped") > 0)
 
 
-def first_per_id(events: DataFrame, columns: list[str]) -> DataFrame:
+def first_per_id(
+    events: DataFrame, columns: list[str], keys: list[str] = ["event_id"]
+) -> DataFrame:
     """Full-history exact de-duplication: the first row of every id.
 
     A minimum, not a window: partial aggregation folds the copies of an id before the shuffle.
     """
     first = F.min(F.struct(*ORDER, *columns)).alias("_first")
-    return events.groupBy("event_id").agg(first).select("event_id", "_first.*")
+    return events.groupBy(*keys).agg(first).select(*keys, "_first.*")

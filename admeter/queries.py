@@ -24,13 +24,14 @@ from admeter.sources.event_table import (
     canonical,
     canonical_stream,
     dead_letters,
+    in_slices,
     read_table,
     request_log,
 )
 from admeter.sources.shared import new_path
 from admeter.streaming import attribution as stream_attribution
 from admeter.streaming import counters, job, tables
-from admeter.streaming.dedup import within_watermark
+from admeter.streaming.dedup import unique
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -693,6 +694,21 @@ def conversion_latency_quantiles(spark, sf):
     return found.select("tenant_id", "n", *[F.round(p, 3).alias(p) for p in ("p50", "p95", "p99")])
 
 
+@query
+def conversion_latency_by_hour(spark, sf):
+    """The same quantiles per tenant and hour."""
+    hour = E.hour_bucket(ms()).alias("window_start_ms")
+    rows = _converted(spark, sf).select(
+        "tenant_id", hour, attribution.duration_ms().alias("duration_ms")
+    )
+    found = quantiles.quantiles(
+        rows, ["tenant_id", "window_start_ms"], "duration_ms",
+        {"p50": 0.5, "p95": 0.95, "p99": 0.99}, 60_000,
+    )
+    rounded = [F.round(p, 3).alias(p) for p in ("p50", "p95", "p99")]
+    return found.select("tenant_id", "window_start_ms", "n", *rounded)
+
+
 @query
 def ingest_rate_by_type(spark, sf):
     minutes = monitoring.per_minute(_valid(spark, sf), ["event_type"], n=F.lit(1))
@@ -800,6 +816,52 @@ def late_upsert(spark, sf):
     return lake.merged(on_time, too_late, SETTINGS).select(*FLAT)
 
 
+def _lake(spark, sf) -> str:
+    """A lake of the enriched events."""
+    path = new_path(spark, "lake")
+    lake.append(_enriched(spark, sf), path)
+    return path
+
+
+@query
+def lake_scan(spark, sf):
+    """A tenant and window read from the stored lake: only its partitions are opened."""
+    rows = lake.scan(spark, _lake(spark, sf), TENANT, AS_OF - 12 * DAY_MS, AS_OF - 5 * DAY_MS)
+    return rows.select(*FLAT, F.col("event_date").cast("string").alias("event_date"))
+
+
+@query
+def lake_series(spark, sf):
+    """The cold series of every campaign of a tenant, by whole dates of the stored lake."""
+    rows = lake.whole(spark, _lake(spark, sf)).where(F.col("tenant_id") == TENANT)
+    found = S.cold_series(
+        A.countable(rows), AS_OF - 20 * DAY_MS, AS_OF - 5 * DAY_MS, "hour", COUNT_KEYS
+    )
+    return found.select(*COUNT_KEYS, "bucket_ms", "value")
+
+
+@query
+def lake_erase(spark, sf):
+    """What is left per tenant and date after a tenant was erased and old dates were purged."""
+    path = _lake(spark, sf)
+    lake.drop_partitions(spark, path, F.col("tenant_id") == TENANT)
+    lake.purge(spark, path, "dlq", SETTINGS)
+    left = lake.whole(spark, path).withColumn("event_date", F.col("event_date").cast("string"))
+    return A.counts(left, ["tenant_id", "event_date"])
+
+
+@query
+def lake_upsert(spark, sf):
+    """A lake of the valid events that came in time, after the late ones were merged into it."""
+    path = new_path(spark, "lake")
+    valid = _valid(spark, sf)
+    delay = F.col("arrival_ms") - ms()
+    lake.append(valid.where(delay < SETTINGS.allowed_lateness_ms), path)
+    late_rows = valid.where(delay >= SETTINGS.allowed_lateness_ms)
+    lake.upsert_late(spark, path, late_rows, SETTINGS)
+    return lake.whole(spark, path).select(*FLAT)
+
+
 # ---- streams: run over the table's files until all are processed --------------------------
 
 ONCE = {"availableNow": True}
@@ -834,12 +896,12 @@ def stream_click_to_basket(spark, sf):
 
 @stream_query
 def stream_unique_ids(spark, sf):
-    """Built-in de-duplication on state; which copy of an id stays is up to arrival."""
+    """De-duplication on keyed state over four slices: the rows of the batch plan."""
     folder = new_path(spark, "stream-unique")
-    stream = ingest.valid(canonical_stream(spark, sf)).select("event_id", "event_timestamp_ms")
-    kept = within_watermark(stream, SETTINGS).drop("event_ts")
-    _finish(kept, folder)
-    return tables.read_batches(spark, f"{folder}/rows", kept.schema).select("event_id")
+    for raw in in_slices(spark, sf, f"{folder}/raw"):
+        kept = unique(ingest.valid(raw).select("event_id", "event_timestamp_ms", "seq"), SETTINGS)
+        _finish(kept, folder)
+    return tables.read_batches(spark, f"{folder}/rows", kept.schema).select("event_id", "seq")
 
 
 @stream_query
@@ -852,9 +914,10 @@ def stream_counts(spark, sf):
 
 
 def _stream_job(spark, sf, exact: bool) -> job.Folders:
+    """The job over four slices of event time, started again for each."""
     out = job.Folders(new_path(spark, "stream-job"))
-    raw = canonical_stream(spark, sf).select(*EVENT_COLUMNS)
-    job.run_available(raw, out, SETTINGS, exact)
+    for raw in in_slices(spark, sf, out.raw):
+        job.run_available(raw.select(*EVENT_COLUMNS), out, SETTINGS, exact)
     return out
 
 

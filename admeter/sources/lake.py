@@ -1,20 +1,30 @@
-"""The event lake: Parquet, partitioned by tenant and UTC date."""
+"""The event lake: Parquet, partitioned by tenant and UTC date.
+
+All writers share one layout: below (tenant, date) lies ``part``, the name of the write. A write
+that runs again under its name replaces what it wrote before.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from admeter.config import Settings
 from admeter.functions import events as E
-from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA
+from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA, ORDER
 from admeter.operators.dedup import first_per_id
 from admeter.operators.hot_keys import keep_keys
 from admeter.sources.shared import delete, keep
 
 PARTITIONS = ["tenant_id", "event_date"]
+#: What makes two rows the same event: ids are the tenants' own.
+ONE_EVENT = ["tenant_id", "event_id"]
+WRITTEN = [*PARTITIONS, "part"]
 LAKE_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.DateType())])
+_FULL_SCHEMA = T.StructType([*LAKE_SCHEMA.fields, T.StructField("part", T.StringType())])
 MAX_RECORDS_PER_FILE = 500_000
 
 
@@ -34,31 +44,37 @@ def laid_out(events: DataFrame) -> DataFrame:
     )
 
 
-def append(events: DataFrame, path: str) -> None:
+def append(events: DataFrame, path: str, part: str | None = None) -> None:
+    """Add events; a given ``part`` is replaced where it is there already."""
     (
         laid_out(events)
-        .write.mode("append")
+        .withColumn("part", F.lit(part or f"write-{uuid.uuid4().hex}"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy(*PARTITIONS)
+        .partitionBy(*WRITTEN)
         .parquet(path)
     )
 
 
+def whole(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of all tenants, for maintenance."""
+    return spark.read.schema(_FULL_SCHEMA).parquet(path).drop("part")
+
+
 def scan(
     spark: SparkSession,
     path: str,
-    tenant: str | None = None,
+    tenant: str,
     from_ms: int | None = None,
     to_ms: int | None = None,
 ) -> DataFrame:
-    """Events of a tenant and window ``[from, to]``.
+    """Events of one tenant and a window ``[from, to]``.
 
     Time bounds are also given as ``event_date`` bounds, which Spark cannot derive by itself
     and which let it skip partitions.
     """
-    rows = spark.read.schema(LAKE_SCHEMA).parquet(path)
-    if tenant is not None:
-        rows = rows.where(F.col("tenant_id") == tenant)
+    rows = whole(spark, path).where(F.col("tenant_id") == tenant)
     ms = F.col("event_timestamp_ms")
     if from_ms is not None:
         rows = rows.where((F.col("event_date") >= E.event_date(F.lit(from_ms))) & (ms >= from_ms))
@@ -83,15 +99,10 @@ def exported(events: DataFrame, tenant: str, from_date: str, to_date: str) -> Da
 
 
 def _partition_paths(spark: SparkSession, path: str, condition) -> list[str]:
-    """Folders of the partitions that satisfy a condition on the partition columns."""
-    found = (
-        spark.read.schema(LAKE_SCHEMA)
-        .parquet(path)
-        .where(condition)
-        .select(F.regexp_replace(F.input_file_name(), "/[^/]+$", "").alias("folder"))
-        .distinct()
-    )
-    return [r["folder"] for r in found.collect()]
+    """Folders of the (tenant, date) partitions that satisfy a condition on these columns."""
+    found = whole(spark, path).where(condition)
+    folder = F.regexp_replace(F.input_file_name(), "/[^/]+/[^/]+$", "").alias("folder")
+    return [r["folder"] for r in found.select(folder).distinct().collect()]
 
 
 def drop_partitions(spark: SparkSession, path: str, condition) -> int:
@@ -112,30 +123,36 @@ def purge(spark: SparkSession, path: str, dataset: str, settings: Settings) -> i
 
 
 def merged(existing: DataFrame, late: DataFrame, settings: Settings) -> DataFrame:
-    """Existing rows of the partitions that late rows touch, and the late rows, once per id."""
+    """Existing rows of the partitions that late rows touch, and the late rows, once per (tenant, id)."""
     touched = with_date(late).select(*PARTITIONS).distinct()
     some = touched.limit(settings.broadcast_rows + 1).count()
     dated = existing if "event_date" in existing.columns else with_date(existing)
     affected = keep_keys(dated, touched, some, PARTITIONS, settings, "left_semi")
     both = affected.select(*EVENT_COLUMNS).unionByName(late.select(*EVENT_COLUMNS))
-    rest = [c for c in EVENT_COLUMNS if c not in ("event_id", "event_timestamp_ms", "seq")]
+    rest = [c for c in EVENT_COLUMNS if c not in (*ONE_EVENT, *ORDER)]
     as_entries = both.withColumn("custom_tags", F.map_entries("custom_tags"))
-    once = first_per_id(as_entries, rest)
+    once = first_per_id(as_entries, rest, ONE_EVENT)
     return once.withColumn("custom_tags", F.map_from_entries("custom_tags")).select(
         *EVENT_COLUMNS
     )
 
 
 def upsert_late(spark: SparkSession, path: str, late: DataFrame, settings: Settings) -> None:
-    """Merge late rows by id and replace exactly the partitions they touch."""
-    existing = spark.read.schema(LAKE_SCHEMA).parquet(path)
-    # The result overwrites what it was read from, so it is written aside first.
-    result = keep(merged(existing, late, settings), "late-upsert")
-    (
-        laid_out(result)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
+    """Merge late rows by (tenant, id) and replace exactly the partitions they touch.
+
+    The merged rows are added as a part of their own, then the older parts beside it go. Run
+    again after a failure in between, the merge finds both and leaves each event once.
+    """
+    # The result replaces what it was read from, so it is written aside first.
+    result = keep(merged(whole(spark, path), late, settings), "late-upsert")
+    part = f"merge-{uuid.uuid4().hex}"
+    append(result, path, part)
+    # one entry per touched (tenant, date) and write
+    touched = with_date(late).select(*PARTITIONS).distinct()
+    rows = spark.read.schema(_FULL_SCHEMA).parquet(path).where(F.col("part") != part)
+    files = rows.select(
+        *PARTITIONS, F.regexp_replace(F.input_file_name(), "/[^/]+$", "").alias("folder")
     )
+    older = files.distinct().join(touched, PARTITIONS, "left_semi").select("folder")
+    for r in older.collect():
+        delete(spark, r["folder"])

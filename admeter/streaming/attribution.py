@@ -1,6 +1,7 @@
 """Click-to-basket attribution on a stream, in two forms.
 
-``conversions`` and ``enriched`` keep state per session in RocksDB with event-time timers.
+``conversions`` keeps state per session in RocksDB with event-time timers; ``enriched`` does so
+without a watermark, so that no event is dropped, and its state expires in processing time.
 
 ``ExactAttribution`` gives the batch semantics: between micro-batches it keeps a table with
 the newest click or cart of each session, and the batch operator runs over it and the new rows.
@@ -22,6 +23,7 @@ from admeter.functions import events as E
 from admeter.model import CONVERSION, EVENT_COLUMNS, EVENT_SCHEMA
 from admeter.operators.attribution import SESSION, enrich, last_relevant
 from admeter.operators.hot_keys import find_hot
+from admeter.streaming.dedup import progress_ms
 from admeter.streaming.tables import read_batch, write_batch
 
 # Workers get the processor's code with the plan, so they need not have this package installed.
@@ -44,15 +46,15 @@ class Attribution(StatefulProcessor):
 
     The clicks and carts that a micro-batch brings for a session are taken in event-time
     order. A timer at the end of the click's window clears the state; a timer of an older
-    click leaves a newer one alone.
+    click leaves a newer one alone. With ``ttl_ms`` the state expires by itself instead.
     """
 
-    def __init__(self, window_ms: int, pass_events: bool):
-        self.window_ms, self.pass_events = window_ms, pass_events
+    def __init__(self, window_ms: int, pass_events: bool, ttl_ms: int | None = None):
+        self.window_ms, self.pass_events, self.ttl_ms = window_ms, pass_events, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.click = handle.getValueState("click", STATE)
+        self.click = handle.getValueState("click", STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         relevant = []
@@ -87,7 +89,7 @@ class Attribution(StatefulProcessor):
                 last = (click_id, campaign, cost, click_at, True)
         if last is not before:
             self.click.update(tuple(last))
-            if before is None or last[3] != before[3]:
+            if self.ttl_ms is None and (before is None or last[3] != before[3]):
                 self.handle.registerTimer(last[3] + self.window_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -103,12 +105,16 @@ class Attribution(StatefulProcessor):
 def conversions(unique: DataFrame, settings: Settings) -> DataFrame:
     """Streaming conversions. Clicks and carts alone reach the state."""
     relevant = unique.where(F.col("event_type").isin("CLICK", "ADD_TO_CART"))
-    return _by_session(timed(relevant, settings.allowed_lateness_ms), settings, False)
+    with_time = timed(relevant, settings.allowed_lateness_ms)
+    processor = Attribution(settings.attribution_window_ms, False)
+    return _by_session(with_time, [*INPUT, "event_ts"], processor, "EventTime")
 
 
-def enriched(timed_events: DataFrame, settings: Settings) -> DataFrame:
-    """The events (with ``event_ts`` and its watermark) and the conversions among them."""
-    return _by_session(timed_events, settings, True)
+def enriched(unique: DataFrame, settings: Settings) -> DataFrame:
+    """The events and the conversions among them."""
+    window = settings.attribution_window_ms
+    processor = Attribution(window, True, window + settings.state_slack_ms)
+    return _by_session(unique, INPUT, processor, "ProcessingTime")
 
 
 def timed(events: DataFrame, lateness_ms: int) -> DataFrame:
@@ -116,13 +122,15 @@ def timed(events: DataFrame, lateness_ms: int) -> DataFrame:
     return events.withColumn("event_ts", at).withWatermark("event_ts", f"{lateness_ms} milliseconds")
 
 
-def _by_session(events: DataFrame, settings: Settings, pass_events: bool) -> DataFrame:
-    rows = events.where(F.col("session_id").isNotNull()).select(*INPUT, "event_ts")
+def _by_session(
+    events: DataFrame, columns: list[str], processor: Attribution, time_mode: str
+) -> DataFrame:
+    rows = events.where(F.col("session_id").isNotNull()).select(*columns)
     made = rows.groupBy("session_id").transformWithState(
-        statefulProcessor=Attribution(settings.attribution_window_ms, pass_events),
+        statefulProcessor=processor,
         outputStructType=OUTPUT,
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode=time_mode,
     )
     tags = F.create_map(
         F.lit("durationMs"), F.col("duration_ms").cast("string"),
@@ -156,7 +164,7 @@ class ExactAttribution:
         """Store what the next batch needs: sessions whose last click may still convert."""
         rows = kept.unionByName(self._known(kept, batch_id)) if batch_id > 0 else kept
         horizon = self.settings.attribution_window_ms + self.settings.allowed_lateness_ms
-        newest = rows.agg(F.max("event_timestamp_ms")).first()[0]
+        newest = rows.agg(F.max(progress_ms())).first()[0]
         if newest is not None:
             rows = rows.where(F.col("event_timestamp_ms") >= newest - horizon)
         write_batch(last_relevant(rows), self.path, batch_id)

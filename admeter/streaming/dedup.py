@@ -1,24 +1,36 @@
-"""De-duplication on a stream, in two forms.
+"""De-duplication on a stream, in three forms.
 
 ``within_watermark`` is the built-in operator on RocksDB state: lowest latency; an id is
 forgotten when the watermark has passed the TTL, so the horizon follows the watermark.
 
+``unique`` keeps the anchor of each id in keyed state. It has no watermark, so no row is dropped
+for being late and a row dated far ahead touches no id but its own; state expires in processing
+time.
+
 ``ExactDedup`` gives the batch semantics. Between micro-batches it keeps a table with the one
 live anchor of each recent id; the batch operator runs over these anchors and the new rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from admeter.config import Settings
 from admeter.functions import events as E
 from admeter.model import EVENT_SCHEMA
-from admeter.operators.dedup import unique
+from admeter.operators import dedup as batch_dedup
 from admeter.operators.hot_keys import find_hot
 from admeter.streaming.tables import read_batch, write_batch
 
+# Workers get the processor's code with the plan, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def within_watermark(events: DataFrame, settings: Settings) -> DataFrame:
     """Unique events with ``event_ts``, whose watermark trails by the TTL."""
@@ -29,6 +41,62 @@ def within_watermark(events: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+class Anchors(StatefulProcessor):
+    """State: the time of the id's last accepted row.
+
+    The rows that a micro-batch brings for an id are taken in (time, arrival number) order. A
+    row within the TTL after the anchor is a duplicate and leaves the anchor as it is. Rows
+    without a time are no duplicates of anything.
+    """
+
+    def __init__(self, ttl_ms: int, slack_ms: int):
+        self.ttl_ms, self.slack_ms = ttl_ms, slack_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.anchor = handle.getValueState("anchor", "at_ms bigint", self.ttl_ms + self.slack_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.anchor.get()
+        at = before = None if known is None else known[0]
+        timed = []
+        for r in rows:
+            if r["event_timestamp_ms"] is None:
+                yield r
+            else:
+                timed.append(r)
+        # a missing number sorts first, as in the batch operator
+        timed.sort(key=lambda r: (r["event_timestamp_ms"], r["seq"] is not None, r["seq"] or 0))
+        for r in timed:
+            if at is None or r["event_timestamp_ms"] - at > self.ttl_ms:
+                at = r["event_timestamp_ms"]
+                yield r
+        if at != before:
+            self.anchor.update((at,))
+
+    def close(self) -> None:
+        pass
+
+
+def unique(events: DataFrame, settings: Settings) -> DataFrame:
+    """Streaming: the events that are not within the TTL after an accepted one of their id."""
+    kept = events.groupBy("event_id").transformWithState(
+        statefulProcessor=Anchors(settings.dedup_ttl_ms, settings.state_slack_ms),
+        outputStructType=events.schema,
+        outputMode="Append",
+        timeMode="ProcessingTime",
+    )
+    return kept.select(*events.columns)
+
+
+def progress_ms() -> Column:
+    """How far a row shows event time to be: no further than its arrival, where that is known.
+
+    A row dated far ahead would else make the state of all keys look old.
+    """
+    at = F.col("event_timestamp_ms")
+    return F.least(at, F.coalesce("arrival_ms", at))
+
+
 class ExactDedup:
     """Keeps anchors in ``path``, one folder per micro-batch; batches must come in order."""
 
@@ -43,7 +111,7 @@ class ExactDedup:
             anchors = read_batch(spark, self.path, batch_id - 1, EVENT_SCHEMA)
             rows = rows.unionByName(anchors.withColumn("_new", F.lit(False)))
         hot = find_hot(rows, ["event_id"], self.settings)
-        return unique(rows, self.settings, hot).where("_new").drop("_new")
+        return batch_dedup.unique(rows, self.settings, hot).where("_new").drop("_new")
 
     def remember(self, kept: DataFrame, batch_id: int) -> None:
         """Store the anchors the next batch needs: kept rows still within TTL and lateness."""
@@ -52,7 +120,7 @@ class ExactDedup:
         if batch_id > 0:
             rows = rows.unionByName(read_batch(spark, self.path, batch_id - 1, EVENT_SCHEMA))
         horizon = self.settings.dedup_ttl_ms + self.settings.allowed_lateness_ms
-        newest = rows.agg(F.max("event_timestamp_ms")).first()[0]
+        newest = rows.agg(F.max(progress_ms())).first()[0]
         if newest is not None:
             rows = rows.where(F.col("event_timestamp_ms") >= newest - horizon)
         write_batch(rows, self.path, batch_id)

@@ -1,11 +1,13 @@
 """The end-to-end stream: raw events in; enriched events, counters, lake and dead letters out.
 
     raw -> validate -> de-duplicate -> attribute -> {enriched, counters, lake}
-               |-> rejected -> dead letters
+     |         |-> rejected -> dead letters
+     |-> unreadable records, late rows -> tables of their own
 
 Two forms. ``exact`` runs the batch operators on every micro-batch over small state tables
 (live ids, newest click or cart per session) and gives the rows of the batch plan. The other
-form keeps the state in Spark's RocksDB store: lower latency, horizons that follow the watermark.
+form keeps the state in Spark's RocksDB store, per id and per session; there rows count in the
+order of their arrival where that differs between micro-batches.
 
 All sinks of a micro-batch are written from one persisted set of rows, in folders named by the
 batch, so running a batch again changes nothing. Set ``spark.sql.shuffle.partitions`` before
@@ -15,6 +17,7 @@ source's rows-per-trigger limit bounds what one micro-batch holds, also of one s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -25,11 +28,12 @@ from pyspark.sql.streaming import StreamingQuery
 from admeter.config import Settings
 from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA
 from admeter.plans import ingest as plans
-from admeter.sources.lake import with_date
+from admeter.sources import lake
 from admeter.streaming import counters
 from admeter.streaming.attribution import ExactAttribution
 from admeter.streaming.attribution import enriched as stateful_enriched
-from admeter.streaming.dedup import ExactDedup, within_watermark
+from admeter.streaming.dedup import ExactDedup, unique
+from admeter.streaming.late import LateSplit
 from admeter.streaming.tables import forget, read_batches, write_batch
 
 DEAD_SCHEMA = T.StructType(
@@ -39,6 +43,14 @@ DEAD_SCHEMA = T.StructType(
         T.StructField("dlq_reason", T.StringType()),
     ]
 )
+LATE_FIELDS = ["source_partition", "max_before"]
+LATE_SCHEMA = T.StructType(
+    [
+        *EVENT_SCHEMA.fields,
+        T.StructField("source_partition", T.IntegerType()),
+        T.StructField("max_before", T.LongType()),
+    ]
+)
 
 
 @dataclass(frozen=True)
@@ -54,25 +66,13 @@ class Folders:
         return f"{self.root}/checkpoints/{name}"
 
 
-def write_lake(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Lake rows of one micro-batch: the batch is the last partition level, and is replaced whole."""
-    parts = ["tenant_id", "event_date", "part"]
-    (
-        with_date(rows)
-        .selectExpr("*", f"'{batch_id}' AS part")
-        .hint("rebalance", *parts)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", 500_000)
-        .partitionBy(*parts)
-        .parquet(path)
-    )
+Decoder = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def _fan_out(rows: DataFrame, out: Folders, batch_id: int) -> None:
     write_batch(rows, out.enriched, batch_id)
     counters.add_deltas(rows, out.counters, batch_id)
-    write_lake(rows, out.lake, batch_id)
+    lake.append(rows, out.lake, f"batch-{batch_id}")
 
 
 def _start(stream: DataFrame, name: str, out: Folders, each, trigger: dict) -> StreamingQuery:
@@ -90,13 +90,34 @@ def _dead(batch: DataFrame, out: Folders, batch_id: int) -> None:
     write_batch(rows, out.dead, batch_id)
 
 
-def start_exact(raw: DataFrame, out: Folders, settings: Settings, trigger: dict) -> list[StreamingQuery]:
+def start_exact(
+    raw: DataFrame,
+    out: Folders,
+    settings: Settings,
+    trigger: dict,
+    decode: Decoder | None = None,
+) -> list[StreamingQuery]:
+    """Start the job; ``decode`` turns source records into (events, unreadable records).
+
+    Events that name their ``source_partition`` are also checked for lateness: late ones are
+    processed like all others and noted in ``late``.
+    """
     dedup = ExactDedup(out.anchors, settings)
     attribution = ExactAttribution(out.sessions, settings)
+    split = LateSplit(out.progress, settings)
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        if decode is not None:
+            records = batch
+            batch, bad = decode(records)
+            write_batch(bad, out.unreadable, batch_id)
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         _dead(batch, out, batch_id)
+        if "source_partition" in batch.columns:
+            late = split.marked(batch, batch_id).where("late")
+            write_batch(late.select(*EVENT_COLUMNS, *LATE_FIELDS), out.late, batch_id)
+            split.remember(batch, batch_id)
+            forget(batch.sparkSession, out.progress, batch_id - 2)
         valid = plans.valid(batch).select(*EVENT_COLUMNS)
         kept = dedup.kept(valid, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
         rows = attribution.enriched(kept, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
@@ -115,8 +136,8 @@ def start_exact(raw: DataFrame, out: Folders, settings: Settings, trigger: dict)
 def start_stateful(
     raw: DataFrame, out: Folders, settings: Settings, trigger: dict
 ) -> list[StreamingQuery]:
-    unique = within_watermark(plans.valid(raw).select(*EVENT_COLUMNS), settings)
-    rows = stateful_enriched(unique, settings)
+    valid = plans.valid(raw).select(*[c for c in EVENT_COLUMNS if c != "custom_tags"])
+    rows = stateful_enriched(unique(valid, settings), settings)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist(StorageLevel.MEMORY_AND_DISK)
@@ -144,5 +165,10 @@ def enriched(spark: SparkSession, out: Folders) -> DataFrame:
     return read_batches(spark, out.enriched, EVENT_SCHEMA).drop("batch")
 
 
+def late(spark: SparkSession, out: Folders) -> DataFrame:
+    """Rows that came behind the allowed lateness of their source partition."""
+    return read_batches(spark, out.late, LATE_SCHEMA).drop("batch")
+
+
 def dead_letters(spark: SparkSession, out: Folders) -> DataFrame:
     return read_batches(spark, out.dead, DEAD_SCHEMA).drop("batch")

@@ -553,6 +553,10 @@ _QUERIES: dict[str, str] = {
     + ")",
     "conversion_latency_quantiles": """SELECT tenant_id, count(*) AS n,
  round(quantile_cont(duration_ms, 0.5), 3) AS p50, round(quantile_cont(duration_ms, 0.95), 3)
+ AS p95, round(quantile_cont(duration_ms, 0.99), 3) AS p99 FROM conv GROUP BY ALL""",
+    "conversion_latency_by_hour": f"""SELECT tenant_id,
+ event_timestamp_ms // {HOUR} * {HOUR} AS window_start_ms, count(*) AS n,
+ round(quantile_cont(duration_ms, 0.5), 3) AS p50, round(quantile_cont(duration_ms, 0.95), 3)
  AS p95, round(quantile_cont(duration_ms, 0.99), 3) AS p99 FROM conv GROUP BY ALL""",
     "ingest_rate_by_type": f"""SELECT event_type,
  event_timestamp_ms // {MINUTE} * {MINUTE} AS minute_ms, count(*) AS n,
@@ -603,12 +607,27 @@ _QUERIES: dict[str, str] = {
  FROM (SELECT *, max(event_timestamp_ms) OVER (PARTITION BY source_partition
   ORDER BY arrival_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_before
   FROM ev ) WHERE max_before - event_timestamp_ms > 300000""",
-    "late_upsert": f"""SELECT {FLAT} FROM (SELECT *, row_number() OVER (PARTITION BY event_id
- ORDER BY event_timestamp_ms, seq) AS rn FROM valid v WHERE arrival_ms - event_timestamp_ms >= 300000
+    "late_upsert": f"""SELECT {FLAT} FROM (SELECT *, row_number() OVER (
+ PARTITION BY tenant_id, event_id ORDER BY event_timestamp_ms, seq) AS rn FROM valid v WHERE arrival_ms - event_timestamp_ms >= 300000
  OR (tenant_id, {DATE}) IN (SELECT (tenant_id, {DATE}) FROM valid
    WHERE arrival_ms - event_timestamp_ms >= 300000)) WHERE rn = 1""",
 }
 
+_LATE = "arrival_ms - event_timestamp_ms >= 300000"
+_QUERIES["lake_upsert"] = f"""{_QUERIES["late_upsert"]} UNION ALL
+ SELECT {FLAT} FROM valid WHERE NOT {_LATE} AND (tenant_id, {DATE}) NOT IN (
+   SELECT (tenant_id, {DATE}) FROM valid WHERE {_LATE})"""
+_QUERIES["lake_scan"] = f"""SELECT {FLAT}, CAST({DATE} AS VARCHAR) AS event_date FROM enriched
+ WHERE tenant_id = 'tenant_1'
+ AND event_timestamp_ms BETWEEN {AS_OF - 12 * DAY} AND {AS_OF - 5 * DAY}"""
+_QUERIES["lake_series"] = f"""SELECT {KEYS},
+ event_timestamp_ms // {HOUR} * {HOUR} AS bucket_ms, count(*) AS value FROM countable
+ WHERE tenant_id = 'tenant_1' AND event_timestamp_ms // {DAY}
+ BETWEEN {(AS_OF - 20 * DAY) // DAY} AND {(AS_OF - 5 * DAY) // DAY} GROUP BY ALL"""
+_QUERIES["lake_erase"] = f"""SELECT tenant_id, CAST({DATE} AS VARCHAR) AS event_date,
+ count(*) AS cnt FROM enriched WHERE tenant_id <> 'tenant_1'
+ AND event_timestamp_ms // {DAY} >= {(AS_OF - 7 * DAY) // DAY} GROUP BY ALL"""
+
 # The streams: the same rows from the same events.
 _NO_DEDUP = {name: CTE[name].replace("FROM kept", "FROM valid").replace("JOIN kept", "JOIN valid")
              for name in ("clicks_carts", "takers")}
@@ -621,8 +640,9 @@ CTE["alive_whole"] = CTE["alive"].replace(
 _QUERIES["stream_click_to_basket"] = _QUERIES["click_to_basket"].replace("conv", "conv_all")
 _QUERIES["stream_counts"] = f"""SELECT {KEYS}, count(*) AS cnt FROM valid
  WHERE campaign_id IS NOT NULL GROUP BY ALL"""
-_QUERIES["stream_unique_ids"] = "SELECT DISTINCT event_id FROM valid"
+_QUERIES["stream_unique_ids"] = "SELECT event_id, seq FROM kept"
 _QUERIES["stream_enriched"] = f"SELECT {FLAT}, duration_ms FROM enriched"
+_QUERIES["stream_enriched_stateful"] = _QUERIES["stream_enriched"]
 _QUERIES["stream_hot_counters"] = f"SELECT {KEYS}, count(*) AS cnt FROM alive_whole GROUP BY ALL"
 
 

@@ -10,6 +10,7 @@ from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA
 from admeter.operators import aggregates as A
 from admeter.operators import late
 from admeter.plans import ingest
+from admeter.sources import kafka, lake
 from admeter.sources.event_table import canonical
 from admeter.streaming import counters, job, tables
 from admeter.streaming.dedup import within_watermark
@@ -76,23 +77,89 @@ def test_a_batch_that_runs_again_changes_nothing(spark, batch, tmp_path):
     for _ in range(2):
         tables.write_batch(batch.limit(10), path, 0)
         counters.add_deltas(batch, str(tmp_path / "c"), 3)
-        job.write_lake(ingest.valid(batch), str(tmp_path / "lake"), 0)
+        lake.append(ingest.valid(batch), str(tmp_path / "lake"), "batch-0")
     assert tables.read_batches(spark, path, EVENT_SCHEMA).count() == 10
     hours = counters.hourly_counts(spark, [str(tmp_path / "c")])
     assert hours.agg(F.sum("cnt")).first()[0] == A.countable(batch).count()
     assert spark.read.parquet(str(tmp_path / "lake")).count() == ingest.valid(batch).count()
 
 
-def test_stateful_job(spark, raw, arrive, batch, tmp_path):
-    """No redelivery in this data is within reach of another micro-batch, so rows are those of batch."""
+def test_late_rows_merge_into_the_lake_of_a_stream(spark, batch, tmp_path):
+    path = str(tmp_path / "lake")
+    valid = ingest.valid(batch).select(*EVENT_COLUMNS)
+    for n in range(2):
+        lake.append(valid.where(F.col("seq") % 2 == n), path, f"batch-{n}")
+    first = valid.where("event_id = 'evt_0' OR seq < 5")
+    late_rows = first.withColumn("event_id", F.concat("event_id", F.lit("x")))
+    lake.upsert_late(spark, path, late_rows, S)
+    got = lake.whole(spark, path)
+    assert got.where("event_id LIKE '%x'").count() == late_rows.count()
+    assert got.select("tenant_id", "event_id").distinct().count() == (
+        valid.unionByName(late_rows).select("tenant_id", "event_id").distinct().count()
+    )
+    once = got.count()
+    lake.upsert_late(spark, path, late_rows, S)
+    assert lake.whole(spark, path).count() == once
+    lake.drop_partitions(spark, path, F.col("tenant_id") == "tenant_1")
+    assert lake.scan(spark, path, "tenant_1").count() == 0 < lake.scan(spark, path, "tenant_2").count()
+
+
+def test_an_id_of_two_tenants_stays_with_both(spark, events, tmp_path):
+    path = str(tmp_path / "lake")
+    one = dict(event_id="e", event_timestamp_ms=5)
+    lake.append(events([dict(one, tenant_id="a"), dict(event_id="f", tenant_id="b", event_timestamp_ms=6)]), path)
+    lake.upsert_late(spark, path, events([dict(one, tenant_id="a"), dict(one, tenant_id="b")]), S)
+    assert sorted((r.tenant_id, r.event_id) for r in lake.whole(spark, path).collect()) == [
+        ("a", "e"), ("b", "e"), ("b", "f")]
+
+
+def test_stateful_job_equals_batch_across_batches(spark, raw, arrive, batch, tmp_path):
     out = job.Folders(str(tmp_path / "out"))
-    once = batch.where("seq % 10 <> 9 AND seq % 100 <> 98")  # without redelivered copies
     for n in range(FILES):
         arrive(n)
-    raw_once = raw().where("seq % 10 <> 9 AND seq % 100 <> 98")
-    job.run_available(raw_once, out, S, exact=False)
-    assert rows(job.enriched(spark, out)) == rows(ingest.enriched(once, S))
-    assert job.dead_letters(spark, out).count() == ingest.rejected(once).count()
+    job.run_available(raw(), out, S, exact=False)
+    assert rows(job.enriched(spark, out)) == rows(ingest.enriched(batch, S))
+    assert job.dead_letters(spark, out).count() == ingest.rejected(batch).count()
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_row_dated_far_ahead_changes_no_other_id(spark, raw, events, tmp_path, exact):
+    """A copy in the next micro-batch is still a duplicate, and a cart still finds its click."""
+    base = dict(tenant_id="t", user_id="u", session_id="s", campaign_id="c", arrival_ms=1_000_000, cost=0.0)
+    click = dict(base, event_id="a", event_type="CLICK", event_timestamp_ms=1_000_000)
+    ahead = dict(base, event_id="z", event_type="IMPRESSION", session_id="far", event_timestamp_ms=10 * 86_400_000)
+    cart = dict(base, event_id="b", event_type="ADD_TO_CART", event_timestamp_ms=1_002_000)
+    for part in ([click, ahead], [dict(click, event_timestamp_ms=1_001_000, seq=5), dict(cart, seq=6)]):
+        events(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "raw"))
+        time.sleep(1.1)
+    out = job.Folders(str(tmp_path / "out"))
+    job.run_available(raw(), out, S, exact)
+    assert sorted(r.event_id for r in job.enriched(spark, out).collect()) == ["a", "b", "b_att", "z"]
+
+
+def test_unreadable_and_late_records_of_the_job(spark, events, tmp_path):
+    """Records decode inside the job; unreadable ones and late events get tables of their own."""
+    base = dict(tenant_id="t", user_id="u", session_id="s", campaign_id="c", event_type="CLICK", cost=0.0)
+    sent = events([dict(base, event_id=f"e{n}", event_timestamp_ms=at) for n, at in enumerate((900_000, 800_000, 100_000))])
+    records = kafka.raw_records(sent).withColumns({
+        "timestamp": F.timestamp_millis(F.lit(900_000)), "partition": F.lit(0),
+        "offset": F.regexp_extract("value", r'"e(\d)"', 1).cast("bigint")})
+    noise = records.limit(1).withColumn("value", F.lit("{oops"))
+    path = str(tmp_path / "records")
+    records.unionByName(noise).coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(records.schema).parquet(path)
+    out = job.Folders(str(tmp_path / "out"))
+
+    def decode(batch):
+        good, bad = kafka.decode_json(batch)
+        return good.withColumn("source_partition", F.lit(0)), bad
+
+    for q in job.start_exact(stream, out, S, {"availableNow": True}, decode):
+        q.awaitTermination()
+    assert job.enriched(spark, out).count() == 3
+    assert [r.payload for r in spark.read.parquet(out.unreadable).collect()] == ["{oops"]
+    late_rows = job.late(spark, out).collect()
+    assert [(r.event_id, r.max_before) for r in late_rows] == [("e2", 900_000)]
 
 
 def test_built_in_dedup_drops_copies_across_batches(spark, raw, events, tmp_path):
