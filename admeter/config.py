@@ -17,9 +17,6 @@ class Settings:
     dedup_ttl_ms: int = 60 * MINUTE_MS
     attribution_window_ms: int = 24 * HOUR_MS
     allowed_lateness_ms: int = 5 * MINUTE_MS
-    # Processing time that keyed stream state outlives its horizon: the longest stop or backlog
-    # after which a stream still knows its ids and clicks.
-    state_slack_ms: int = 4 * HOUR_MS
     counter_ttl_ms: int = 48 * HOUR_MS
 
     hot_window_ms: int = 48 * HOUR_MS

@@ -19,8 +19,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    # State that expires in processing time would ask for empty micro-batches for ever.
-    conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return spark
 
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from admeter.config import Settings
 from admeter.model import EVENT_COLUMNS
@@ -68,29 +65,6 @@ def canonical_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFr
     return spark.sql(CANONICAL, events=raw)
 
 
-def in_slices(
-    spark: SparkSession, sf_dir: str, folder: str, slices: int = 4
-) -> Iterator[DataFrame]:
-    """The same events as a stream over ``folder`` that fills while the caller takes slices.
-
-    Each slice of event time is added to the folder before the stream is handed out again, so a
-    stream that runs until its input is used up takes each slice in micro-batches of its own.
-    """
-    events = canonical(spark, sf_dir)
-    at = F.coalesce("event_timestamp_ms", F.lit(0))
-    cuts = events.agg(
-        F.percentile_approx(at, [i / slices for i in range(1, slices)]).alias("cuts")
-    ).first()["cuts"]
-    number = F.lit(0)
-    for cut in sorted(set(cuts or [])):
-        number = number + (at > cut).cast("int")
-    stream = None
-    for n in range(len(set(cuts or [])) + 1):
-        events.where(number == n).write.mode("append").parquet(folder)
-        stream = stream or spark.readStream.schema(events.schema).parquet(folder)
-        yield stream
-
-
 def dead_letters(rejected: DataFrame, settings: Settings) -> DataFrame:
     """Rejected events as a partitioned log: (partition, offset) by arrival number."""
     log = rejected.withColumnRenamed("source_partition", "partition")
