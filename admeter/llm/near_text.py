@@ -7,10 +7,12 @@ DISTANCE // CHUNKS = 1 position. All chunk errors are enumerated as the keys tha
 position of a chunk out, and equal keys meet. Candidates within the distance are confirmed on the
 full shingle sets. (At Jaccard 0.8 a pair exceeds the distance with a chance of about 1e-4.)
 
-Documents with equal sets are joined first. Pairs never leave a task: each bucket (large ones in
-tiles of bounded size) gives a forest over its candidates, the components of these forests are
-families, and the tiles of a family give a forest over its confirmed links. So classes are those
-of all confirmed links, at one row per document and tile.
+Documents with equal sets are joined first; from there on a numbered set is the member of buckets
+and families, so a doc_id that stands on several texts has each of them compared. Pairs never leave
+a task: each bucket (large ones in tiles of bounded size) gives a forest over its candidates, the
+components of these forests are families, and the tiles of a family give a forest over its
+confirmed links. So classes are those of all confirmed links, at one row per set and tile. Sets
+become doc_ids only after the links.
 """
 
 from __future__ import annotations
@@ -90,7 +92,10 @@ def _parts(texts: list[bytes]) -> Iterator[slice]:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, signature; null text has an empty set, no signature."""
+    """doc_id, hash of the text, n_shingles, digest of the set, signature.
+
+    A null text has an empty set and no signature.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -105,11 +110,15 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     marks.append(next(rows).tobytes() if len(s) else None)
             yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "n_shingles": counts, "digest": digests, "signature": marks}
+                {
+                    "doc_id": pdf["doc_id"], "h": pdf["h"], "n_shingles": counts, "digest": digests,
+                    "signature": marks,
+                }
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, signature binary"
+    text = F.col("text").cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    schema = "doc_id long, h long, n_shingles long, digest binary, signature binary"
     return rows.mapInPandas(run, schema)
 
 
@@ -142,21 +151,23 @@ class Join:
         with held_batches(docs, 2000):
             self.signed = keep(signed(docs, words), "near-signed")
         some = self.signed.where("n_shingles > 0 and doc_id is not null")
-        # one document for each set: the smallest doc_id
+        # one row for each set: its number, the smallest doc_id and the hash of a text of that one
+        one = some.groupBy("digest", "n_shingles").agg(
+            F.min(F.struct("doc_id", "h")).alias("of"), F.first("signature").alias("signature")
+        )
         self.classes = keep(
-            some.groupBy("digest", "n_shingles").agg(
-                F.min("doc_id").alias("id"), F.first("signature").alias("signature")
+            one.select(
+                "digest", "n_shingles", F.monotonically_increasing_id().alias("set"),
+                F.col("of.doc_id").alias("doc_id"), F.col("of.h").alias("h"), "signature",
             ),
             "near-classes",
         )
-        self.marks = self.classes.groupBy("id").agg(
-            F.max("n_shingles").alias("n"), F.max("signature").alias("signature")
-        )
 
     def buckets(self) -> DataFrame:
-        """key, id, n of all buckets with two ids or more."""
+        """key, id (of a set), n of all buckets with two sets or more."""
         rows = self.classes.select(
-            F.explode(chunk_keys(F.col("signature"))).alias("key"), "id", F.col("n_shingles").alias("n")
+            F.explode(chunk_keys(F.col("signature"))).alias("key"),
+            F.col("set").alias("id"), F.col("n_shingles").alias("n"),
         )
         rows = keep(rows, "near-keys")
         shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
@@ -164,7 +175,7 @@ class Join:
         return keep(rows.join(shared, "key"), "near-buckets")
 
     def candidates(self) -> DataFrame:
-        """(a, b): connects all pairs of a bucket that are near by signature and of fitting sizes."""
+        """(a, b): connects all pairs of sets of a bucket, near by signature and of fitting sizes."""
         limit, similarity = DISTANCE, self.similarity
 
         def near(g: Group) -> np.ndarray:
@@ -176,16 +187,16 @@ class Join:
                 apart += marks[:, None, k] != marks[None, :, k]
             return close & (apart <= limit)
 
-        rows = self.buckets().join(self.marks.select("id", "signature"), "id")
+        rows = self.buckets().join(self.classes.select(F.col("set").alias("id"), "signature"), "id")
         with held_batches(rows, 4000):
             pairs = linked(tiled(rows, "key", "id", BUCKET_TILE), ["key", "tile"], near)
             return keep(pairs.distinct(), "near-candidates")
 
     def links(self) -> DataFrame:
-        """(a, b): connects what all confirmed links connect.
+        """(a, b): connects the sets that all confirmed links connect.
 
-        Documents that candidates connect form a family; in its tiles the full sets of all
-        documents are compared by a product of membership matrices.
+        Sets that candidates connect form a family; in its tiles all of them are compared in full
+        by a product of membership matrices.
         """
         words, similarity = self.words, self.similarity
 
@@ -195,13 +206,15 @@ class Join:
             both = intersections(sets)
             return 100 * both >= similarity * (size[:, None] + size[None, :] - both)
 
-        family = components(self.candidates()).join(self.marks.select("id", "n"), F.col("node") == F.col("id"))
-        family = keep(family.select("component", "id", "n"), "near-families")
+        family = components(self.candidates()).join(self.classes, F.col("node") == F.col("set"))
+        family = family.select("component", F.col("set").alias("id"), F.col("n_shingles").alias("n"), "doc_id", "h")
+        family = keep(family, "near-families")
         rows = tiled(family, "component", "id", TILE, "n", TILE_SHINGLES)
+        text = F.col("text").cast("binary")
         texts = self.texts.where("doc_id is not null and text is not null")
-        texts = texts.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+        texts = texts.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
         # the same plan at every size: a broadcast of the smaller side would not last
-        rows = rows.drop("n").join(texts.hint("merge"), "id")
+        rows = rows.drop("n").join(texts.hint("merge"), ["doc_id", "h"]).drop("doc_id", "h")
         with held_batches(rows, 256):
             return keep(linked(rows, ["component", "tile"], near).distinct(), "near-links")
 
@@ -243,16 +256,21 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     """
     join = Join(docs, words, similarity)
     part = components(join.links())
-    near = join.classes.select("digest", "n_shingles", "id")
+    sets = join.classes.select("digest", "n_shingles", "set", F.col("doc_id").alias("id"))
+    # a class is named by the smallest doc_id of its sets
+    least = part.join(sets, F.col("node") == F.col("set")).groupBy("component").agg(F.min("id").alias("low"))
+    part = part.join(least, "component").select("node", "low")
+    near = sets.join(part, F.col("set") == F.col("node"), "left")
+    near = near.select("digest", "n_shingles", F.coalesce("low", "id").alias("own"))
     rows = join.signed.select("doc_id", "n_shingles", "digest").join(near, ["digest", "n_shingles"], "left")
-    rows = rows.join(part, rows["id"] == part["node"], "left")
-    own = F.coalesce("component", "id", "doc_id")
+    own = F.coalesce("own", "doc_id")
     rows = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     # rows of one doc_id with different texts connect their classes
     odd = rows.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"))
-    odd = keep(odd.where("low < high").select("low", "high"), "near-odd")
+    odd = keep(odd.where("low < high").select(F.col("doc_id").alias("of"), "low"), "near-odd")
     if not odd.isEmpty():
-        more = components(odd, "low", "high").withColumnsRenamed({"component": "lower"})
+        met = rows.join(odd, F.col("doc_id") == F.col("of")).select("low", "component_id").distinct()
+        more = components(met, "low", "component_id").withColumnsRenamed({"component": "lower"})
         rows = rows.join(more, rows["component_id"] == more["node"], "left")
         rows = rows.select("doc_id", "n_shingles", F.coalesce("lower", "component_id").alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))

@@ -80,6 +80,25 @@ def test_groups_of_near_copies(spark, monkeypatch, tile):
     assert len({r[2] for r in got}) < len(docs) // 2
 
 
+def test_every_text_of_a_doc_id_finds_its_near_copies(spark):
+    """One doc_id on two to four texts, each with a near copy of its own."""
+    rng = random.Random(6)
+    docs, copies = [], itertools.count(100)
+    for doc_id in range(12):
+        for _ in range(2 + doc_id % 3):
+            base = [f"w{rng.randint(0, 9999)}" for _ in range(120)]
+            docs.append((doc_id, " ".join(base)))
+            base[rng.randrange(120)] = "x"
+            docs.append((next(copies), " ".join(base)))
+    # texts of one doc_id also connect classes of smaller ids, all of them
+    docs += [(500, docs[i][1] + " end") for i in (0, 4, 10)] + [(500, None)]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = Counter(map(tuple, near_text.classes(df, words=4).collect()))
+    assert got == brute_classes(docs)
+    assert all(not kept for d, _, _, kept in got if d >= 100)
+
+
 def test_keys_find_every_pair_within_the_distance(spark):
     rng = random.Random(3)
     rows = []
