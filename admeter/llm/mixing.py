@@ -5,8 +5,9 @@ fills as many slots as its target asks for. Every slot goes to an output shard b
 uniform draw, so that the counts a source has in the shards are multinomial while its total meets
 the target. A slot's number within its source passes through a pseudorandom permutation of the
 source's block numbers (swap-or-not rounds, one permutation per pass over the source), which
-names the block; blocks and documents then meet in a join on (source, block). The last, shorter
-block ends each pass, and the last slot may take only the front of its block.
+names the block; blocks and documents then meet in a join on (source, block), which moves the words
+of each block to its slots. The last, shorter block ends each pass, and the last slot may take only
+the front of its block.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from admeter.llm.common import WORD, boundaries, partitions, range_of, table, text_or_empty
-from admeter.sources.shared import keep
+from admeter.sources.shared import keep, new_path
 
 WEIGHTS = (5, 2, 1)
 #: A source is used at most this often.
@@ -108,18 +109,27 @@ def slots(sources: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHARDS) -
     )
 
 
-def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+def cuts_of(sizes: DataFrame) -> list:
+    """Borders of the ranges of doc_id that ``placed`` works in."""
+    return boundaries(sizes, "doc_id", partitions(sizes.sparkSession))
+
+
+def placed(sizes: DataFrame, sources: DataFrame, cuts: list, wide: DataFrame | None = None) -> DataFrame:
     """Adds idx and off, the words of the source before the document, and a row's key (part, rn).
 
     Prefix sums run inside ranges of doc_id, so that a hot source is spread over many tasks;
-    what lies before a range comes from the sums of the ranges.
+    what lies before a range comes from the sums of the ranges. ``wide`` has the same rows as
+    ``sizes`` with more columns, and gets the same keys with the same cuts.
     """
-    spark = sizes.sparkSession
-    part = range_of("doc_id", boundaries(sizes, "doc_id", partitions(spark)))
+    part = range_of("doc_id", cuts)
     names = sources.select(F.col("source").alias("name"), "idx")
-    rows = sizes.withColumn("part", part).join(names, F.col("source").eqNullSafe(F.col("name")))
-    rows = rows.drop("name")
-    sums = rows.groupBy("idx", "part").agg(F.sum("size").alias("s"))
+
+    def named(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("part", part).join(names, F.col("source").eqNullSafe(F.col("name")))
+        return rows.drop("name")
+
+    sums = named(sizes).groupBy("idx", "part").agg(F.sum("size").alias("s"))
+    rows = named(sizes if wide is None else wide)
     earlier = Window.partitionBy("idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("idx", "part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("start"))
     inside = Window.partitionBy("idx", "part").orderBy("doc_id", "h", "size")
@@ -143,28 +153,75 @@ def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def worded(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The cuts of ``pieces`` with their words, joined by single blanks; a text is split once."""
+    off, end = F.col("off"), F.col("off") + F.col("size")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    numbers = F.sequence(F.floor(off / block), F.floor((end - 1) / block))
+
+    def piece(w: Column, b: Column) -> Column:
+        start = b * block
+        lo, hi = F.greatest(off, start), F.least(end, start + block)
+        mine = F.slice(w, (lo - off + 1).cast("int"), (hi - lo).cast("int"))
+        return F.struct(
+            b.alias("block"), (lo - start).alias("lo"), (hi - start).alias("hi"),
+            F.array_join(mine, " ").alias("words"),
+        )
+
+    # a one-element array binds the words to a name, so that they are computed once
+    every = F.flatten(F.transform(F.array(words), lambda w: F.transform(numbers, lambda b: piece(w, b))))
+    rows = rows.where("size > 0").select("idx", "part", "rn", "doc_id", F.explode(every).alias("p"))
+    return rows.select("idx", "part", "rn", "doc_id", "p.*")
+
+
+def _blocks(docs: DataFrame, sizes: DataFrame, sources: DataFrame, cuts: list) -> DataFrame:
+    """``mixed_blocks`` and, as ``pieces``, the row (part, rn) and number of words of each document."""
+    rows = worded(placed(sizes, sources, cuts, sized(docs, text_or_empty().alias("text"))))
+    # the same plan at every size: slots would not stay small enough to be broadcast
+    rows = slots(sources).join(rows.hint("merge"), ["idx", "block"]).where("lo < n_words")
+    n = F.least("hi", "n_words") - F.col("lo")
+    front = F.call_function("substring_index", "words", F.lit(" "), n.cast("int"))
+    words = F.when(F.col("hi") <= F.col("n_words"), F.col("words")).otherwise(front)
+    one = F.struct("lo", n.alias("n"), "doc_id", "part", "rn", words.alias("words"))
+    # dealt by (idx, block) already: no further shuffle
+    rows = rows.groupBy("idx", "block", "slot", "shard", "n_words").agg(
+        F.sort_array(F.collect_list(one)).alias("p")
+    )
+    names = F.broadcast(sources.select("idx", "source"))
+    rows = rows.join(names, "idx").select(
+        "shard", "slot", "source", "idx", "block", "n_words",
+        F.array_join("p.words", " ").alias("words"), F.col("p.doc_id").alias("doc_ids"),
+        F.transform("p", lambda x: F.struct(x["part"], x["rn"], x["n"])).alias("pieces"),
+    )
+    path = new_path(docs.sparkSession, "mix-blocks")
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def mixed_blocks(docs: DataFrame) -> DataFrame:
+    """shard, slot (within its source), source, block, n_words, words, doc_ids: a row per slot.
+
+    ``words`` are the block's words joined by single blanks, ``doc_ids`` the documents they come
+    from, in order.
+    """
+    sizes = keep(sized(docs), "mix-sizes")
+    sources = keep(targets(sizes), "mix-sources")
+    return _blocks(docs, sizes, sources, cuts_of(sizes)).drop("idx", "pieces")
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row.
+    """doc_id, size, source_size, target, taken of every row; taken is counted in the mixed blocks.
 
     Null and empty texts have size 0 and are never taken; a null source is a source. Repeated
     rows are documents of their own. Targets of sources without words are 0.
     """
     sizes = keep(sized(docs), "mix-sizes")
     sources = keep(targets(sizes), "mix-sources")
-    rows = keep(placed(sizes, sources), "mix-rows")
-    full = F.least(F.lit(BLOCK), F.col("source_size") - F.col("block") * BLOCK)
-    used = (
-        slots(sources).join(sources.select("idx", "source_size"), "idx")
-        .groupBy("idx", "block")
-        .agg(
-            F.sum((F.col("n_words") == full).cast("long")).alias("whole"),
-            F.sum(F.when(F.col("n_words") < full, F.col("n_words")).otherwise(0)).alias("front"),
-        )
-    )
-    lo, hi = F.col("lo"), F.col("hi")
-    part = F.col("whole") * (hi - lo) + F.greatest(F.least(F.col("front"), hi) - lo, F.lit(0))
+    cuts = cuts_of(sizes)
     key = ["idx", "part", "rn"]
-    taken = pieces(rows).join(used, ["idx", "block"]).groupBy(*key).agg(F.sum(part).alias("taken"))
+    rows = keep(placed(sizes, sources, cuts).select(*key, "doc_id", "size"), "mix-rows")
+    used = _blocks(docs, sizes, sources, cuts).select("idx", F.explode("pieces").alias("p"))
+    taken = used.select("idx", "p.*").groupBy(*key).agg(F.sum("n").alias("taken"))
     return (
         rows.join(taken, key, "left")
         .join(sources.select("idx", "source_size", "target"), "idx")
@@ -178,35 +235,34 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents, with the columns of ``docs``.
 
-    Each full pass over a source gives its documents unchanged; the last pass gives the words of
-    the drawn blocks, in their order and joined by single blanks (n_chars counts them anew).
+    Every pass over a source gives the words of its drawn blocks: a document whose words are all
+    drawn unchanged, of others what is drawn, in order and joined by single blanks (n_chars counts
+    anew).
     Documents of which nothing is drawn are not in it, so empty ones never are.
     """
     names = docs.columns
     sizes = keep(sized(docs, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), "mix-docs")
     sources = keep(targets(sizes.drop("row")), "mix-sources")
-    rows = keep(placed(sizes, sources), "mix-rows")
+    rows = keep(placed(sizes, sources, cuts_of(sizes)), "mix-rows")
     key = ["idx", "part", "rn"]
-    passes = sources.where("source_size > 0").select(
-        "idx", F.floor(F.col("take") / F.col("source_size")).cast("int").alias("passes")
-    )
-    drawn = slots(sources).join(passes, "idx").where(F.col("pass") == F.col("passes"))
-    cuts = pieces(rows.select(*key, "off", "size")).join(drawn.select("idx", "block", "n_words"), ["idx", "block"])
+    drawn = slots(sources).select("idx", "block", "pass", "n_words")
+    cuts = pieces(rows.select(*key, "off", "size")).join(drawn, ["idx", "block"])
     cuts = cuts.withColumn("hi", F.least("hi", "n_words")).where("hi > lo")
     start = F.col("block") * BLOCK + F.col("lo") - F.col("off")
-    span = F.struct(start.cast("int").alias("at"), (F.col("hi") - F.col("lo")).cast("int").alias("n"))
-    spans = cuts.groupBy(*key).agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    text = F.col("row.text")
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    some = F.transform(
-        F.array(words),
-        lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, s["at"] + 1, s["n"]))), " "),
-    )
-    part = F.when(F.col("spans").isNotNull(), some).otherwise(F.array().cast("array<string>"))
-    rows = rows.where("size > 0").join(passes, "idx").join(spans, key, "left")
-    out = rows.select(
-        "row", F.explode(F.concat(F.array_repeat(text, F.col("passes")), part)).alias("taken")
-    )
+    n = F.col("hi") - F.col("lo")
+    span = F.struct(start.cast("int").alias("at"), n.cast("int").alias("n"))
+    spans = cuts.groupBy(*key, "pass").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.sum(n).alias("n"))
+    draws = spans.groupBy(*key).agg(F.collect_list(F.struct("spans", "n")).alias("draws"))
+    text, size = F.col("row.text"), F.col("size")
+    some = F.exists("draws", lambda d: d["n"] < size)
+    words = F.when(some, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+
+    def drawn_text(w: Column, d: Column) -> Column:
+        part = F.flatten(F.transform(d["spans"], lambda s: F.slice(w, s["at"] + 1, s["n"])))
+        return F.when(d["n"] == size, text).otherwise(F.array_join(part, " "))
+
+    every = F.flatten(F.transform(F.array(words), lambda w: F.transform("draws", lambda d: drawn_text(w, d))))
+    out = rows.join(draws, key).select("row", F.explode(every).alias("taken"))
     new = {"text": F.col("taken"), "n_chars": F.char_length("taken").cast("long")}
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
 

@@ -146,6 +146,37 @@ def test_mixing(spark, folders, kind):
         assert sum(r.taken for r in got) == pytest.approx(sum(target.values()), abs=len(target))
 
 
+@pytest.mark.parametrize("kind", KINDS)
+def test_mixed_blocks(spark, folders, kind):
+    """Every slot holds its block's words, and the counts over the shards meet the targets."""
+    docs = spark.read.parquet(f"{folders[kind]}/documents.parquet")
+    streams, of = defaultdict(list), defaultdict(set)
+    for r in sorted(brute.rows(folders[kind]), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)):
+        streams[r["source"]] += [(w.decode(), r["doc_id"]) for w in brute.words(r["text"])]
+        of[r["doc_id"]].update(w.decode() for w in brute.words(r["text"]))
+    sizes = {s: len(w) for s, w in streams.items()}
+    got = mixing.mixed_blocks(docs).collect()
+    shards, seen = defaultdict(Counter), defaultdict(list)
+    for r in got:
+        words = r.words.split(" ")
+        assert len(words) == r.n_words <= mixing.BLOCK and 0 <= r.shard < mixing.OUTPUT_SHARDS
+        assert set(words) <= set().union(*[of[d] for d in r.doc_ids])
+        if kind == "sf":  # doc_ids are distinct there, so the order of words is fixed
+            at = streams[r.source][r.block * mixing.BLOCK :][: r.n_words]
+            assert words == [w for w, _ in at]
+            assert r.doc_ids == list(dict.fromkeys(d for _, d in at))
+        shards[r.source][r.shard] += r.n_words
+        seen[r.source].append(r.slot)
+    target = brute_targets(sizes)
+    for s, want in target.items():
+        assert sorted(seen[s]) == list(range(len(seen[s])))
+        assert abs(sum(shards[s].values()) - want) <= 1
+    if kind == "sf":
+        assert len({r.shard for r in got}) > mixing.OUTPUT_SHARDS // 2
+        counts = Counter(r.doc_id for r in mixing.op5_mixed_blocks(spark, folders[kind]).collect() if r.taken)
+        assert set(counts) == {d for r in got for d in r.doc_ids}
+
+
 def test_mixing_of_no_rows(spark, empty):
     assert mixing.op5_mixed_blocks(spark, empty).collect() == []
 
