@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from admeter.sources.shared import delete, new_path
+
 #: A word: a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Columns of the documents table.
@@ -47,8 +52,6 @@ def range_of(key: str, bounds: list) -> Column:
 
 def merge_settings(spark: SparkSession, **conf: str):
     """Set session options for the work inside a ``with`` block."""
-    from contextlib import contextmanager
-
     @contextmanager
     def held():
         before = {k: spark.conf.get(k, None) for k in conf}
@@ -61,3 +64,18 @@ def merge_settings(spark: SparkSession, **conf: str):
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     return held()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``keep`` for tables that nothing reads after the ``with`` block; they are deleted there."""
+    paths = []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        paths.append(new_path(spark, name))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    yield held
+    for path in paths:
+        delete(spark, path)
