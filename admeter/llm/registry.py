@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from admeter.llm import bpe, conversation_trie, katz, kd_shards, language, merkle, mixing, near_text, near_vectors, quality_rules, token_rollup, token_spans
+from admeter.llm import bpe, conversation_trie, html_crf, katz, kd_shards, language, merkle, mixing, near_text, near_vectors, quality_rules, token_rollup, token_spans
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         near_text.op8_minhash_hamming,
         bpe.op9_speculative_bpe,
         token_rollup.op10_token_rollup,
+        html_crf.op11_html_crf,
         token_spans.op12_token_spans,
         conversation_trie.op13_conversation_trie,
     )
