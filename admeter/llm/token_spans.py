@@ -8,7 +8,7 @@ two byte offsets where tokens of both end; a link is a pair of tokens that end t
 Text is encoded in segments: a single blank or newline between two other characters ends a token of
 A (a pre-token starts there) and of B (no piece holds a blank after another character, a newline is a
 byte token), so a segment has the same tokens alone as in its text. Segments repeat, so each is
-encoded once per worker. Links are counted per batch of documents; a batch asks for the corpus-wide
+encoded once per batch or two, side by side with others. Links are counted per batch of documents; a batch asks for the corpus-wide
 counts of its distinct pairs, a join that Spark may spill, and adds them up per document.
 
 Defined cases: null or empty texts, and texts whose joined tokens are not space + text (U+2581 in a
@@ -36,8 +36,8 @@ from admeter.sources.shared import keep
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A segment ends before a single blank or newline between two characters that are no white space.
 BOUNDARY = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: Characters that are split at a time, and segments that are encoded at a time.
-STRETCH, CHUNK = 1 << 20, 4096
+#: Characters that are split at a time, and segments that are encoded at a time, behind a segment of no interest.
+STRETCH, CHUNK, SENTINEL = 1 << 20, 2048, " a"
 #: A batch of documents ends with this many characters or this many known segments.
 BATCH, KNOWN = 16 << 20, 300_000
 #: A pair of ids as one number: A's id times this, plus B's.
@@ -80,11 +80,13 @@ class Spans:
         self.b = sentencepiece.SentencePieceProcessor(model_file=file_b)
         byte = byte_level()
         vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a = {i: bytes(byte[c] for c in piece) for piece, i in vocabulary.items()}
-        pieces = ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        self.bytes_b = {
-            i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in pieces
-        }
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for piece, i in vocabulary.items():
+            self.bytes_a[i] = bytes(byte[c] for c in piece)
+        pieces = map(self.b.id_to_piece, range(self.b.get_piece_size()))
+        self.fallback = np.array([self.b.is_byte(i) for i in range(self.b.get_piece_size())])
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if f else p.replace(BLANK, " ").encode() for p, f in zip(pieces, self.fallback, strict=True)]
+        self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.clear()
 
     def clear(self) -> None:
@@ -93,61 +95,79 @@ class Spans:
         self.groups: list[str] = []
         self.starts, self.links = array("q", [0]), array("q")
 
-    def spans_a(self, segment: str, enc) -> tuple[list[int], list[int]]:
-        """Ids and byte ends of A's tokens."""
-        ids, offsets = enc.ids, enc.offsets
-        if segment.isascii():
-            return ids, [e for _, e in offsets]
-        at = [0]
-        for c in segment:
-            o = ord(c)
-            at.append(at[-1] + (1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4))
-        ends, last = [], len(ids) - 1
-        for k, (i, (_, e)) in enumerate(zip(ids, offsets, strict=True)):
-            whole = k == last or offsets[k + 1][0] >= e  # else the next token has bytes of the same character
-            ends.append(at[e] if whole else (ends[-1] if ends else 0) + len(self.bytes_a[i]))
-        return ids, ends
-
-    def spans_b(self, segment: str, proto) -> tuple[list[int], list[int]]:
-        """Ids and byte ends of B's tokens in the segment, whose first character B's own blank is."""
-        ids, ends = [], []
-        pieces = proto.pieces
-        shift = 1 if segment[0] == " " else 0  # B adds the blank; before a newline it is dropped again
-        for p in pieces if shift else pieces[1:]:
-            i = p.id
-            ids.append(i)
-            ends.append((ends[-1] if ends else 0) + 1 if self.b.is_byte(i) else p.end + shift)
-        return ids, ends
+    def spans_a(self, text: str, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and byte ends of A's tokens; ``chars`` has the byte offset of each character and of the end."""
+        enc = self.a.encode(text, add_special_tokens=False)
+        ids, offsets = np.array(enc.ids, np.int64), np.array(enc.offsets, np.int64).reshape(-1, 2)
+        decoded = np.cumsum(self.size_a[ids])
+        # where the next token starts with the character after, the offset is the cut; else both share a character
+        whole = np.append(offsets[1:, 0], len(chars)) >= offsets[:, 1]
+        ends = np.where(whole, chars[offsets[:, 1]], decoded)
+        return (ids, ends) if (ends == decoded).all() else None
+
+    def spans_b(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and byte ends of B's tokens in a text that starts with the blank that B adds."""
+        pieces = self.b.encode(text[1:], return_type="proto").pieces
+        found = np.array([(p.id, p.end) for p in pieces], np.int64).reshape(-1, 2)
+        ids = found[:, 0]
+        decoded = np.cumsum(self.size_b[ids])
+        ends = np.where(self.fallback[ids], decoded, found[:, 1] + 1)  # a byte token's span may be its character's
+        return (ids, ends) if (ends == decoded).all() else None
 
     def learn(self, segments: list[str]) -> None:
-        for k in range(0, len(segments), CHUNK):
-            part = segments[k : k + CHUNK]
-            found_a = self.a.encode_batch(part, add_special_tokens=False)
-            found_b = self.b.encode([s[1:] if s[0] == " " else s for s in part], return_type="proto", num_threads=1)
-            for s, a, b in zip(part, found_a, found_b, strict=True):
-                self.add(s, self.spans_a(s, a), self.spans_b(s, b))
-
-    def add(self, segment: str, a: tuple[list[int], list[int]], b: tuple[list[int], list[int]]) -> None:
-        data = segment.encode()
+        """Encodes new segments, many in one text where they can stand side by side."""
+        plain = [s for s in segments if len(s) > 1 and not s[1].isspace() and not s[-1].isspace()]
+        for k in range(0, len(plain), CHUNK):
+            self.add(plain[k : k + CHUNK], SENTINEL)
+        if len(plain) < len(segments):
+            held = set(plain)
+            for s in segments:
+                if s not in held:
+                    self.add([s], "" if len(s) < 2 or s[1].isspace() else SENTINEL)
+
+    def add(self, segments: list[str], front: str) -> None:
+        text = front + "".join(segments)
+        data = text.encode()
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        chars = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+        a, b = self.spans_a(text, chars), self.spans_b(text)
+        whole = (
+            a is not None
+            and b is not None
+            and b"".join(map(self.bytes_a.__getitem__, a[0].tolist())) == data == b"".join(map(self.bytes_b.__getitem__, b[0].tolist()))
+        )
+        if not whole and len(segments) > 1:  # some segment is not what its tokens say
+            for s in segments:
+                self.add([s], front)
+            return
+        if not whole:
+            self.index[segments[0]] = len(self.groups)
+            for x, v in ((self.n_a, -1), (self.n_b, 0), (self.n_groups, 0), (self.starts, len(self.links))):
+                x.append(v)
+            self.groups.append("")
+            return
         (ids_a, ends_a), (ids_b, ends_b) = a, b
-        whole = b"".join(map(self.bytes_a.__getitem__, ids_a)) == data == b"".join(map(self.bytes_b.__getitem__, ids_b))
-        groups, i = [], 0
-        if whole:
-            first_a = first_b = 0
-            for j, end in enumerate(ends_b):
-                while ends_a[i] < end:
-                    i += 1
-                if ends_a[i] == end:
-                    self.links.append(ids_a[i] * PAIR + ids_b[j])
-                    left = ",".join(map(str, ids_a[first_a : i + 1]))
-                    groups.append(f"{left}|{','.join(map(str, ids_b[first_b : j + 1]))}")
-                    first_a, first_b = i + 1, j + 1
-        self.index[segment] = len(self.groups)
-        self.n_a.append(len(ids_a) if whole else -1)
-        self.n_b.append(len(ids_b))
-        self.n_groups.append(len(groups))
-        self.groups.append(";".join(groups))
-        self.starts.append(len(self.links))
+        borders = chars[np.cumsum([len(front), *map(len, segments)])]  # where segments begin and end
+        at_a, at_b = (np.searchsorted(e, borders, "right") for e in (ends_a, ends_b))
+        shared, in_a, in_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        cuts = np.searchsorted(shared, borders, "right")
+        left, right = ids_a.tolist(), ids_b.tolist()
+        groups, i0, j0 = [], 0, 0
+        for i, j in zip((in_a + 1).tolist(), (in_b + 1).tolist(), strict=True):
+            if i - i0 == 1 == j - j0:
+                groups.append(f"{left[i0]}|{right[j0]}")
+            else:
+                groups.append(f"{','.join(map(str, left[i0:i]))}|{','.join(map(str, right[j0:j]))}")
+            i0, j0 = i, j
+        known = len(self.groups)
+        self.index.update(zip(segments, range(known, known + len(segments)), strict=True))
+        where = cuts.tolist()
+        self.groups += [";".join(groups[x:y]) for x, y in zip(where, where[1:], strict=False)]
+        self.n_a.frombytes(np.diff(at_a).astype(np.int64).tobytes())
+        self.n_b.frombytes(np.diff(at_b).astype(np.int64).tobytes())
+        self.n_groups.frombytes(np.diff(cuts).astype(np.int64).tobytes())
+        self.starts.frombytes((len(self.links) + cuts[1:] - cuts[0]).astype(np.int64).tobytes())
+        self.links.frombytes((ids_a[in_a] * PAIR + ids_b[in_b])[cuts[0] :].tobytes())
 
     def codes(self, stretches: list[str]) -> list[np.ndarray]:
         """The numbers of the segments of each stretch."""
