@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from admeter.llm.common import WORD, boundaries, partitions, range_of, table, text_or_empty
+from admeter.llm.common import WORD, boundaries, merge_settings, partitions, range_of, table, text_or_empty
 from admeter.sources.shared import keep, new_path
 
 WEIGHTS = (5, 2, 1)
@@ -26,7 +26,7 @@ BLOCK = 64
 OUTPUT_SHARDS = 64
 SEED = 20
 ROUNDS = 24
-#: Slots made by one row of the first expansion.
+#: Blocks made by one row of the first expansion.
 CHUNK = 65_536
 
 
@@ -67,7 +67,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """Image of ``x`` under a pseudorandom permutation of 0 .. n-1 chosen by ``key``."""
+    """Image of ``x`` under a pseudorandom permutation of 0 .. n-1 chosen by ``key``: swap-or-not rounds."""
 
     def step(at: Column, r: Column) -> Column:
         partner = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), *key, r), n) - at, n)
@@ -77,36 +77,46 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, step)
 
 
-def slots(sources: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHARDS) -> DataFrame:
-    """One row per slot: idx, shard, slot, block, n_words (taken from the front of the block)."""
+def slots(ranges: DataFrame, block: int = BLOCK, shards: int = OUTPUT_SHARDS) -> DataFrame:
+    """One row per slot and range that holds words of its block: idx, part, shard, slot, block, n_words, pass.
+
+    ``ranges`` has idx, part, start and s (words of the source before the range, and in it). Each of
+    its blocks looks up its slot: the rounds of ``permuted`` undo themselves, so in reverse order
+    they lead from the block to the number that it is the image of. One round is one projection;
+    what it takes from source, pass and round alone comes with the range.
+    """
     size, take = F.col("source_size"), F.col("take")
-    last = F.pmod(size, F.lit(block))
-    rows = sources.where((size > 0) & (take > 0)).select(
-        "idx", size.alias("size"), F.floor(size / block).alias("full"), last.alias("tail"),
-        F.floor(take / size).alias("passes"), F.pmod(take, size).alias("rem"),
-    )
-    rows = rows.withColumn("in_pass", F.col("full") + (F.col("tail") > 0).cast("long"))
-    rows = rows.withColumn(
-        "n", F.col("passes") * F.col("in_pass") + F.ceil(F.col("rem") / block)
-    ).where("n > 0")
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))
-    rows = rows.withColumn("chunk", chunk).repartition(partitions(sources.sparkSession))
-    first = F.col("chunk") * CHUNK
-    slot = F.explode(F.sequence(first, F.least(first + CHUNK, "n") - 1))
-    rows = rows.withColumn("slot", slot)
-    rows = rows.withColumn("pass", F.floor(F.col("slot") / F.col("in_pass")))
-    rows = rows.withColumn("at", F.pmod("slot", "in_pass"))
-    at, full = F.col("at"), F.col("full")
-    image = permuted(at, F.greatest(full, F.lit(1)), F.col("idx"), F.col("pass"))
-    room = F.when(at < full, F.lit(block).cast("long")).otherwise(F.col("tail"))
-    left = F.when(F.col("pass") < F.col("passes"), room).otherwise(F.col("rem") - at * block)
-    return rows.select(
-        "idx", "slot",
-        F.pmod(F.xxhash64(F.lit(SEED + 2), "idx", "slot"), F.lit(shards)).cast("int").alias("shard"),
-        F.when(at < full, image).otherwise(full).alias("block"),
-        F.least(room, left).alias("n_words"),
-        F.col("pass"),
+    rows = ranges.where((size > 0) & (take > 0) & (F.col("s") > 0)).select(
+        "idx", "part", "start", "s", size.alias("size"), F.floor(size / block).alias("full"),
+        F.pmod(size, F.lit(block)).alias("tail"), F.floor(take / size).alias("passes"), F.pmod(take, size).alias("rem"),
+    )
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), "passes")))
+    n = F.greatest("full", F.lit(1))
+    keys = F.transform(
+        F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: F.pmod(F.xxhash64(F.lit(SEED), "idx", "pass", r), n)
     )
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("s") - 1) / block)
+    chunk = F.explode(F.sequence(F.floor(first / CHUNK), F.floor(last / CHUNK)))
+    rows = rows.select("*", first.alias("first"), last.alias("last"), chunk.alias("chunk"))
+    rows = rows.repartition(partitions(ranges.sparkSession), "idx", "part", "pass", "chunk").withColumn("keys", keys)
+    low, high = F.greatest("first", F.col("chunk") * CHUNK), F.least("last", (F.col("chunk") + 1) * CHUNK - 1)
+    rows = rows.withColumn("block", F.explode(F.sequence(low, high))).withColumn("at", F.col("block"))
+    for r in range(ROUNDS, 0, -1):
+        at, partner = F.col("at"), F.col("partner")
+        rows = rows.withColumn("partner", F.pmod(F.element_at("keys", r) - at, n))
+        coin = F.pmod(F.xxhash64(F.lit(SEED + 1), "idx", "pass", F.lit(r), F.greatest(at, partner)), F.lit(2))
+        rows = rows.withColumn("at", F.when(coin == 0, at).otherwise(partner))
+    full = F.col("full")
+    rows = rows.withColumn("at", F.when(F.col("block") < full, F.col("at")).otherwise(full))
+    room = F.when(F.col("block") < full, F.lit(block).cast("long")).otherwise(F.col("tail"))
+    left = F.when(F.col("pass") < F.col("passes"), room).otherwise(F.col("rem") - F.col("at") * block)
+    in_pass = full + (F.col("tail") > 0).cast("long")
+    number = (F.col("pass") * in_pass + F.col("at")).alias("slot")
+    # a filter on what a generator gives is not pushed into the rounds, where it would be written out
+    made = F.inline(F.array(F.struct(number, F.least(room, left).alias("n_words"))))
+    rows = rows.select("idx", "part", "block", "pass", made)
+    shard = F.pmod(F.xxhash64(F.lit(SEED + 2), "idx", "slot"), F.lit(shards)).cast("int").alias("shard")
+    return rows.where("n_words > 0").select("*", shard)
 
 
 def cuts_of(sizes: DataFrame) -> list:
@@ -114,32 +124,32 @@ def cuts_of(sizes: DataFrame) -> list:
     return boundaries(sizes, "doc_id", partitions(sizes.sparkSession))
 
 
-def placed(sizes: DataFrame, sources: DataFrame, cuts: list, wide: DataFrame | None = None) -> DataFrame:
-    """Adds idx and off, the words of the source before the document, and a row's key (part, rn).
-
-    Prefix sums run inside ranges of doc_id, so that a hot source is spread over many tasks;
-    what lies before a range comes from the sums of the ranges. ``wide`` has the same rows as
-    ``sizes`` with more columns, and gets the same keys with the same cuts.
-    """
-    part = range_of("doc_id", cuts)
+def named(rows: DataFrame, sources: DataFrame, cuts: list) -> DataFrame:
+    """Adds part, the range of doc_id, and idx, the number of the source."""
     names = sources.select(F.col("source").alias("name"), "idx")
+    rows = rows.withColumn("part", range_of("doc_id", cuts))
+    return rows.join(names, F.col("source").eqNullSafe(F.col("name"))).drop("name")
 
-    def named(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("part", part).join(names, F.col("source").eqNullSafe(F.col("name")))
-        return rows.drop("name")
 
-    sums = named(sizes).groupBy("idx", "part").agg(F.sum("size").alias("s"))
-    rows = named(sizes if wide is None else wide)
+def ranges_of(sizes: DataFrame, sources: DataFrame, cuts: list) -> DataFrame:
+    """idx, part, s (words), start (words of the source before), source_size, take: a row per source and range."""
+    sums = named(sizes, sources, cuts).groupBy("idx", "part").agg(F.sum("size").alias("s"))
     earlier = Window.partitionBy("idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("idx", "part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("start"))
+    sums = sums.withColumn("start", F.coalesce(F.sum("s").over(earlier), F.lit(0)))
+    return sums.join(sources.select("idx", "source_size", "take"), "idx")
+
+
+def placed(rows: DataFrame, sources: DataFrame, cuts: list, ranges: DataFrame) -> DataFrame:
+    """Adds idx, a row's key (part, rn), off, the words of the source before the document, and start and s.
+
+    Prefix sums run inside ranges of doc_id, so that a hot source is spread over many tasks;
+    what lies before a range comes from the sums of the ranges.
+    """
     inside = Window.partitionBy("idx", "part").orderBy("doc_id", "h", "size")
     before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("rn", F.row_number().over(inside)).withColumn("inner", before)
-    return (
-        rows.join(sums, ["idx", "part"])
-        .withColumn("off", F.col("start") + F.col("inner"))
-        .drop("start", "inner")
-    )
+    rows = named(rows, sources, cuts).withColumn("rn", F.row_number().over(inside)).withColumn("inner", before)
+    rows = rows.join(ranges.select("idx", "part", "start", "s"), ["idx", "part"])
+    return rows.withColumn("off", F.col("start") + F.col("inner")).drop("inner")
 
 
 def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -154,7 +164,10 @@ def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def worded(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The cuts of ``pieces`` with their words, joined by single blanks; a text is split once."""
+    """The cuts of ``pieces`` with their words, joined by single blanks; a text is split once.
+
+    ``inner`` says that the whole block lies in the range of the row.
+    """
     off, end = F.col("off"), F.col("off") + F.col("size")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     numbers = F.sequence(F.floor(off / block), F.floor((end - 1) / block))
@@ -170,32 +183,41 @@ def worded(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
     # a one-element array binds the words to a name, so that they are computed once
     every = F.flatten(F.transform(F.array(words), lambda w: F.transform(numbers, lambda b: piece(w, b))))
-    rows = rows.where("size > 0").select("idx", "part", "rn", "doc_id", F.explode(every).alias("p"))
-    return rows.select("idx", "part", "rn", "doc_id", "p.*")
+    first, after = F.col("start"), F.col("start") + F.col("s")
+    rows = rows.where("size > 0").select("idx", "part", "rn", "doc_id", first.alias("first"), after.alias("after"), F.explode(every).alias("p"))
+    inner = (F.col("p.block") * block >= F.col("first")) & ((F.col("p.block") + 1) * block <= F.col("after"))
+    return rows.select("idx", "part", "rn", "doc_id", "p.*", inner.alias("inner"))
 
 
-def _blocks(docs: DataFrame, sizes: DataFrame, sources: DataFrame, cuts: list) -> DataFrame:
-    """``mixed_blocks`` and, as ``pieces``, the row (part, rn) and number of words of each document."""
-    rows = worded(placed(sizes, sources, cuts, sized(docs, text_or_empty().alias("text"))))
-    # the same plan at every size: slots would not stay small enough to be broadcast
-    rows = slots(sources).join(rows.hint("merge"), ["idx", "block"]).where("lo < n_words")
+def _blocks(docs: DataFrame, sizes: DataFrame, sources: DataFrame, cuts: list, ranges: DataFrame) -> DataFrame:
+    """``mixed_blocks`` and, as ``pieces``, the row (part, rn) and number of words of each document.
+
+    A text is dealt once, by source and range of doc_id; it is cut there and meets the slots of the
+    range. Only blocks that reach over a border of ranges are put together in a further shuffle.
+    """
+    spark = docs.sparkSession
+    rows = worded(placed(sized(docs, text_or_empty().alias("text")), sources, cuts, ranges))
     n = F.least("hi", "n_words") - F.col("lo")
     front = F.call_function("substring_index", "words", F.lit(" "), n.cast("int"))
     words = F.when(F.col("hi") <= F.col("n_words"), F.col("words")).otherwise(front)
     one = F.struct("lo", n.alias("n"), "doc_id", "part", "rn", words.alias("words"))
-    # dealt by (idx, block) already: no further shuffle
-    rows = rows.groupBy("idx", "block", "slot", "shard", "n_words").agg(
-        F.sort_array(F.collect_list(one)).alias("p")
-    )
-    names = F.broadcast(sources.select("idx", "source"))
-    rows = rows.join(names, "idx").select(
-        "shard", "slot", "source", "idx", "block", "n_words",
-        F.array_join("p.words", " ").alias("words"), F.col("p.doc_id").alias("doc_ids"),
-        F.transform("p", lambda x: F.struct(x["part"], x["rn"], x["n"])).alias("pieces"),
-    )
-    path = new_path(docs.sparkSession, "mix-blocks")
-    rows.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    every = F.sort_array(F.collect_list(one)).alias("p")
+    slot = ["idx", "block", "slot", "shard", "n_words"]
+    # rows dealt by (idx, part) may stay where they are for joins and groups by more columns
+    with merge_settings(spark, **{"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        # the same plan at every size: slots would not stay small enough to be broadcast
+        rows = slots(ranges).join(rows.hint("merge"), ["idx", "part", "block"]).where("lo < n_words")
+        inner = rows.where("inner").groupBy(*slot, "part").agg(every).drop("part")
+        across = rows.where("not inner").groupBy(*slot).agg(every)
+        rows = inner.unionByName(across)
+        rows = rows.join(sources.select("idx", "source"), "idx").select(
+            "shard", "slot", "source", "idx", "block", "n_words",
+            F.array_join("p.words", " ").alias("words"), F.col("p.doc_id").alias("doc_ids"),
+            F.transform("p", lambda x: F.struct(x["part"], x["rn"], x["n"])).alias("pieces"),
+        )
+        path = new_path(spark, "mix-blocks")
+        rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def mixed_blocks(docs: DataFrame) -> DataFrame:
@@ -206,7 +228,9 @@ def mixed_blocks(docs: DataFrame) -> DataFrame:
     """
     sizes = keep(sized(docs), "mix-sizes")
     sources = keep(targets(sizes), "mix-sources")
-    return _blocks(docs, sizes, sources, cuts_of(sizes)).drop("idx", "pieces")
+    cuts = cuts_of(sizes)
+    ranges = keep(ranges_of(sizes, sources, cuts), "mix-ranges")
+    return _blocks(docs, sizes, sources, cuts, ranges).drop("idx", "pieces")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -219,8 +243,9 @@ def mix(docs: DataFrame) -> DataFrame:
     sources = keep(targets(sizes), "mix-sources")
     cuts = cuts_of(sizes)
     key = ["idx", "part", "rn"]
-    rows = keep(placed(sizes, sources, cuts).select(*key, "doc_id", "size"), "mix-rows")
-    used = _blocks(docs, sizes, sources, cuts).select("idx", F.explode("pieces").alias("p"))
+    ranges = keep(ranges_of(sizes, sources, cuts), "mix-ranges")
+    rows = keep(placed(sizes, sources, cuts, ranges).select(*key, "doc_id", "size"), "mix-rows")
+    used = _blocks(docs, sizes, sources, cuts, ranges).select("idx", F.explode("pieces").alias("p"))
     taken = used.select("idx", "p.*").groupBy(*key).agg(F.sum("n").alias("taken"))
     return (
         rows.join(taken, key, "left")
@@ -243,10 +268,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
     sizes = keep(sized(docs, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), "mix-docs")
     sources = keep(targets(sizes.drop("row")), "mix-sources")
-    rows = keep(placed(sizes, sources, cuts_of(sizes)), "mix-rows")
+    borders = cuts_of(sizes)
+    ranges = keep(ranges_of(sizes, sources, borders), "mix-ranges")
+    rows = keep(placed(sizes, sources, borders, ranges).drop("start", "s"), "mix-rows")
     key = ["idx", "part", "rn"]
-    drawn = slots(sources).select("idx", "block", "pass", "n_words")
-    cuts = pieces(rows.select(*key, "off", "size")).join(drawn, ["idx", "block"])
+    drawn = slots(ranges).select("idx", "part", "block", "pass", "n_words")
+    # sources are few rows before they are expanded: without the hint the slots would be broadcast at every size
+    cuts = pieces(rows.select(*key, "off", "size")).hint("merge").join(drawn, ["idx", "part", "block"])
     cuts = cuts.withColumn("hi", F.least("hi", "n_words")).where("hi > lo")
     start = F.col("block") * BLOCK + F.col("lo") - F.col("off")
     n = F.col("hi") - F.col("lo")

@@ -189,6 +189,24 @@ def test_permutations(spark):
         assert n < 64 or got != list(range(n))
 
 
+def test_slots_undo_the_permutation(spark):
+    block = mixing.BLOCK
+    sources = [(0, 0, 0, 700 * block + 5, 700 * block + 5, 2 * (700 * block + 5) + 300 * block + 9), (1, 0, 0, 10, 10, 25), (2, 0, 0, 0, 0, 0)]
+    ranges = spark.createDataFrame(sources, "idx int, part int, start long, s long, source_size long, take long")
+    got = mixing.slots(ranges).collect()
+    for idx, _, _, _, size, take in sources:
+        mine = [r for r in got if r.idx == idx]
+        full = size // block
+        assert sum(r.n_words for r in mine) == take
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
+        if mine:
+            in_pass = full + (size % block > 0)
+            pairs = spark.createDataFrame([(r.slot % in_pass, r["pass"], r.block) for r in mine if r.slot % in_pass < full] or [(0, 0, 0)], "at long, pass long, block long")
+            image = mixing.permuted(F.col("at"), F.lit(max(full, 1)), F.lit(idx), F.col("pass"))
+            assert pairs.where(image != F.col("block")).count() == 0
+            assert all(r.block == full for r in mine if r.slot % in_pass >= full)
+
+
 def test_rollup_oracle(spark, folders):
     df = token_rollup.op10_token_rollup(spark, folders["sf"])
     assert difference(df, connect(folders["sf"]), token_rollup.OP10_SQL) is None
