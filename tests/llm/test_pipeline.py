@@ -74,3 +74,44 @@ def test_run(spark, folders):
     got = corpus_pipeline.run(spark, folders["sf"])
     assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and got.count() > 100
     assert corpus_pipeline.run(spark, folders["empty"]).collect() == []
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_odd_rows_reach_every_stage(spark, folders, name):
+    docs = spark.read.parquet(f"{folders['odd']}/documents.parquet")
+    after = rows_of(STAGES[name](spark, docs, folders["odd"]))
+    before = rows_of(docs)
+    if name == "BPE encoding and decoding":
+        assert len(after) == len(before)
+        return
+    assert all(list(r) == docs.columns for r in after)
+    if name == "quality classifier":  # three usable labels teach no rule
+        assert Counter(map(str, after)) == Counter(map(str, before))
+    elif name == "language ID":
+        assert {r["doc_id"] for r in after} >= {1, 5, 14} and 2 not in {r["doc_id"] for r in after}
+    elif name == "MinHash near-dedup":
+        assert sorted(r["doc_id"] for r in after if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 13, 14]
+        assert sum(r["doc_id"] is None for r in after) == 2
+    else:
+        sizes = Counter()
+        for r in before:
+            sizes[r["source"]] += len(brute.words(r["text"]))
+        target, taken = brute_targets(sizes), Counter()
+        for r in after:
+            taken[r["source"]] += len(brute.words(r["text"]))
+        assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+
+
+@pytest.mark.parametrize("labels", [[], [(i, 0, 0) for i in range(30)], [(i, 1, 0) for i in range(100)]])
+def test_labels_that_teach_nothing_drop_nothing(spark, folders, tmp_path, labels):
+    docs = spark.read.parquet(f"{folders['sf']}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert STAGES["quality classifier"](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_unlike_texts_of_one_doc_id_both_stay(spark, folders):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (5, b), (9, a + " more"), (3, "something else altogether here today"), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(STAGES["MinHash near-dedup"](spark, docs, folders["sf"]).collect(), key=str)
+    assert [tuple(r) for r in got] == sorted([(5, a), (5, b), rows[4], (None, a), (None, a)], key=str)
