@@ -20,8 +20,14 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble predicts to be of quality 1."""
+    """Documents that the rule ensemble predicts to be of quality 1; all, if no rule could be learned.
+
+    That is so with fewer than 40 usable labels, with labels of one value only, or where no rule
+    tells them apart: a base rate alone says nothing about a document.
+    """
     model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    if not model.rules:
+        return docs
     rows = docs.withColumn("__stats", quality_rules.stats_of(F.col("text")))
     return rows.where(model.score("__stats") >= quality_rules.THRESHOLD).drop("__stats")
 
@@ -37,19 +43,29 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each class of near-duplicates (five words, 0.8), one row each."""
-    found = near_text.classes(docs.select("doc_id", "text"))
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    rows = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    again = keep(again.select(F.col("doc_id").alias("__again")), "pipeline-repeated")
-    if again.isEmpty():
-        return rows
-    same = F.col("doc_id") == F.col("__again")
-    once = rows.join(again, same, "left_semi").groupBy("doc_id").agg(
-        F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
-    )
-    return rows.join(again, same, "left_anti").unionByName(once.select("row.*"))
+    """One document of each group of near-duplicates (five words, 0.8): the smallest doc_id, one row.
+
+    Rows are compared by their texts: unlike texts under one doc_id stay both, equal rows of
+    doc_id and text become one (the smallest). Rows without doc_id all stay.
+    """
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    rows = docs.withColumn("__own", own)
+    ids = rows.select("doc_id", "__own")
+    found = near_text.classes(docs.where("doc_id is not null").select(own.alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("node"), "component_id").distinct()
+    found = keep(found, "pipeline-classes")
+    # only classes of several texts have anything to drop
+    several = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = ids.join(found.join(several, "component_id"), F.col("__own") == F.col("node"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    gone = members.join(first, "component_id").where("node <> first.node").select(F.col("node").alias("__gone")).distinct()
+    rows = rows.join(gone, F.col("__own") == F.col("__gone"), "left_anti")
+    again = ids.where("__own is not null").groupBy("__own").count().where("count > 1")
+    again = keep(again.select(F.col("__own").alias("__again")), "pipeline-repeated")
+    same = F.col("__own") == F.col("__again")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = rows.join(again, same, "left_semi").groupBy("__own").agg(F.min(F.struct(*columns)).alias("row"))
+    return rows.join(again, same, "left_anti").select(*columns).unionByName(once.select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
