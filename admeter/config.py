@@ -17,6 +17,10 @@ class Settings:
     dedup_ttl_ms: int = 60 * MINUTE_MS
     attribution_window_ms: int = 24 * HOUR_MS
     allowed_lateness_ms: int = 5 * MINUTE_MS
+    # How long streams wait for rows behind the newest event; later rows go to a table of their own.
+    stream_lateness_ms: int = 15 * MINUTE_MS
+    # Longest span between kept copies of one id that streams behind the de-duplication wait for.
+    span_ms: int = 3 * HOUR_MS
     counter_ttl_ms: int = 48 * HOUR_MS
 
     hot_window_ms: int = 48 * HOUR_MS

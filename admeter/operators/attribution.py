@@ -29,7 +29,7 @@ def _with_previous(events: DataFrame, keys: list[str], settings: Settings, hot:
     return previous_match(events, keys, ORDER, _relevant(), click, "_prev", settings, hot)
 
 
-def _converts(settings: Settings) -> Column:
+def converts(settings: Settings) -> Column:
     delta = F.col("event_timestamp_ms") - F.col("_prev.event_timestamp_ms")
     return (
         (F.col("event_type") == "ADD_TO_CART")
@@ -39,7 +39,7 @@ def _converts(settings: Settings) -> Column:
     )
 
 
-def _conversion() -> dict[str, Column]:
+def conversion_of() -> dict[str, Column]:
     """Columns of the conversion made from a cart and the click in ``_prev``."""
     delta = F.col("event_timestamp_ms") - F.col("_prev.event_timestamp_ms")
     made = {
@@ -63,8 +63,8 @@ def conversions(
 ) -> DataFrame:
     """Only the conversions. Clicks and carts alone are shuffled, by session."""
     rows = kept.where(_relevant()).select(*EVENT_COLUMNS)
-    paired = _with_previous(rows, keys, settings, hot).where(_converts(settings))
-    return paired.select(*[c.alias(name) for name, c in _conversion().items()])
+    paired = _with_previous(rows, keys, settings, hot).where(converts(settings))
+    return paired.select(*[c.alias(name) for name, c in conversion_of().items()])
 
 
 def enrich(
@@ -72,25 +72,15 @@ def enrich(
     settings: Settings,
     keys: list[str] = SESSION,
     hot: HotKeys | None = None,
-    extra: list[str] = [],
 ) -> DataFrame:
-    """All unique events and the conversions among them, from one pass over ``kept``.
-
-    A conversion takes over the ``extra`` columns of its cart.
-    """
-    rows = _with_previous(kept.select(*EVENT_COLUMNS, *extra), keys, settings, hot)
-    itself = F.struct(*EVENT_COLUMNS, *extra)
-    made = F.struct(*[c.alias(name) for name, c in _conversion().items()], *extra)
-    both = F.when(_converts(settings), F.array(itself, made)).otherwise(F.array(itself))
+    """All unique events and the conversions among them, from one pass over ``kept``."""
+    rows = _with_previous(kept.select(*EVENT_COLUMNS), keys, settings, hot)
+    itself = F.struct(*EVENT_COLUMNS)
+    made = F.struct(*[c.alias(name) for name, c in conversion_of().items()])
+    both = F.when(converts(settings), F.array(itself, made)).otherwise(F.array(itself))
     return rows.select(F.inline(both))
 
 
-def last_relevant(rows: DataFrame, keys: list[str] = SESSION) -> DataFrame:
-    """The newest click or cart of every session: all that later rows need to know."""
-    newest = F.max_by(F.struct(*EVENT_COLUMNS), F.struct(*ORDER)).alias("r")
-    return rows.where(_relevant()).groupBy(*keys).agg(newest).select("r.*")
-
-
 def duration_ms() -> Column:
     return F.col("custom_tags")["durationMs"].cast("bigint")
 

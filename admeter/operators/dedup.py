@@ -63,11 +63,14 @@ def _fold(events: DataFrame, ttl_ms: int) -> DataFrame:
         .groupBy("event_id")
         .agg(F.collect_list(F.struct(*[c for c in columns if c != "event_id"])).alias("_rows"))
     )
-    rows = F.col("_rows")
+    return grouped.select("event_id", F.inline(kept_rows(F.col("_rows"), ttl_ms))).select(*columns)
+
+
+def kept_rows(rows: Column, ttl_ms: int) -> Column:
+    """The rows (structs) of one id that stay, of an array of all of them."""
     # The fold is the array that is walked, so it runs once per id and not once per row.
     several = F.transform(_kept_positions(rows, ttl_ms), lambda i: F.get(rows, i))
-    kept = F.when(F.size(rows) == 1, rows).otherwise(several)
-    return grouped.select("event_id", F.inline(kept)).select(*columns)
+    return F.when(F.size(rows) == 1, rows).otherwise(several)
 
 
 def _walk(events: DataFrame, ttl_ms: int) -> DataFrame:

@@ -21,16 +21,16 @@ from admeter.plans import ingest, serving
 from admeter.session import prepare, state_partitions
 from admeter.sources import lake
 from admeter.sources.event_table import (
+    arrival_stream,
     canonical,
-    canonical_stream,
     dead_letters,
     read_table,
     request_log,
 )
 from admeter.sources.shared import new_path
 from admeter.streaming import attribution as stream_attribution
-from admeter.streaming import counters, job, tables
-from admeter.streaming.dedup import within_watermark
+from admeter.streaming import clock, counters, job
+from admeter.streaming import dedup as stream_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,7 +68,7 @@ def query(f: Query) -> Query:
 
 
 def stream_query(f: Query) -> Query:
-    """A query that runs streams; their state has one partition per core."""
+    """A query that runs streams; their state has one partition per two cores."""
 
     @wraps(f)
     def run(spark, sf):
@@ -866,27 +866,38 @@ def lake_upsert(spark, sf):
 ONCE = {"availableNow": True}
 
 
-def _finish(stream: DataFrame, folder: str) -> None:
-    """Write a stream to a table, one folder per micro-batch, until the input is used up."""
+def _finish(stream: DataFrame, folder: str) -> DataFrame:
+    """Write a stream to a table until its input is used up."""
     (
-        stream.writeStream.foreachBatch(
-            lambda df, batch_id: tables.write_batch(df, f"{folder}/rows", batch_id)
-        )
+        stream.writeStream.format("parquet")
+        .option("path", f"{folder}/rows")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(**ONCE)
         .start()
         .awaitTermination()
     )
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def _valid_arrivals(spark, sf, parts: int = 4) -> DataFrame:
+    return ingest.valid(arrival_stream(spark, sf, parts)).select(*EVENT_COLUMNS)
+
+
+def _closed(spark, sf, name: str, operator) -> DataFrame:
+    """A stateful operator over the valid events in four micro-batches, then the end of the stream."""
+    folder = new_path(spark, name)
+    rows = clock.punctual(_valid_arrivals(spark, sf), SETTINGS)
+    rows = clock.timed(clock.closable(rows, f"{folder}/closing"), SETTINGS.stream_lateness_ms)
+    made = operator(rows, SETTINGS)
+    _finish(made, folder)
+    clock.close(spark, f"{folder}/closing")
+    return _finish(made, folder)
 
 
 @stream_query
 def stream_click_to_basket(spark, sf):
-    """Attribution by keyed state over the valid events."""
-    folder = new_path(spark, "stream-conversions")
-    stream = ingest.valid(canonical_stream(spark, sf)).select(*EVENT_COLUMNS)
-    made = stream_attribution.conversions(stream, SETTINGS)
-    _finish(made, folder)
-    return tables.read_batches(spark, f"{folder}/rows", made.schema).select(
+    """Attribution by an interval join of streams over the valid events."""
+    return _closed(spark, sf, "stream-conversions", stream_attribution.conversions).select(
         *CONVERSION_COLUMNS,
         attribution.duration_ms().alias("duration_ms"),
         attribution.attributed_click().alias("attributed_click_id"),
@@ -895,44 +906,44 @@ def stream_click_to_basket(spark, sf):
 
 @stream_query
 def stream_unique_ids(spark, sf):
-    """Built-in de-duplication on state; which copy of an id stays is up to arrival."""
-    folder = new_path(spark, "stream-unique")
-    stream = ingest.valid(canonical_stream(spark, sf)).select("event_id", "event_timestamp_ms")
-    kept = within_watermark(stream, SETTINGS).drop("event_ts")
-    _finish(kept, folder)
-    return tables.read_batches(spark, f"{folder}/rows", kept.schema).select("event_id")
+    """De-duplication in event-time session windows: the ids of all kept events."""
+    return _closed(spark, sf, "stream-unique", stream_dedup.unique).select("event_id")
+
+
+@stream_query
+def stream_late(spark, sf):
+    """Valid events that a stream with five minutes of patience does not wait for."""
+    settings = replace(SETTINGS, stream_lateness_ms=SETTINGS.allowed_lateness_ms)
+    behind = clock.late(_valid_arrivals(spark, sf), settings)
+    return _finish(behind, new_path(spark, "stream-late")).select(*FLAT)
 
 
 @stream_query
 def stream_counts(spark, sf):
     """Running counts per (tenant, campaign, type)."""
     folder = new_path(spark, "stream-counts")
-    stream = ingest.valid(canonical_stream(spark, sf))
+    stream = _valid_arrivals(spark, sf)
     counters.count_stream(stream, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
     return counters.current_counts(spark, f"{folder}/rows")
 
 
-def _stream_job(spark, sf, exact: bool) -> job.Folders:
+def _stream_job(spark, sf, parts: int) -> DataFrame:
     out = job.Folders(new_path(spark, "stream-job"))
-    raw = canonical_stream(spark, sf).select(*EVENT_COLUMNS)
-    job.run_available(raw, out, SETTINGS, exact)
-    return out
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    job.run_available(arrival_stream(spark, sf, parts), out, SETTINGS, ends=True, files=files)
+    return job.enriched(spark, out).select(*FLAT, attribution.duration_ms().alias("duration_ms"))
 
 
 @stream_query
 def stream_enriched(spark, sf):
-    """The whole stream job on state tables: unique events and conversions."""
-    return job.enriched(spark, _stream_job(spark, sf, exact=True)).select(
-        *FLAT, attribution.duration_ms().alias("duration_ms")
-    )
+    """The whole stream job over four micro-batches: unique events and conversions."""
+    return _stream_job(spark, sf, 4)
 
 
 @stream_query
 def stream_enriched_stateful(spark, sf):
-    """The whole stream job on Spark's state store."""
-    return job.enriched(spark, _stream_job(spark, sf, exact=False)).select(
-        *FLAT, attribution.duration_ms().alias("duration_ms")
-    )
+    """The same rows when state crosses twice as many micro-batches."""
+    return _stream_job(spark, sf, 8)
 
 
 @stream_query
@@ -940,7 +951,7 @@ def stream_hot_counters(spark, sf):
     """The hot counter sink over the valid events, read at ``as_of``."""
     folder = new_path(spark, "stream-counters")
     (
-        ingest.valid(canonical_stream(spark, sf))
+        _valid_arrivals(spark, sf, 8)
         .writeStream.foreachBatch(
             lambda df, batch_id: counters.add_deltas(df, f"{folder}/deltas", batch_id)
         )

@@ -33,13 +33,13 @@ def build(app: str = "admeter", master: str | None = None, **conf: str) -> Spark
 
 @contextmanager
 def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None]:
-    """Streams first started inside get ``n`` state partitions, by default one per core.
+    """Streams first started inside get ``n`` state partitions, by default one per two cores.
 
     The number is part of the checkpoint; later starts keep it.
     """
     setting = "spark.sql.shuffle.partitions"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, str(n or spark.sparkContext.defaultParallelism))
+    spark.conf.set(setting, str(n or max(1, spark.sparkContext.defaultParallelism // 2)))
     try:
         yield
     finally:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from admeter.config import Settings
-from admeter.model import EVENT_COLUMNS
+from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA
 from admeter.operators.hot_keys import find_hot, row_number
 from admeter.session import prepare
+from admeter.sources.shared import new_path
 
 CANONICAL = """
 SELECT
@@ -53,16 +55,23 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CANONICAL, events=read_table(spark, sf_dir, "events"))
 
 
-def canonical_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
-    """The same events as a stream over the table's files."""
-    schema = read_table(spark, sf_dir, "events").schema
-    raw = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events*.parquet")
-        .option("maxFilesPerTrigger", files)
-        .parquet(sf_dir)
-    )
-    return spark.sql(CANONICAL, events=raw)
+def arrival_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
+    """The same events as a stream in the order of arrival, ``parts`` micro-batches of about equal size.
+
+    The table is written anew in ranges of ``arrival_ms``; a trigger takes the files of one range.
+    """
+    events = canonical(spark, sf_dir).select(*EVENT_COLUMNS)
+    shares = [i / parts for i in range(1, parts)]
+    cuts = events.agg(F.percentile_approx("arrival_ms", shares, 10_000)).first()[0] if shares else []
+    files = max(1, len(events.inputFiles()) // parts)
+    path = new_path(spark, "arrivals")
+    bounds = [None, *sorted(set(cuts or [])), None]
+    at = F.coalesce("arrival_ms", "event_timestamp_ms", F.lit(0))
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        rows = events if low is None else events.where(at > low)
+        rows = rows if high is None else rows.where(at <= high)
+        rows.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def dead_letters(rejected: DataFrame, settings: Settings) -> DataFrame:

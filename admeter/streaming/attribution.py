@@ -1,163 +1,55 @@
-"""Click-to-basket attribution on a stream, in two forms.
-
-``conversions`` and ``enriched`` keep state per session in RocksDB with event-time timers.
-
-``ExactAttribution`` gives the batch semantics: between micro-batches it keeps a table with
-the newest click or cart of each session, and the batch operator runs over it and the new rows.
+"""Click-to-basket attribution on a stream: windows, a stream-stream interval join, an aggregate.
+
+A cart converts iff the click or cart right before it in its session is a click, near enough
+(``operators/attribution.py``). Clicks and carts are first gathered per session and minute; inside a
+minute the row before is at hand. Each minute then meets, in an interval join over the attribution
+window, the last row of every earlier minute of its session, and the latest of these is what its first
+row follows. A session takes part with at most one row per minute, so what the join makes of it is
+bounded by its minutes, however many events it has. All state is Spark's, cleaned by the watermark;
+conversions come out when the watermark has passed their minute.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from admeter.config import Settings
-from admeter.functions import events as E
-from admeter.model import CONVERSION, EVENT_COLUMNS, EVENT_SCHEMA
-from admeter.operators.attribution import SESSION, enrich, last_relevant
-from admeter.operators.hot_keys import find_hot
-from admeter.streaming.dedup import progress_ms
-from admeter.streaming.tables import read_batch, write_batch
-
-# Workers get the processor's code with the plan, so they need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-STATE = "event_id string, campaign_id string, cost double, at_ms bigint, taken boolean"
-MADE = ["duration_ms", "click_id"]
-OUTPUT = T.StructType(
-    [
-        *[f for f in EVENT_SCHEMA.fields if f.name != "custom_tags"],
-        T.StructField("duration_ms", T.LongType()),
-        T.StructField("click_id", T.StringType()),
-    ]
-)
-INPUT = [n for n in OUTPUT.fieldNames() if n not in MADE]
-
-
-class Attribution(StatefulProcessor):
-    """State: the session's last click and whether a cart has taken it.
-
-    The clicks and carts that a micro-batch brings for a session are taken in event-time
-    order. A timer at the end of the click's window clears the state; a timer of an older
-    click leaves a newer one alone.
-    """
-
-    def __init__(self, window_ms: int, pass_events: bool):
-        self.window_ms, self.pass_events = window_ms, pass_events
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.click = handle.getValueState("click", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        relevant = []
-        for r in rows:
-            if self.pass_events:
-                yield Row(**{n: r[n] for n in INPUT}, duration_ms=None, click_id=None)
-            if r["event_type"] in ("CLICK", "ADD_TO_CART"):
-                relevant.append(r)
-        if not relevant:
-            return
-        relevant.sort(key=lambda r: (r["event_timestamp_ms"], r["seq"]))
-        last = before = self.click.get()
-        for r in relevant:
-            at = r["event_timestamp_ms"]
-            if r["event_type"] == "CLICK":
-                last = (r["event_id"], r["campaign_id"], r["cost"], at, False)
-            elif last is not None and not last[4] and 0 <= at - last[3] <= self.window_ms:
-                click_id, campaign, cost, click_at, _ = last
-                made = {
-                    **r.asDict(),
-                    "event_id": f"{r['event_id']}_att",
-                    "campaign_id": campaign,
-                    "event_type": CONVERSION,
-                    "cost": cost,
-                    "placement_id": None,
-                    "geo_country": None,
-                    "device_type": None,
-                    "duration_ms": at - click_at,
-                    "click_id": click_id,
-                }
-                yield Row(**{n: made[n] for n in OUTPUT.fieldNames()})
-                last = (click_id, campaign, cost, click_at, True)
-        if last is not before:
-            self.click.update(tuple(last))
-            if before is None or last[3] != before[3]:
-                self.handle.registerTimer(last[3] + self.window_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        last = self.click.get()
-        if last is not None and last[3] + self.window_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.click.clear()
-        return iter(())
+from admeter.config import MINUTE_MS, Settings
+from admeter.model import EVENT_COLUMNS, ORDER
+from admeter.operators.attribution import conversion_of, converts
 
-    def close(self) -> None:
-        pass
+#: What a conversion takes over from its cart and click.
+_CARRIED = [*ORDER, *[c for c in EVENT_COLUMNS if c not in (*ORDER, "session_id", "custom_tags")]]
 
 
-def conversions(unique: DataFrame, settings: Settings) -> DataFrame:
-    """Streaming conversions. Clicks and carts alone reach the state."""
-    relevant = unique.where(F.col("event_type").isin("CLICK", "ADD_TO_CART"))
-    return _by_session(timed(relevant, settings.allowed_lateness_ms), settings, False)
-
-
-def enriched(timed_events: DataFrame, settings: Settings) -> DataFrame:
-    """The events (with ``event_ts`` and its watermark) and the conversions among them."""
-    return _by_session(timed_events, settings, True)
-
-
-def timed(events: DataFrame, lateness_ms: int) -> DataFrame:
-    at = E.event_ts(F.col("event_timestamp_ms"))
-    return events.withColumn("event_ts", at).withWatermark("event_ts", f"{lateness_ms} milliseconds")
-
-
-def _by_session(events: DataFrame, settings: Settings, pass_events: bool) -> DataFrame:
-    rows = events.where(F.col("session_id").isNotNull()).select(*INPUT, "event_ts")
-    made = rows.groupBy("session_id").transformWithState(
-        statefulProcessor=Attribution(settings.attribution_window_ms, pass_events),
-        outputStructType=OUTPUT,
-        outputMode="Append",
-        timeMode="EventTime",
+def conversions(timed: DataFrame, settings: Settings) -> DataFrame:
+    """Conversions (``EVENT_COLUMNS``) among unique events with ``event_ts`` and its watermark."""
+    relevant = timed.where(F.col("event_type").isin("CLICK", "ADD_TO_CART") & F.col("session_id").isNotNull())
+    rows = F.sort_array(F.collect_list(F.struct(*_CARRIED))).alias("rows")
+    minutes = relevant.groupBy("session_id", F.window("event_ts", "1 minute")).agg(rows)
+    minutes = minutes.withColumn("at", F.window_time("window"))
+    here = minutes.select("session_id", "at", "rows")
+    before = minutes.select(
+        F.col("session_id").alias("session"), F.col("at").alias("earlier"), F.element_at("rows", -1).alias("row")
     )
-    tags = F.create_map(
-        F.lit("durationMs"), F.col("duration_ms").cast("string"),
-        F.lit("attributedClickId"), F.col("click_id"),
+    reach = F.expr(f"INTERVAL '{settings.attribution_window_ms // MINUTE_MS + 1}' MINUTE")
+    needs = F.element_at("rows", 1)["event_type"] == "ADD_TO_CART"
+    near = (F.col("earlier") < F.col("at")) & (F.col("earlier") >= F.col("at") - reach)
+    joined = here.join(before, (F.col("session_id") == F.col("session")) & near & needs, "left_outer")
+    # the join gives each minute once per earlier minute, or once alone
+    latest = joined.groupBy("session_id", "at").agg(F.first("rows").alias("rows"), F.max("row").alias("before"))
+    return latest.select("session_id", F.inline(_pairs())).where(converts(settings)).select(
+        *[c.alias(name) for name, c in conversion_of().items()]
     )
-    is_made = F.col("event_type") == CONVERSION
-    with_tags = made.withColumn("custom_tags", F.when(is_made & F.col("click_id").isNotNull(), tags))
-    return with_tags.select(*EVENT_COLUMNS)
 
 
-class ExactAttribution:
-    """Keeps the newest click or cart per session in ``path``, one folder per micro-batch."""
-
-    def __init__(self, path: str, settings: Settings):
-        self.path, self.settings = path, settings
-
-    def _known(self, rows: DataFrame, batch_id: int) -> DataFrame:
-        spark = rows.sparkSession
-        return read_batch(spark, self.path, batch_id - 1, EVENT_SCHEMA)
-
-    def enriched(self, kept: DataFrame, batch_id: int) -> DataFrame:
-        """The new events and their conversions."""
-        rows = kept.withColumn("_new", F.lit(True))
-        if batch_id > 0:
-            known = self._known(kept, batch_id).withColumn("_new", F.lit(False))
-            rows = rows.unionByName(known)
-        hot = find_hot(rows, SESSION, self.settings)
-        return enrich(rows, self.settings, hot=hot, extra=["_new"]).where("_new").drop("_new")
-
-    def remember(self, kept: DataFrame, batch_id: int) -> None:
-        """Store what the next batch needs: sessions whose last click may still convert."""
-        rows = kept.unionByName(self._known(kept, batch_id)) if batch_id > 0 else kept
-        horizon = self.settings.attribution_window_ms + self.settings.allowed_lateness_ms
-        newest = rows.agg(F.max(progress_ms())).first()[0]
-        if newest is not None:
-            rows = rows.where(F.col("event_timestamp_ms") >= newest - horizon)
-        write_batch(last_relevant(rows), self.path, batch_id)
+def _pairs() -> Column:
+    """Every row of a minute with the row before it, as ``_prev``."""
+    rows = F.col("rows")
+    return F.transform(
+        rows,
+        lambda r, i: F.struct(
+            *[r[c].alias(c) for c in _CARRIED],
+            F.when(i == 0, F.col("before")).otherwise(F.get(rows, i - 1)).alias("_prev"),
+        ),
+    )

@@ -1,67 +1,41 @@
-"""De-duplication on a stream, in two forms.
+"""De-duplication on a stream with the rule of the batch operator, in Spark's own state.
 
-``within_watermark`` is the built-in operator on RocksDB state: lowest latency; an id is
-forgotten when the watermark has passed the TTL, so the horizon follows the watermark.
-
-``ExactDedup`` gives the batch semantics. Between micro-batches it keeps a table with the one
-live anchor of each recent id; the batch operator runs over these anchors and the new rows.
+Rows of one id that are more than the TTL apart never have an anchor in common. So an event-time
+session window with a gap just above the TTL holds every row that can decide about another; when the
+watermark has passed it, the fold of the batch operator picks the rows that stay. State is one value
+per open id: the rows of its window. A row comes out a TTL and the lateness after the last row of its
+id, at the earliest; an id redelivered again and again within the TTL stays open until that ends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from admeter.config import Settings
 from admeter.functions import events as E
-from admeter.model import EVENT_SCHEMA
-from admeter.operators.dedup import unique
-from admeter.operators.hot_keys import find_hot
-from admeter.streaming.tables import read_batch, write_batch
+from admeter.model import EVENT_COLUMNS
+from admeter.operators.dedup import kept_rows
+
+
+def unique(timed: DataFrame, settings: Settings) -> DataFrame:
+    """Kept rows (``EVENT_COLUMNS``) of a stream with ``event_ts`` and its watermark."""
+    others = [c for c in EVENT_COLUMNS if c != "event_id"]
+    gap = f"{settings.dedup_ttl_ms + 1} milliseconds"
+    chains = timed.groupBy("event_id", F.session_window("event_ts", gap)).agg(
+        F.collect_list(F.struct(*others)).alias("_rows")
+    )
+    kept = kept_rows(F.col("_rows"), settings.dedup_ttl_ms)
+    return chains.select("event_id", F.inline(kept)).select(*EVENT_COLUMNS)
 
 
 def within_watermark(events: DataFrame, settings: Settings) -> DataFrame:
-    """Unique events with ``event_ts``, whose watermark trails by the TTL."""
+    """The built-in operator: rows come out at once, but an id is forgotten with the watermark.
+
+    Copies that come later than that stay, and which copy of a micro-batch stays is open.
+    """
     return (
         events.withColumn("event_ts", E.event_ts(F.col("event_timestamp_ms")))
         .withWatermark("event_ts", f"{settings.dedup_ttl_ms} milliseconds")
         .dropDuplicatesWithinWatermark(["event_id"])
     )
-
-
-def progress_ms() -> Column:
-    """How far a row shows event time to be: no further than its arrival, where that is known.
-
-    A row dated far ahead would else make the state of all keys look old.
-    """
-    at = F.col("event_timestamp_ms")
-    return F.least(at, F.coalesce("arrival_ms", at))
-
-
-class ExactDedup:
-    """Keeps anchors in ``path``, one folder per micro-batch; batches must come in order."""
-
-    def __init__(self, path: str, settings: Settings):
-        self.path, self.settings = path, settings
-
-    def kept(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """New rows that are not duplicates of each other or of live anchors."""
-        spark = batch.sparkSession
-        rows = batch.withColumn("_new", F.lit(True))
-        if batch_id > 0:
-            anchors = read_batch(spark, self.path, batch_id - 1, EVENT_SCHEMA)
-            rows = rows.unionByName(anchors.withColumn("_new", F.lit(False)))
-        hot = find_hot(rows, ["event_id"], self.settings)
-        return unique(rows, self.settings, hot).where("_new").drop("_new")
-
-    def remember(self, kept: DataFrame, batch_id: int) -> None:
-        """Store the anchors the next batch needs: kept rows still within TTL and lateness."""
-        spark = kept.sparkSession
-        rows = kept
-        if batch_id > 0:
-            rows = rows.unionByName(read_batch(spark, self.path, batch_id - 1, EVENT_SCHEMA))
-        horizon = self.settings.dedup_ttl_ms + self.settings.allowed_lateness_ms
-        newest = rows.agg(F.max(progress_ms())).first()[0]
-        if newest is not None:
-            rows = rows.where(F.col("event_timestamp_ms") >= newest - horizon)
-        write_batch(rows, self.path, batch_id)

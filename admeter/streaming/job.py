@@ -1,17 +1,18 @@
-"""The end-to-end stream: raw events in; enriched events, counters, lake and dead letters out.
+"""The end-to-end stream: raw events in; unique events, conversions, counters, lake, dead letters out.
 
-    raw -> validate -> de-duplicate -> attribute -> {enriched, counters, lake}
-     |         |-> rejected -> dead letters
-     |-> unreadable records, late rows -> tables of their own
+    raw -> valid -> de-duplicated -> unique
+     |  |                              |-> attributed -> conversions
+     |  |-> rejected -> dead           |            |
+     |-> late                          `------------`-> counters, lake
+     `-> unreadable
 
-Two forms. ``exact`` runs the batch operators on every micro-batch over small state tables
-(live ids, newest click or cart per session) and gives the rows of the batch plan. The other
-form keeps the state in Spark's RocksDB store: lower latency, horizons that follow the watermark.
+Each arrow to a table is a streaming query of its own; tables are written by Spark's file sink, whose
+log gives every row once, and are the sources of the queries after them. All state is Spark's (RocksDB):
+session windows, windows, one interval join. Rows that the watermark would lose (too late, dated
+ahead) are told apart before it by a rule without state and go to ``late``.
 
-All sinks of a micro-batch are written from one persisted set of rows, in folders named by the
-batch, so running a batch again changes nothing. Set ``spark.sql.shuffle.partitions`` before
-the first start: the number of state partitions is fixed for the life of a checkpoint. The
-source's rows-per-trigger limit bounds what one micro-batch holds, also of one session.
+Set ``spark.sql.shuffle.partitions`` before the first start: the number of state partitions is
+fixed for the life of a checkpoint.
 """
 
 from __future__ import annotations
@@ -29,11 +30,9 @@ from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA
 from admeter.plans import ingest as plans
 from admeter.sources import lake
 from admeter.streaming import counters
-from admeter.streaming.attribution import ExactAttribution
-from admeter.streaming.attribution import enriched as stateful_enriched
-from admeter.streaming.dedup import ExactDedup, within_watermark
-from admeter.streaming.late import LateSplit
-from admeter.streaming.tables import forget, read_batches, write_batch
+from admeter.streaming.attribution import conversions
+from admeter.streaming.clock import closable, close, late, punctual, timed
+from admeter.streaming.dedup import unique
 
 DEAD_SCHEMA = T.StructType(
     [
@@ -42,14 +41,6 @@ DEAD_SCHEMA = T.StructType(
         T.StructField("dlq_reason", T.StringType()),
     ]
 )
-LATE_FIELDS = ["source_partition", "max_before"]
-LATE_SCHEMA = T.StructType(
-    [
-        *EVENT_SCHEMA.fields,
-        T.StructField("source_partition", T.IntegerType()),
-        T.StructField("max_before", T.LongType()),
-    ]
-)
 
 
 @dataclass(frozen=True)
@@ -64,110 +55,144 @@ class Folders:
     def checkpoint(self, name: str) -> str:
         return f"{self.root}/checkpoints/{name}"
 
+    def closing(self, name: str) -> str:
+        return f"{self.root}/closing/{name}"
 
-Decoder = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
-
-def _fan_out(rows: DataFrame, out: Folders, batch_id: int) -> None:
-    write_batch(rows, out.enriched, batch_id)
-    counters.add_deltas(rows, out.counters, batch_id)
-    lake.append(rows, out.lake, f"batch-{batch_id}")
+#: Turns source records into (events, unreadable records).
+Decoder = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def _start(stream: DataFrame, name: str, out: Folders, each, trigger: dict) -> StreamingQuery:
+def _writer(stream: DataFrame, name: str, out: Folders, trigger: dict):
     return (
         stream.writeStream.queryName(f"{name}-{out.root.rsplit('/', 1)[-1]}")
-        .foreachBatch(each)
         .option("checkpointLocation", out.checkpoint(name))
         .trigger(**trigger)
-        .start()
     )
 
 
-def _dead(batch: DataFrame, out: Folders, batch_id: int) -> None:
-    rows = plans.rejected(batch).select(*DEAD_SCHEMA.fieldNames())
-    write_batch(rows, out.dead, batch_id)
+def _to_table(stream: DataFrame, name: str, out: Folders, trigger: dict) -> StreamingQuery:
+    """A table of the stream's rows, each once (the file sink keeps a log of what it committed)."""
+    return _writer(stream, name, out, trigger).format("parquet").option("path", f"{out.root}/{name}").start()
 
 
-def start_exact(
-    raw: DataFrame,
-    out: Folders,
-    settings: Settings,
-    trigger: dict,
-    decode: Decoder | None = None,
-) -> list[StreamingQuery]:
-    """Start the job; ``decode`` turns source records into (events, unreadable records).
+def _table_stream(spark: SparkSession, out: Folders, name: str, schema: T.StructType, files: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(f"{out.root}/{name}")
+
 
-    Events that name their ``source_partition`` are also checked for lateness: late ones are
-    processed like all others and noted in ``late``.
+def start_unique(raw: DataFrame, out: Folders, settings: Settings, trigger: dict) -> StreamingQuery:
+    valid = plans.valid(punctual(raw, settings)).select(*EVENT_COLUMNS)
+    events = timed(closable(valid, out.closing("unique")), settings.stream_lateness_ms)
+    return _to_table(unique(events, settings), "unique", out, trigger)
+
+
+def start_conversions(
+    spark: SparkSession, out: Folders, settings: Settings, trigger: dict, files: int | None = None
+) -> StreamingQuery:
+    """Attribution over the unique events, ``files`` of their table a trigger.
+
+    These come out when their id is closed: a TTL and the lateness after its last copy. An id with
+    several kept rows brings its first one later, by the span of its copies.
     """
-    dedup = ExactDedup(out.anchors, settings)
-    attribution = ExactAttribution(out.sessions, settings)
-    split = LateSplit(out.progress, settings)
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        if decode is not None:
-            records = batch
-            batch, bad = decode(records)
-            write_batch(bad, out.unreadable, batch_id)
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        _dead(batch, out, batch_id)
-        if "source_partition" in batch.columns:
-            late = split.marked(batch, batch_id).where("late")
-            write_batch(late.select(*EVENT_COLUMNS, *LATE_FIELDS), out.late, batch_id)
-            split.remember(batch, batch_id)
-            forget(batch.sparkSession, out.progress, batch_id - 2)
-        valid = plans.valid(batch).select(*EVENT_COLUMNS)
-        kept = dedup.kept(valid, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = attribution.enriched(kept, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
-        _fan_out(rows, out, batch_id)
-        dedup.remember(kept, batch_id)
-        attribution.remember(kept, batch_id)
-        for state in (out.anchors, out.sessions):
-            # The batch before the last is kept: this batch may have to run again.
-            forget(batch.sparkSession, state, batch_id - 2)
-        for df in (rows, kept, batch):
-            df.unpersist()
-
-    return [_start(raw, "events", out, each, trigger)]
-
-
-def start_stateful(
-    raw: DataFrame, out: Folders, settings: Settings, trigger: dict
-) -> list[StreamingQuery]:
-    unique = within_watermark(plans.valid(raw).select(*EVENT_COLUMNS), settings)
-    rows = stateful_enriched(unique, settings)
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        _fan_out(batch, out, batch_id)
-        batch.unpersist()
-
-    def dead(batch: DataFrame, batch_id: int) -> None:
-        _dead(batch, out, batch_id)
+    events = _table_stream(spark, out, "unique", EVENT_SCHEMA, files)
+    delay = settings.stream_lateness_ms + settings.span_ms
+    return _to_table(
+        conversions(timed(closable(events, out.closing("conversions")), delay), settings), "conversions", out, trigger
+    )
+
+
+def start_sinks(spark: SparkSession, out: Folders, trigger: dict) -> list[StreamingQuery]:
+    """Counters and lake from both tables; a micro-batch that runs again replaces what it wrote."""
+
+    def each(name: str):
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.persist(StorageLevel.MEMORY_AND_DISK)
+            counters.add_deltas(batch, f"{out.counters}/{name}", batch_id)
+            lake.append(batch, out.lake, f"{name}-{batch_id}")
+            batch.unpersist()
+
+        return write
 
     return [
-        _start(rows, "events", out, each, trigger),
-        _start(raw, "dead", out, dead, trigger),
+        _writer(_table_stream(spark, out, name, EVENT_SCHEMA, None), f"sinks-{name}", out, trigger)
+        .foreachBatch(each(name))
+        .start()
+        for name in ("unique", "conversions")
     ]
 
 
-def run_available(raw: DataFrame, out: Folders, settings: Settings, exact: bool = True) -> None:
-    """Process everything that is there, then stop; a later call goes on from the checkpoints."""
-    start = start_exact if exact else start_stateful
-    for q in start(raw, out, settings, {"availableNow": True}):
-        q.awaitTermination()
+def start_sides(raw: DataFrame, out: Folders, settings: Settings, trigger: dict) -> list[StreamingQuery]:
+    dead = plans.rejected(raw).select(*DEAD_SCHEMA.fieldNames())
+    behind = late(plans.valid(raw).select(*EVENT_COLUMNS), settings)
+    return [_to_table(dead, "dead", out, trigger), _to_table(behind, "late", out, trigger)]
+
+
+def start(raw: DataFrame, out: Folders, settings: Settings, trigger: dict, decode: Decoder | None = None) -> list[StreamingQuery]:
+    """Start the whole job; ``decode`` turns source records into events."""
+    started = []
+    if decode is not None:
+        raw, bad = decode(raw)
+        started.append(_to_table(bad, "unreadable", out, trigger))
+    spark = raw.sparkSession
+    return [
+        *started,
+        start_unique(raw, out, settings, trigger),
+        *start_sides(raw, out, settings, trigger),
+        start_conversions(spark, out, settings, trigger),
+        *start_sinks(spark, out, trigger),
+    ]
+
+
+def run_available(
+    raw: DataFrame,
+    out: Folders,
+    settings: Settings,
+    ends: bool = False,
+    decode: Decoder | None = None,
+    files: int | None = None,
+) -> dict:
+    """Process everything that is there, then stop; a later call goes on from the checkpoints.
+
+    With ``ends`` nothing will follow: windows still open are closed and come out too. Returns the
+    progress of the stateful queries.
+    """
+    spark, once, progress = raw.sparkSession, {"availableNow": True}, {"unique": [], "conversions": []}
+
+    def finish(*queries: StreamingQuery) -> None:
+        for q in queries:
+            q.awaitTermination()
+            name = q.name.split("-")[0]
+            if name in progress:
+                progress[name] += q.recentProgress
+
+    if decode is not None:
+        raw, bad = decode(raw)
+        finish(_to_table(bad, "unreadable", out, once))
+    finish(start_unique(raw, out, settings, once), *start_sides(raw, out, settings, once))
+    if ends:
+        close(spark, out.closing("unique"))
+        finish(start_unique(raw, out, settings, once))
+    finish(start_conversions(spark, out, settings, once, files))
+    if ends:
+        close(spark, out.closing("conversions"))
+        finish(start_conversions(spark, out, settings, once, files))
+    finish(*start_sinks(spark, out, once))
+    return progress
 
 
 def enriched(spark: SparkSession, out: Folders) -> DataFrame:
     """Unique events and conversions written so far."""
-    return read_batches(spark, out.enriched, EVENT_SCHEMA).drop("batch")
+    tables = [spark.read.schema(EVENT_SCHEMA).parquet(f"{out.root}/{name}") for name in ("unique", "conversions")]
+    return tables[0].unionByName(tables[1])
 
 
-def late(spark: SparkSession, out: Folders) -> DataFrame:
-    """Rows that came behind the allowed lateness of their source partition."""
-    return read_batches(spark, out.late, LATE_SCHEMA).drop("batch")
+def late_rows(spark: SparkSession, out: Folders) -> DataFrame:
+    """Valid rows that the streams did not wait for; ``lake.upsert_late`` takes them in."""
+    return spark.read.schema(EVENT_SCHEMA).parquet(out.late)
 
 
 def dead_letters(spark: SparkSession, out: Folders) -> DataFrame:
-    return read_batches(spark, out.dead, DEAD_SCHEMA).drop("batch")
+    return spark.read.schema(DEAD_SCHEMA).parquet(out.dead)

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from admeter.sources.shared import delete
-
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", 500_000).parquet(
@@ -22,14 +20,3 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     """All batches, with the column ``batch``."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     return spark.read.schema(full).option("basePath", path).parquet(path)
-
-
-def read_batch(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/batch={batch_id}")
-
-
-
-def forget(spark: SparkSession, path: str, batch_id: int) -> None:
-    """Remove a batch of a state table that no later batch reads."""
-    if batch_id >= 0:
-        delete(spark, f"{path}/batch={batch_id}")

@@ -640,8 +640,10 @@ CTE["alive_whole"] = CTE["alive"].replace(
 _QUERIES["stream_click_to_basket"] = _QUERIES["click_to_basket"].replace("conv", "conv_all")
 _QUERIES["stream_counts"] = f"""SELECT {KEYS}, count(*) AS cnt FROM valid
  WHERE campaign_id IS NOT NULL GROUP BY ALL"""
-_QUERIES["stream_unique_ids"] = "SELECT DISTINCT event_id FROM valid"
+_QUERIES["stream_unique_ids"] = "SELECT event_id FROM kept"
 _QUERIES["stream_enriched"] = f"SELECT {FLAT}, duration_ms FROM enriched"
+_QUERIES["stream_enriched_stateful"] = _QUERIES["stream_enriched"]
+_QUERIES["stream_late"] = f"SELECT {FLAT} FROM valid WHERE arrival_ms - event_timestamp_ms > 300000"
 _QUERIES["stream_hot_counters"] = f"SELECT {KEYS}, count(*) AS cnt FROM alive_whole GROUP BY ALL"
 
 

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from admeter.config import Settings
 from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA
 from admeter.operators import aggregates as A
-from admeter.operators import late
+from admeter.operators import attribution as batch_attribution
+from admeter.operators import dedup as batch_dedup
 from admeter.plans import ingest
+from admeter.session import state_partitions
 from admeter.sources import kafka, lake
-from admeter.sources.event_table import canonical
-from admeter.streaming import counters, job, tables
-from admeter.streaming.dedup import within_watermark
-from admeter.streaming.late import LateSplit
+from admeter.sources.event_table import arrival_stream, canonical
+from admeter.streaming import clock, counters, job, tables
+from admeter.streaming.attribution import conversions
+from admeter.streaming.dedup import unique, within_watermark
 from admeter.streaming.progress import ProgressLog, counted, watermark_lag_ms
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -53,6 +55,12 @@ def rows(df):
     return sorted((tuple(r) for r in df.select(*flat, tags).collect()), key=repr)
 
 
+@pytest.fixture(autouse=True)
+def few_state_partitions(spark):
+    with state_partitions(spark, 2):
+        yield
+
+
 def test_job_equals_batch_across_a_restart(spark, batch, raw, arrive, tmp_path):
     out = job.Folders(str(tmp_path / "out"))
     arrive(0)
@@ -60,16 +68,97 @@ def test_job_equals_batch_across_a_restart(spark, batch, raw, arrive, tmp_path):
     job.run_available(raw(), out, S)
     arrive(2)
     arrive(3)
-    job.run_available(raw(), out, S)
-    job.run_available(raw(), out, S)  # nothing new: nothing changes
+    progress = job.run_available(raw(), out, S)
+    state = [s for p in progress["unique"] for s in p.stateOperators]
+    assert state and all(s.numRowsDroppedByWatermark == 0 for s in state)
+    job.run_available(raw(), out, S, ends=True)
     want = ingest.enriched(batch, S)
     assert rows(job.enriched(spark, out)) == rows(want)
     dead = sorted((r.seq, r.dlq_reason, r.user_id) for r in job.dead_letters(spark, out).collect())
     assert dead == sorted((r.seq, r.dlq_reason, r.user_id) for r in ingest.rejected(batch).collect())
-    lake = spark.read.parquet(out.lake)
-    assert lake.count() == want.count()
-    got = sorted(map(tuple, counters.hot_counters(spark, [out.counters], S).collect()))
+    assert lake.whole(spark, out.lake).count() == want.count()
+    sinks = [f"{out.counters}/{name}" for name in ("unique", "conversions")]
+    got = sorted(map(tuple, counters.hot_counters(spark, sinks, S).collect()))
     assert got == sorted(map(tuple, A.hot_counters(want, S).collect()))
+    assert job.late_rows(spark, out).count() == 0
+
+
+def run_closed(spark, stream, operator, folder, delay_ms=S.stream_lateness_ms):
+    """Rows of a stateful operator over a stream that ends, and the progress of its batches."""
+    made = operator(clock.timed(clock.closable(stream, f"{folder}/closing"), delay_ms), S)
+    progress = []
+    for last in (False, True):
+        if last:
+            clock.close(spark, f"{folder}/closing")
+        q = (made.writeStream.format("parquet").option("path", f"{folder}/rows")
+             .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
+        q.awaitTermination()
+        progress += q.recentProgress
+    plan = q._jsq.lastProgress() and made._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "Python" not in plan
+    return spark.read.schema(made.schema).parquet(f"{folder}/rows"), progress
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_unique_equals_the_batch_rule(spark, batch, tmp_path, parts):
+    stream = ingest.valid(arrival_stream(spark, SF_DIR, parts)).select(*EVENT_COLUMNS)
+    got, progress = run_closed(spark, stream, unique, str(tmp_path))
+    assert rows(got) == rows(ingest.kept(batch, S))
+    assert max(s.numRowsTotal for p in progress for s in p.stateOperators) > 0
+    assert sum(s.numRowsDroppedByWatermark for p in progress for s in p.stateOperators) == 0
+
+
+def test_long_chains_of_copies(spark, raw, events, tmp_path):
+    """An id redelivered every 40 minutes over a day, one beyond the TTL, ties; in three micro-batches."""
+    minute = 60_000
+    sent = [dict(event_id="a", event_timestamp_ms=n * 40 * minute, seq=n) for n in range(36)]
+    sent += [dict(event_id="b", event_timestamp_ms=t, seq=100 + n) for n, t in enumerate((0, 60 * minute, 60 * minute + 1, 121 * minute))]
+    sent += [dict(event_id="c", event_timestamp_ms=5, seq=s) for s in (203, 201, 202)]
+    sent.sort(key=lambda r: r["event_timestamp_ms"])
+    for n in range(3):
+        events(sent[n * 15 : n * 15 + 15]).coalesce(1).write.mode("append").parquet(str(tmp_path / "raw"))
+        time.sleep(1.1)
+    got, _ = run_closed(spark, raw(), unique, str(tmp_path / "x"))
+    want = batch_dedup.unique(events(sent), S, None)
+    assert rows(got.drop("seq").withColumn("seq", F.col("event_timestamp_ms"))) == rows(
+        want.drop("seq").withColumn("seq", F.col("event_timestamp_ms")))
+    assert sorted((r.event_id, r.seq) for r in got.collect()) == sorted((r.event_id, r.seq) for r in want.collect())
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_attribution_equals_the_batch_rule(spark, batch, tmp_path, parts):
+    stream = ingest.valid(arrival_stream(spark, SF_DIR, parts)).select(*EVENT_COLUMNS)
+    got, progress = run_closed(spark, stream, conversions, str(tmp_path))
+    assert rows(got) == rows(batch_attribution.conversions(ingest.valid(batch), S))
+    assert sum(s.numRowsDroppedByWatermark for p in progress for s in p.stateOperators) == 0
+
+
+def test_a_hot_session(spark, raw, events, tmp_path):
+    """Six thousand clicks and carts of one session in two hours: the join holds minutes, not events."""
+    kinds = ["CLICK", "ADD_TO_CART", "ADD_TO_CART"]
+    sent = [
+        dict(event_id=f"e{n}", tenant_id="t", session_id="s", campaign_id="c", cost=1.0, event_type=kinds[n * 7 % 3],
+             event_timestamp_ms=n * 1200, seq=n) for n in range(6000)]
+    for n in range(2):
+        events(sent[n * 3000 : n * 3000 + 3000]).coalesce(1).write.mode("append").parquet(str(tmp_path / "raw"))
+        time.sleep(1.1)
+    got, progress = run_closed(spark, raw(), conversions, str(tmp_path / "x"))
+    assert rows(got) == rows(batch_attribution.conversions(events(sent), S))
+    joined = [s.numRowsTotal for p in progress for s in p.stateOperators if s.operatorName == "symmetricHashJoin"]
+    assert 0 < max(joined) <= 2 * 120
+
+
+def test_a_click_a_day_before_and_out_of_reach(spark, raw, events, tmp_path):
+    day = S.attribution_window_ms
+    base = dict(tenant_id="t", campaign_id="c", cost=1.0)
+    sent = []
+    for k, gap in enumerate((day, day + 1, day + 70_000, 0, 59_999, 60_000)):
+        sent += [dict(base, session_id=f"s{k}", event_id=f"k{k}", event_type="CLICK", event_timestamp_ms=30_000, seq=2 * k),
+                 dict(base, session_id=f"s{k}", event_id=f"a{k}", event_type="ADD_TO_CART", event_timestamp_ms=30_000 + gap, seq=2 * k + 1)]
+    sent.sort(key=lambda r: r["event_timestamp_ms"])
+    events(sent).coalesce(1).write.mode("append").parquet(str(tmp_path / "raw"))
+    got, _ = run_closed(spark, raw(), conversions, str(tmp_path / "x"))
+    assert sorted(r.event_id for r in got.collect()) == ["a0_att", "a3_att", "a4_att", "a5_att"]
 
 
 def test_a_batch_that_runs_again_changes_nothing(spark, batch, tmp_path):
@@ -113,20 +202,8 @@ def test_an_id_of_two_tenants_stays_with_both(spark, events, tmp_path):
         ("a", "e"), ("b", "e"), ("b", "f")]
 
 
-def test_stateful_job(spark, raw, arrive, batch, tmp_path):
-    """No redelivery in this data is within reach of another micro-batch, so rows are those of batch."""
-    out = job.Folders(str(tmp_path / "out"))
-    once = batch.where("seq % 10 <> 9 AND seq % 100 <> 98")  # without redelivered copies
-    for n in range(FILES):
-        arrive(n)
-    raw_once = raw().where("seq % 10 <> 9 AND seq % 100 <> 98")
-    job.run_available(raw_once, out, S, exact=False)
-    assert rows(job.enriched(spark, out)) == rows(ingest.enriched(once, S))
-    assert job.dead_letters(spark, out).count() == ingest.rejected(once).count()
-
-
 def test_a_row_dated_far_ahead_changes_no_other_id(spark, raw, events, tmp_path):
-    """A copy in the next micro-batch is still a duplicate, and a cart still finds its click."""
+    """A copy in the next micro-batch is still a duplicate, a cart still finds its click; the row goes aside."""
     base = dict(tenant_id="t", user_id="u", session_id="s", campaign_id="c", arrival_ms=1_000_000, cost=0.0)
     click = dict(base, event_id="a", event_type="CLICK", event_timestamp_ms=1_000_000)
     ahead = dict(base, event_id="z", event_type="IMPRESSION", session_id="far", event_timestamp_ms=10 * 86_400_000)
@@ -135,33 +212,28 @@ def test_a_row_dated_far_ahead_changes_no_other_id(spark, raw, events, tmp_path)
         events(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "raw"))
         time.sleep(1.1)
     out = job.Folders(str(tmp_path / "out"))
-    job.run_available(raw(), out, S)
-    assert sorted(r.event_id for r in job.enriched(spark, out).collect()) == ["a", "b", "b_att", "z"]
+    job.run_available(raw(), out, S, ends=True)
+    assert sorted(r.event_id for r in job.enriched(spark, out).collect()) == ["a", "b", "b_att"]
+    assert [r.event_id for r in job.late_rows(spark, out).collect()] == ["z"]
 
 
 def test_unreadable_and_late_records_of_the_job(spark, events, tmp_path):
     """Records decode inside the job; unreadable ones and late events get tables of their own."""
     base = dict(tenant_id="t", user_id="u", session_id="s", campaign_id="c", event_type="CLICK", cost=0.0)
-    sent = events([dict(base, event_id=f"e{n}", event_timestamp_ms=at) for n, at in enumerate((900_000, 800_000, 100_000))])
+    at = (2_900_000, 2_800_000, 100_000)
+    sent = events([dict(base, event_id=f"e{n}", event_timestamp_ms=t) for n, t in enumerate(at)])
     records = kafka.raw_records(sent).withColumns({
-        "timestamp": F.timestamp_millis(F.lit(900_000)), "partition": F.lit(0),
+        "timestamp": F.timestamp_millis(F.lit(2_900_000)), "partition": F.lit(0),
         "offset": F.regexp_extract("value", r'"e(\d)"', 1).cast("bigint")})
     noise = records.limit(1).withColumn("value", F.lit("{oops"))
     path = str(tmp_path / "records")
     records.unionByName(noise).coalesce(1).write.parquet(path)
     stream = spark.readStream.schema(records.schema).parquet(path)
     out = job.Folders(str(tmp_path / "out"))
-
-    def decode(batch):
-        good, bad = kafka.decode_json(batch)
-        return good.withColumn("source_partition", F.lit(0)), bad
-
-    for q in job.start_exact(stream, out, S, {"availableNow": True}, decode):
-        q.awaitTermination()
-    assert job.enriched(spark, out).count() == 3
+    job.run_available(stream, out, S, ends=True, decode=kafka.decode_json)
+    assert sorted(r.event_id for r in job.enriched(spark, out).collect()) == ["e0", "e1"]
     assert [r.payload for r in spark.read.parquet(out.unreadable).collect()] == ["{oops"]
-    late_rows = job.late(spark, out).collect()
-    assert [(r.event_id, r.max_before) for r in late_rows] == [("e2", 900_000)]
+    assert [r.event_id for r in job.late_rows(spark, out).collect()] == ["e2"]
 
 
 def test_built_in_dedup_drops_copies_across_batches(spark, raw, events, tmp_path):
@@ -179,26 +251,6 @@ def test_built_in_dedup_drops_copies_across_batches(spark, raw, events, tmp_path
     assert sorted(r.event_id for r in kept.collect()) == ["a", "b"]
 
 
-def test_late_split_equals_batch(spark, batch, tmp_path):
-    """Row by row the same progress as the batch operator, from state of one row per source."""
-    table = canonical(spark, "/root/testdata/sf0.01").where("seq < 4000").cache()
-    split = LateSplit(str(tmp_path / "progress"), S)
-    got = []
-    ordered = table.withColumn("part", F.ntile(3).over(late_window()))
-    for n in range(3):
-        part = ordered.where(F.col("part") == n + 1).drop("part")
-        got += [tuple(r) for r in split.marked(part, n).where("late").select("seq", "max_before").collect()]
-        split.remember(part, n)
-    want = [tuple(r) for r in late.late(table, S).select("seq", "max_before").collect()]
-    assert sorted(got) == sorted(want) and want
-
-
-def late_window():
-    from pyspark.sql import Window
-
-    return Window.orderBy("arrival_ms", "seq")
-
-
 def test_running_counts_go_on_after_a_restart(spark, raw, arrive, batch, tmp_path):
     where = str(tmp_path / "counts"), str(tmp_path / "checkpoint")
     for n in range(FILES):
