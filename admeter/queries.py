@@ -843,7 +843,7 @@ def lake_series(spark, sf):
 def lake_erase(spark, sf):
     """What is left per tenant and date after a tenant was erased and old dates were purged."""
     path = _lake(spark, sf)
-    lake.drop_partitions(spark, path, F.col("tenant_id") == TENANT)
+    lake.erase(spark, path, TENANT)
     lake.purge(spark, path, "dlq", SETTINGS)
     left = lake.whole(spark, path).withColumn("event_date", F.col("event_date").cast("string"))
     return A.counts(left, ["tenant_id", "event_date"])

@@ -1,31 +1,36 @@
-"""The event lake: Parquet, partitioned by tenant and UTC date.
+"""The event lake: Parquet by tenant and UTC date, behind a list of live parts (``parts.py``).
 
-All writers share one layout: below (tenant, date) lies ``part``, the name of the write. A write
-that runs again under its name replaces what it wrote before.
+Users are pseudonymised before they are written. A write that runs again under its name replaces what
+it wrote before; readers see every write, merge and deletion whole or not at all.
 """
 
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from admeter.config import Settings
+from admeter.config import DAY_MS, Settings
 from admeter.functions import events as E
+from admeter.functions.privacy import pseudonymize
 from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA, ORDER
 from admeter.operators.dedup import first_per_id
 from admeter.operators.hot_keys import keep_keys
-from admeter.sources.shared import delete, keep
+from admeter.sources.parts import Parts
 
 PARTITIONS = ["tenant_id", "event_date"]
 #: What makes two rows the same event: ids are the tenants' own.
 ONE_EVENT = ["tenant_id", "event_id"]
-WRITTEN = [*PARTITIONS, "part"]
 LAKE_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.DateType())])
-_FULL_SCHEMA = T.StructType([*LAKE_SCHEMA.fields, T.StructField("part", T.StringType())])
-MAX_RECORDS_PER_FILE = 500_000
+#: Parts of a (tenant, date) beyond which ``compact`` makes one of them.
+MOST_PARTS = 8
+
+
+def table(spark: SparkSession, path: str) -> Parts:
+    return Parts(spark, path, tuple(PARTITIONS), LAKE_SCHEMA)
 
 
 def with_date(events: DataFrame) -> DataFrame:
@@ -44,22 +49,23 @@ def laid_out(events: DataFrame) -> DataFrame:
     )
 
 
+def private(events: DataFrame) -> DataFrame:
+    """Events as they may be stored: the user is a pseudonym."""
+    return events.withColumn("user_id", pseudonymize(F.col("user_id")))
+
+
 def append(events: DataFrame, path: str, part: str | None = None) -> None:
     """Add events; a given ``part`` is replaced where it is there already."""
-    (
-        laid_out(events)
-        .withColumn("part", F.lit(part or f"write-{uuid.uuid4().hex}"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy(*WRITTEN)
-        .parquet(path)
-    )
+    table(events.sparkSession, path).add(laid_out(private(events)), part)
 
 
 def whole(spark: SparkSession, path: str) -> DataFrame:
     """All rows of all tenants, for maintenance."""
-    return spark.read.schema(_FULL_SCHEMA).parquet(path).drop("part")
+    return table(spark, path).read()
+
+
+def day_text(ms: int) -> str:
+    return date.fromordinal(date(1970, 1, 1).toordinal() + ms // DAY_MS).isoformat()
 
 
 def scan(
@@ -69,12 +75,14 @@ def scan(
     from_ms: int | None = None,
     to_ms: int | None = None,
 ) -> DataFrame:
-    """Events of one tenant and a window ``[from, to]``.
+    """Events of one tenant and a window ``[from, to]``; only folders of its dates are listed."""
+    first = day_text(from_ms) if from_ms is not None else ""
+    last = day_text(to_ms) if to_ms is not None else "~"
 
-    Time bounds are also given as ``event_date`` bounds, which Spark cannot derive by itself
-    and which let it skip partitions.
-    """
-    rows = whole(spark, path).where(F.col("tenant_id") == tenant)
+    def wanted(values: dict) -> bool:
+        return values["tenant_id"] == tenant and first <= (values["event_date"] or "") <= last
+
+    rows = table(spark, path).read(wanted).where(F.col("tenant_id") == tenant)
     ms = F.col("event_timestamp_ms")
     if from_ms is not None:
         rows = rows.where((F.col("event_date") >= E.event_date(F.lit(from_ms))) & (ms >= from_ms))
@@ -98,28 +106,24 @@ def exported(events: DataFrame, tenant: str, from_date: str, to_date: str) -> Da
     return dated.where((F.col("tenant_id") == tenant) & inside)
 
 
-def _partition_paths(spark: SparkSession, path: str, condition) -> list[str]:
-    """Folders of the (tenant, date) partitions that satisfy a condition on these columns."""
-    found = whole(spark, path).where(condition)
-    folder = F.regexp_replace(F.input_file_name(), "/[^/]+/[^/]+$", "").alias("folder")
-    return [r["folder"] for r in found.select(folder).distinct().collect()]
-
-
-def drop_partitions(spark: SparkSession, path: str, condition) -> int:
+def drop_partitions(spark: SparkSession, path: str, wanted) -> int:
     """Delete whole partitions (erase a tenant, or dates past retention); returns their number.
 
-    The list has one entry per (tenant, date), which is the size of the table's catalogue.
+    ``wanted`` gets a partition's values as text. Only the list of parts is read and written;
+    ``vacuum`` frees the space.
     """
-    folders = _partition_paths(spark, path, condition)
-    for folder in folders:
-        delete(spark, folder)
-    return len(folders)
+    return table(spark, path).drop(wanted)
+
+
+def erase(spark: SparkSession, path: str, tenant: str) -> int:
+    """Delete all dates of a tenant, at once and from the disk: readers of older lists lose them too."""
+    return table(spark, path).erase(lambda v: v["tenant_id"] == tenant)
 
 
 def purge(spark: SparkSession, path: str, dataset: str, settings: Settings) -> int:
     """Drop the dates that lie wholly before the retention limit."""
-    oldest = settings.as_of_ms - settings.retention_ms[dataset]
-    return drop_partitions(spark, path, F.col("event_date") < E.event_date(F.lit(oldest)))
+    oldest = day_text(settings.as_of_ms - settings.retention_ms[dataset])
+    return drop_partitions(spark, path, lambda v: v["event_date"] is not None and v["event_date"] < oldest)
 
 
 def merged(existing: DataFrame, late: DataFrame, settings: Settings) -> DataFrame:
@@ -138,21 +142,20 @@ def merged(existing: DataFrame, late: DataFrame, settings: Settings) -> DataFram
 
 
 def upsert_late(spark: SparkSession, path: str, late: DataFrame, settings: Settings) -> None:
-    """Merge late rows by (tenant, id) and replace exactly the partitions they touch.
-
-    The merged rows are added as a part of their own, then the older parts beside it go. Run
-    again after a failure in between, the merge finds both and leaves each event once.
-    """
-    # The result replaces what it was read from, so it is written aside first.
-    result = keep(merged(whole(spark, path), late, settings), "late-upsert")
-    part = f"merge-{uuid.uuid4().hex}"
-    append(result, path, part)
-    # one entry per touched (tenant, date) and write
-    touched = with_date(late).select(*PARTITIONS).distinct()
-    rows = spark.read.schema(_FULL_SCHEMA).parquet(path).where(F.col("part") != part)
-    files = rows.select(
-        *PARTITIONS, F.regexp_replace(F.input_file_name(), "/[^/]+$", "").alias("folder")
-    )
-    older = files.distinct().join(touched, PARTITIONS, "left_semi").select("folder")
-    for r in older.collect():
-        delete(spark, r["folder"])
+    """Merge late rows by (tenant, id) and replace exactly the partitions they touch, in one step."""
+    lake, late = table(spark, path), private(late)
+    # one entry per touched (tenant, date)
+    days = with_date(late).select("tenant_id", F.col("event_date").cast("string")).distinct().collect()
+    touched = {tuple(r) for r in days}
+    old = [e for e in lake.live() if (e["values"]["tenant_id"], e["values"]["event_date"]) in touched]
+    result = merged(lake.read_entries(old), late, settings)
+    lake.replace(old, laid_out(result), f"merge-{uuid.uuid4().hex}")
+
+
+def compact(spark: SparkSession, path: str, most: int = MOST_PARTS) -> int:
+    """One part for every (tenant, date) that lies in more than ``most``; returns how many there were."""
+    lake = table(spark, path)
+    old = lake.crowded(most)
+    if old:
+        lake.replace(old, laid_out(lake.read_entries(old)), f"compact-{uuid.uuid4().hex}")
+    return len({e["folder"] for e in old})

@@ -613,11 +613,13 @@ _QUERIES: dict[str, str] = {
    WHERE arrival_ms - event_timestamp_ms >= 300000)) WHERE rn = 1""",
 }
 
+# The lake holds pseudonyms in place of users.
+LAKE_FLAT = FLAT.replace("user_id", f"{PSEUDONYM} AS user_id")
 _LATE = "arrival_ms - event_timestamp_ms >= 300000"
-_QUERIES["lake_upsert"] = f"""{_QUERIES["late_upsert"]} UNION ALL
- SELECT {FLAT} FROM valid WHERE NOT {_LATE} AND (tenant_id, {DATE}) NOT IN (
+_QUERIES["lake_upsert"] = f"""{_QUERIES["late_upsert"].replace(FLAT, LAKE_FLAT, 1)} UNION ALL
+ SELECT {LAKE_FLAT} FROM valid WHERE NOT {_LATE} AND (tenant_id, {DATE}) NOT IN (
    SELECT (tenant_id, {DATE}) FROM valid WHERE {_LATE})"""
-_QUERIES["lake_scan"] = f"""SELECT {FLAT}, CAST({DATE} AS VARCHAR) AS event_date FROM enriched
+_QUERIES["lake_scan"] = f"""SELECT {LAKE_FLAT}, CAST({DATE} AS VARCHAR) AS event_date FROM enriched
  WHERE tenant_id = 'tenant_1'
  AND event_timestamp_ms BETWEEN {AS_OF - 12 * DAY} AND {AS_OF - 5 * DAY}"""
 _QUERIES["lake_series"] = f"""SELECT {KEYS},
