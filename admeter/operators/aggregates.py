@@ -78,7 +78,11 @@ def _until(events: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _alive(hours: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
-    """Hours since the key last came to life, for keys that are alive at ``as_of``.
+    return current_life(hours, keys, settings, settings.as_of_ms)
+
+
+def current_life(hours: DataFrame, keys: list[str], settings: Settings, as_of_ms: int) -> DataFrame:
+    """Hours since the key last came to life, for keys that are alive at ``as_of_ms``.
 
     A key dies when it is not written for longer than the counter TTL and starts from zero at
     its next write. Such a gap never lies inside one hour, so the hourly rows decide it
@@ -90,19 +94,12 @@ def _alive(hours: DataFrame, keys: list[str], settings: Settings) -> DataFrame:
     same_hour = ordered.rangeBetween(0, 0)
     whole = Window.partitionBy(*keys)
     gap = F.min("first_ms").over(same_hour) - F.max("last_ms").over(earlier)
+    starts = F.when(F.col("_gap").isNull() | (F.col("_gap") > ttl), F.col("bucket_ms"))
     return (
         hours.withColumn("_gap", gap)
-        .withColumn(
-            "_start",
-            F.max(
-                F.when(F.col("_gap").isNull() | (F.col("_gap") > ttl), F.col("bucket_ms"))
-            ).over(whole),
-        )
+        .withColumn("_start", F.max(starts).over(whole))
         .withColumn("_last", F.max("last_ms").over(whole))
-        .where(
-            (F.col("bucket_ms") >= F.col("_start"))
-            & (F.lit(settings.as_of_ms) - F.col("_last") <= ttl)
-        )
+        .where((F.col("bucket_ms") >= F.col("_start")) & (F.lit(as_of_ms) - F.col("_last") <= ttl))
     )
 
 
@@ -126,20 +123,32 @@ def series_of(hours: DataFrame, settings: Settings) -> DataFrame:
     return alive.select(*COUNT_KEYS, "bucket_ms", "cnt")
 
 
-def _cube(events: DataFrame, dims: list[str], with_cost: bool) -> DataFrame:
-    """All combinations of the dimensions.
+def cube_sums(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """All combinations of the dimensions: level, dims, cnt, cost, of rows that have cnt and cost.
 
-    Rows are first summed at the finest grain, so the 2^n expansion works on groups and not
-    on events.
+    Rows are first summed at the finest grain, so the 2^n expansion works on groups.
     """
-    cost = [F.sum(E.money(F.col("cost"))).alias("cost")] if with_cost else []
-    finest = events.groupBy(*dims).agg(F.count("event_id").alias("cnt"), *cost)
-    total = [F.sum("cost").cast("double").alias("sum_cost")] if with_cost else []
+    finest = rows.groupBy(*dims).agg(F.sum("cnt").alias("cnt"), F.sum("cost").alias("cost"))
     return finest.cube(*dims).agg(
-        F.grouping_id().cast("int").alias("level"), F.sum("cnt").alias("cnt"), *total
+        F.grouping_id().cast("int").alias("level"), F.sum("cnt").alias("cnt"), F.sum("cost").alias("cost")
+    )
+
+
+def minute_sums(events: DataFrame) -> DataFrame:
+    """``minute_rollup`` with exact costs, for tables that are summed further."""
+    minute = E.truncate_ms(F.col("event_timestamp_ms"), "minute").alias("minute_ms")
+    return events.groupBy(*ROLLUP_DIMS, minute).agg(
+        F.count("*").alias("cnt"), F.sum(E.money(F.col("cost"))).alias("cost")
     )
 
 
+def _cube(events: DataFrame, dims: list[str], with_cost: bool) -> DataFrame:
+    """All combinations of the dimensions over events."""
+    one = events.select(*dims, F.col("event_id").isNotNull().cast("long").alias("cnt"), E.money(F.col("cost")).alias("cost"))
+    cost = [F.col("cost").cast("double").alias("sum_cost")] if with_cost else []
+    return cube_sums(one, dims).select(*dims, "level", "cnt", *cost)
+
+
 def cube_placement(events: DataFrame) -> DataFrame:
     return _cube(events, PLACEMENT_DIMS, with_cost=True)
 
@@ -148,22 +157,9 @@ def cube_geo_device(events: DataFrame) -> DataFrame:
     return _cube(events, GEO_DIMS, with_cost=False)
 
 
-def cube_lookup(cube: DataFrame, dims: list[str], **fixed: str) -> DataFrame:
-    """The one stored row of a cube that answers an equality query on some dimensions."""
-    level = sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in fixed)
-    rows = cube.where(F.col("level") == level)
-    for name, value in fixed.items():
-        rows = rows.where(F.col(name) == value)
-    return rows
-
-
 def minute_rollup(events: DataFrame) -> DataFrame:
     """Ingest-time roll-up: rows with equal dimensions in the same minute become one."""
-    minute = E.truncate_ms(F.col("event_timestamp_ms"), "minute").alias("minute_ms")
-    return events.groupBy(*ROLLUP_DIMS, minute).agg(
-        F.count("*").alias("cnt"),
-        F.sum(E.money(F.col("cost"))).cast("double").alias("sum_cost"),
-    )
+    return minute_sums(events).withColumn("sum_cost", F.col("cost").cast("double")).drop("cost")
 
 
 def type_breakdown(

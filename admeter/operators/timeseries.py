@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from admeter.functions import events as E
 
 
-def bucketed(rows: DataFrame, grain: str, keys: list[str] = []) -> DataFrame:
+def bucketed(rows: DataFrame, grain: str, keys: list[str] = [], weight: str | None = None) -> DataFrame:
+    """Rows, or the sum of their weights, per bucket."""
     bucket = E.truncate_ms(F.col("event_timestamp_ms"), grain).alias("bucket_ms")
-    return rows.groupBy(*keys, bucket).agg(F.count("*").alias("value"))
+    value = F.sum(weight) if weight else F.count("*")
+    return rows.groupBy(*keys, bucket).agg(value.alias("value"))
 
 
 def warm_series(rows: DataFrame, from_ms: int, to_ms: int, grain: str, keys=[]) -> DataFrame:

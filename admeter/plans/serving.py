@@ -20,14 +20,48 @@ from admeter.operators import aggregates as A
 from admeter.operators import timeseries as S
 
 
-@dataclass(frozen=True)
+#: (tenant, campaign, metric)
+Key = tuple[str, str, str]
+
+
 class Stores:
-    """The three tables behind the read path. ``warm`` and ``cold`` hold events."""
+    """The three tiers behind the read path, each a DataFrame; ``warm`` and ``cold`` hold events.
+
+    ``plans/stored.py`` has the form over tables that are kept up to date.
+    """
+
+    def __init__(self, hot_counters: DataFrame, hot_series: DataFrame, warm: DataFrame, cold: DataFrame):
+        self.hot_counters, self.hot_series, self.warm, self.cold = hot_counters, hot_series, warm, cold
+
+    def hot_counts(self, tenant: str | None = None) -> DataFrame:
+        return self.hot_counters
+
+    def hot_points(self, tenant: str | None = None) -> DataFrame:
+        return self.hot_series
+
+    def warm_count(self, key: Key, placement: str | None = None) -> DataFrame:
+        return A.of_campaign(self.warm, *key, placement).agg(F.count("*").alias("cnt"))
+
+    def warm_counts(self) -> DataFrame:
+        return A.counts(A.countable(self.warm))
 
-    hot_counters: DataFrame
-    hot_series: DataFrame
-    warm: DataFrame
-    cold: DataFrame
+    def warm_series(self, key: Key, placement: str | None, from_ms: int, to_ms: int, grain: str) -> DataFrame:
+        return S.warm_series(A.of_campaign(self.warm, *key, placement), from_ms, to_ms, grain)
+
+    def cold_count(self, key: Key, from_ms: int, to_ms: int) -> DataFrame:
+        """Events of whole UTC dates, both ends included."""
+        first, last = (E.event_date(F.lit(ms)) for ms in (from_ms, to_ms))
+        day = E.event_date(F.col("event_timestamp_ms"))
+        return A.of_campaign(self.cold, *key).where(day.between(first, last)).agg(F.count("*").alias("cnt"))
+
+    def cold_series(self, key: Key, placement: str | None, from_ms: int, to_ms: int, grain: str) -> DataFrame:
+        return S.cold_series(A.of_campaign(self.cold, *key, placement), from_ms, to_ms, grain)
+
+    def day_counts(self, until_ms: int) -> DataFrame:
+        """Counts per key and UTC date up to a date."""
+        day = E.event_date(F.col("event_timestamp_ms"))
+        rows = A.countable(self.cold).where(day <= E.event_date(F.lit(until_ms)))
+        return A.counts(rows.withColumn("day", day), [*COUNT_KEYS, "day"])
 
 
 @dataclass(frozen=True)
@@ -100,14 +134,11 @@ def tiered_count(stores: Stores, request: Request, settings: Settings) -> DataFr
     from_ms = instant_ms(request.from_text)
     tier = resolve_tier(from_ms, settings)
     if tier == COLD:
-        rows = A.of_campaign(stores.cold, *key)
-        first, last = (E.event_date(F.lit(ms)) for ms in (from_ms, settings.as_of_ms))
-        day = E.event_date(F.col("event_timestamp_ms"))
-        return rows.where(day.between(first, last)).agg(F.count("*").alias("cnt"))
-    warm = A.campaign_count(stores.warm, *key)
+        return stores.cold_count(key, from_ms, settings.as_of_ms)
+    warm = stores.warm_count(key)
     if tier == WARM:
         return warm
-    hot = A.of_campaign(stores.hot_counters, *key)
+    hot = A.of_campaign(stores.hot_counts(request.tenant), *key)
     found = hot.agg(F.max("cnt").alias("hot_cnt"), F.lit(None).cast("bigint").alias("warm_cnt"))
     other = warm.select(F.lit(None).cast("bigint").alias("hot_cnt"), F.col("cnt").alias("warm_cnt"))
     return found.unionByName(other).agg(
@@ -116,35 +147,28 @@ def tiered_count(stores: Stores, request: Request, settings: Settings) -> DataFr
 
 
 def tiered_series(stores: Stores, request: Request, settings: Settings) -> DataFrame:
-    """(bucket_ms, value) from the tier of the request.
+    """(bucket_ms, value) from the tier of the request, in the order of the buckets.
 
     Hot and warm fall back to the warm count spread evenly when they hold no bucket; cold
-    does not. The choice is part of the plan: both candidates are at most ``max_buckets`` rows
-    (or the hours of a hot series), so the comparison over all of them stays small.
+    does not. The choice is part of the plan: both candidates are the buckets of one request.
     """
     from_ms, to_ms = request.window(settings)
     tier = resolve_tier(from_ms, settings)
     key = (request.tenant, request.campaign, request.metric)
     placement = request.placement if request.placement and request.placement.strip() else None
     if tier == COLD:
-        rows = A.of_campaign(stores.cold, *key, placement)
-        return S.cold_series(rows, from_ms, to_ms, request.grain)
-    warm_rows = A.of_campaign(stores.warm, *key, placement)
+        return stores.cold_series(key, placement, from_ms, to_ms, request.grain).orderBy("bucket_ms")
     if tier == HOT:
-        stored = A.of_campaign(stores.hot_series, *key)
+        stored = A.of_campaign(stores.hot_points(request.tenant), *key)
         own = S.hot_series(stored, from_ms, to_ms).select("bucket_ms", "value")
     else:
-        own = S.warm_series(warm_rows, from_ms, to_ms, request.grain)
-    spread = warm_rows.agg(F.count("*").alias("total")).select(
-        F.inline(
-            S.even_split(
-                F.col("total"), F.lit(from_ms), F.lit(to_ms), request.grain, settings.max_buckets
-            )
-        )
-    )
-    both = own.withColumn("_own", F.lit(1)).unionByName(spread.withColumn("_own", F.lit(0)))
-    best = F.max("_own").over(Window.partitionBy())
-    return both.withColumn("_best", best).where("_own = _best").drop("_own", "_best")
+        own = stores.warm_series(key, placement, from_ms, to_ms, request.grain)
+    points = S.even_split(F.col("cnt"), F.lit(from_ms), F.lit(to_ms), request.grain, settings.max_buckets)
+    one = F.lit(1).alias("_one")
+    # at most one row on either side: the total, and whether there is a bucket of its own
+    total = stores.warm_count(key, placement).withColumn("_one", one)
+    spread = total.join(own.limit(1).select(one), "_one", "left_anti").select(F.inline(points))
+    return own.unionByName(spread).orderBy("bucket_ms")
 
 
 def metric_response(
@@ -154,7 +178,8 @@ def metric_response(
     request.check(allowed)
     from_ms, to_ms = request.window(settings)
     series = tiered_series(stores, request, settings)
-    return series.select(
+    whole = Window.partitionBy("tenant_id", "campaign_id", "metric")
+    rows = series.select(
         F.lit(request.tenant).alias("tenant_id"),
         F.lit(request.campaign).alias("campaign_id"),
         F.lit(request.metric.lower()).alias("metric"),
@@ -163,9 +188,12 @@ def metric_response(
         F.lit(request.grain).alias("grain"),
         E.iso_instant(F.col("bucket_ms")).alias("bucket"),
         "value",
-        F.sum("value").over(Window.partitionBy()).alias("total"),
         F.lit(resolve_tier(from_ms, settings)).alias("source"),
+        "bucket_ms",
     )
+    # the buckets of one request
+    rows = rows.withColumn("total", F.sum("value").over(whole)).orderBy("bucket_ms")
+    return rows.select(*[c for c in rows.columns if c not in ("source", "bucket_ms")], "source")
 
 
 def campaign_metrics(
@@ -216,17 +244,9 @@ def tiered_count_table(stores: Stores, requests: DataFrame, settings: Settings)
     def named(df: DataFrame, name: str) -> DataFrame:
         return df.withColumnsRenamed({"event_type": "metric", "cnt": name})
 
-    hot = named(stores.hot_counters, "hot_cnt")
-    warm = named(A.counts(A.countable(stores.warm)), "warm_cnt")
-    day = E.event_date(F.col("event_timestamp_ms"))
-    until = E.event_date(F.lit(settings.as_of_ms))
-    per_day = named(
-        A.counts(
-            A.countable(stores.cold).where(day <= until).withColumn("day", day),
-            [*COUNT_KEYS, "day"],
-        ),
-        "day_cnt",
-    )
+    hot = named(stores.hot_counts(), "hot_cnt")
+    warm = named(stores.warm_counts(), "warm_cnt")
+    per_day = named(stores.day_counts(settings.as_of_ms), "day_cnt")
     # Dates of requests are put among the dates with events, and one pass per key from the
     # newest date back gives every request the sum of the dates not before its own. Rows per
     # key are bounded by the calendar.
@@ -265,7 +285,7 @@ def tiered_count_table(stores: Stores, requests: DataFrame, settings: Settings)
 def exists_in_hot(stores: Stores, campaigns: DataFrame) -> DataFrame:
     """Campaigns (tenant_id, campaign_id) with the flag whether the hot tier knows them."""
     keys = ["tenant_id", "campaign_id"]
-    known = stores.hot_counters.select(*keys).distinct().withColumn("_known", F.lit(True))
+    known = stores.hot_counts().select(*keys).distinct().withColumn("_known", F.lit(True))
     return campaigns.join(known, keys, "left").select(
         *keys, F.coalesce("_known", F.lit(False)).alias("in_hot")
     )

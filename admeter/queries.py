@@ -17,7 +17,7 @@ from admeter.operators import aggregates as A
 from admeter.operators import attribution, dead_letter, dedup, late, monitoring, quantiles
 from admeter.operators import rate_limit, reconcile
 from admeter.operators import timeseries as S
-from admeter.plans import ingest, serving
+from admeter.plans import ingest, serving, stored
 from admeter.session import prepare, state_partitions
 from admeter.sources import lake
 from admeter.sources.event_table import (
@@ -27,7 +27,7 @@ from admeter.sources.event_table import (
     read_table,
     request_log,
 )
-from admeter.sources.shared import new_path
+from admeter.sources.shared import file_state, keep, new_path
 from admeter.streaming import attribution as stream_attribution
 from admeter.streaming import clock, counters, job
 from admeter.streaming import dedup as stream_dedup
@@ -112,11 +112,34 @@ def _hot(enriched: DataFrame) -> DataFrame:
     return enriched.where(F.col("seq") % 50 != 0)
 
 
-def _stores(spark: SparkSession, sf: str) -> serving.Stores:
-    events = _enriched(spark, sf)
-    return serving.Stores(
-        A.hot_counters(events, SETTINGS), A.hot_hourly_series(events, SETTINGS), events, events
-    )
+def _build(spark: SparkSession, sf: str, deltas: int = 4) -> stored.Tables:
+    """Stored tables of the enriched events, taken in by ranges of time."""
+    tables = stored.Tables(spark, new_path(spark, "stored"))
+    events = keep(_enriched(spark, sf), "stored-events")
+    shares = [i / deltas for i in range(1, deltas)]
+    cuts = events.agg(F.percentile_approx("event_timestamp_ms", shares, 10_000)).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    for n, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        rows = events if low is None else events.where(ms() > low)
+        tables.add(rows if high is None else rows.where(ms() <= high), f"batch-{n}")
+    return tables
+
+
+_STORED: dict[tuple, stored.Tables] = {}
+
+
+def _tables(spark: SparkSession, sf: str) -> stored.Tables:
+    """The stored tables of a folder, built once per application and state of its files."""
+    files = read_table(spark, sf, "events").inputFiles()
+    key = (spark.sparkContext.applicationId, *sorted((f, file_state(spark, f)) for f in files))
+    if key not in _STORED:
+        _STORED.clear()
+        _STORED[key] = _build(spark, sf)
+    return _STORED[key]
+
+
+def _stores(spark: SparkSession, sf: str) -> stored.StoredStores:
+    return stored.StoredStores(_tables(spark, sf), SETTINGS)
 
 
 def _dlq(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,9 +321,18 @@ def enriched_events(spark, sf):
 # ---- aggregates -------------------------------------------------------------------------
 
 
+@query
+def store_build(spark, sf):
+    """Cost of taking the events in, and what the minute roll-up holds per tenant and date."""
+    tables = _build(spark, sf)
+    tables.compact(SETTINGS, AS_OF, most=2)
+    rows = tables.rollup.read().groupBy("tenant_id", F.col("event_date").cast("string").alias("event_date"))
+    return rows.agg(F.sum("cnt").alias("cnt"), F.sum("cost").cast("double").alias("sum_cost"))
+
+
 @query
 def campaign_count(spark, sf):
-    return A.campaign_count(_enriched(spark, sf), TENANT, CAMPAIGN, METRIC)
+    return _stores(spark, sf).warm_count((TENANT, CAMPAIGN, METRIC))
 
 
 @query
@@ -312,12 +344,12 @@ def grouped_counts(spark, sf):
 
 @query
 def hot_counters(spark, sf):
-    return A.hot_counters(_enriched(spark, sf), SETTINGS)
+    return _stores(spark, sf).hot_counts()
 
 
 @query
 def hot_hourly_series(spark, sf):
-    return A.hot_hourly_series(_enriched(spark, sf), SETTINGS)
+    return _stores(spark, sf).hot_points()
 
 
 @query
@@ -332,12 +364,17 @@ def star_cube_geo_device(spark, sf):
 
 @query
 def cube_campaign_cost(spark, sf):
-    """Count and cost of every campaign of a tenant, read from the stored combinations."""
-    cube = A.cube_placement(_enriched(spark, sf))
-    level = 0b0011  # type and placement are rolled up
-    return cube.where((F.col("level") == level) & (F.col("tenant_id") == TENANT)).select(
-        "tenant_id", "campaign_id", "cnt", "sum_cost"
+    """Count and cost of every campaign of a tenant: one level and one tenant of the stored cube."""
+    rows = stored.cube_rows(
+        _tables(spark, sf).placement, A.PLACEMENT_DIMS, ["tenant_id", "campaign_id"], tenant_id=TENANT
     )
+    return rows.select("tenant_id", "campaign_id", "cnt", F.col("cost").cast("double").alias("sum_cost"))
+
+
+@query
+def cube_geo_totals(spark, sf):
+    """Counts per country from the stored second cube, where the smallest level that keeps it answers."""
+    return stored.cube_rows(_tables(spark, sf).geo, A.GEO_DIMS, ["geo_country"]).drop("cost")
 
 
 @query
@@ -375,7 +412,7 @@ def attributed_by_campaign(spark, sf):
 @query
 def count_with_fallback(spark, sf):
     stores = _stores(spark, sf)
-    return A.with_fallback(stores.hot_counters, A.counts(A.countable(stores.warm)))
+    return A.with_fallback(stores.hot_counts(), stores.warm_counts())
 
 
 @query
@@ -389,8 +426,9 @@ def authorized_campaign_counts(spark, sf):
 
 def _series(grain: str) -> Query:
     def run(spark, sf):
-        rows = A.of_campaign(_enriched(spark, sf), TENANT, CAMPAIGN, METRIC)
-        return S.warm_series(rows, WARM_FROM + 1234, AS_OF - DAY_MS + 1, grain)
+        key = (TENANT, CAMPAIGN, METRIC)
+        series = _stores(spark, sf).warm_series(key, None, WARM_FROM + 1234, AS_OF - DAY_MS + 1, grain)
+        return series.orderBy("bucket_ms")
 
     return run
 
@@ -402,20 +440,21 @@ for _grain in E.GRAIN_MS:
 @query
 def series_by_placement(spark, sf):
     """The placement of a request is a real filter here."""
-    rows = A.of_campaign(_enriched(spark, sf), TENANT, CAMPAIGN, "IMPRESSION", "plc_0")
-    return S.warm_series(rows, WARM_FROM, AS_OF, "day")
+    key = (TENANT, CAMPAIGN, "IMPRESSION")
+    return _stores(spark, sf).warm_series(key, "plc_0", WARM_FROM, AS_OF, "day").orderBy("bucket_ms")
 
 
 @query
 def series_cold(spark, sf):
-    rows = lake.with_date(A.of_campaign(_enriched(spark, sf), TENANT, CAMPAIGN, METRIC))
-    return S.cold_series(rows, AS_OF - 25 * DAY_MS + HOUR_MS, AS_OF - 12 * DAY_MS + 5, "DAY")
+    window = AS_OF - 25 * DAY_MS + HOUR_MS, AS_OF - 12 * DAY_MS + 5
+    series = _stores(spark, sf).cold_series((TENANT, CAMPAIGN, METRIC), None, *window, "DAY")
+    return series.orderBy("bucket_ms")
 
 
 @query
 def series_hot(spark, sf):
-    series = A.hot_hourly_series(_enriched(spark, sf), SETTINGS)
-    return S.hot_series(series, AS_OF - 2 * DAY_MS + 1, AS_OF)
+    series = S.hot_series(_stores(spark, sf).hot_points(), AS_OF - 2 * DAY_MS + 1, AS_OF)
+    return series.orderBy(*COUNT_KEYS, "bucket_ms")
 
 
 @query

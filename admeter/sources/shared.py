@@ -42,3 +42,10 @@ def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder on whatever file system it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def file_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Length and modification time of a file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
+    return status.getLen(), status.getModificationTime()

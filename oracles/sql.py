@@ -615,6 +615,9 @@ _QUERIES: dict[str, str] = {
 
 # The lake holds pseudonyms in place of users.
 LAKE_FLAT = FLAT.replace("user_id", f"{PSEUDONYM} AS user_id")
+_QUERIES["store_build"] = f"""SELECT tenant_id, CAST({DATE} AS VARCHAR) AS event_date, count(*) AS cnt,
+ {MONEY} AS sum_cost FROM enriched GROUP BY ALL"""
+_QUERIES["cube_geo_totals"] = "SELECT geo_country, count(*) AS cnt FROM enriched GROUP BY ALL"
 _LATE = "arrival_ms - event_timestamp_ms >= 300000"
 _QUERIES["lake_upsert"] = f"""{_QUERIES["late_upsert"].replace(FLAT, LAKE_FLAT, 1)} UNION ALL
  SELECT {LAKE_FLAT} FROM valid WHERE NOT {_LATE} AND (tenant_id, {DATE}) NOT IN (
