@@ -47,3 +47,37 @@ def quantiles(
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         results.append((lo + (hi - lo) * (position - F.floor(position))).alias(name))
     return placed.groupBy(*keys, "n").agg(*aggregates).select(*keys, "n", *results)
+
+
+def histogram(rows: DataFrame, keys: list[str], value: str, bounds: list[int]) -> DataFrame:
+    """Counts per key and bucket: ``le`` is the number of the first bound that is not below the value.
+
+    The last bucket, ``len(bounds)``, has no upper bound. Histograms are merged by adding counts.
+    """
+    le = F.lit(len(bounds))
+    for i in range(len(bounds) - 1, -1, -1):
+        le = F.when(F.col(value) <= bounds[i], F.lit(i)).otherwise(le)
+    known = rows.where(F.col(value).isNotNull())
+    return known.groupBy(*keys, le.alias("le")).agg(F.count("*").alias("cnt"))
+
+
+def from_histogram(buckets: DataFrame, keys: list[str], bounds: list[int], probabilities: dict[str, float]) -> DataFrame:
+    """Quantiles of merged buckets (keys, le, cnt): linear inside the bucket that holds the rank.
+
+    The lowest bucket begins at 0; a rank in the open bucket gives the greatest bound. A group has
+    at most one row per bound in a window.
+    """
+    merged = buckets.groupBy(*keys, "le").agg(F.sum("cnt").alias("cnt"))
+    order = Window.partitionBy(*keys).orderBy("le")
+    upto = F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = merged.withColumn("upto", upto).withColumn("n", F.sum("cnt").over(Window.partitionBy(*keys)))
+    edges = F.array(*[F.lit(float(b)) for b in [0, *bounds, bounds[-1]]])
+    low, high = F.get(edges, F.col("le")), F.get(edges, F.col("le") + 1)
+    made = []
+    for name, p in probabilities.items():
+        rank = F.col("n") * F.lit(float(p))
+        before = F.col("upto") - F.col("cnt")
+        here = (before < rank) & (rank <= F.col("upto"))
+        at = low + (high - low) * (rank - before) / F.col("cnt")
+        made.append(F.max(F.when(here, at)).alias(name))
+    return rows.groupBy(*keys, "n").agg(*made)

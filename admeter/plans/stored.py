@@ -2,6 +2,7 @@
 
     rollup     counts and costs per minute and dimension, by (tenant, date)      -> warm counts and series
     cube_*     every combination of dimensions, by (level, tenant)               -> counts without a time range
+    latency    conversions per minute and bucket of their duration, by tenant    -> quantiles of any window
     hours      counts per key and hour with first and last event, by tenant      -> hot counters and series
     lake       the events, by (tenant, date)                                     -> cold tier, edges of windows
 """
@@ -14,17 +15,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from admeter.config import MINUTE_MS, Settings
+from admeter.config import DAY_MS, MINUTE_MS, Settings
 from admeter.functions import events as E
-from admeter.model import COUNT_KEYS
+from admeter.model import COLD, CONVERSION, COUNT_KEYS, HOT, WARM
 from admeter.operators import aggregates as A
 from admeter.operators import timeseries as S
-from admeter.plans.serving import Key, Stores
+from admeter.operators.attribution import duration_ms
+from admeter.operators.quantiles import histogram
+from admeter.plans.serving import Key, Stores, route_table
 from admeter.sources import lake
 from admeter.sources.parts import Parts
 from admeter.sources.summed import Summed
 
 TEXT, LONG, MONEY = T.StringType(), T.LongType(), T.DecimalType(28, 2)
+#: Upper bounds (ms) of the latency buckets: 1 s to a day.
+LATENCY_BOUNDS = [1_000, 10_000, 60_000, 300_000, 900_000, 3_600_000, 3 * 3_600_000, 6 * 3_600_000, 12 * 3_600_000, 86_400_000]
 #: Deltas of a partition beyond which ``compact`` merges them.
 MOST_DELTAS = 8
 
@@ -48,6 +53,11 @@ def hours_table(spark: SparkSession, root: str) -> Summed:
     return Summed(Parts(spark, f"{root}/hours", ("tenant_id",), schema), {"cnt": "sum", "first_ms": "min", "last_ms": "max"})
 
 
+def latency_table(spark: SparkSession, root: str) -> Summed:
+    schema = _schema(("tenant_id", TEXT), ("minute_ms", LONG), ("le", T.IntegerType()), ("cnt", LONG))
+    return Summed(Parts(spark, f"{root}/latency", ("tenant_id",), schema), {"cnt": "sum"})
+
+
 def alive(hours: DataFrame, settings: Settings, as_of_ms: int) -> DataFrame:
     """Hours that a counter or series can still need at ``as_of_ms`` or later: the current life of live campaigns."""
     live = A.current_life(hours, ["tenant_id", "campaign_id"], settings, as_of_ms)
@@ -75,6 +85,10 @@ class Tables:
     def hours(self) -> Summed:
         return hours_table(self.spark, self.root)
 
+    @property
+    def latency(self) -> Summed:
+        return latency_table(self.spark, self.root)
+
     @property
     def lake(self) -> str:
         return f"{self.root}/lake"
@@ -91,13 +105,16 @@ class Tables:
         self.placement.add(A.cube_sums(minutes, A.PLACEMENT_DIMS), tag)
         self.geo.add(A.cube_sums(minutes, A.GEO_DIMS), tag)
         self.hours.add(A.hourly(enriched), tag)
+        minute = E.truncate_ms(F.col("event_timestamp_ms"), "minute").alias("minute_ms")
+        made = enriched.where(F.col("event_type") == CONVERSION).select("tenant_id", minute, duration_ms().alias("duration_ms"))
+        self.latency.add(histogram(made, ["tenant_id", "minute_ms"], "duration_ms", LATENCY_BOUNDS), tag)
 
     def compact(self, settings: Settings, horizon_ms: int, most: int = MOST_DELTAS) -> None:
         """Merge deltas; of the hours, drop counters that were dead at ``horizon_ms`` already.
 
         No event before ``horizon_ms`` may still come (the newest event time less the lateness).
         """
-        for table in (self.rollup, self.placement, self.geo):
+        for table in (self.rollup, self.placement, self.geo, self.latency):
             table.compact(most)
         self.hours.compact(most, lambda rows: alive(rows, settings, horizon_ms))
         lake.compact(self.spark, self.lake, most)
@@ -205,6 +222,57 @@ class StoredStores(Stores):
         return rows.dropna(subset=COUNT_KEYS).groupBy(*COUNT_KEYS, day).agg(F.sum("cnt").alias("cnt"))
 
 
+def series_table(stores: StoredStores, requests: DataFrame, settings: Settings) -> DataFrame:
+    """request, tier, bucket_ms, value for a table of requests, in the order of request and bucket.
+
+    ``requests`` has request (unique), tenant_id, campaign_id, metric, from_ms, to_ms and grain. All
+    joins are on (key, date): a request is laid out by the dates it reaches, and meets minutes of
+    the roll-up; the minutes at its two ends, when they are not whole, come from the events.
+    Hot and warm requests without any bucket get the warm count spread evenly.
+    """
+    keys = ["tenant_id", "campaign_id", "metric"]
+    asked = route_table(requests, settings).select("request", *keys, "tier", "from_ms", "to_ms", "grain", grain_of(F.col("grain")).alias("step"))
+    date = lambda ms: F.floor(ms / DAY_MS)
+    by_day = asked.withColumn("day", F.explode(F.sequence(date(F.col("from_ms")), date(F.col("to_ms")))))
+    hot, warm, cold = (by_day.where(F.col("tier") == t) for t in (HOT, WARM, COLD))
+    low, high = F.col("from_ms"), F.col("to_ms")
+
+    def met(wanted: DataFrame, rows: DataFrame, at: str) -> DataFrame:
+        """Wanted days and rows (keys, ``at``, cnt) of the same key and date."""
+        rows = rows.withColumnRenamed("event_type", "metric").dropna(subset=keys)
+        rows = rows.select(*keys, date(F.col(at)).alias("day"), F.col(at).alias("at"), "cnt")
+        return wanted.join(rows, [*keys, "day"])
+
+    minutes = stores.tables.rollup.parts.read()
+    events = lake.whole(stores.tables.spark, stores.tables.lake).withColumn("cnt", F.lit(1).cast("long"))
+    at, minute = F.col("at"), F.lit(MINUTE_MS)
+    whole = (at >= low) & (at + minute - 1 <= high)
+    edges = F.array_distinct(F.array(low - F.pmod(low, minute), high - F.pmod(high, minute)))
+    cut = F.filter(edges, lambda m: (m < low) | (m + minute - 1 > high))
+    ends = asked.where(F.col("tier") == WARM).withColumn("edge", F.explode(cut)).withColumn("day", date(F.col("edge")))
+    found = [
+        met(hot, stores.hot_points(), "bucket_ms").where(at.between(low, high)).withColumn("bucket_ms", at),
+        met(warm, minutes, "minute_ms").where(whole),
+        met(ends, events, "event_timestamp_ms").where(at.between(low, high) & at.between(F.col("edge"), F.col("edge") + minute - 1)),
+        met(cold, minutes, "minute_ms"),
+    ]
+    bucket = at - F.pmod(at, F.col("step"))
+    own = None
+    for i, part in enumerate(found):
+        part = part if i == 0 else part.withColumn("bucket_ms", bucket)
+        part = part.select("request", "tier", "bucket_ms", "cnt")
+        own = part if own is None else own.unionByName(part)
+    own = own.groupBy("request", "tier", "bucket_ms").agg(F.sum("cnt").alias("value"))
+    counts = stores.warm_counts().withColumnRenamed("event_type", "metric")
+    empty = asked.where(F.col("tier") != COLD).join(own.select("request").distinct(), "request", "left_anti")
+    empty = empty.join(counts, keys, "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    for name, step in E.GRAIN_MS.items():
+        points = S.even_split(F.col("cnt"), low, high, name, settings.max_buckets)
+        spread = empty.where(F.col("step") == step).select("request", "tier", F.inline(points))
+        own = own.unionByName(spread)
+    return own.orderBy("request", "bucket_ms")
+
+
 def grain_of(c: Column) -> Column:
     """Milliseconds of a grain name; unknown names mean hour."""
     out = F.lit(E.GRAIN_MS["hour"])

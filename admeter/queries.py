@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from admeter.config import DAY_MS, HOUR_MS, Settings
 from admeter.functions import events as E
 from admeter.functions import privacy
-from admeter.model import CONVERSION, COUNT_KEYS, EVENT_COLUMNS
+from admeter.model import CONVERSION, COUNT_KEYS, EVENT_COLUMNS, WIRE_FIELDS
 from admeter.operators import aggregates as A
-from admeter.operators import attribution, dead_letter, dedup, late, monitoring, quantiles
-from admeter.operators import rate_limit, reconcile
+from admeter.operators import alerts, attribution, dead_letter, dedup, late, monitoring, quantiles
+from admeter.operators import rate_limit, reconcile, replay, run_store
 from admeter.operators import timeseries as S
 from admeter.plans import ingest, serving, stored
 from admeter.session import prepare, state_partitions
-from admeter.sources import lake
+from admeter.sources import kafka, lake
 from admeter.sources.event_table import (
     arrival_stream,
     canonical,
@@ -555,6 +555,18 @@ def series_tiered(spark, sf):
     return whole
 
 
+@query
+def series_requests(spark, sf):
+    """The series of every request of the log, six hours each, in one plan."""
+    log = request_log(spark, sf).where("tenant_id <> ''")
+    grain = F.when(F.col("seq") % 8 == 0, "minute").when(F.col("seq") % 2 == 0, "hour").otherwise("day")
+    requests = log.select(
+        F.col("seq").alias("request"), "tenant_id", "campaign_id", "metric", "from_ms",
+        (F.col("from_ms") + 6 * HOUR_MS).alias("to_ms"), grain.alias("grain"),
+    )
+    return stored.series_table(_stores(spark, sf), requests, SETTINGS)
+
+
 @query
 def campaign_metrics(spark, sf):
     return serving.campaign_metrics(_enriched(spark, sf), WARM_FROM, AS_OF, "hour", SETTINGS)
@@ -664,6 +676,35 @@ def recon_metrics(spark, sf):
     return reconcile.run_metrics(reconcile.history_reports(results, SETTINGS), results)
 
 
+def _run_store(spark, sf) -> run_store.RunStore:
+    """An hourly and a daily run, and an hourly one whose store cannot be read."""
+    store = run_store.RunStore(spark, new_path(spark, "runs"))
+    day = AS_OF - AS_OF % DAY_MS
+    store.run("hourly", AS_OF - 2 * HOUR_MS, AS_OF, AS_OF, SETTINGS, lambda: _recon_hourly(spark, sf))
+    store.run("daily", day - DAY_MS, day, AS_OF, SETTINGS, lambda: _recon_daily(spark, sf))
+    missing = f"{new_path(spark, 'missing')}/warm"
+    store.run(
+        "hourly", AS_OF - 3 * HOUR_MS, AS_OF - HOUR_MS, AS_OF - HOUR_MS, SETTINGS,
+        lambda: reconcile.hourly(spark.read.parquet(missing), _stores(spark, sf).hot_counts(), SETTINGS),
+    )
+    return store
+
+
+@query
+def recon_runs(spark, sf):
+    """Stored run reports; the time of a run is measured, so only its presence is compared."""
+    return _run_store(spark, sf).reports().select(
+        "run_id", "window", "status", "run_time_ms", "window_start_ms", "window_end_ms", "campaigns", "discrepancies",
+        "auto_patched", (F.col("elapsed_ms") > 0).alias("measured"), (F.col("message") != "").alias("explained"),
+    )
+
+
+@query
+def recon_run_metrics(spark, sf):
+    """Figures of the stored runs, with the failed one."""
+    return _run_store(spark, sf).metrics()
+
+
 # ---- dead letters -----------------------------------------------------------------------
 
 
@@ -690,6 +731,31 @@ def dlq_replay_summary(spark, sf):
     return dead_letter.replay_summary(_polled(spark, sf))
 
 
+@query
+def dlq_replay_runs(spark, sf):
+    """Two replays of the decoded dead-letter records; the second goes on where the first stopped."""
+    log = _dlq(spark, sf)
+    store = replay.ReplayStore(spark, new_path(spark, "replays"))
+    decoded = kafka.decode_dead_letters(kafka.dead_letter_records(log, ["partition", "offset"]))
+    store.run(decoded, "first", SETTINGS, "TENANT_1", "Missing required field", requested=25)
+    store.run(decoded, "second", SETTINGS, "TENANT_1", "Missing required field")
+    return store.everything().select("partition", "offset", "key", "dlq_reason", "event_id", "user_id", "replayed", "rejected_again")
+
+
+@query
+def avro_round_trip(spark, sf):
+    """Events through the framed wire format; every 50th record arrives cut short."""
+    wire = [c for c in WIRE_FIELDS.values() if c != "custom_tags"]
+    events = canonical(spark, sf)
+    records = keep(kafka.encode_avro(events, F.col("seq").cast("string"), schema_id=7), "avro-records")
+    broken = F.col("key").cast("bigint") % 50 == 0
+    cut = F.when(broken, F.expr("substring(value, 1, length(value) - 3)")).otherwise(F.col("value"))
+    good, bad = kafka.decode_avro(records.select(cut.alias("value")))
+    none = [F.lit(None).cast(good.schema[c].dataType).alias(c) for c in wire]
+    rows = good.select(*wire, F.lit(None).cast("string").alias("dlq_reason"))
+    return keep(rows.unionByName(bad.select(*none, "dlq_reason")), "avro-decoded")
+
+
 @query
 def replay_failures(spark, sf):
     everything = dead_letter.polled(_dlq(spark, sf), SETTINGS, requested=0)
@@ -747,6 +813,34 @@ def conversion_latency_by_hour(spark, sf):
     return found.select("tenant_id", "window_start_ms", "n", *rounded)
 
 
+@query
+def latency_histogram_by_hour(spark, sf):
+    """Latency quantiles per tenant and hour from the stored bucket counts."""
+    rows = _tables(spark, sf).latency.read()
+    rows = rows.withColumn("window_start_ms", E.hour_bucket(F.col("minute_ms")))
+    found = quantiles.from_histogram(
+        rows, ["tenant_id", "window_start_ms"], stored.LATENCY_BOUNDS, {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    )
+    return found.select("tenant_id", "window_start_ms", "n", *[F.round(p, 3).alias(p) for p in ("p50", "p95", "p99")])
+
+
+@query
+def alert_episodes(spark, sf):
+    """When the alert rules began to hold, fired and ended."""
+    rates = monitoring.dead_letter_rate(_rejected(spark, sf), warning=0.004, critical=0.01)
+    ticks = [
+        alerts.held(rates, alerts.HIGH_DLQ, "warning", "tenant_id"),
+        alerts.held(rates, alerts.CRITICAL_DLQ, "critical", "tenant_id"),
+        alerts.held(monitoring.drop_ratio(_valid(spark, sf), _kept(spark, sf)), alerts.HIGH_DROPS, "alert"),
+        alerts.held(monitoring.cache_hit_ratio(request_log(spark, sf)), alerts.LOW_HITS, "alert"),
+        alerts.held(attribution_gaps(spark, sf), alerts.NO_ATTRIBUTION, "alert"),
+    ]
+    whole = ticks[0]
+    for t in ticks[1:]:
+        whole = whole.unionByName(t)
+    return alerts.episodes(whole, AS_OF - 2 * DAY_MS)
+
+
 @query
 def ingest_rate_by_type(spark, sf):
     minutes = monitoring.per_minute(_valid(spark, sf), ["event_type"], n=F.lit(1))

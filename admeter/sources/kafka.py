@@ -1,8 +1,7 @@
 """Kafka sources and sinks and the wire formats.
 
-The Kafka and Avro packages are not part of a plain Spark install. Everything here only
-builds DataFrames, so it fails at the first use when a package is missing; JSON is the wire
-format that needs no package.
+The Kafka package is not part of a plain Spark install. Everything here only builds DataFrames, so
+sources and sinks fail at the first use without it; both wire formats need no package.
 """
 
 from __future__ import annotations
@@ -11,9 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from admeter.functions import events as E
-from admeter.model import EVENT_SCHEMA, WIRE_AVRO_SCHEMA, WIRE_FIELDS, WIRE_SCHEMA
-
-REGISTRY_PREFIX = 5  # magic byte and 4-byte schema id
+from admeter.model import EVENT_SCHEMA, WIRE_FIELDS, WIRE_SCHEMA
+from admeter.sources import avro_wire
 
 
 def raw_stream(spark: SparkSession, servers: str, topic: str, max_offsets: int = 5_000_000):
@@ -69,14 +67,17 @@ def _with_arrival(rows: DataFrame) -> list[Column]:
     return [arrival.alias("arrival_ms"), seq.cast("bigint").alias("seq")]
 
 
-def decode_avro(rows: DataFrame) -> DataFrame:
-    """Registry-framed Avro in ``value``; empty payloads are skipped, empty tags become null."""
-    from pyspark.sql.avro.functions import from_avro
+def decode_avro(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Registry-framed Avro in ``value``: (events, unreadable payloads for the dead-letter table).
 
-    payload = F.expr(f"substring(value, {REGISTRY_PREFIX + 1})")
-    filled = rows.where(F.length("value") > 0)
-    decoded = filled.withColumn("_r", from_avro(payload, WIRE_AVRO_SCHEMA))
-    return decoded.select(*_from_wire(F.col("_r")), *_with_arrival(rows))
+    Empty payloads are skipped, empty tags become null. Works without Spark's Avro package.
+    """
+    filled = rows.where(F.length("value") > 0).withColumn("_r", avro_wire.decode_column(F.col("value")))
+    good = filled.where("_r.readable").select(*_from_wire(F.col("_r")), *_with_arrival(rows))
+    bad = filled.where("NOT _r.readable").select(
+        F.base64("value").alias("payload"), F.lit("Unreadable payload").alias("dlq_reason")
+    )
+    return good, bad
 
 
 def decode_json(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,13 +113,17 @@ def encode_json(events: DataFrame, key: Column) -> DataFrame:
 
 def encode_avro(events: DataFrame, key: Column, schema_id: int) -> DataFrame:
     """(key, value) records in the registry frame."""
-    from pyspark.sql.avro.functions import to_avro
+    return avro_wire.encode_rows(events.select(key.alias("key"), F.inline(F.array(_wire_struct()))), schema_id)
 
-    frame = F.lit(bytes([0]) + schema_id.to_bytes(4, "big"))
-    return events.select(
-        key.cast("binary").alias("key"),
-        F.concat(frame, to_avro(_wire_struct(), WIRE_AVRO_SCHEMA)).alias("value"),
-    )
+
+def decode_dead_letters(records: DataFrame) -> DataFrame:
+    """Dead-letter records (key, value, headers, partition, offset) as rows of the dead-letter log."""
+    reason = F.get(F.filter("headers", lambda h: h["key"] == "dlq-reason"), F.lit(0))["value"].cast("string")
+    parsed = records.withColumn("_r", F.from_json(F.col("value").cast("string"), WIRE_SCHEMA))
+    return parsed.select(
+        *_from_wire(F.col("_r")), *_with_arrival(records), F.col("key").cast("string").alias("key"),
+        reason.alias("dlq_reason"), "partition", "offset",
+    )
 
 
 def publish(records: DataFrame, servers: str, topic: str) -> None:
@@ -141,12 +146,12 @@ def enriched_records(events: DataFrame) -> DataFrame:
     return encode_json(events, E.enriched_key())
 
 
-def dead_letter_records(rejected: DataFrame) -> DataFrame:
-    """Redacted events keyed by tenant with the reason as a header."""
+def dead_letter_records(rejected: DataFrame, position: list[str] = []) -> DataFrame:
+    """Redacted events keyed by tenant with the reason as a header (and their ``position`` in a log)."""
     reason = F.array(
         F.struct(F.lit("dlq-reason").alias("key"), F.col("dlq_reason").cast("binary").alias("value"))
     )
     with_reason = rejected.select(E.dlq_key().alias("key"), "*") if "key" not in rejected.columns else rejected
-    return with_reason.select("key", F.to_json(_wire_struct()).alias("value"), reason.alias("headers"))
+    return with_reason.select("key", F.to_json(_wire_struct()).alias("value"), reason.alias("headers"), *position)
 
 

@@ -615,6 +615,83 @@ _QUERIES: dict[str, str] = {
 
 # The lake holds pseudonyms in place of users.
 LAKE_FLAT = FLAT.replace("user_id", f"{PSEUDONYM} AS user_id")
+CTE["asked"] = f"""
+SELECT seq AS request, tenant_id, campaign_id, metric, tier, from_ms, from_ms + {6 * HOUR} AS to_ms,
+ CASE WHEN seq % 8 = 0 THEN {MINUTE} WHEN seq % 2 = 0 THEN {HOUR} ELSE {DAY} END AS step
+FROM routed WHERE tenant_id <> ''
+"""
+_SAME = "x.tenant_id = r.tenant_id AND x.campaign_id = r.campaign_id AND x.event_type = r.metric"
+CTE["answered"] = f"""
+SELECT request, tier, bucket_ms, count(*) AS value FROM (
+ SELECT request, tier, event_timestamp_ms // step * step AS bucket_ms FROM asked r
+ JOIN enriched x ON {_SAME} WHERE (tier = 'warm' AND event_timestamp_ms BETWEEN from_ms AND to_ms)
+ OR (tier = 'cold' AND event_timestamp_ms // {DAY} BETWEEN from_ms // {DAY} AND to_ms // {DAY})) GROUP BY ALL
+UNION ALL SELECT request, tier, bucket_ms, cnt FROM asked r
+ JOIN hot_series x ON {_SAME} WHERE tier = 'hot' AND bucket_ms BETWEEN from_ms AND to_ms
+"""
+_QUERIES["series_requests"] = f"""SELECT request, tier, bucket_ms, value FROM answered
+UNION ALL SELECT request, tier, first + i * step, n // nb + CASE WHEN i = nb - 1 THEN n % nb ELSE 0 END FROM (
+ SELECT *, unnest(range(nb)) AS i FROM (
+  SELECT r.*, coalesce(x.cnt, 0) AS n, from_ms // step * step AS first,
+   (to_ms - from_ms // step * step) // step + 1 AS nb
+  FROM asked r LEFT JOIN warm_counts x ON {_SAME}
+  WHERE tier <> 'cold' AND request NOT IN (SELECT request FROM answered )))"""
+_BOUNDS = [1_000, 10_000, 60_000, 300_000, 900_000, HOUR, 3 * HOUR, 6 * HOUR, 12 * HOUR, DAY]
+_EDGES = "[" + ", ".join(map(str, [0, *_BOUNDS, _BOUNDS[-1]])) + "]"
+_LE = "CASE " + " ".join(f"WHEN duration_ms <= {b} THEN {i}" for i, b in enumerate(_BOUNDS)) + f" ELSE {len(_BOUNDS)} END"
+
+
+def _in_bucket(p: float) -> str:
+    low, high = f"CAST({_EDGES}[le + 1] AS DOUBLE)", f"CAST({_EDGES}[le + 2] AS DOUBLE)"
+    return f"""round(max(CASE WHEN upto - cnt < n * CAST({p} AS DOUBLE) AND n * CAST({p} AS DOUBLE) <= upto
+  THEN {low} + ({high} - {low}) * (n * CAST({p} AS DOUBLE) - (upto - cnt)) / cnt END), 3)"""
+
+
+_QUERIES["latency_histogram_by_hour"] = f"""SELECT tenant_id, window_start_ms, n,
+ {_in_bucket(0.5)} AS p50, {_in_bucket(0.95)} AS p95, {_in_bucket(0.99)} AS p99 FROM (
+ SELECT *, CAST(sum(cnt) OVER (PARTITION BY tenant_id, window_start_ms ORDER BY le) AS BIGINT) AS upto,
+  CAST(sum(cnt) OVER (PARTITION BY tenant_id, window_start_ms) AS BIGINT) AS n FROM (
+  SELECT tenant_id, event_timestamp_ms // {HOUR} * {HOUR} AS window_start_ms, {_LE} AS le, count(*) AS cnt
+  FROM conv GROUP BY ALL)) GROUP BY tenant_id, window_start_ms, n"""
+
+
+def _held(rule: str, query: str, condition: str, group: str, step: int, hold: int) -> str:
+    return f"""SELECT '{rule}' AS rule, {group} AS grp, window_start_ms AS at_ms, {step} AS step, {hold} AS hold
+ FROM ({_QUERIES[query]}) WHERE {condition} AND window_start_ms <= {AS_OF - 2 * DAY}"""
+
+
+_TICKS = " UNION ALL ".join(
+    [
+        _held("HighDlqRate", "dlq_rate", "warning", "tenant_id", MINUTE, 2 * MINUTE),
+        _held("CriticalDlqRate", "dlq_rate", "critical", "tenant_id", MINUTE, MINUTE),
+        _held("HighDedupDropRate", "dedup_drop_ratio", "alert", "''", MINUTE, 5 * MINUTE),
+        _held("RedisCacheHitRateLow", "cache_hit_ratio", "alert", "''", MINUTE, 10 * MINUTE),
+        _held("AttributionRateDrop", "attribution_gaps", "alert", "''", 15 * MINUTE, 30 * MINUTE),
+    ]
+)
+_QUERIES["alert_episodes"] = f"""SELECT rule, grp, started_ms,
+ CASE WHEN last_ms - started_ms >= hold THEN started_ms + hold END AS fired_ms,
+ CASE WHEN last_ms + step <= {AS_OF - 2 * DAY} THEN last_ms + step END AS resolved_ms,
+ CASE WHEN last_ms + step <= {AS_OF - 2 * DAY} THEN 'resolved' WHEN last_ms - started_ms >= hold THEN 'firing'
+  ELSE 'pending' END AS state FROM (
+ SELECT rule, grp, step, hold, min(at_ms) AS started_ms, max(at_ms) AS last_ms FROM (
+  SELECT *, sum(CASE WHEN at_ms - before = step THEN 0 ELSE 1 END) OVER (
+   PARTITION BY rule, grp ORDER BY at_ms ROWS UNBOUNDED PRECEDING) AS run FROM (
+   SELECT *, lag(at_ms) OVER (PARTITION BY rule, grp ORDER BY at_ms) AS before FROM ({_TICKS})))
+ GROUP BY rule, grp, step, hold, run)"""
+_QUERIES["recon_runs"] = f"""SELECT run_id, "window", status, run_time_ms, window_start_ms, window_end_ms, campaigns,
+ discrepancies, auto_patched, TRUE AS measured, FALSE AS explained FROM ({_QUERIES["recon_summary"]})
+ UNION ALL SELECT 'hourly:{AS_OF - HOUR}', 'hourly', 'ERROR', {AS_OF - HOUR}, {AS_OF - 3 * HOUR}, {AS_OF - HOUR}, 0, 0, 0, TRUE, TRUE"""
+_QUERIES["recon_run_metrics"] = "\nUNION ALL\n".join(
+    f"""SELECT '{w}' AS "window", CAST({runs} AS BIGINT) AS runs, CAST({errors} AS BIGINT) AS errors, observed_store,
+ count(*) FILTER (delta <> 0) AS discrepancies, count(*) FILTER (auto_patched) AS patches FROM {w} GROUP BY observed_store"""
+    for w, runs, errors in (("hourly", 2, 1), ("daily", 1, 0))
+)
+_QUERIES["dlq_replay_runs"] = f"""SELECT "partition", "offset", key, dlq_reason, event_id, user_id, replayed,
+ replayed AND {REASON} IS NOT NULL AS rejected_again FROM polled """
+_QUERIES["avro_round_trip"] = """SELECT event_id, tenant_id, user_id, session_id, campaign_id, event_type,
+ event_timestamp_ms, cost, CAST(NULL AS VARCHAR) AS dlq_reason FROM ev WHERE seq % 50 <> 0
+ UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Unreadable payload' FROM ev WHERE seq % 50 = 0"""
 _QUERIES["store_build"] = f"""SELECT tenant_id, CAST({DATE} AS VARCHAR) AS event_date, count(*) AS cnt,
  {MONEY} AS sum_cost FROM enriched GROUP BY ALL"""
 _QUERIES["cube_geo_totals"] = "SELECT geo_country, count(*) AS cnt FROM enriched GROUP BY ALL"
