@@ -53,6 +53,8 @@ class Settings:
 
     # A key with more rows than this is split over several tasks (operators/hot_keys.py).
     hot_key_rows: int = 200_000
+    # Spans that the rows of such a key, and of few large keys in general, are cut into.
+    hot_span_ms: int = HOUR_MS
     # Share of rows looked at to find such keys; it steers the plan only, never the result.
     hot_key_sample: float = 0.02
     # Largest number of rows that is ever broadcast with a hint.

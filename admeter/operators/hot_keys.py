@@ -1,18 +1,7 @@
-"""Ordered per-key operators (row number, running maximum, previous row) that survive hot keys.
+"""Keys that hold a large share of all rows: finding them, keeping them apart.
 
-A plain window puts all rows of a key into one task. That is right for the usual key and
-wrong for one that holds a large share of the table. So:
-
-1. ``find_hot`` counts a sample of the rows per key and names the heavy keys. The sample only
-   decides which plan a key takes; every row is processed in either plan.
-2. Rows of the other keys go through the plain window, ``_range`` = 0.
-3. Rows of heavy keys are sorted over the whole cluster by (key, order) into ranges of about
-   ``hot_key_rows`` rows, ``_range`` = 1, 2, ..., and written once so that range numbers stay
-   fixed. The window then runs per (key, range), and what a range needs from the ranges
-   before it (a count, a maximum, a last row) comes from one summary row per (key, range).
-
-A heavy key touches one range more than its rows fill, so the summary has at most
-(ranges + heavy keys) rows.
+``find_hot`` counts a sample of the rows per key and names the heavy keys. The sample only decides
+which plan a key takes; every row is processed in either plan.
 """
 
 from __future__ import annotations
@@ -23,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from admeter.config import Settings
+from admeter.operators import ordered
 from admeter.sources.shared import keep
 
 
@@ -98,95 +88,12 @@ def keep_keys(
         return match(rows, F.broadcast(listed), keys, how)
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
     copies = listed.withColumn("_salt", F.explode(salts))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int"))
+    # maps cannot be hashed; the other columns spread the rows of a key well enough
+    hashed = [f.name for f in rows.schema.fields if f.dataType.typeName() != "map"]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
     return match(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def in_ranges(
-    df: DataFrame, keys: list[str], order: list[str], settings: Settings, hot: HotKeys | None
-) -> DataFrame:
-    """Add ``_range``: 0 for ordinary keys, 1.. for the sorted pieces of heavy keys."""
-    if hot is None:
-        return df.withColumn("_range", F.lit(0))
-    calm = keep_keys(df, hot.table, hot.keys, keys, settings, "left_anti")
-    calm = calm.withColumn("_range", F.lit(0))
-    pieces = max(2, -(-hot.rows // settings.hot_key_rows))
-    heavy = (
-        keep_keys(df, hot.table, hot.keys, keys, settings, "left_semi")
-        .repartitionByRange(pieces, *keys, *order)
-        .withColumn("_range", F.spark_partition_id() + 1)
-    )
-    return calm.unionByName(keep(heavy, "ranges"))
-
-
-def _with_carry(
-    rows: DataFrame,
-    keys: list[str],
-    hot: HotKeys | None,
-    settings: Settings,
-    summary: Column,
-    fold,
-) -> DataFrame:
-    """Add ``_carry``: ``fold`` over the summaries of the earlier ranges of the same key."""
-    if hot is None:
-        return rows
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = (
-        rows.where(F.col("_range") > 0)
-        .groupBy(*keys, "_range")
-        .agg(summary.alias("_summary"))
-        .select(*keys, "_range", fold(F.col("_summary")).over(earlier).alias("_carry"))
-    )
-    pieces = -(-hot.rows // settings.hot_key_rows)
-    if pieces + hot.keys <= settings.broadcast_rows:
-        carry = F.broadcast(carry)
-    joined = match(rows, carry, [*keys, "_range"], "left")
-    return joined.select("a.*", "b._carry")
-
-
-def row_number(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    name: str,
-    settings: Settings,
-    hot: HotKeys | None = None,
-) -> DataFrame:
-    """1-based position of each row within its key. ``order`` must be unique within a key."""
-    rows = in_ranges(df, keys, order, settings, hot)
-    rows = _with_carry(rows, keys, hot, settings, F.count("*"), F.sum)
-    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    number = local.cast("bigint")
-    if hot is not None:
-        number = number + F.coalesce("_carry", F.lit(0))
-    return rows.withColumn(name, number).drop("_range", "_carry")
-
-
-def running_max_before(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    value: str,
-    name: str,
-    settings: Settings,
-    hot: HotKeys | None = None,
-) -> DataFrame:
-    """Largest ``value`` among the earlier rows of the key; null for the first row."""
-    rows = in_ranges(df, keys, order, settings, hot)
-    rows = _with_carry(rows, keys, hot, settings, F.max(value), F.max)
-    before = (
-        Window.partitionBy(*keys, "_range")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    best = F.max(value).over(before)
-    if hot is not None:
-        best = F.greatest(best, F.col("_carry"))
-    return rows.withColumn(name, best).drop("_range", "_carry")
-
-
 def previous_match(
     df: DataFrame,
     keys: list[str],
@@ -197,17 +104,15 @@ def previous_match(
     settings: Settings,
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """``value`` (a struct) of the latest earlier row of the key that satisfies ``where``."""
-    rows = in_ranges(df, keys, order, settings, hot)
-    chosen = F.when(where, value)
-    summary = F.max_by(chosen, F.when(where, F.struct(*order)))
-    rows = _with_carry(rows, keys, hot, settings, summary, lambda c: F.last(c, ignorenulls=True))
-    before = (
-        Window.partitionBy(*keys, "_range")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    latest = F.last(chosen, ignorenulls=True).over(before)
+    """``value`` (a struct) of the latest earlier row of the key that satisfies ``where``.
+
+    Usual keys take one window; heavy ones go through spans of ``hot_span_ms`` (``ordered.py``).
+    """
     if hot is not None:
-        latest = F.coalesce(latest, F.col("_carry"))
-    return rows.withColumn(name, latest).drop("_range", "_carry")
+        calm, heavy = (
+            keep_keys(df, hot.table, hot.keys, keys, settings, how).select(*df.columns) for how in ("left_anti", "left_semi")
+        )
+        spanned = ordered.previous_match(heavy, keys, order, where, value, name, settings.hot_span_ms)
+        return previous_match(calm, keys, order, where, value, name, settings).unionByName(spanned)
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.last(F.when(where, value), ignorenulls=True).over(before))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from admeter.config import MINUTE_MS, Settings
-from admeter.operators.hot_keys import find_hot, running_max_before
+from admeter.operators.ordered import running_max_before
 
 SOURCE = ["source_partition"]
 ARRIVAL = ["arrival_ms", "seq"]
@@ -15,12 +15,11 @@ ARRIVAL = ["arrival_ms", "seq"]
 def with_progress(events: DataFrame, settings: Settings) -> DataFrame:
     """Add ``max_before``: the largest event time that its source partition delivered before.
 
-    There are few source partitions and each holds a large part of the table, so nearly all
-    rows take the split path of ``hot_keys``.
+    There are few source partitions and each holds a large part of the table, so their rows are
+    cut into spans of arrival.
     """
-    hot = find_hot(events, SOURCE, settings)
     return running_max_before(
-        events, SOURCE, ARRIVAL, "event_timestamp_ms", "max_before", settings, hot
+        events, SOURCE, ARRIVAL, "event_timestamp_ms", "max_before", settings.hot_span_ms
     )
 
 

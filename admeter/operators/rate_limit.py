@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from admeter.config import Settings
 from admeter.model import ORDER
-from admeter.operators.hot_keys import find_hot, row_number
+from admeter.operators.ordered import row_number
+
+
+#: Spans that the requests of one window are numbered in.
+SPANS = 16
 
 
 def quota_of(tenant: Column, overrides: dict[str, int], settings: Settings) -> Column:
@@ -27,7 +31,8 @@ def admission(events: DataFrame, overrides: dict[str, int], settings: Settings)
     """Each request with its position in (tenant, window) and whether it is admitted."""
     rows = events.withColumn("window_no", window_no(F.col("event_timestamp_ms"), settings))
     keys = ["tenant_id", "window_no"]
-    numbered = row_number(rows, keys, ORDER, "position", settings, find_hot(rows, keys, settings))
+    width = max(1, settings.quota_window_s * 1000 // SPANS)
+    numbered = row_number(rows, keys, ORDER, "position", width)
     quota = quota_of(F.col("tenant_id"), overrides, settings)
     admitted = (F.col("position") <= quota) if settings.quota_enforced else F.lit(True)
     return numbered.withColumns({"quota": quota, "admitted": admitted})

@@ -143,7 +143,7 @@ def _stores(spark: SparkSession, sf: str) -> stored.StoredStores:
 
 
 def _dlq(spark: SparkSession, sf: str) -> DataFrame:
-    return dead_letters(_rejected(spark, sf), SETTINGS)
+    return dead_letters(_rejected(spark, sf))
 
 
 # ---- projections and checks -------------------------------------------------------------

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admeter.config import Settings
 from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA
-from admeter.operators.hot_keys import find_hot, row_number
+from admeter.operators.ordered import row_number
 from admeter.session import prepare
 from admeter.sources.shared import new_path
 
+#: Arrival numbers of one span of a partition of the dead-letter log.
+SEQ_SPAN = 1 << 20
+
 CANONICAL = """
 SELECT
  concat('evt_', CAST(CASE WHEN event_id % 10 = 9 THEN event_id - 1
@@ -74,11 +76,10 @@ def arrival_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFram
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def dead_letters(rejected: DataFrame, settings: Settings) -> DataFrame:
+def dead_letters(rejected: DataFrame) -> DataFrame:
     """Rejected events as a partitioned log: (partition, offset) by arrival number."""
     log = rejected.withColumnRenamed("source_partition", "partition")
-    hot = find_hot(log, ["partition"], settings)
-    numbered = row_number(log, ["partition"], ["seq"], "_n", settings, hot)
+    numbered = row_number(log, ["partition"], ["seq"], "_n", SEQ_SPAN)
     return numbered.withColumn("offset", numbered["_n"] - 1).drop("_n")
 
 

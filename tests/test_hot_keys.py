@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from admeter.config import Settings
 from admeter.operators import hot_keys as H
+from admeter.operators import ordered
 
 ORDER = ["t", "seq"]
 
@@ -26,27 +27,51 @@ def table(spark):
 @pytest.fixture(params=[(10**9, 10), (100, 1000), (10, 1000), (10, 2)])
 def settings(request):
     rows, small = request.param
-    return Settings(hot_key_rows=rows, hot_key_sample=1.0, broadcast_rows=small)
+    return Settings(hot_key_rows=rows, hot_key_sample=1.0, broadcast_rows=small, hot_span_ms=50)
 
 
 def same(a, b):
     assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
 
 
-def test_row_number(table, settings):
-    hot = H.find_hot(table, ["k"], settings)
-    got = H.row_number(table, ["k"], ORDER, "n", settings, hot)
+@pytest.fixture(params=[10**9, 100, 7, 1])
+def width(request):
+    return request.param
+
+
+def test_row_number(table, width):
+    got = ordered.row_number(table, ["k"], ORDER, "n", width)
     w = Window.partitionBy("k").orderBy(*ORDER)
     same(got, table.withColumn("n", F.row_number().over(w).cast("bigint")))
 
 
-def test_running_max_before(table, settings):
-    hot = H.find_hot(table, ["k"], settings)
-    got = H.running_max_before(table, ["k"], ORDER, "v", "m", settings, hot)
+def test_running_max_before(table, width):
+    got = ordered.running_max_before(table, ["k"], ORDER, "v", "m", width)
     w = Window.partitionBy("k").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     same(got, table.withColumn("m", F.max("v").over(w)))
 
 
+def test_previous_row_in_spans(table, width):
+    odd, value = F.col("v") % 7 == 0, F.struct("seq", "v")
+    got = ordered.previous_match(table, ["k"], ORDER, odd, value, "p", width)
+    w = Window.partitionBy("k").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    same(got, table.withColumn("p", F.last(F.when(odd, value), ignorenulls=True).over(w)))
+
+
+def test_null_order_comes_first(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 3, 2), (None, None, 3), (None, 1, 4), ("a", None, 5)], "k string, t long, seq long")
+    got = {r.seq: r.n for r in ordered.row_number(df, ["k"], ORDER, "n", 2).collect()}
+    assert got == {1: 1, 5: 2, 2: 3, 3: 1, 4: 2}
+
+
+def test_no_job_runs_and_nothing_is_written_while_a_plan_is_built(spark, table):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    df = ordered.row_number(table, ["k"], ORDER, "n", 10)
+    df._jdf.queryExecution().optimizedPlan()
+    assert list(tracker.getJobIdsForGroup("building")) == []
+
+
 def test_previous_match(table, settings):
     hot = H.find_hot(table, ["k"], settings)
     odd, value = F.col("v") % 7 == 0, F.struct("seq", "v")
@@ -67,17 +92,3 @@ def test_find_hot_each(table):
     )
     assert by_key.keys == 2 and none is None
     assert [r.t for r in by_time.table.collect()] == [7]
-
-
-def test_ranges_are_even(table):
-    """No range holds the heavy key as a whole."""
-    settings = Settings(hot_key_rows=100, hot_key_sample=1.0)
-    hot = H.find_hot(table, ["k"], settings)
-    sizes = (
-        H.in_ranges(table, ["k"], ORDER, settings, hot)
-        .where("_range > 0")
-        .groupBy("_range")
-        .count()
-        .collect()
-    )
-    assert len(sizes) >= 8 and max(r["count"] for r in sizes) < 300
