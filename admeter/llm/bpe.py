@@ -84,7 +84,8 @@ def _runs(text: str) -> Iterator[str]:
 
 
 #: An encoded word: ids and tokens as text, number of tokens.
-Word = tuple[str, str, int]
+#: A word's ids as decimals joined by blanks, and their number.
+Word = tuple[str, int]
 
 
 class Codec:
@@ -102,6 +103,7 @@ class Codec:
         self.token = [""] * size
         for s, i in (self.vocabulary | self.special).items():
             self.token[i] = s
+        self._written = {str(i): t for i, t in enumerate(self.token)}
         self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         self.rank = np.full(size, -1, np.int64)
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
@@ -279,7 +281,7 @@ class Codec:
             return self._cache
         long_ones = {}
         for w, ids in zip(new, self.encode_words(new), strict=True):
-            word = (" ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)), len(ids))
+            word = (" ".join(map(str, ids)), len(ids))
             (self._cache if len(w) <= CACHED_WORD else long_ones)[w] = word
         return {**self._cache, **long_ones} if long_ones else self._cache
 
@@ -303,8 +305,8 @@ class Codec:
             for i in range(0, len(pieces), 2):
                 yield self.words_of(pieces[i]), pieces[i + 1] if i + 1 < len(pieces) else None
 
-    def encoded(self, texts: list[str]) -> list[list[tuple[str, str, int]]]:
-        """Per text its stretches as (ids, tokens, number), in order."""
+    def encoded(self, texts: list[str]) -> list[list[tuple[str, int]]]:
+        """Per text its stretches as (ids, number), in order; ids are decimals joined by blanks."""
         parts = [list(self.parts(t)) for t in texts]
         known = self._lookup([w for p in parts for words, _ in p for w in words])
         out = []
@@ -312,11 +314,10 @@ class Codec:
             done = []
             for words, special in p:
                 if words:
-                    got = list(map(known.__getitem__, words))
-                    ids, tokens, n = zip(*got, strict=True)
-                    done.append((" ".join(ids), " ".join(tokens), sum(n)))
+                    ids, n = zip(*map(known.__getitem__, words), strict=True)
+                    done.append((" ".join(ids), sum(n)))
                 if special is not None:
-                    done.append((str(self.special[special]), special, 1))
+                    done.append((str(self.special[special]), 1))
             out.append(done)
         return out
 
@@ -324,6 +325,10 @@ class Codec:
         """The file states no decoder: tokens joined by blanks; ids out of range are left out."""
         return " ".join(self.token[i] for i in ids if 0 <= i < len(self.token))
 
+    def decode_written(self, ids: str) -> str:
+        """``decode`` for ids as ``encoded`` writes them."""
+        return " ".join(map(self._written.__getitem__, ids.split(" ")))
+
 
 @functools.lru_cache(maxsize=2)
 def _reader(path: str):
@@ -351,28 +356,30 @@ def _stretches(texts: list[str]) -> Iterator[list[int]]:
 
 
 def encoded(docs: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
-    """``columns`` of docs, n_tokens and ids (array<int>) of ``text``; null counts as empty.
+    """``columns`` of docs, n_tokens, ids (array<int>) and the digest of what the ids decode to.
 
+    A null ``text`` counts as empty.
     Results leave a worker in batches of about STRIDE characters of text.
     """
     at = path or default_path()
     rows = docs.select(*columns, F.col("text").alias("__text"))
     fields = [*rows.drop("__text").schema.fields, T.StructField("n_tokens", T.LongType())]
-    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    ids_field = T.StructField("ids", T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*fields, ids_field, T.StructField("decoded_sha256", T.StringType())])
+    names = ["n_tokens", "ids", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(at)
         for batch in batches:
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             for part in _stretches(texts):
-                ids = [
-                    [int(x) for a, _, _ in done for x in a.split(" ")]
-                    for done in c.encoded([texts[i] for i in part])
-                ]
+                found = c.encoded([texts[i] for i in part])
+                ids = [[int(x) for a, _ in done for x in a.split(" ")] for done in found]
                 mine = batch.slice(part[0], len(part))
                 out = [mine.column(x) for x in columns]
                 out += [pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(out, names=[*columns, "n_tokens", "ids"])
+                back = [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(back)], names=[*columns, *names])
 
     return rows.mapInArrow(run, schema)
 
@@ -392,8 +399,8 @@ def decoded(ids: Column, path: str | None = None) -> Column:
 def digests(text: Column, path: str | None = None) -> Column:
     """Struct (n_tokens, ids_sha256, decoded_sha256) of a text column; null counts as empty.
 
-    The ids are encoded, written as decimals and decoded in one pass, so that arrays of ids need
-    not travel; ``encoded`` and ``decoded`` give them.
+    Texts become ids, written as decimals, and the text is decoded from these, stretch by stretch, so
+    that arrays of ids need not travel; ``encoded`` and ``decoded`` give them.
     """
     at = path or default_path()
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
@@ -404,9 +411,10 @@ def digests(text: Column, path: str | None = None) -> Column:
         for part in _stretches(values):
             for done in c.encoded([values[i] for i in part]):
                 ids, back, n = hashlib.sha256(), hashlib.sha256(), 0
-                for k, (a, b, m) in enumerate(done):
+                for k, (a, m) in enumerate(done):
                     ids.update((" " + a if k else a).encode())
-                    back.update((" " + b if k else b).encode())
+                    text = c.decode_written(a)
+                    back.update((" " + text if k else text).encode())
                     n += m
                 rows.append((n, ids.hexdigest(), back.hexdigest()))
         return pd.DataFrame(rows, columns=[f[0] for f in fields])

@@ -21,6 +21,8 @@ from admeter.llm.common import fold, table
 
 #: Distinct texts in the sample, about; languages share it evenly.
 SAMPLE = 2_000
+#: Values of lang that are learned at most.
+LANGUAGES = 100
 WIDTH = 2_048
 STEPS = 150
 PENALTY = 1e-4
@@ -142,15 +144,19 @@ def _features(texts: pd.Series) -> pd.Series:
 def sample(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """Distinct (lang, text) pairs outside fold 1 of 3, about ``rows`` of them, evenly by language.
 
-    A text is in if its hash lies below the language's share, so the choice does not depend on
-    how rows are dealt, and copies add nothing.
+    A text is in if its hash lies below the language's share of its distinct texts, so the choice does
+    not depend on how rows are dealt, and copies neither add to it nor take from it; a language with few
+    texts (up to twice its share) gives all. Of more than
+    ``LANGUAGES`` values of lang, those with most texts are learned.
     """
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold(3) != 1))
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = learn.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n"))
+    counts = {r["lang"]: r["n"] for r in texts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return learn.select("lang", F.xxhash64("text").alias("h"), "text").limit(0)
     each = max(20, rows // len(counts))
-    shares = [x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))]
+    # with few texts all are in, also where the count of them is a little off
+    shares = [x for k, n in counts.items() for x in (F.lit(k), F.lit(1.0 if n <= 2 * each else each / n))]
     place = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) / 1e6
     picked = learn.where(place < F.try_element_at(F.create_map(*shares), F.col("lang")))
     return picked.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))

@@ -117,9 +117,11 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             )
 
     text = F.col("text").cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    schema = "doc_id long, h long, n_shingles long, digest binary, signature binary"
-    return rows.mapInPandas(run, schema)
+    # as text, since pandas would round large numbers where a batch holds a null
+    doc_id = F.col("doc_id").cast("long").cast("string").alias("doc_id")
+    rows = docs.select(doc_id, F.xxhash64(text).alias("h"), text.alias("text"))
+    schema = "doc_id string, h long, n_shingles long, digest binary, signature binary"
+    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def chunk_keys(signature: Column) -> Column:

@@ -110,9 +110,9 @@ def test_encoding_equals_the_library(reader):
     c, texts = bpe.Codec(bpe.default_path()), odd_texts()
     for text, done in zip(texts, c.encoded(texts), strict=True):
         want = reader.encode(text, add_special_tokens=False)
-        ids = [int(x) for a, _, _ in done for x in a.split(" ")]
+        ids = [int(x) for a, _ in done for x in a.split(" ")]
         assert ids == want.ids, text
-        assert " ".join(b for _, b, _ in done) == reader.decode(want.ids, skip_special_tokens=False)
+        assert " ".join(c.decode_written(a) for a, _ in done) == reader.decode(want.ids, skip_special_tokens=False)
         assert c.decode(ids) == reader.decode(want.ids, skip_special_tokens=False)
 
 
@@ -131,7 +131,7 @@ def test_long_texts_are_cut_at_blanks(monkeypatch, reader):
     text = "don't stop\nthe <|endoftext|> music " * 30 + "unbroken" * 20
     (done,) = bpe.Codec(bpe.default_path()).encoded([text])
     assert len(done) > 30
-    assert [int(x) for a, _, _ in done for x in a.split(" ")] == reader.encode(text, add_special_tokens=False).ids
+    assert [int(x) for a, _ in done for x in a.split(" ")] == reader.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("kind", KINDS)
@@ -153,3 +153,12 @@ def test_ids_and_texts_as_columns(spark, empty, reader):
     for r in rows:
         assert r.ids == reader.encode(r.text or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
         assert r.back == reader.decode(r.ids, skip_special_tokens=False)
+
+
+def test_copies_take_nothing_from_the_sample(spark):
+    """Three thousand rows of five texts are five texts, and all of them are learned from."""
+    rows = [(i, f"texte numéro {i % 5} en français avec des mots", "fr") for i in range(3000)]
+    rows += [(10_000 + i, f"english text number {i} with some words in it", "en") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = {r["lang"]: r["count"] for r in language.sample(docs).groupBy("lang").count().collect()}
+    assert picked["fr"] == 5 and 900 < picked["en"] <= 1500

@@ -184,3 +184,12 @@ def test_groups_of_near_vectors(spark, monkeypatch, tile, dim):
     got = Counter(map(tuple, near_vectors.near_vectors(df).collect()))
     want, _ = brute_vectors([dict(zip(("vec_id", "embedding", "label"), r, strict=True)) for r in rows])
     assert got == want
+
+
+def test_large_doc_ids_keep_their_digits_beside_null(spark):
+    """Numbers above 2^53 in a batch with a row that has none."""
+    big = 2**62 + 1
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(big, text), (big + 2, text), (None, text), (7, "other words that stand alone here")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_text.classes(df.coalesce(1)).collect()}
+    assert got == {(big, big, True), (big + 2, big, False), (None, None, True), (7, 7, True)}

@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import brute
@@ -68,11 +69,14 @@ def test_stages_equal_plain_python(spark, folders, kind):
     ids = Counter((r["doc_id"], tuple(reader.encode(r["text"] or "", add_special_tokens=False).ids)) for r in before)
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in after) == ids
     assert all(r["n_tokens"] == len(r["ids"]) for r in after)
+    for r in after:
+        text = reader.decode(r["ids"], skip_special_tokens=False)
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_run(spark, folders):
     got = corpus_pipeline.run(spark, folders["sf"])
-    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and got.count() > 100
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and got.count() > 100
     assert corpus_pipeline.run(spark, folders["empty"]).collect() == []
 
 
