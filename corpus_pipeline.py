@@ -74,7 +74,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the token ids of each document."""
+    """doc_id, lang, source, n_tokens, ids and the digest of the text that the ids decode to."""
     return bpe.encoded(docs, ["doc_id", "lang", "source"])
 
 
