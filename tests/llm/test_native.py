@@ -54,6 +54,17 @@ def test_fingerprints_of_one_row(spark):
     assert [tuple(r) for r in row] == [(5, "ab", "ab")]
 
 
+def test_pieces_line_up_again_after_an_insertion(spark):
+    """One character before a long line without sentence marks, or a word within it, changes few pieces."""
+    words = [f"word{i}{'aeroplane stone'[i % 15].strip()} x{i}" for i in range(500)]
+    line = " ".join(words)
+    inner = " ".join([*words[:250], "inserted", *words[250:]])
+    rows = [(line, "X" + line), (line, inner), (line, line[: len(line) // 2])]
+    df = spark.createDataFrame(rows, "a string, b string")
+    near = [r[0] for r in df.select(merkle.likeness(merkle.tree(F.col("a")), merkle.tree(F.col("b")))).collect()]
+    assert near[0] > 0.95 and near[1] > 0.95 and 0.5 < near[2] < 0.8
+
+
 def test_pieces_make_up_the_text_and_edits_are_located(spark):
     lines = [f"Line {i}. It says {i * 7} things, and more of them than fit a piece" for i in range(20)]
     other = list(lines)
