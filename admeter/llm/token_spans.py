@@ -23,6 +23,8 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -114,16 +116,12 @@ class Spans:
         ends = np.where(self.fallback[ids], decoded, found[:, 1] + 1)  # a byte token's span may be its character's
         return (ids, ends) if (ends == decoded).all() else None
 
-    def learn(self, segments: list[str]) -> None:
-        """Encodes new segments, many in one text where they can stand side by side."""
-        plain = [s for s in segments if len(s) > 1 and not s[1].isspace() and not s[-1].isspace()]
+    def learn(self, plain: list[str], odd: list[str]) -> None:
+        """Encodes new segments; ``plain`` ones can stand side by side, so many share one text."""
         for k in range(0, len(plain), CHUNK):
             self.add(plain[k : k + CHUNK], SENTINEL)
-        if len(plain) < len(segments):
-            held = set(plain)
-            for s in segments:
-                if s not in held:
-                    self.add([s], "" if len(s) < 2 or s[1].isspace() else SENTINEL)
+        for s in odd:
+            self.add([s], "" if len(s) < 2 or s[1].isspace() else SENTINEL)
 
     def add(self, segments: list[str], front: str) -> None:
         text = front + "".join(segments)
@@ -149,16 +147,17 @@ class Spans:
         (ids_a, ends_a), (ids_b, ends_b) = a, b
         borders = chars[np.cumsum([len(front), *map(len, segments)])]  # where segments begin and end
         at_a, at_b = (np.searchsorted(e, borders, "right") for e in (ends_a, ends_b))
-        shared, in_a, in_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        cuts = np.searchsorted(shared, borders, "right")
+        near = np.minimum(np.searchsorted(ends_a, ends_b), len(ends_a) - 1)
+        in_b = np.flatnonzero(ends_a[near] == ends_b)
+        in_a = near[in_b]
+        cuts = np.searchsorted(ends_b[in_b], borders, "right")
         left, right = ids_a.tolist(), ids_b.tolist()
-        groups, i0, j0 = [], 0, 0
-        for i, j in zip((in_a + 1).tolist(), (in_b + 1).tolist(), strict=True):
-            if i - i0 == 1 == j - j0:
-                groups.append(f"{left[i0]}|{right[j0]}")
-            else:
-                groups.append(f"{','.join(map(str, left[i0:i]))}|{','.join(map(str, right[j0:j]))}")
-            i0, j0 = i, j
+        groups = [f"{x}|{y}" for x, y in zip(ids_a[in_a].tolist(), ids_b[in_b].tolist(), strict=True)]
+        first_a, first_b = (np.concatenate([[0], x[:-1] + 1]) for x in (in_a, in_b))
+        several = np.flatnonzero((in_a > first_a) | (in_b > first_b))
+        spans = zip(several.tolist(), *(x[several].tolist() for x in (first_a, in_a + 1, first_b, in_b + 1)), strict=True)
+        for k, i0, i, j0, j in spans:
+            groups[k] = f"{','.join(map(str, left[i0:i]))}|{','.join(map(str, right[j0:j]))}"
         known = len(self.groups)
         self.index.update(zip(segments, range(known, known + len(segments)), strict=True))
         where = cuts.tolist()
@@ -172,11 +171,20 @@ class Spans:
     def codes(self, stretches: list[str]) -> list[np.ndarray]:
         """The numbers of the segments of each stretch."""
         parts = [BOUNDARY.split(s) for s in stretches]
-        self.learn([s for s in dict.fromkeys(x for p in parts for x in p) if s not in self.index])
+        new = set(chain.from_iterable(parts)).difference(self.index)
+        # only the ends of a text may have white space beside their border
+        ends = {s for p in parts for s in (p[0], p[-1]) if len(s) < 2 or s[1].isspace() or s[-1].isspace()}
+        self.learn(list(new - ends), list(new & ends))
         get = self.index.__getitem__
         return [np.fromiter(map(get, p), np.int64, len(p)) for p in parts]
 
 
+@lru_cache(maxsize=1)
+def spans_of(file_a: str, file_b: str) -> Spans:
+    """The tokenizers of a worker, with the segments that its earlier tasks have met."""
+    return Spans(file_a, file_b)
+
+
 def stretches(text: str) -> Iterator[str]:
     """Space + text in parts of about ``STRETCH`` characters, each ending where a segment does."""
     text, at = " " + text, 0
@@ -315,7 +323,7 @@ def marked(docs: DataFrame, file_a: str, file_b: str) -> DataFrame:
     """Rows of ``MARKED``: kind 0 has a batch's pairs and segments, kind 2 a document's part in it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batches = Batches(Spans(path_of(file_a), path_of(file_b)))
+        batches = Batches(spans_of(path_of(file_a), path_of(file_b)))
         for pdf in frames:
             batches.documents(pdf["doc_id"].tolist(), pdf["text"].tolist())
             yield from batches.taken()
