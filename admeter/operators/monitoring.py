@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from admeter.config import MINUTE_MS
 
 
+#: Windows of a range that one task makes.
+RUN = 10_000
+
+
 def minute_of(ms: str | Column) -> Column:
     c = F.col(ms) if isinstance(ms, str) else ms
     return (c - F.pmod(c, F.lit(MINUTE_MS))).alias("minute_ms")
@@ -107,19 +111,19 @@ def silent_windows(
     width = width_min * MINUTE_MS
     start = F.col("event_timestamp_ms") - F.pmod("event_timestamp_ms", F.lit(width))
     counted = rows.groupBy(start.alias("window_start_ms")).agg(F.count("*").alias("n"))
-    first = F.col("from_ms") - F.pmod("from_ms", F.lit(width))
-    every = span.select(
-        F.explode(F.sequence(first, F.col("to_ms"), F.lit(width).cast("bigint"))).alias(
-            "window_start_ms"
-        )
-    )
-    # One row per window of the time range, so this unpartitioned order stays short.
-    trailing = Window.orderBy("window_start_ms").rowsBetween(1 - needed, 0)
-    filled = every.join(counted, "window_start_ms", "left").select(
-        "window_start_ms", F.coalesce("n", F.lit(0)).alias("n")
-    )
-    quiet = (F.sum("n").over(trailing) == 0) & (F.count("*").over(trailing) == needed)
-    return filled.withColumn("alert", quiet).where("n = 0")
+    # the windows of the range, made in runs of RUN by as many tasks as there are runs
+    first, last = (F.floor(F.col(c) / width) for c in ("from_ms", "to_ms"))
+    runs = span.select(first.alias("a"), last.alias("b"), F.explode(F.sequence(F.floor(first / RUN), F.floor(last / RUN))).alias("run"))
+    low, high = F.greatest("a", F.col("run") * RUN), F.least("b", F.col("run") * RUN + RUN - 1)
+    every = runs.repartition("run").select(F.explode(F.sequence(low, high)).alias("w"))
+    every = every.select((F.col("w") * width).alias("window_start_ms"))
+    silent = every.join(counted, "window_start_ms", "left").where(F.coalesce("n", F.lit(0)) == 0)
+    silent = silent.select("window_start_ms")
+    # a silent window counts for itself and the next ones; with enough of them behind it a window alerts
+    reach = F.sequence(F.col("window_start_ms"), F.col("window_start_ms") + (needed - 1) * width, F.lit(width).cast("bigint"))
+    behind = silent.select(F.explode(reach).alias("window_start_ms")).groupBy("window_start_ms").agg(F.count("*").alias("quiet"))
+    found = silent.join(behind, "window_start_ms")
+    return found.select("window_start_ms", F.lit(0).cast("bigint").alias("n"), (F.col("quiet") == needed).alias("alert"))
 
 
 def cache_hit_ratio(log: DataFrame, limit: float = 0.80) -> DataFrame:

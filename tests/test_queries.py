@@ -1,9 +1,12 @@
 """Every registered query against its SQL statement, over the whole tables."""
 
+from dataclasses import replace
+
 import pytest
 from compare import connect, difference
 
 import __spark_entry__ as driver
+from admeter import queries
 from admeter.queries import REGISTRY
 from oracles import sql
 
@@ -35,5 +38,15 @@ def test_query(spark, db, name):
     assert difference(df, db, SQL[name]) is None
 
 
+@pytest.mark.parametrize("name", [
+    "enriched_events", "dedup_ttl", "click_to_basket", "late_upsert", "lake_upsert", "late_events", "dlq_stats", "series_requests",
+])
+def test_query_when_every_key_is_hot(spark, db, name, monkeypatch):
+    """The same rows when all thresholds are low: other plans, nothing left out."""
+    low = replace(queries.SETTINGS, hot_key_rows=3, hot_key_sample=1.0, broadcast_rows=2, hot_span_ms=60_000)
+    monkeypatch.setattr(queries, "SETTINGS", low)
+    assert difference(REGISTRY[name](spark, SF_DIR), db, SQL[name]) is None
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
