@@ -157,6 +157,15 @@ def cube_geo_device(events: DataFrame) -> DataFrame:
     return _cube(events, GEO_DIMS, with_cost=False)
 
 
+def cube_lookup(cube: DataFrame, dims: list[str], **fixed: str) -> DataFrame:
+    """The one row of a cube that answers an equality query on some dimensions."""
+    level = sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in fixed)
+    rows = cube.where(F.col("level") == level)
+    for name, value in fixed.items():
+        rows = rows.where(F.col(name) == value)
+    return rows
+
+
 def minute_rollup(events: DataFrame) -> DataFrame:
     """Ingest-time roll-up: rows with equal dimensions in the same minute become one."""
     return minute_sums(events).withColumn("sum_cost", F.col("cost").cast("double")).drop("cost")
