@@ -1060,9 +1060,8 @@ def stream_counts(spark, sf):
     return counters.current_counts(spark, f"{folder}/rows")
 
 
-def _stream_job(spark, sf, parts: int) -> DataFrame:
+def _stream_job(spark, sf, parts: int, files: int | None = None) -> DataFrame:
     out = job.Folders(new_path(spark, "stream-job"))
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     job.run_available(arrival_stream(spark, sf, parts), out, SETTINGS, ends=True, files=files)
     return job.enriched(spark, out).select(*FLAT, attribution.duration_ms().alias("duration_ms"))
 
@@ -1075,8 +1074,8 @@ def stream_enriched(spark, sf):
 
 @stream_query
 def stream_enriched_stateful(spark, sf):
-    """The same rows when state crosses twice as many micro-batches."""
-    return _stream_job(spark, sf, 8)
+    """The same rows when the state of both steps crosses twice as many micro-batches."""
+    return _stream_job(spark, sf, 8, files=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @stream_query
