@@ -164,10 +164,13 @@ def tiered_series(stores: Stores, request: Request, settings: Settings) -> DataF
     else:
         own = stores.warm_series(key, placement, from_ms, to_ms, request.grain)
     points = S.even_split(F.col("cnt"), F.lit(from_ms), F.lit(to_ms), request.grain, settings.max_buckets)
-    one = F.lit(1).alias("_one")
-    # at most one row on either side: the total, and whether there is a bucket of its own
-    total = stores.warm_count(key, placement).withColumn("_one", one)
-    spread = total.join(own.limit(1).select(one), "_one", "left_anti").select(F.inline(points))
+    # two rows of one column each become one: the total, and how many buckets there are without it
+    none = F.lit(None).cast("bigint")
+    known = stores.warm_count(key, placement).select("cnt", none.alias("own")).unionByName(
+        own.agg(F.count("*").alias("own")).select(none.alias("cnt"), "own")
+    )
+    known = known.agg(F.max("cnt").alias("cnt"), F.max("own").alias("own"))
+    spread = known.where("own = 0").select(F.inline(points))
     return own.unionByName(spread).orderBy("bucket_ms")
 
 
