@@ -186,6 +186,42 @@ def test_groups_of_near_vectors(spark, monkeypatch, tile, dim):
     assert got == want
 
 
+def test_many_copies_of_one_vector(spark, monkeypatch):
+    """A third of all rows is one vector: its copies cost a few vectors, and all count."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=16).astype(np.float32)
+    near = [(base + rng.normal(size=16) * 0.05).astype(np.float32) for _ in range(40)]
+    rows = [(i, [float(v) for v in base], i % 2) for i in range(50_000)]
+    rows += [(50_000 + i, [float(x) for x in v], 1) for i, v in enumerate(near * 2)]
+    seen = []
+    pairs = near_vectors.distinct_vectors
+    monkeypatch.setattr(near_vectors, "distinct_vectors", lambda fit: seen.append(pairs(fit)) or seen[-1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = near_vectors.near_vectors(df).groupBy("n_links", "component_id").count().collect()
+    assert seen[0].count() <= 2 * near_vectors.SHARES + len(near) * 2
+    # 25,000 copies of label 0 have only each other
+    assert Counter({(r.n_links, r.component_id): r["count"] for r in got})[24_999, 0] == 25_000
+    few = [r for r in rows if r[2] and (r[0] < 10 or r[0] >= 50_000)]
+    want, _ = brute_vectors([dict(zip(("vec_id", "embedding", "label"), r, strict=True)) for r in few])
+    more = 25_000 - 5  # copies that the brute force was spared
+    whole = Counter()
+    for i, n, part, _ in want:
+        links_to_base = i < 50_000 or np.float64(rows[i][1]) @ np.float64(base) >= 0.93 * np.linalg.norm(
+            np.float64(rows[i][1])) * np.linalg.norm(np.float64(base))
+        whole[n + more * bool(links_to_base), part] += 25_000 // 5 if i < 50_000 else 1
+    assert {(r.n_links, r.component_id): r["count"] for r in got if r.component_id} == whole
+
+
+def test_double_components_are_compared_as_doubles(spark):
+    """Vectors on either side of the threshold that are one in single precision."""
+    angle = np.arccos(0.93)
+    rows = [(0, [1.0, 0.0], 0)] + [(k, [float(np.cos(angle + d)), float(np.sin(angle + d))], 0) for k, d in ((1, -1e-11), (2, 1e-11))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want, links = brute_vectors([dict(zip(("vec_id", "embedding", "label"), r, strict=True)) for r in rows])
+    assert (0, 1) in links and (0, 2) not in links
+    assert Counter(map(tuple, near_vectors.near_vectors(df).collect())) == want
+
+
 def test_large_doc_ids_keep_their_digits_beside_null(spark):
     """Numbers above 2^53 in a batch with a row that has none."""
     big = 2**62 + 1
