@@ -8,6 +8,8 @@ folds them into one base that remembers the ids it holds. One writer at a time.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +68,12 @@ class Store:
         return bases[-1], {r["batch"] for r in ids.select("batch").collect()}
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
-        """Commit a batch; False if its id had been committed before."""
+        """Commit a batch; False if its id had been committed before.
+
+        The id names a folder: letters, digits, ``.``, ``_`` and ``-``, neither dot nor underscore first.
+        """
+        if not re.fullmatch(r"[A-Za-z0-9-][A-Za-z0-9._-]*", batch):
+            raise ValueError(f"a batch id names a folder: {batch!r}")
         if batch in self._base()[1] or batch in self._committed("delta"):
             return False
         deltas(changes).write.mode("overwrite").parquet(f"{self.root}/delta/{batch}")
@@ -103,6 +110,9 @@ class Store:
         )
         for b in batches:
             delete(self.spark, f"{self.root}/delta/{b}")
+        # the base before this one stays for readers that are still at it
+        for b in self._committed("base")[:-2]:
+            delete(self.spark, f"{self.root}/base/{b}")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -132,7 +142,9 @@ def op10_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """
     rows = keep(counted(table(spark, sf, "documents")), "rollup-docs")
     first = rows.where("sha is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    copies = rows.join(first, "sha").where("doc_id > first")
+    # all but the smallest doc_id; by text and doc_id, so that the copies of one text are spread
+    first = first.select("sha", F.col("first").alias("doc_id"))
+    copies = rows.where("sha is not null and doc_id is not null").join(first, ["sha", "doc_id"], "left_anti")
     gone = changes(copies, DELETE, "words", None, "words").unionByName(
         changes(copies, DELETE, "pieces", None, "pieces")
     )

@@ -254,6 +254,20 @@ def test_rollup_batches_count_once(spark, tmp_path):
     assert {tuple(r) for r in store.totals().collect()} == {("a", "en", "t1", 1, 9)}
 
 
+def test_rollup_refuses_ids_that_are_no_folder(spark, tmp_path):
+    store = token_rollup.Store(spark, str(tmp_path / "r"))
+    one = spark.createDataFrame([("insert", "a", "en", "t", 3, None)], "op string, source string, lang string, tokenizer string, n_tokens long, old_n_tokens long")
+    for batch in ("a/b", "", "..", "_x", ".x", "a b"):
+        with pytest.raises(ValueError):
+            store.apply(batch, one)
+    for batch in ("2026-01-01", "b_2", "c.3", "d"):
+        assert store.apply(batch, one) and not store.apply(batch, one)
+        store.compact()
+        assert not store.apply(batch, one)
+    assert store._committed("base") == ["00000003", "00000004"] and store._committed("delta") == []
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "t", 4, 12)]
+
+
 def test_ranges(spark):
     assert boundaries(spark.range(0), "id", 4) == []
     assert len(boundaries(spark.range(100), "id", 4)) == 3
