@@ -60,19 +60,24 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arrival_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
     """The same events as a stream in the order of arrival, ``parts`` micro-batches of about equal size.
 
-    The table is written anew in ranges of ``arrival_ms``; a trigger takes the files of one range.
+    The table is written anew in ranges of ``arrival_ms``; a trigger takes the files of one range, which are
+    as many for every range (a file without rows where one is missing) and enough for all cores.
     """
     events = canonical(spark, sf_dir).select(*EVENT_COLUMNS)
     shares = [i / parts for i in range(1, parts)]
     cuts = events.agg(F.percentile_approx("arrival_ms", shares, 10_000)).first()[0] if shares else []
-    files = max(1, len(events.inputFiles()) // parts)
+    files = max(spark.sparkContext.defaultParallelism, len(events.inputFiles()) // parts)
     path = new_path(spark, "arrivals")
     bounds = [None, *sorted(set(cuts or [])), None]
     at = F.coalesce("arrival_ms", "event_timestamp_ms", F.lit(0))
+    due = 0
     for low, high in zip(bounds, bounds[1:], strict=False):
         rows = events if low is None else events.where(at > low)
         rows = rows if high is None else rows.where(at <= high)
         rows.repartition(files).write.mode("append").parquet(path)
+        due += files
+        for _ in range(due - len(spark.read.schema(EVENT_SCHEMA).parquet(path).inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
 
 

@@ -22,7 +22,10 @@ def unique(timed: DataFrame, settings: Settings) -> DataFrame:
     """Kept rows (``EVENT_COLUMNS``) of a stream with ``event_ts`` and its watermark."""
     others = [c for c in EVENT_COLUMNS if c != "event_id"]
     gap = f"{settings.dedup_ttl_ms + 1} milliseconds"
-    chains = timed.groupBy("event_id", F.session_window("event_ts", gap)).agg(
+    # the state is kept in the order of its keys, and a look-up walks over keys deleted right after it; by a
+    # hash these lie among live ones, by id (as old as its number) they would be one long run
+    spread = F.xxhash64("event_id").alias("_spread")
+    chains = timed.groupBy(spread, "event_id", F.session_window("event_ts", gap)).agg(
         F.collect_list(F.struct(*others)).alias("_rows")
     )
     kept = kept_rows(F.col("_rows"), settings.dedup_ttl_ms)

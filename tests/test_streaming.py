@@ -1,6 +1,7 @@
 """Streams over several files give the rows of the batch plans, also across a restart."""
 
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from admeter.plans import ingest
 from admeter.session import state_partitions
 from admeter.sources import kafka, lake
 from admeter.sources.event_table import arrival_stream, canonical
+from admeter.sources.shared import shared_folder
 from admeter.streaming import clock, counters, job, tables
 from admeter.streaming.attribution import conversions
 from admeter.streaming.dedup import unique, within_watermark
@@ -108,6 +110,31 @@ def test_unique_equals_the_batch_rule(spark, batch, tmp_path, parts):
     assert sum(s.numRowsDroppedByWatermark for p in progress for s in p.stateOperators) == 0
 
 
+def test_open_ids_lie_spread_in_the_state(batch):
+    """Ids count up; stored in their order, deleted ones would be one run that every look-up walks."""
+    plan = unique(clock.timed(batch, 0), S)._jdf.queryExecution().analyzed().toString()
+    grouped = next(line for line in plan.splitlines() if "collect_list" in line)
+    assert "Aggregate [xxhash64(event_id" in grouped
+
+
+@pytest.mark.parametrize("rows", [1000, 3])
+def test_arrivals_have_files_for_all_cores_and_as_many_a_trigger(spark, tmp_path, rows):
+    given = spark.read.parquet(f"{SF_DIR}/events.parquet").where(f"event_id < {rows}").coalesce(1)
+    given.write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    stream = arrival_stream(spark, str(tmp_path), 2)
+
+    def look(df, n):
+        at = df.agg(F.min("arrival_ms"), F.max("arrival_ms"), F.count("*")).first()
+        seen.append(at)
+
+    once = stream.writeStream.foreachBatch(look).option("checkpointLocation", str(tmp_path / "c"))
+    once.trigger(availableNow=True).start().awaitTermination()
+    folder = max(Path(shared_folder(spark)).glob("arrivals-*"), key=lambda p: p.stat().st_mtime_ns)
+    assert len(list(folder.glob("*.parquet"))) == 2 * spark.sparkContext.defaultParallelism
+    assert len(seen) == 2 and seen[0][1] < seen[1][0] and sum(n for *_, n in seen) == rows
+
+
 def test_long_chains_of_copies(spark, raw, events, tmp_path):
     """An id redelivered every 40 minutes over a day, one beyond the TTL, ties; in three micro-batches."""
     minute = 60_000
