@@ -9,8 +9,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +67,17 @@ def alive(hours: DataFrame, settings: Settings, as_of_ms: int) -> DataFrame:
     return live.select(*hours.columns)
 
 
+def together(spark: SparkSession, *steps: Callable[[], object]) -> None:
+    """Run independent writes at the same time: the small jobs of one fill the cores that another leaves idle.
+
+    All run to their end; the first that failed raises then.
+    """
+    with ThreadPoolExecutor(len(steps)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(s)) for s in steps]
+    for s in started:
+        s.result()
+
+
 @dataclass(frozen=True)
 class Tables:
     spark: SparkSession
@@ -95,29 +109,43 @@ class Tables:
 
     def add(self, enriched: DataFrame, tag: str) -> None:
         """Take in one batch of unique events and conversions; the same tag again replaces it."""
-        lake.append(enriched, self.lake, tag)
+        minute = E.truncate_ms(F.col("event_timestamp_ms"), "minute").alias("minute_ms")
+        made = enriched.where(F.col("event_type") == CONVERSION).select("tenant_id", minute, duration_ms().alias("duration_ms"))
+        together(
+            self.spark,
+            lambda: lake.append(enriched, self.lake, tag),
+            lambda: self._add_minutes(enriched, tag),
+            lambda: self.hours.add(A.hourly(enriched), tag),
+            lambda: self.latency.add(histogram(made, ["tenant_id", "minute_ms"], "duration_ms", LATENCY_BOUNDS), tag),
+        )
+
+    def _add_minutes(self, enriched: DataFrame, tag: str) -> None:
         minutes = A.minute_sums(enriched)
         minutes = minutes.withColumn("event_date", E.event_date(F.col("minute_ms")))
         self.rollup.add(minutes, tag)
         # everything coarser comes from the minutes just written, not from the events again
         mine = [e for e in self.rollup.parts.live() if e["tag"] == tag]
         minutes = self.rollup.parts.read_entries(mine)
-        self.placement.add(A.cube_sums(minutes, A.PLACEMENT_DIMS), tag)
-        self.geo.add(A.cube_sums(minutes, A.GEO_DIMS), tag)
-        self.hours.add(A.hourly(enriched), tag)
-        minute = E.truncate_ms(F.col("event_timestamp_ms"), "minute").alias("minute_ms")
-        made = enriched.where(F.col("event_type") == CONVERSION).select("tenant_id", minute, duration_ms().alias("duration_ms"))
-        self.latency.add(histogram(made, ["tenant_id", "minute_ms"], "duration_ms", LATENCY_BOUNDS), tag)
+        together(
+            self.spark,
+            lambda: self.placement.add(A.cube_sums(minutes, A.PLACEMENT_DIMS), tag),
+            lambda: self.geo.add(A.cube_sums(minutes, A.GEO_DIMS), tag),
+        )
 
     def compact(self, settings: Settings, horizon_ms: int, most: int = MOST_DELTAS) -> None:
         """Merge deltas; of the hours, drop counters that were dead at ``horizon_ms`` already.
 
         No event before ``horizon_ms`` may still come (the newest event time less the lateness).
         """
-        for table in (self.rollup, self.placement, self.geo, self.latency):
-            table.compact(most)
-        self.hours.compact(most, lambda rows: alive(rows, settings, horizon_ms))
-        lake.compact(self.spark, self.lake, most)
+        together(
+            self.spark,
+            lambda: self.rollup.compact(most),
+            lambda: self.placement.compact(most),
+            lambda: self.geo.compact(most),
+            lambda: self.latency.compact(most),
+            lambda: self.hours.compact(most, lambda rows: alive(rows, settings, horizon_ms)),
+            lambda: lake.compact(self.spark, self.lake, most),
+        )
 
 
 def one_tenant(tenant: str, first: str = "", last: str = "~"):

@@ -1,6 +1,7 @@
 """Stored aggregates against the same answers counted from events."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,38 @@ def check(df, tables):
     assert kept.warm_count(("t0", "none", "CLICK")).first().cnt == 0
 
 
+def test_tables_of_a_batch_are_written_at_the_same_time(events, spark, tmp_path, monkeypatch):
+    """The lake's write waits here for the roll-up's, which began only after it before."""
+    began, append = threading.Event(), lake.append
+    sums = A.minute_sums
+
+    def waiting(*args):
+        assert began.wait(60)
+        append(*args)
+
+    def minutes(rows):
+        began.set()
+        return sums(rows)
+
+    monkeypatch.setattr(lake, "append", waiting)
+    monkeypatch.setattr(A, "minute_sums", minutes)
+    tables = stored.Tables(spark, str(tmp_path))
+    tables.add(events(list(made(20))), "batch-0")
+    assert lake.whole(spark, tables.lake).count() == 20
+
+    def failing(*args):
+        raise OSError("disk")
+
+    monkeypatch.setattr(lake, "append", failing)
+    with pytest.raises(OSError, match="disk"):
+        tables.add(events(list(made(20))), "batch-1")
+
+
+def test_folders_are_listed_by_few_tasks(spark):
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    assert int(spark.conf.get(name)) == 4 * spark.sparkContext.defaultParallelism
+
+
 def test_stored_answers_equal_counted_ones(table):
     check(*table)
 
