@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from admeter.config import DAY_MS, MINUTE_MS, Settings
+from admeter.config import DAY_MS, HOUR_MS, MINUTE_MS, Settings
 from admeter.functions import events as E
 from admeter.model import COLD, CONVERSION, COUNT_KEYS, HOT, WARM
 from admeter.operators import aggregates as A
@@ -254,35 +254,56 @@ def series_table(stores: StoredStores, requests: DataFrame, settings: Settings)
     """request, tier, bucket_ms, value for a table of requests, in the order of request and bucket.
 
     ``requests`` has request (unique), tenant_id, campaign_id, metric, from_ms, to_ms and grain. All
-    joins are on (key, date): a request is laid out by the dates it reaches, and meets minutes of
-    the roll-up; the minutes at its two ends, when they are not whole, come from the events.
+    joins are on key and time: a warm request is laid out by the hours it reaches and meets whole hours, or
+    the minutes of an hour that it or its grain cuts; the minutes at its two ends, when they are not whole,
+    meet their own events. A cold one meets sums of its grain by date. So what a request meets is bounded by
+    its length, however many rows a key has in a day.
     Hot and warm requests without any bucket get the warm count spread evenly.
     """
     keys = ["tenant_id", "campaign_id", "metric"]
     asked = route_table(requests, settings).select("request", *keys, "tier", "from_ms", "to_ms", "grain", grain_of(F.col("grain")).alias("step"))
-    date = lambda ms: F.floor(ms / DAY_MS)
-    by_day = asked.withColumn("day", F.explode(F.sequence(date(F.col("from_ms")), date(F.col("to_ms")))))
-    hot, warm, cold = (by_day.where(F.col("tier") == t) for t in (HOT, WARM, COLD))
-    low, high = F.col("from_ms"), F.col("to_ms")
+    low, high, at, minute = F.col("from_ms"), F.col("to_ms"), F.col("at"), F.lit(MINUTE_MS)
 
-    def met(wanted: DataFrame, rows: DataFrame, at: str) -> DataFrame:
-        """Wanted days and rows (keys, ``at``, cnt) of the same key and date."""
+    def no(ms: Column, unit: int) -> Column:
+        return F.floor(ms / unit)
+
+    def laid_out(tier: str, unit: int) -> DataFrame:
+        """Requests of a tier, once per unit of time that they reach."""
+        reached = F.sequence(no(low, unit), no(high, unit))
+        return asked.where(F.col("tier") == tier).withColumn("unit", F.explode(reached))
+
+    def summed(rows: DataFrame, ms: str, grain: int) -> DataFrame:
+        """cnt per key and ``at``, the start of a grain: one row however many dimensions there are."""
         rows = rows.withColumnRenamed("event_type", "metric").dropna(subset=keys)
-        rows = rows.select(*keys, date(F.col(at)).alias("day"), F.col(at).alias("at"), "cnt")
-        return wanted.join(rows, [*keys, "day"])
+        start = F.col(ms) - F.pmod(F.col(ms), F.lit(grain))
+        return rows.groupBy(*keys, start.alias("at")).agg(F.sum("cnt").alias("cnt"))
+
+    def met(wanted: DataFrame, rows: DataFrame, unit: int, *also: str) -> DataFrame:
+        """Wanted units and rows (keys, ``at``, cnt) of the same key and unit."""
+        return wanted.join(rows.withColumn("unit", no(at, unit)), [*keys, "unit", *also])
 
     minutes = stores.tables.rollup.parts.read()
-    events = lake.whole(stores.tables.spark, stores.tables.lake).withColumn("cnt", F.lit(1).cast("long"))
-    at, minute = F.col("at"), F.lit(MINUTE_MS)
-    whole = (at >= low) & (at + minute - 1 <= high)
+    by_grain = {g: summed(minutes, "minute_ms", g) for g in E.GRAIN_MS.values()}
+    points = stores.hot_points().withColumnRenamed("event_type", "metric").dropna(subset=keys)
+    events = lake.whole(stores.tables.spark, stores.tables.lake).withColumnRenamed("event_type", "metric").dropna(subset=keys)
+    events = events.select(*keys, F.col("event_timestamp_ms").alias("at"), F.lit(1).cast("long").alias("cnt"))
     edges = F.array_distinct(F.array(low - F.pmod(low, minute), high - F.pmod(high, minute)))
     cut = F.filter(edges, lambda m: (m < low) | (m + minute - 1 > high))
-    ends = asked.where(F.col("tier") == WARM).withColumn("edge", F.explode(cut)).withColumn("day", date(F.col("edge")))
+    ends = asked.where(F.col("tier") == WARM).withColumn("unit", F.explode(F.transform(cut, lambda m: no(m, MINUTE_MS))))
+    warm = laid_out(WARM, HOUR_MS)
+    inside = (F.col("unit") * HOUR_MS >= low) & ((F.col("unit") + 1) * HOUR_MS - 1 <= high)
+    inside = inside & (F.col("step") % HOUR_MS == 0)  # hours that lie in the window and in one bucket as a whole
+    each_grain = None
+    for g, rows in by_grain.items():
+        rows = rows.withColumn("step", F.lit(g).cast("long"))
+        each_grain = rows if each_grain is None else each_grain.unionByName(rows)
     found = [
-        met(hot, stores.hot_points(), "bucket_ms").where(at.between(low, high)).withColumn("bucket_ms", at),
-        met(warm, minutes, "minute_ms").where(whole),
-        met(ends, events, "event_timestamp_ms").where(at.between(low, high) & at.between(F.col("edge"), F.col("edge") + minute - 1)),
-        met(cold, minutes, "minute_ms"),
+        met(laid_out(HOT, DAY_MS), points.select(*keys, F.col("bucket_ms").alias("at"), "cnt"), DAY_MS)
+        .where(at.between(low, high)).withColumn("bucket_ms", at),
+        met(warm.where(inside), by_grain[HOUR_MS], HOUR_MS),
+        met(warm.where(~inside), by_grain[MINUTE_MS], HOUR_MS).where((at >= low) & (at + minute - 1 <= high)),
+        met(ends, events, MINUTE_MS).where(at.between(low, high)),
+        met(laid_out(COLD, DAY_MS), each_grain, DAY_MS, "step"),
     ]
     bucket = at - F.pmod(at, F.col("step"))
     own = None

@@ -153,3 +153,32 @@ def test_dead_counters_go_with_a_compaction(spark, events, tmp_path):
     assert len(live) <= stored.MOST_DELTAS + 1
     kept = stored.StoredStores(tables, S)
     assert [tuple(r) for r in kept.hot_counts().select(*COUNT_KEYS, "cnt").collect()] == [("t", "live", "CLICK", 60)]
+
+
+def joined_rows(plan):
+    """Rows that all joins of an executed plan made."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return joined_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return joined_rows(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in kind else 0
+    return own + sum(joined_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_requests_meet_no_more_rows_than_their_length_has(spark, events, tmp_path):
+    """A day with many events of a key, in minutes with many dimensions, and many requests for that day."""
+    start = NOW - 6 * DAY_MS
+    rows = [
+        dict(event_id=f"e{i}", seq=i, tenant_id="t0", campaign_id="c0", event_type="CLICK", cost=0.0, placement_id=f"p{i % 7}",
+             event_timestamp_ms=start + i * 40_000) for i in range(2000)
+    ]
+    tables = stored.Tables(spark, str(tmp_path))
+    tables.add(events(rows), "all")
+    n, hour = 50, HOUR_MS
+    asked = [(i, *KEY[:2], "CLICK", start + hour + i * 7_001, start + 20 * hour + i * 7_001, "hour") for i in range(n)]
+    table = spark.createDataFrame(asked, "request long, tenant_id string, campaign_id string, metric string, from_ms long, to_ms long, grain string")
+    found = stored.series_table(stored.StoredStores(tables, S), table, S)
+    total = sum(r.value for r in found.collect())
+    assert total == sum(a <= r["event_timestamp_ms"] <= b for r in rows for *_, a, b, _ in asked)
+    assert joined_rows(found._jdf.queryExecution().executedPlan()) < n * 300
