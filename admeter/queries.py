@@ -18,7 +18,7 @@ from admeter.operators import alerts, attribution, dead_letter, dedup, late, mon
 from admeter.operators import rate_limit, reconcile, replay, run_store
 from admeter.operators import timeseries as S
 from admeter.plans import ingest, serving, stored
-from admeter.session import prepare, state_partitions
+from admeter.session import prepare, state_partitions, uncounted_state
 from admeter.sources import kafka, lake
 from admeter.sources.event_table import (
     arrival_stream,
@@ -68,11 +68,11 @@ def query(f: Query) -> Query:
 
 
 def stream_query(f: Query) -> Query:
-    """A query that runs streams; their state has one partition per core."""
+    """A query that runs streams; their state has one partition per core, and nobody asks for its size."""
 
     @wraps(f)
     def run(spark, sf):
-        with state_partitions(prepare(spark)):
+        with state_partitions(prepare(spark)), uncounted_state(spark):
             return f(spark, sf)
 
     REGISTRY[f.__name__] = run

@@ -33,6 +33,24 @@ def build(app: str = "admeter", master: str | None = None, **conf: str) -> Spark
     return prepare(builder.getOrCreate())
 
 
+@contextmanager
+def uncounted_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside do not count the rows of their state, which costs a look-up per change.
+
+    Their progress has no ``numRowsTotal`` then.
+    """
+    setting = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
 @contextmanager
 def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None]:
     """Streams first started inside get ``n`` state partitions, by default one per core.

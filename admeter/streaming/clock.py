@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from admeter.config import MINUTE_MS, Settings
 from admeter.functions import events as E
@@ -62,6 +63,23 @@ def close(spark: SparkSession, folder: str) -> None:
     """End a stream: one row far ahead lets the watermark pass all that is still open.
 
     The row itself stays open, so it never comes out. Call it when all rows have been read, then
-    start the stream once more.
+    start the stream once more, or let it go on.
     """
     _closing_row(spark, 1).coalesce(1).write.mode("append").parquet(folder)
+
+
+#: The trigger of a query that ``run_to_end`` ends.
+UNTIL_STOPPED = {"processingTime": "0 seconds"}
+
+
+def run_to_end(spark: SparkSession, query: StreamingQuery, folder: str) -> None:
+    """Let a running query take in all that is there, close its stream and stop it.
+
+    It is not started twice: a start reads the state anew from the logs of all its changes.
+    """
+    try:
+        query.processAllAvailable()
+        close(spark, folder)
+        query.processAllAvailable()
+    finally:
+        query.stop()

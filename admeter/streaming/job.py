@@ -31,7 +31,7 @@ from admeter.plans import ingest as plans
 from admeter.sources import lake
 from admeter.streaming import counters
 from admeter.streaming.attribution import conversions
-from admeter.streaming.clock import closable, close, late, punctual, timed
+from admeter.streaming.clock import UNTIL_STOPPED, closable, late, punctual, run_to_end, timed
 from admeter.streaming.dedup import unique
 
 DEAD_SCHEMA = T.StructType(
@@ -160,25 +160,23 @@ def run_available(
     progress of the stateful queries.
     """
     spark, once, progress = raw.sparkSession, {"availableNow": True}, {"unique": [], "conversions": []}
+    stateful = UNTIL_STOPPED if ends else once
 
     def finish(*queries: StreamingQuery) -> None:
         for q in queries:
-            q.awaitTermination()
             name = q.name.split("-")[0]
+            if ends and name in progress:
+                run_to_end(spark, q, out.closing(name))
+            else:
+                q.awaitTermination()
             if name in progress:
                 progress[name] += q.recentProgress
 
     if decode is not None:
         raw, bad = decode(raw)
         finish(_to_table(bad, "unreadable", out, once))
-    finish(start_unique(raw, out, settings, once), *start_sides(raw, out, settings, once))
-    if ends:
-        close(spark, out.closing("unique"))
-        finish(start_unique(raw, out, settings, once))
-    finish(start_conversions(spark, out, settings, once, files))
-    if ends:
-        close(spark, out.closing("conversions"))
-        finish(start_conversions(spark, out, settings, once, files))
+    finish(start_unique(raw, out, settings, stateful), *start_sides(raw, out, settings, once))
+    finish(start_conversions(spark, out, settings, stateful, files))
     finish(*start_sinks(spark, out, once))
     return progress
 

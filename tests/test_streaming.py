@@ -175,6 +175,33 @@ def test_a_hot_session(spark, raw, events, tmp_path):
     assert 0 < max(joined) <= 2 * 120
 
 
+def test_many_days_in_one_micro_batch(spark, raw, events, tmp_path):
+    """A session meets itself a day at a time, and minutes without a cart go no further than the join."""
+    hour = 3_600_000
+    gaps = [(n * 7919 % 13) * 2 * hour + n % 5 * 60_000 for n in range(60)]
+    at = [sum(gaps[: n + 1]) for n in range(60)]
+    kinds = ["CLICK", "CLICK", "CLICK", "ADD_TO_CART"]
+    sent = [
+        dict(event_id=f"e{n}", tenant_id="t", session_id="s", campaign_id="c", cost=1.0, event_type=kinds[n % 4],
+             event_timestamp_ms=t, seq=n) for n, t in enumerate(at)]
+    events(sent).coalesce(1).write.mode("append").parquet(str(tmp_path / "raw"))
+    got, progress = run_closed(spark, raw(), conversions, str(tmp_path / "x"))
+    assert rows(got) == rows(batch_attribution.conversions(events(sent), S)) and got.count() > 5
+    last = [p.stateOperators[0] for p in progress if p.stateOperators]
+    assert 0 < sum(s.numRowsUpdated for s in last) <= 15
+    plan = conversions(clock.timed(events(sent), 0), S)._jdf.queryExecution().analyzed().toString()
+    assert "(span#" in next(line for line in plan.splitlines() if "Join LeftOuter" in line)
+
+
+def test_a_stream_that_ends_is_started_once(spark, batch, raw, arrive, tmp_path):
+    arrive(0)
+    progress = job.run_available(raw(), job.Folders(str(tmp_path / "out")), S, ends=True)
+    for name in ("unique", "conversions"):
+        assert len({p.runId for p in progress[name]}) == 1
+        assert max(s.numRowsTotal for p in progress[name] for s in p.stateOperators) > 1
+        assert [s.numRowsTotal for s in progress[name][-1].stateOperators if s.operatorName != "symmetricHashJoin"][-1] == 1
+
+
 def test_a_click_a_day_before_and_out_of_reach(spark, raw, events, tmp_path):
     day = S.attribution_window_ms
     base = dict(tenant_id="t", campaign_id="c", cost=1.0)
