@@ -999,16 +999,19 @@ def lake_upsert(spark, sf):
 ONCE = {"availableNow": True}
 
 
-def _finish(stream: DataFrame, folder: str) -> DataFrame:
-    """Write a stream to a table until its input is used up."""
-    (
+def _finish(stream: DataFrame, folder: str, closing: str | None = None) -> DataFrame:
+    """Write a stream to a table until its input is used up, then close it if it has a closing folder."""
+    started = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/rows")
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(**ONCE)
+        .trigger(**(clock.UNTIL_STOPPED if closing else ONCE))
         .start()
-        .awaitTermination()
     )
+    if closing:
+        clock.run_to_end(stream.sparkSession, started, closing)
+    else:
+        started.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -1021,10 +1024,7 @@ def _closed(spark, sf, name: str, operator) -> DataFrame:
     folder = new_path(spark, name)
     rows = clock.punctual(_valid_arrivals(spark, sf), SETTINGS)
     rows = clock.timed(clock.closable(rows, f"{folder}/closing"), SETTINGS.stream_lateness_ms)
-    made = operator(rows, SETTINGS)
-    _finish(made, folder)
-    clock.close(spark, f"{folder}/closing")
-    return _finish(made, folder)
+    return _finish(operator(rows, SETTINGS), folder, f"{folder}/closing")
 
 
 @stream_query
