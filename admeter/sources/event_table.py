@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from admeter.model import EVENT_COLUMNS, EVENT_SCHEMA
 from admeter.operators.ordered import row_number
 from admeter.session import prepare
-from admeter.sources.shared import new_path
+from admeter.sources.shared import delete, new_path
 
 #: Arrival numbers of one span of a partition of the dead-letter log.
 SEQ_SPAN = 1 << 20
@@ -61,23 +62,28 @@ def arrival_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFram
     """The same events as a stream in the order of arrival, ``parts`` micro-batches of about equal size.
 
     The table is written anew in ranges of ``arrival_ms``; a trigger takes the files of one range, which are
-    as many for every range (a file without rows where one is missing) and enough for all cores.
+    as many for every range (a file without rows where one is missing) and enough for all cores. The given
+    table is read once to find the ranges and once to deal its rows to them, however many ranges there are.
     """
     events = canonical(spark, sf_dir).select(*EVENT_COLUMNS)
     shares = [i / parts for i in range(1, parts)]
     cuts = events.agg(F.percentile_approx("arrival_ms", shares, 10_000)).first()[0] if shares else []
     files = max(spark.sparkContext.defaultParallelism, len(events.inputFiles()) // parts)
-    path = new_path(spark, "arrivals")
-    bounds = [None, *sorted(set(cuts or [])), None]
+    path, dealt = new_path(spark, "arrivals"), new_path(spark, "dealt")
+    cuts = sorted(set(cuts or []))
     at = F.coalesce("arrival_ms", "event_timestamp_ms", F.lit(0))
+    range_no = sum((F.when(at > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    events.withColumn("range_no", range_no).write.partitionBy("range_no").parquet(dealt)
+    schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("range_no", T.IntegerType())])
+    ranges = spark.read.schema(schema).parquet(dealt)
     due = 0
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        rows = events if low is None else events.where(at > low)
-        rows = rows if high is None else rows.where(at <= high)
+    for n in range(len(cuts) + 1):
+        rows = ranges.where(F.col("range_no") == n).drop("range_no")
         rows.repartition(files).write.mode("append").parquet(path)
         due += files
         for _ in range(due - len(spark.read.schema(EVENT_SCHEMA).parquet(path).inputFiles())):
             rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+    delete(spark, dealt)
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
 
 

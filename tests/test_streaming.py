@@ -13,7 +13,7 @@ from admeter.operators import attribution as batch_attribution
 from admeter.operators import dedup as batch_dedup
 from admeter.plans import ingest
 from admeter.session import state_partitions
-from admeter.sources import kafka, lake
+from admeter.sources import event_table, kafka, lake
 from admeter.sources.event_table import arrival_stream, canonical
 from admeter.sources.shared import shared_folder
 from admeter.streaming import clock, counters, job, tables
@@ -135,6 +135,26 @@ def test_arrivals_have_files_for_all_cores_and_as_many_a_trigger(spark, tmp_path
     assert len(seen) == 2 and seen[0][1] < seen[1][0] and sum(n for *_, n in seen) == rows
 
 
+@pytest.mark.parametrize("rows", [1000, 0])
+def test_arrivals_make_each_row_once_however_many_ranges(spark, tmp_path, monkeypatch, rows):
+    given = spark.read.parquet(f"{SF_DIR}/events.parquet").where(f"event_id < {rows}").coalesce(1)
+    given.write.parquet(str(tmp_path / "events.parquet"))
+    made = spark.sparkContext.accumulator(0)
+
+    def count(seq):
+        made.add(1)
+        return seq
+
+    counted_seq = F.udf(count, "bigint").asNondeterministic()
+    monkeypatch.setattr(event_table, "canonical", lambda *a: canonical(*a).withColumn("seq", counted_seq("seq")))
+    stream = arrival_stream(spark, str(tmp_path), 8)
+    q = (stream.writeStream.format("parquet").option("path", str(tmp_path / "x"))
+         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert made.value == rows
+    assert spark.read.schema(EVENT_SCHEMA).parquet(str(tmp_path / "x")).count() == rows
+
+
 def test_long_chains_of_copies(spark, raw, events, tmp_path):
     """An id redelivered every 40 minutes over a day, one beyond the TTL, ties; in three micro-batches."""
     minute = 60_000
